@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from radiolake.plans import health, rollups, spatial  # noqa: F401
+from radiolake.plans import health, rollups, series, spatial  # noqa: F401
