@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
-from radiolake.plans import diagnosis, health, rollups, series, spatial  # noqa: F401
+from radiolake.plans import (diagnosis, health, rollups, series, spatial,  # noqa: F401
+                             tickets)

@@ -344,13 +344,20 @@ def _(spark, d):
     return acts(spark, d, "overshooting", ["new_total_tilt", "new_elec_tilt", "tilt_step", "gain_db"])
 
 
+def half_even(x):
+    """One decimal, half to even, of the number as it prints."""
+    d = f"({x})::VARCHAR::DECIMAL(38,20) * 10"
+    return (f"(CASE WHEN abs({d} - trunc({d})) = 0.5 THEN trunc({d}) + CASE WHEN trunc({d}) % 2 = 0 "
+            f"THEN 0 ELSE sign({x}) END ELSE round({d}, 0) END / 10)::DOUBLE")
+
+
 @query("r02_coverage", with_ctes(f"""
 SELECT cell_id, CASE WHEN tilts AND applied > 0 THEN 'uptilt+power' WHEN tilts THEN 'uptilt' ELSE 'power'
     END AS action, CASE WHEN tilts THEN new_total END AS new_total_tilt,
   CASE WHEN tilts THEN elec END AS new_elec_tilt, round(g, 6) AS gain_db, applied AS power_db,
-  round(gap, 1) AS needed_db,
+  {half_even('gap')} AS needed_db,
   {conf_sql(['avg_rsrp_dbm', 'pct_rsrp_poor', 'dl_user_thr_mbps'], 0.5, True)} AS confidence, {PRIO} AS priority
-FROM (SELECT *, round(CASE WHEN gap <= 0 THEN 0 ELSE least(gap, 3.0) END, 1) AS applied FROM (
+FROM (SELECT *, CASE WHEN gap <= 0 THEN 0.0::DOUBLE ELSE {half_even('least(gap, 3.0)')} END AS applied FROM (
   SELECT *, -105.0 - coalesce(avg_rsrp_dbm, -108.0) - g AS gap FROM (
     SELECT *, step < -0.3 AND abs(elec - (new_total - mech_tilt_deg)) <= 0.05 AS tilts,
       CASE WHEN step < -0.3 THEN {gain('0.95 * isd', 'new_total')} ELSE 0.0 END AS g
