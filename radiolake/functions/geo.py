@@ -22,12 +22,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
+def at_least(x, floor) -> Column:
+    """The larger of the two; a missing value stays missing (`greatest` would skip it)."""
+    x, floor = _c(x), _c(floor)
+    return F.when(x < floor, floor).otherwise(x)
+
+
+def at_most(x, cap) -> Column:
+    x, cap = _c(x), _c(cap)
+    return F.when(x > cap, cap).otherwise(x)
+
+
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     dphi, dlam = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     s, t = F.sin(dphi / 2), F.sin(dlam / 2)
     a = s * s + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * t * t
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(at_most(F.sqrt(a), 1.0))
 
 
 def flat_m(lat1, lon1, lat2, lon2, mean_latitude: bool = False) -> Column:
@@ -61,35 +72,35 @@ def az_gap(a, b) -> Column:
 
 
 def _mast(height, floor: float) -> Column:
-    return F.greatest(_c(height) - UE_HEIGHT_M, F.lit(floor))
+    return at_least(_c(height) - UE_HEIGHT_M, floor)
 
 
 def boresight_m(height, tilt) -> Column:
     """Ground distance where the main lobe's centre lands."""
-    return _mast(height, 1.0) / F.tan(F.radians(F.greatest(_c(tilt), F.lit(0.05))))
+    return _mast(height, 1.0) / F.tan(F.radians(at_least(tilt, 0.05)))
 
 
 def edge_m(height, tilt, vbw=DEFAULT_VBW) -> Column:
     """Ground distance of the far 3 dB edge, capped where the beam clears the horizon."""
     angle = _c(tilt) - _c(vbw) / 2
     return F.when(angle <= 0.15, EDGE_CAP_M).otherwise(
-        F.least(_mast(height, 1.0) / F.tan(F.radians(angle)), F.lit(EDGE_CAP_M)))
+        at_most(_mast(height, 1.0) / F.tan(F.radians(angle)), EDGE_CAP_M))
 
 
 def elevation_deg(height, distance) -> Column:
-    return F.degrees(F.atan2(_mast(height, 0.5), F.greatest(_c(distance), F.lit(1.0))))
+    return F.degrees(F.atan2(_mast(height, 0.5), at_least(distance, 1.0)))
 
 
 def optimal_downtilt(height, distance, vbw=DEFAULT_VBW, mode: str = "edge") -> Column:
     """Total downtilt that puts the far edge (or the main lobe) at the distance, 0..16."""
     add = _c(vbw) / 2 if mode == "edge" else F.lit(0.0)
     theta = elevation_deg(height, distance) + add
-    return F.bround(F.greatest(F.lit(0.0), F.least(theta, F.lit(16.0))), 1)
+    return F.bround(at_least(at_most(theta, 16.0), 0.0), 1)
 
 
 def pattern_db(offset, beamwidth=DEFAULT_VBW, floor: float = PATTERN_FLOOR_DB) -> Column:
     x = _c(offset) / _c(beamwidth)
-    return -F.least(F.lit(12.0) * x * x, F.lit(floor))
+    return -at_most(F.lit(12.0) * x * x, floor)
 
 
 def tilt_gain_db(height, distance, tilt_now, tilt_new, vbw=DEFAULT_VBW) -> Column:
@@ -101,16 +112,16 @@ def tilt_gain_db(height, distance, tilt_now, tilt_new, vbw=DEFAULT_VBW) -> Colum
 
 
 def fspl_db(distance, mhz) -> Column:
-    km = F.greatest(_c(distance), F.lit(1.0)) / 1000.0
+    km = at_least(distance, 1.0) / 1000.0
     return 32.44 + 20 * F.log10(km) + 20 * F.log10(_c(mhz))
 
 
 def hata_db(distance, mhz, height=30.0, kind="urban") -> Column:
     """COST-231 Hata median path loss; kind is urban, suburban or rural (text or column)."""
     k = F.lit(kind) if isinstance(kind, str) else kind
-    f = F.least(F.greatest(_c(mhz), F.lit(150.0)), F.lit(2600.0))
-    hb = F.least(F.greatest(_c(height), F.lit(20.0)), F.lit(200.0))
-    km = F.greatest(_c(distance), F.lit(20.0)) / 1000.0
+    f = at_most(at_least(mhz, 150.0), 2600.0)
+    hb = at_most(at_least(height, 20.0), 200.0)
+    km = at_least(distance, 20.0) / 1000.0
     lf, lh = F.log10(f), F.log10(hb)
     mobile = (1.1 * lf - 0.7) * UE_HEIGHT_M - (1.56 * lf - 0.8)
     loss = (46.3 + 33.9 * lf - 13.82 * lh - mobile + (44.9 - 6.55 * lh) * F.log10(km)
@@ -138,7 +149,7 @@ def predict_rsrp(distance, height, tilt, az_offset, mhz=1800.0, kind="urban",
 def power_delta(current, target, tilt_gain=0.0, headroom: float = POWER_HEADROOM_DB) -> Column:
     """needed, applied and residual dB to reach the target, within the headroom."""
     gap = _c(target) - _c(current) - _c(tilt_gain)
-    applied = F.when(gap <= 0, 0.0).otherwise(F.least(gap, F.lit(headroom)))
+    applied = F.when(gap <= 0, 0.0).otherwise(at_most(gap, headroom))
     return F.struct(F.bround(gap, 1).alias("needed_db"), F.bround(applied, 1).alias("applied_db"),
                     F.bround(F.when(gap <= 0, gap).otherwise(gap - applied), 1)
                     .alias("residual_db"),
@@ -174,7 +185,7 @@ def wedge_ring(lat, lon, azimuth, width, radius, steps: int = 12) -> Column:
 
 def beam_length_m(height, tilt, shortest: float = 150.0, longest: float = 1500.0) -> Column:
     """How far a drawn beam reaches: the boresight distance within drawing limits."""
-    return F.greatest(F.lit(shortest), F.least(boresight_m(height, tilt), F.lit(longest)))
+    return at_least(at_most(boresight_m(height, tilt), longest), shortest)
 
 
 # ------------------------------------------------------------------- lattices

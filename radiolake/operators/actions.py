@@ -65,12 +65,11 @@ def with_tilt(rows: DataFrame) -> DataFrame:
         "_tilt", F.col("mech_tilt_deg") + F.col("elec_tilt_deg"))
     d = d.withColumn("_best", G.optimal_downtilt("antenna_height_m", F.col("_edge"),
                                                  F.col("vbw_deg")))
-    d = d.withColumn("_step", F.greatest(F.lit(-MAX_TILT_STEP), F.least(
-        F.lit(MAX_TILT_STEP), F.col("_best") - F.col("_tilt"))))
+    d = d.withColumn("_step", G.at_least(G.at_most(
+        F.col("_best") - F.col("_tilt"), MAX_TILT_STEP), -MAX_TILT_STEP))
     d = d.withColumn("_total", F.bround(F.col("_tilt") + F.col("_step"), 1))
     d = d.withColumn("_raw", F.col("_total") - F.col("mech_tilt_deg"))
-    d = d.withColumn("_elec", F.bround(F.least(F.greatest(F.col("_raw"), F.lit(RET_LO)),
-                                               F.lit(RET_HI)), 1))
+    d = d.withColumn("_elec", F.bround(G.at_most(G.at_least(F.col("_raw"), RET_LO), RET_HI), 1))
     d = d.withColumn("_limited", F.abs(F.col("_elec") - F.col("_raw")) > 0.05)
     # an overshooting cell is judged by what it takes off far away, the rest at the edge
     d = d.withColumn("_at", F.when(F.col("problem_class") == "overshooting", 2 * F.col("isd_m"))
@@ -183,7 +182,7 @@ def _imbalance() -> Column:
     gap = F.col("dl_prb_util") - F.col("sibling_low_other")
     return F.when(gap >= 20, made(
         action=F.lit("border_offset"), cause=F.lit("uneven_load"), move_pp=gap / 2,
-        offset_db=-F.bround(F.least(F.lit(6.0), F.greatest(F.lit(2.0), gap / 10)), 0),
+        offset_db=-F.bround(G.at_most(G.at_least(gap / 10, 2.0), 6.0), 0),
         confidence=confidence(["dl_prb_util"], 0.5)))
 
 
@@ -258,13 +257,12 @@ def recommend_for_location(points: DataFrame, kind: str = "urban", mhz: float =
     vbw, h, dist = F.lit(G.DEFAULT_VBW), F.col("antenna_height_m"), F.col("dist_m")
     now = F.col("mech_tilt_deg") + F.col("elec_tilt_deg")
     theta = G.elevation_deg(h, dist)
-    ideal = F.bround(F.least(F.lit(16.0), F.greatest(F.lit(0.0), theta)), 1)
+    ideal = F.bround(G.at_most(G.at_least(theta, 0.0), 16.0), 1)
     ok = G.tilt_gain_db(h, dist, now, ideal, vbw) < 2.0
     step = F.when(ok, 0.0).otherwise(
-        F.greatest(F.lit(-MAX_TILT_STEP), F.least(F.lit(MAX_TILT_STEP), ideal - now)))
+        G.at_least(G.at_most(ideal - now, MAX_TILT_STEP), -MAX_TILT_STEP))
     new_total = F.bround(now + step, 1)
-    elec = F.bround(F.least(F.greatest(new_total - F.col("mech_tilt_deg"), F.lit(RET_LO)),
-                            F.lit(RET_HI)), 1)
+    elec = F.bround(G.at_most(G.at_least(new_total - F.col("mech_tilt_deg"), RET_LO), RET_HI), 1)
     d = points.withColumns({"_now": now, "ideal_tilt": ideal, "_ok": ok})
     d = d.withColumns({"tilt_step": step, "new_total_tilt": new_total, "new_elec_tilt": elec})
     d = d.withColumns({
@@ -273,7 +271,7 @@ def recommend_for_location(points: DataFrame, kind: str = "urban", mhz: float =
         "rsrp_new": G.predict_rsrp(dist, h, F.col("new_total_tilt"), "off_deg", mhz, kind)})
     measured = F.col("measured_rsrp") if "measured_rsrp" in points.columns else F.lit(None)
     d = d.withColumn("_p", G.power_delta(F.coalesce(measured.cast("double"), F.col("rsrp_now")),
-                                         COMPLAINT_RSRP, F.greatest(F.col("gain_db"), F.lit(0.0))))
+                                         COMPLAINT_RSRP, G.at_least(F.col("gain_db"), 0.0)))
     wide = F.col("off_deg") > G.H_BEAMWIDTH / 3
     action = (F.when(F.col("_ok") & wide, "azimuth+power")
               .when(F.col("_ok") & F.col("_p.limited"), "power+layer").when(F.col("_ok"), "power")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.geo import az_gap, bearing_deg, haversine_m
 from radiolake.operators.actions import recommend_for_location
-from radiolake.operators.common import first_by, top_n_by
+from radiolake.operators.common import exact_quantile, top_n_by
 from radiolake.operators.spatial import k_nearest
 
 # Words of the engineer's own fields, of the notes, and the label map.
@@ -69,24 +69,24 @@ def complaint_geometry(complaints: DataFrame, sectors: DataFrame, n_look: int =
     sites = sectors.groupBy("site_id").agg(
         F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),
         F.max(F.col("air") == "onair").alias("on_air"))
-    near = k_nearest(pts, "ticket_id", sites, "site_id", n_look)
-    other = near.join(pts.select("ticket_id", "_srv"), "ticket_id").join(
-        sites.select("site_id", "on_air"), "site_id").filter(
-        F.col("on_air") & (F.col("site_id") != F.col("_srv"))).groupBy("ticket_id").agg(
-        F.min_by(F.struct("site_id", "dist_m"), "rank").alias("n")).select(
-        "ticket_id", F.col("n.site_id").alias("nearest_site"),
-        F.col("n.dist_m").alias("nearest_m"))
-    pairs = near.filter(F.col("rank") <= n_best).select("ticket_id", "site_id").join(
-        sec, "site_id").join(pts.select("ticket_id", "latitude", "longitude"), "ticket_id")
+    # one pass over the nearest sites' sectors answers both questions
+    near = k_nearest(pts, "ticket_id", sites, "site_id", n_look).join(
+        sites.select("site_id", "on_air"), "site_id").join(sec, "site_id").join(
+        pts.select("ticket_id", "_srv", "latitude", "longitude"), "ticket_id")
     b = F.round(bearing_deg("s_lat", "s_lon", "latitude", "longitude"), 6)
-    pairs = pairs.withColumn("off", F.round(az_gap("azimuth_deg", b), 6)).withColumn(
+    near = near.withColumn("off", F.round(az_gap("azimuth_deg", b), 6)).withColumn(
         "d", F.round(haversine_m("s_lat", "s_lon", "latitude", "longitude"), 6))
-    score = F.round(F.col("d") * (1 + F.col("off") / 65.0 * (F.col("off") / 65.0)), 6)
-    best = pairs.groupBy("ticket_id").agg(
-        first_by(["sector_id", "off", "d"], score, "sector_id").alias("b")).select(
-        "ticket_id", F.col("b.sector_id").alias("best_sector_id"),
-        F.col("b.off").alias("best_offset_deg"), F.col("b.d").alias("best_distance_m"))
-    c = c.join(other, "ticket_id", "left").join(best, "ticket_id", "left")
+    near = near.withColumn("score", F.round(
+        F.col("d") * (1 + F.col("off") / 65.0 * (F.col("off") / 65.0)), 6))
+    other = F.col("on_air") & (F.col("site_id") != F.col("_srv"))
+    found = near.groupBy("ticket_id").agg(
+        F.min_by(F.struct("site_id", "dist_m"), F.when(other, F.col("rank"))).alias("n"),
+        F.min_by(F.struct("sector_id", "off", "d"),
+                 F.when(F.col("rank") <= n_best, F.struct("score", "sector_id"))).alias("b"))
+    c = c.join(found.select(
+        "ticket_id", F.col("n.site_id").alias("nearest_site"), F.col("n.dist_m").alias("nearest_m"),
+        F.col("b.sector_id").alias("best_sector_id"), F.col("b.off").alias("best_offset_deg"),
+        F.col("b.d").alias("best_distance_m")), "ticket_id", "left")
     return c.withColumns({"serving_sector": F.col("srv.sector_id"),
                           "serving_height_m": F.col("srv.antenna_height_m")}).drop("srv")
 
@@ -146,11 +146,9 @@ def engineer_category(rf_analysis, closure_code) -> Column:
 
 def agreement(tool="category", engineer="engineer_category", used="used_engineer_label") -> Column:
     a, b = F.col(tool), F.col(engineer)
-    close = F.lit(False)
-    for x, y in NEAR_MISS:
-        close = close | ((a == x) & (b == y)) | ((a == y) & (b == x))
-    return (F.when(F.col(used) | b.isNull(), "n/a").when(a == b, "agree").when(close, "partial")
-            .otherwise("differ"))
+    close = [x + "|" + y for p in NEAR_MISS for x, y in (p, p[::-1])]
+    return (F.when(F.col(used) | b.isNull(), "n/a").when(a == b, "agree")
+            .when(F.concat_ws("|", a, b).isin(*close), "partial").otherwise("differ"))
 
 
 def complaint_actions(df: DataFrame, elec_tilt: float = 3.0) -> DataFrame:
@@ -187,7 +185,6 @@ def hotspots_by_site(findings: DataFrame, site_facts: DataFrame | None = None) -
         F.count_if(F.col("category").isin("far_coverage", "off_axis_azimuth")
                    & (F.col("loc_source") == "ticket")).alias("n_actions"),
         F.count_if(F.col("loc_source") == "ticket").alias("with_exact_loc"))
-    from radiolake.operators.common import exact_quantile
     med = exact_quantile(f, ["site_id"], "distance_m", 0.5, "median_distance_m")
     out = g.join(_dominant(f, "site_id", 3), "site_id").join(med, "site_id", "left")
     return out.join(site_facts, "site_id", "left") if site_facts is not None else out

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from radiolake.plans import (complaints, diagnosis, health, rollups, series, spatial,  # noqa: F401
-                             tickets)
+from radiolake.plans import (complaints, diagnosis, health, network, rollups,  # noqa: F401
+                             series, spatial, tickets)
