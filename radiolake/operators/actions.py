@@ -243,8 +243,10 @@ def recommend(diagnoses: DataFrame, cells: DataFrame, classes: Sequence[str] = (
     for c in names:
         cond = F.col("problem_class") == c
         pick = F.when(cond, BUILDERS[c]()) if pick is None else pick.when(cond, BUILDERS[c]())
-    out = j.withColumn("_a", pick).filter(F.col("_a").isNotNull())
-    return out.select("cell_id", "problem_class", "_a.*", action_priority().alias("priority"))
+    # exploding the one-element array keeps the formulas from being copied into a filter
+    out = j.select("cell_id", "problem_class", action_priority().alias("priority"),
+                   F.explode(F.filter(F.array(pick), lambda x: x.isNotNull())).alias("_a"))
+    return out.select("cell_id", "problem_class", "_a.*", "priority")
 
 
 def recommend_for_location(points: DataFrame, kind: str = "urban", mhz: float = 1800.0) -> DataFrame:

@@ -524,11 +524,11 @@ def _(spark, d):
 
 
 @query("a21_sector_evidence", with_ctes("""
-SELECT site_id, sector_id, kpi, hours, round(top, 6) AS top, round(mean, 6) AS mean, round(low, 6) AS low,
+SELECT site_id, sector_id, kpi, hours, round(top, 6) AS top, round(mean, 5) AS mean, round(low, 6) AS low,
   round(worst, 6) AS worst, issue_hours FROM zev"""))
 def _(spark, d):
     e = Z.sector_evidence(sector_evidence(spark, d))
-    return r6(e.drop("start", "end"), "top", "mean", "low", "worst")
+    return r6(e.drop("start", "end"), "top", "low", "worst").withColumn("mean", F.round("mean", 5))
 
 
 def site_facts(spark, d):
