@@ -56,8 +56,8 @@ def nearest_within(points: DataFrame, point_id: str, grid: DataFrame, metres: fl
 
 
 # ------------------------------------------------------------------ k nearest
-BASE_M = 500.0
-N_LEVELS = 12
+BASE_M = 125.0
+N_LEVELS = 11
 
 
 def _level_m(i: int) -> float:
@@ -72,42 +72,54 @@ def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str
               exclude: str | None = None, metric: str = "flat") -> DataFrame:
     """The k nearest places of every point, exactly: (point, place, dist_m, rank).
 
-    A pyramid of lattices counts the places around each cell. The first level at which a
-    point's neighbourhood holds k places bounds the k-th distance by three cell widths; two
-    levels up, the neighbourhood covers four, so the join there misses nothing. `exclude`
-    names a point column holding a place id that does not count.
+    A pyramid of lattices (125 m to 128 km, then everything) holds each place in every cell it
+    can be near to. A first join at the finest level whose cell knows k places gives a k-th
+    distance to beat; a second join at the level as wide as that distance misses nothing, and
+    keeps only what is at least as near. `exclude` names a point column holding a place id
+    that does not count.
     """
     need = k + (1 if exclude else 0)
     top = N_LEVELS
     p_cols = [point_id] + ([exclude] if exclude and exclude != point_id else [])
     p = _pos(points, "p", p_cols)
     s = _pos(places, "s", [place_id]).withColumnRenamed(place_id, "_place")
-    # the cells around every place, at every level; the top level is one cell
+
     def at_level(i: int) -> Column:
         return F.transform(keys_within("s_lat", "s_lon", _level_m(i), 1.3),
                            lambda c: _key(F.lit(i), c))
 
     around = F.flatten(F.array(*[at_level(i) for i in range(top)]))
-    whole = F.array(F.struct(F.lit(top).alias("lv"), F.lit(0).cast("bigint").alias("iy"),
-                             F.lit(0).cast("bigint").alias("ix")))
-    spread = s.withColumn("_key", F.explode(F.concat(around, whole)))
+    zero = F.lit(0).cast("bigint")
+    whole = F.struct(F.lit(top).alias("lv"), zero.alias("iy"), zero.alias("ix"))
+    spread = s.withColumn("_key", F.explode(F.concat(around, F.array(whole))))
     counts = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") >= need)
-    # the level is a property of the finest cell's position: decide it once per distinct cell
+        F.col("_n") >= need).select("_key")
     own = F.array(*[_key(F.lit(i), cell_key("p_lat", "p_lon", _level_m(i))) for i in range(top)])
     p = p.withColumn("_own", own)
+    # the first level is a property of the finest cell: decide it once per distinct cell
     fine = p.select("_own").distinct().withColumn("_key", F.explode("_own"))
     level = fine.join(counts, "_key").groupBy("_own").agg(F.min("_key.lv").alias("_lv"))
     p = p.join(level, "_own", "left")
-    use = F.coalesce(F.col("_lv") + 2, F.lit(top))
-    p = p.withColumn("_key", F.when(use >= top, whole[0]).otherwise(
-        F.element_at("_own", F.least(use, F.lit(top - 1)) + 1)))
-    pairs = p.drop("_own", "_lv").join(spread, "_key").drop("_key")
-    if exclude:
-        pairs = pairs.filter(F.col("_place") != F.col(exclude))
+    at = lambda lv: F.when(lv < top, F.try_element_at("_own", lv + 1)).otherwise(whole)
     fn = haversine_m if metric == "haversine" else flat_m
-    pairs = pairs.withColumn("dist_m", F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6))
-    best = top_n_by(pairs, [point_id], [F.col("dist_m"), F.col("_place")], k, rank="rank")
+    dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
+
+    def pairs(rows: DataFrame, lv: Column) -> DataFrame:
+        j = rows.withColumn("_key", at(lv)).join(spread, "_key").drop("_key")
+        if exclude:
+            j = j.filter(F.col("_place") != F.col(exclude))
+        return j.withColumn("dist_m", dist)
+
+    order = [F.col("dist_m"), F.col("_place")]
+    first = top_n_by(pairs(p, F.coalesce("_lv", F.lit(top))), [point_id], order, k)
+    keep = [c for c in (*p_cols, "p_lat", "p_lon", "_own") if c != point_id]
+    reach = first.groupBy(point_id).agg(
+        *[F.first(c).alias(c) for c in keep], F.max("dist_m").alias("_reach"),
+        F.count(F.lit(1)).alias("_found"))
+    wide = F.ceil(F.log2(F.greatest(F.col("_reach") * 1.02, F.lit(BASE_M)) / BASE_M)).cast("int")
+    lv = F.when(F.col("_found") < k, F.lit(top)).otherwise(F.least(wide, F.lit(top)))
+    near = pairs(reach, lv).filter((F.col("dist_m") <= F.col("_reach")) | (F.col("_found") < k))
+    best = top_n_by(near, [point_id], order, k, rank="rank")
     return best.select(point_id, F.col("_place").alias(place_id), "dist_m", "rank")
 
 

@@ -41,11 +41,11 @@ RAW_KPIS = ["HW_DL PRB Avg Utilization(%)", "Drops", "LTE_Availability(%)"]
 
 @query("s01_p01_p03_p04_p06_hourly_export", with_ctes("""
 SELECT datetime, object, site_id, sector_id, 'BAS' AS prefix, 'cell' AS level, duplex,
-  round(dl_prb_util, 2) AS prb, round(dl_flowctrl_drops, 0) AS drops, round(cell_avail_pct, 1) AS avail FROM f3"""))
+  round(dl_prb_util, 6) AS prb, round(dl_flowctrl_drops, 0) AS drops, round(cell_avail_pct, 1) AS avail FROM f3"""))
 def _(spark, d):
     c = E.canonical_hourly(raw_export(spark, d), RAW_KPIS, "4G")
     return c.select("datetime", "object", "site_id", "sector_id", "prefix", "level", "duplex",
-                    F.round(f"`{RAW_KPIS[0]}`", 2).alias("prb"), F.round("Drops", 0).alias("drops"),
+                    F.round(f"`{RAW_KPIS[0]}`", 6).alias("prb"), F.round("Drops", 0).alias("drops"),
                     F.round(f"`{RAW_KPIS[2]}`", 1).alias("avail"))
 
 
@@ -94,7 +94,8 @@ def _(spark, d):
 
     def sheet(kpi):
         g = h.withColumn("_h", stamp("datetime", "HH:mm")).groupBy(
-            F.col("object").alias("cell_id"), "duplex").pivot("_h", HOURS).agg(F.max(kpi))
+            F.col("object").alias("cell_id"), "duplex").agg(
+            *[F.max(F.when(F.col("_h") == t, F.col(kpi))).alias(t) for t in HOURS])
         return g.select("cell_id", "duplex", *[F.col(f"`{t}`").cast("string").alias(t) for t in HOURS])
     u = E.unpivot_hours({"traffic": sheet("total_traffic_gb"), "prb": sheet("dl_prb_util")},
                         "2024-01-02")
