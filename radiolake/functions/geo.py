@@ -189,32 +189,37 @@ def beam_length_m(height, tilt, shortest: float = 150.0, longest: float = 1500.0
 
 
 # ------------------------------------------------------------------- lattices
-def row_width_deg(row: Column, step_deg: float) -> Column:
-    """Longitude width of a lattice row whose cells are `step_deg` of latitude tall."""
-    low = row * F.lit(step_deg)
-    edge = F.greatest(F.abs(low), F.abs(low + F.lit(step_deg)))
-    return F.lit(step_deg) / F.greatest(F.cos(F.radians(edge)), F.lit(0.01))
+def _step_deg(metres) -> Column:
+    m = metres if isinstance(metres, Column) else F.lit(float(metres))
+    return m / F.lit(M_PER_DEG)
 
 
-def cell_key(lat, lon, metres: float) -> Column:
+def row_width_deg(row: Column, step: Column) -> Column:
+    """Longitude width of a lattice row whose cells are `step` degrees of latitude tall."""
+    low = row * step
+    edge = F.greatest(F.abs(low), F.abs(low + step))
+    return step / F.greatest(F.cos(F.radians(edge)), F.lit(0.01))
+
+
+def cell_key(lat, lon, metres) -> Column:
     """The lattice cell of a position: (row, column) of cells at least `metres` wide."""
-    step = metres / M_PER_DEG
-    row = F.floor(_c(lat) / F.lit(step)).cast("bigint")
+    step = _step_deg(metres)
+    row = F.floor(_c(lat) / step).cast("bigint")
     return F.struct(row.alias("iy"),
                     F.floor(_c(lon) / row_width_deg(row, step)).cast("bigint").alias("ix"))
 
 
-def keys_within(lat, lon, metres: float, margin: float = 1.0) -> Column:
+def keys_within(lat, lon, metres, margin: float = 1.0) -> Column:
     """Every lattice cell that can hold a position within `metres` of this one."""
-    step = metres / M_PER_DEG
+    step = _step_deg(metres)
     lat, lon = _c(lat), _c(lon)
-    row = F.floor(lat / F.lit(step)).cast("bigint")
-    reach = F.lit(step * margin) / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))
-    return F.flatten(F.transform(
-        F.sequence(row - 1, row + 1),
-        lambda y: F.transform(
-            F.sequence(F.floor((lon - reach) / row_width_deg(y, step)).cast("bigint"),
-                       F.floor((lon + reach) / row_width_deg(y, step)).cast("bigint")),
-            lambda x: F.struct(y.alias("iy"), x.alias("ix")))))
+    row = F.floor(lat / step).cast("bigint")
+    reach = step * margin / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))
 
+    def of_row(y: Column) -> Column:
+        width = row_width_deg(y, step)
+        return F.transform(F.sequence(F.floor((lon - reach) / width).cast("bigint"),
+                                      F.floor((lon + reach) / width).cast("bigint")),
+                           lambda x: F.struct(y.alias("iy"), x.alias("ix")))
 
+    return F.flatten(F.transform(F.sequence(row - 1, row + 1), of_row))

@@ -36,7 +36,7 @@ def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 def joined_set(value, sep: str = ", ") -> Column:
     """The distinct non-null values of a low-cardinality column, sorted and joined."""
-    return F.array_join(F.array_sort(F.collect_set(col(value))), sep)
+    return F.array_join(F.sort_array(F.collect_set(col(value))), sep)
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,

@@ -167,7 +167,7 @@ def _dominant(df: DataFrame, key: str, n: int) -> DataFrame:
     g = df.groupBy(key, "category").agg(F.count(F.lit(1)).alias("n"))
     item = F.struct((-F.col("n")).alias("m"), "category", "n")
     # a key has at most the dozen categories
-    s = g.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    s = g.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("c"))
     return s.select(key, F.element_at("c", 1)["category"].alias("dominant_category"),
                     F.array_join(F.transform(F.slice("c", 1, n), lambda x: F.concat(
                         x["category"], F.lit(":"), x["n"].cast("string"))), "; ")
@@ -180,7 +180,7 @@ def hotspots_by_site(findings: DataFrame, site_facts: DataFrame | None = None) -
     f = findings.filter(F.coalesce("site_id", F.lit("")) != "")
     g = f.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("tickets"),
-        F.array_join(F.array_sort(F.collect_set(F.col("sector").cast("string"))), ",")
+        F.array_join(F.sort_array(F.collect_set(F.col("sector").cast("string"))), ",")
         .alias("sectors_complained"),
         F.count_if(F.col("category").isin("far_coverage", "off_axis_azimuth")
                    & (F.col("loc_source") == "ticket")).alias("n_actions"),
@@ -196,7 +196,7 @@ def hotspots_by_area(findings: DataFrame) -> DataFrame:
         "", "nan", "none", "0"))
     per_site = f.groupBy("sub_district", "site_id").agg(F.count(F.lit(1)).alias("n"))
     top = top_n_by(per_site, ["sub_district"], [F.desc("n"), F.col("site_id")], 3, rank="r")
-    names = top.groupBy("sub_district").agg(F.array_join(F.transform(F.array_sort(
+    names = top.groupBy("sub_district").agg(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("r", "site_id"))), lambda x: x["site_id"]), ",")
         .alias("top_serving_sites"))
     sites = per_site.groupBy("sub_district").agg(F.count(F.lit(1)).alias("serving_sites"))

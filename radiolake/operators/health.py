@@ -252,7 +252,7 @@ def object_cells(hourly: DataFrame, params: DataFrame | None = None) -> DataFram
         d = d.withColumn("cell_id", F.lit(None).cast("string"))
     # the cells of one site are few: a site hosts tens of cells
     g = d.groupBy("tech", "object_id").agg(
-        F.array_sort(F.collect_list(F.struct("object", "cell_id"))).alias("c"))
+        F.sort_array(F.collect_list(F.struct("object", "cell_id"))).alias("c"))
     return g.select("tech", "object_id",
                     F.array_join(F.transform("c", lambda x: x["object"]), ", ").alias("cell_name"),
                     F.array_join(F.filter(F.transform("c", lambda x: x["cell_id"]),

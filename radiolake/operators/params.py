@@ -53,7 +53,7 @@ def params_to_sectors(params: DataFrame) -> DataFrame:
         med("latitude"), med("longitude"), med("azimuth_deg"), med("antenna_height_m"),
         med("total_tilt_deg"),
         first_by("cell_name", -F.col("bandwidth_mhz"), "cell_name").alias("cell_name"),
-        F.array_join(F.array_sort(F.collect_set("band")), ",").alias("bands"),
+        F.array_join(F.sort_array(F.collect_set("band")), ",").alias("bands"),
         F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -119,8 +119,8 @@ def attach_params(objects: DataFrame, params: DataFrame) -> DataFrame:
 def topology_tags(params: DataFrame, tag: str = "band") -> DataFrame:
     """The tags of every sector, the site's for a sector that has none of its own."""
     clean = F.when(clean_text(tag) != "", clean_text(tag))
-    own = params.groupBy("site_id", "sector_num").agg(F.array_sort(F.collect_set(clean)).alias("o"))
-    site = params.groupBy("site_id").agg(F.array_sort(F.collect_set(clean)).alias("s"))
+    own = params.groupBy("site_id", "sector_num").agg(F.sort_array(F.collect_set(clean)).alias("o"))
+    site = params.groupBy("site_id").agg(F.sort_array(F.collect_set(clean)).alias("s"))
     return own.join(site, "site_id").select(
         "site_id", "sector_num", F.when(F.size("o") > 0, F.col("o")).otherwise(F.col("s"))
         .alias("tags"))
@@ -200,7 +200,7 @@ def review_rows(reconciled: DataFrame) -> DataFrame:
 def groups_for_list(wanted: DataFrame, objects: DataFrame) -> DataFrame:
     """Every (site, sector) of a list with its live cells, or why it has none."""
     cells = objects.groupBy("site_id", "sector_num").agg(
-        F.array_sort(F.collect_set("object")).alias("cells"))
+        F.sort_array(F.collect_set("object")).alias("cells"))
     known = objects.select("site_id", F.lit(True).alias("_site")).distinct()
     j = wanted.join(cells, ["site_id", "sector_num"], "left").join(known, "site_id", "left")
     return j.select("site_id", "sector_num", "cells",
@@ -258,7 +258,7 @@ def audit_sites(site_ids: DataFrame, params: DataFrame, max_ret: float = 10.0,
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("elec").isNull()).alias("no_ret"),
         (F.max("tilt") - F.min("tilt")).alias("tilt_gap"), F.count("tilt").alias("n_tilt"),
         (F.max("power") - F.min("power")).alias("power_gap"), F.count("power").alias("n_power"),
-        F.array_sort(F.collect_set(F.pmod(F.bround("azimuth", 0), F.lit(360.0)))).alias("az"),
+        F.sort_array(F.collect_set(F.pmod(F.bround("azimuth", 0), F.lit(360.0)))).alias("az"),
         F.collect_list(F.struct("elec", "tilt", "max_ret")).alias("sectors"))
     reuse = p.filter(F.col("pci").isNotNull() & F.col("earfcn").isNotNull()).groupBy(
         "site_id", "band", "earfcn", "pci").agg(F.count(F.lit(1)).alias("k")).filter(
@@ -325,7 +325,7 @@ def audit_summary(site_ids: DataFrame, flags: DataFrame) -> DataFrame:
     """Per site: worst severity, flag count, likely causes worst first, and the leading flag."""
     item = F.struct((-severity_rank()).alias("r"), "code", "severity", "points_to")
     # a site has at most a few dozen flags: one per rule and sector
-    g = flags.groupBy("site_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
+    g = flags.groupBy("site_id").agg(F.sort_array(F.collect_list(item)).alias("f"))
     j = site_ids.select("site_id").distinct().join(g, "site_id", "left")
     first = F.when(F.size("f") > 0, F.element_at("f", 1))
     return j.select(

@@ -25,12 +25,12 @@ def object_sketch(df: DataFrame, file: str = "file", obj: str = "object",
     """Per file: the k smallest hashes of its object names."""
     h = df.select(file, F.substring(F.sha2(F.col(obj), 256), 1, 12).alias("h")).distinct()
     low = top_n_by(h, [file], [F.col("h")], k)
-    return low.groupBy(file).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    return low.groupBy(file).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
 def sketch_overlap(a, b, k: int = SKETCH) -> Column:
     """Share of two files' objects that are the same, from their sketches."""
-    u = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    u = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     both = F.size(F.filter(u, lambda x: F.array_contains(a, x) & F.array_contains(b, x)))
     return F.when(F.size(u) > 0, both / F.size(u)).otherwise(0.0)
 
@@ -41,7 +41,7 @@ def file_summary(df: DataFrame, kpis: DataFrame, file: str = "file") -> DataFram
         F.first("tech").alias("tech"), F.min("datetime").alias("start"),
         F.max("datetime").alias("end"))
     n = df.select(file, "object").distinct().groupBy(file).agg(F.count(F.lit(1)).alias("objects"))
-    k = kpis.groupBy(file).agg(F.array_sort(F.collect_set("kpi")).alias("kpis"))
+    k = kpis.groupBy(file).agg(F.sort_array(F.collect_set("kpi")).alias("kpis"))
     return g.join(n, file).join(k, file).join(object_sketch(df, file), file)
 
 
@@ -87,7 +87,7 @@ def value_bands(df: DataFrame, value: str, direction: str, warning: float,
     span = F.col("_b") - F.col("_a")
     step = F.when(span > 0, F.pow(F.lit(10.0), F.floor(F.log10(span / 10)))).otherwise(1.0)
     cut = lambda q: F.bround(F.col(q) / step, 0) * step
-    cuts = F.array_sort(F.array_distinct(F.filter(
+    cuts = F.sort_array(F.array_distinct(F.filter(
         F.array(cut("_q1"), cut("_q2")), lambda c: (c > F.col("_a")) & (c < F.col("_b")))))
     d = with_scalars(df, one.select(cuts.alias("_cuts")))
     n = F.size("_cuts")

@@ -307,7 +307,7 @@ def site_day_findings(hourly: DataFrame, technology: str = "UMTS", shown: int =
         F.col("lo") < F.col("threshold"))
     text = F.when(bad, F.concat(F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00")))
     g = j.groupBy("site_id", "day", "kpi", "value", "sev", "threshold").agg(
-        F.array_sort(F.collect_set(text)).alias("hrs"))
+        F.sort_array(F.collect_set(text)).alias("hrs"))
     more = F.size("hrs") - shown
     return g.select("site_id", "day", "kpi", "value", "sev", "threshold",
                     F.when(F.col("sev") == 2, "P1").otherwise("P3").alias("priority"),
@@ -339,7 +339,7 @@ def sibling_load(cells: DataFrame, kpi: str = "dl_prb_util") -> DataFrame:
     per_cell = cells.groupBy("site_id", "sector_id", "cell_id").agg(F.avg(kpi).alias("load"))
     return per_cell.groupBy("site_id", "sector_id").agg(
         F.count(F.lit(1)).alias("cells"), F.max("load").alias("top"), F.min("load").alias("low"),
-        F.array_sort(F.collect_list(F.struct("cell_id", "load"))).alias("siblings"))
+        F.sort_array(F.collect_list(F.struct("cell_id", "load"))).alias("siblings"))
 
 
 def rank_in(keys: Sequence[str], *order: Column) -> Column:

@@ -60,8 +60,8 @@ BASE_M = 125.0
 N_LEVELS = 11
 
 
-def _level_m(i: int) -> float:
-    return BASE_M * 2 ** i
+def _level_m(lv: Column) -> Column:
+    return F.lit(BASE_M) * F.pow(F.lit(2.0), lv)
 
 
 def _key(level: Column, cell: Column) -> Column:
@@ -84,17 +84,18 @@ def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str
     p = _pos(points, "p", p_cols)
     s = _pos(places, "s", [place_id]).withColumnRenamed(place_id, "_place")
 
-    def at_level(i: int) -> Column:
-        return F.transform(keys_within("s_lat", "s_lon", _level_m(i), 1.3),
-                           lambda c: _key(F.lit(i), c))
-
-    around = F.flatten(F.array(*[at_level(i) for i in range(top)]))
+    # every level's cells around a place, then the one cell of the top level
+    levels = s.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top))))
     zero = F.lit(0).cast("bigint")
+    cells = F.when(F.col("_lv") < top, keys_within("s_lat", "s_lon", _level_m(F.col("_lv")), 1.3)
+                   ).otherwise(F.array(F.struct(zero.alias("iy"), zero.alias("ix"))))
+    spread = levels.withColumn("_c", F.explode(cells)).select(
+        "_place", "s_lat", "s_lon", _key(F.col("_lv"), F.col("_c")).alias("_key"))
     whole = F.struct(F.lit(top).alias("lv"), zero.alias("iy"), zero.alias("ix"))
-    spread = s.withColumn("_key", F.explode(F.concat(around, F.array(whole))))
     counts = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") >= need).select("_key")
-    own = F.array(*[_key(F.lit(i), cell_key("p_lat", "p_lon", _level_m(i))) for i in range(top)])
+    own = F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda lv: _key(
+        lv, cell_key("p_lat", "p_lon", _level_m(lv))))
     p = p.withColumn("_own", own)
     # the first level is a property of the finest cell: decide it once per distinct cell
     fine = p.select("_own").distinct().withColumn("_key", F.explode("_own"))
@@ -227,7 +228,7 @@ def neighbour_sectors(points: DataFrame, point_id: str, sectors: DataFrame, serv
                     F.col("w.sector_id").alias("sector_id"), "site_id",
                     F.pmod(F.col("w.bearing_deg") + 180.0, F.lit(360.0)).alias("toward"))
     g = per_site.groupBy(point_id).agg(
-        F.array_sort(F.collect_list(cand)).alias("c"),
+        F.sort_array(F.collect_list(cand)).alias("c"),
         F.first("_srv_brg").alias("_srv_brg"), F.first("_srv_d").alias("_srv_d"))
     start = F.when(F.col("_srv_d") >= 1.0,
                    F.array(F.pmod(F.col("_srv_brg") + 180.0, F.lit(360.0)))).otherwise(
@@ -350,7 +351,7 @@ def site_regions(sites: DataFrame, polygons: DataFrame, names: DataFrame,
 def name_tokens(col) -> Column:
     text = F.trim(F.regexp_replace(F.lower(F.col(col) if isinstance(col, str) else col),
                                    "[^a-z0-9]+", " "))
-    return F.array_sort(F.array_distinct(F.split(text, " ")))
+    return F.sort_array(F.array_distinct(F.split(text, " ")))
 
 
 def geocode_area(names: DataFrame, name: str, geocode: DataFrame,
@@ -402,7 +403,7 @@ def merge_azimuths(sectors: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """Per site: its directions with those within the tolerance of the last kept one dropped,
     the wrap-around included."""
     g = sectors.filter(F.col("azimuth_deg").isNotNull()).groupBy("site_id").agg(
-        F.array_sort(F.collect_set(F.pmod(F.col("azimuth_deg"), F.lit(360.0)))).alias("a"))
+        F.sort_array(F.collect_set(F.pmod(F.col("azimuth_deg"), F.lit(360.0)))).alias("a"))
     kept = F.aggregate(
         "a", F.array().cast("array<double>"),
         lambda acc, x: F.when((F.size(acc) == 0) | (az_gap(F.element_at(acc, -1), x) > tolerance),

@@ -98,9 +98,9 @@ def ticket_checks(tickets: DataFrame, site_hours: DataFrame, window_h: float) ->
         F.count_if(inside).alias("hours"), F.count_if(inside & bad).alias("breach_hours"),
         F.max(F.when(inside, F.col("sev"))).alias("sev"),
         F.min_by(F.struct("v", "datetime", "object_id"), order).alias("w"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(inside, F.col("cells"))))))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(inside, F.col("cells"))))))
         .alias("cells"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(
             F.when(inside, F.col("bad_cells")))))).alias("bad_cells"),
         F.min(F.when(inside & bad, F.col("datetime"))).alias("breach_from"),
         F.max(F.when(inside & bad, F.col("datetime"))).alias("breach_to"),
@@ -272,7 +272,7 @@ def ticket_timeline(tickets: DataFrame, site_hours: DataFrame, window_h: float,
         plus_hours("lo", -before_h), plus_hours("hi", after_h))).alias("datetime"))
     worst = site_hours.groupBy("site_id", "datetime").agg(
         F.max("sev").alias("sev"),
-        F.array_sort(F.collect_set(F.when(F.col("sev") > 0, F.struct("sev", "label")))).alias("l"))
+        F.sort_array(F.collect_set(F.when(F.col("sev") > 0, F.struct("sev", "label")))).alias("l"))
     drivers = F.array_join(F.transform(F.filter("l", lambda x: x["sev"] == F.col("sev")),
                                        lambda x: x["label"]), ", ")
     h = worst.select("site_id", "datetime", "sev", drivers.alias("drivers"))

@@ -238,7 +238,7 @@ def _(spark, d):
 def ticket_table(t, c, hist, places):
     v = T.ticket_verdict(t, c, WINDOW_H)
     issues = c.filter(F.col("sev") > 0).groupBy("ticket_id").agg(
-        F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("kpi_issues"))
+        F.array_join(F.sort_array(F.collect_set("label")), ", ").alias("kpi_issues"))
     per_site = t.groupBy("site_id").agg(F.count(F.lit(1)).alias("site_tickets"))
     j = (v.join(hist.select("ticket_id", "type", "state"), "ticket_id")
          .join(places.select("site_id", "sup_district"), "site_id", "left")
