@@ -49,14 +49,19 @@ def newer_copies(summary: DataFrame, file: str = "file") -> DataFrame:
     """Pairs (old, new) where new is a newer copy: same technology, every KPI of old, nearly
     all its cells, at least half its hours, and nothing older.
 
-    Files pair up on technology and on a sketch hash they share, so unrelated files never meet.
+    A newer copy reaches past the old file's last hour and holds the second half of it, so the
+    two meet on the old file's last day, their technology and a sketch hash they share;
+    unrelated files and other days never meet.
     """
     cols = ("start", "end", "objects", "kpis", "sketch")
-    side = lambda p: summary.select(
+    day = lambda c: F.col(c).cast("date")
+    side = lambda p, days: summary.select(
         F.col(file).alias(p), "tech", *[F.col(c).alias(f"{p}_{c}") for c in cols],
-        F.explode("sketch").alias("_h"))
-    pairs = side("old").join(side("new"), ["tech", "_h"]).filter(
-        F.col("old") != F.col("new")).drop("_h").dropDuplicates(["old", "new"])
+        days.alias("_d")).withColumn("_h", F.explode(f"{p}_sketch"))
+    old = side("old", day("end"))
+    new = side("new", F.explode(F.sequence(day("start"), day("end"))))
+    pairs = old.join(new, ["tech", "_d", "_h"]).filter(
+        F.col("old") != F.col("new")).drop("_h", "_d").dropDuplicates(["old", "new"])
     hours = lambda a, b: (epoch_seconds(b) - epoch_seconds(a)) / 3600.0 + 1
     span = hours("old_start", "old_end")
     shared = hours(F.greatest("old_start", "new_start"), F.least("old_end", "new_end"))

@@ -358,14 +358,30 @@ def geocode_area(names: DataFrame, name: str, geocode: DataFrame,
                  floor: float = 0.6) -> DataFrame:
     """Distinct area names with the gazetteer entry of equal text, else the best token overlap.
 
-    Candidates share at least one token (an equi join on tokens), so nothing is compared
-    with everything. Returns (name, subdistrict, score).
+    Names meet on equal tokens, and only on the rarest ones of each: two token sets as alike
+    as the floor asks share one of their first n - ceil(floor x n) + 1 tokens in order of
+    rarity. A word that half the names hold therefore joins nothing by itself.
+    Returns (name, subdistrict, score).
     """
     n = names.select(F.col(name).alias("_name")).filter(F.col("_name").isNotNull()).distinct()
     n = n.withColumn("_tok", name_tokens("_name"))
     g = geocode.select("subdistrict").distinct().withColumn("_gtok", name_tokens("subdistrict"))
-    a = n.withColumn("_t", F.explode("_tok")).filter(F.col("_t") != "")
-    b = g.withColumn("_t", F.explode("_gtok")).filter(F.col("_t") != "")
+    each = lambda df, key, tok: df.withColumn("_t", F.explode(tok)).filter(
+        F.col("_t") != "")
+    gt, nt = each(g, "subdistrict", "_gtok"), each(n, "_name", "_tok")
+    seen = gt.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+
+    def rare(df: DataFrame, key: str, tok: str) -> DataFrame:
+        r = df.join(seen, "_t").withColumn("_r", F.row_number().over(
+            W.partitionBy(key).orderBy("_df", "_t")))
+        size = F.size(tok)
+        # tokens the gazetteer lacks are the rarest of all: they come first in the order
+        absent = size - F.count(F.lit(1)).over(W.partitionBy(key))
+        r = r.withColumn("_absent", absent)
+        return r.filter(F.col("_r") + F.col("_absent") <= size - F.ceil(size * floor) + 1).drop(
+            "_df", "_r", "_absent")
+
+    a, b = rare(nt, "_name", "_tok"), rare(gt, "subdistrict", "_gtok")
     pairs = a.join(b, "_t").groupBy("_name", "subdistrict").agg(
         F.first("_tok").alias("_tok"), F.first("_gtok").alias("_gtok"))
     score = F.size(F.array_intersect("_tok", "_gtok")) / F.size(F.array_union("_tok", "_gtok"))

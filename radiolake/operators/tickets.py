@@ -53,13 +53,12 @@ def windows_of(tickets: DataFrame, hours: float) -> DataFrame:
 
 def ticket_window(tickets: DataFrame, kpi: DataFrame, hours: float) -> DataFrame:
     """KPI rows of the ticket's site inside its window: an equi join on (site, hour)."""
-    w = windows_of(tickets, hours).select("ticket_id", "site_id", F.explode(
-        hours_between(F.col("lo"), F.col("hi"))).alias("_h"))
-    k = kpi.withColumn("_h", hour_floor("datetime"))
     # the KPI row's own minute still counts against the unrounded upper bound
-    end = windows_of(tickets, hours).select(
-        "ticket_id", window_bounds("problem_time", hours)[1].alias("_end"))
-    j = w.join(k, ["site_id", "_h"]).join(end, "ticket_id")
+    w = windows_of(tickets, hours).select(
+        "ticket_id", "site_id", window_bounds("problem_time", hours)[1].alias("_end"),
+        F.explode(hours_between(F.col("lo"), F.col("hi"))).alias("_h"))
+    k = kpi.withColumn("_h", hour_floor("datetime"))
+    j = w.join(k, ["site_id", "_h"])
     return j.filter(F.col("datetime") <= F.col("_end")).drop("_h", "_end")
 
 

@@ -93,9 +93,9 @@ def _(spark, d):
     h = A.hourly(spark, d).filter(F.col("datetime").cast("date") == F.lit("2024-01-02").cast("date"))
 
     def sheet(kpi):
-        g = h.withColumn("_h", stamp("datetime", "HH:mm")).groupBy(
+        g = h.withColumn("_h", F.hour("datetime")).groupBy(
             F.col("object").alias("cell_id"), "duplex").agg(
-            *[F.max(F.when(F.col("_h") == t, F.col(kpi))).alias(t) for t in HOURS])
+            *[F.max(F.when(F.col("_h") == i, F.col(kpi))).alias(t) for i, t in enumerate(HOURS)])
         return g.select("cell_id", "duplex", *[F.col(f"`{t}`").cast("string").alias(t) for t in HOURS])
     u = E.unpivot_hours({"traffic": sheet("total_traffic_gb"), "prb": sheet("dl_prb_util")},
                         "2024-01-02")
@@ -325,6 +325,16 @@ def _(spark, d):
     return E.describe_input(A.hourly(spark, d))
 
 
+@query("s15_parsed_sink", with_ctes("""
+SELECT object, datetime, round(dl_prb_util, 6) AS dl_prb_util FROM f3
+WHERE datetime >= TIMESTAMP '2024-01-10' AND datetime < TIMESTAMP '2024-01-12'"""))
+def _(spark, d):
+    kept = K.keep_parsed(A.hourly(spark, d), "hourly")
+    days = kept.filter((F.col("date") >= F.lit("2024-01-10").cast("date"))
+                       & (F.col("date") < F.lit("2024-01-12").cast("date")))
+    return r6(days.select("object", "datetime", "dl_prb_util"), "dl_prb_util")
+
+
 @query("s16_geojson_lines", with_ctes("""
 SELECT sector_id, 'Feature' AS kind, 15 AS points FROM sectors"""))
 def _(spark, d):

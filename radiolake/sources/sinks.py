@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +46,16 @@ def write_geojson(df: DataFrame, path: str, ring: str | None = "ring",
                   mode: str = "overwrite") -> None:
     lines = geojson_lines(df, ring) if ring else geojson_points(df)
     lines.write.mode(mode).text(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches, as the cluster names it; a local one only in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="radiolake-")
+
+
+def keep_parsed(df: DataFrame, name: str) -> DataFrame:
+    """The parsed frame written once and read back: later steps start from Parquet."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_hourly(df, path)
+    return df.sparkSession.read.parquet(path)

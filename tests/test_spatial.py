@@ -100,3 +100,14 @@ def test_missing_positions_are_not_far_away(spark):
     p = spark.createDataFrame([("a", 30.0, 47.0, "On Air")], one + ", status string")
     r = P.reconcile_sites(d, t, p).collect()[0]
     assert r["status"] == "On Air" and r["review"] == []
+
+
+def test_area_names_by_equal_text_then_by_tokens(spark):
+    geo = spark.createDataFrame([("Al Zubair Center",), ("Al Faw",), ("Abu Khaseeb North Side",)],
+                                "subdistrict string")
+    names = spark.createDataFrame([("al-zubair CENTER",), ("Abu Khaseeb North",), ("Al Other",),
+                                   ("Faw",), (None,)], "area string")
+    got = {r["area"]: (r["subdistrict"], round(r["score"], 3))
+           for r in S.geocode_area(names, "area", geo).collect()}
+    assert got == {"al-zubair CENTER": ("Al Zubair Center", 1.0),
+                   "Abu Khaseeb North": ("Abu Khaseeb North Side", 0.75)}
