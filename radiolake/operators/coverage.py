@@ -17,26 +17,30 @@ BLOCK = 512
 MAX_LEVELS = 8
 
 
-def _step(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Median gap between neighbouring distinct coordinates, as one row.
+def _steps(df: DataFrame) -> DataFrame:
+    """Median gap between neighbouring distinct coordinates of both axes, as one row.
 
-    Gaps that count are under 0.01 degree, so neighbours lie in one hundredth-degree strip or
-    in the next: no strip holds more than ten thousand distinct coordinates.
+    Gaps that count are under 0.01 degree, so a coordinate's neighbour below lies in its own
+    hundredth-degree strip or in the one before: every coordinate enters both strips, and no
+    strip holds more than twenty thousand.
     """
-    v = df.select(F.round(col, 6).alias("v")).distinct().withColumn(
-        "strip", F.floor(F.col("v") / 0.01).cast("bigint"))
-    inner = v.withColumn("gap", F.col("v") - F.lag("v").over(
-        W.partitionBy("strip").orderBy("v"))).select("gap")
-    ends = v.groupBy("strip").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    prev = ends.select((F.col("strip") + 1).alias("strip"), F.col("hi").alias("before"))
-    edge = ends.join(prev, "strip").select((F.col("lo") - F.col("before")).alias("gap"))
-    gaps = inner.unionByName(edge).filter((F.col("gap") > 1e-5) & (F.col("gap") < 0.01))
+    axes = F.array(F.struct(F.lit("lat").alias("axis"), F.round("lat", 6).alias("v")),
+                   F.struct(F.lit("lon").alias("axis"), F.round("lon", 6).alias("v")))
+    v = df.select(F.explode(axes).alias("x")).select("x.*").distinct()
+    own = F.floor(F.col("v") / 0.01).cast("bigint")
+    v = v.withColumn("own", own).withColumn(
+        "strip", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    w = W.partitionBy("axis", "strip").orderBy("v")
+    gap = v.withColumn("gap", F.col("v") - F.lag("v").over(w)).filter(
+        (F.col("strip") == F.col("own")) & (F.col("gap") > 1e-5) & (F.col("gap") < 0.01))
     # gaps are multiples of 1e-6 below 0.01: at most ten thousand distinct values are left
-    sizes = gaps.groupBy(F.round("gap", 9).alias("gap")).agg(F.count(F.lit(1)).alias("n"))
-    m = sizes.agg(F.percentile("gap", F.lit(0.5), F.col("n")).alias(out))
-    ok = F.col(out).between(0.0001, 0.01)
-    return m.agg(F.max(F.when(ok, F.col(out))).alias(out)).select(
-        F.coalesce(out, F.lit(DEFAULT_STEP)).alias(out))
+    sizes = gap.groupBy("axis", F.round("gap", 9).alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+
+    def step(axis: str) -> Column:
+        m = F.percentile(F.when(F.col("axis") == axis, F.col("gap")), F.lit(0.5), F.col("n"))
+        return F.when(m.between(0.0001, 0.01), m).otherwise(DEFAULT_STEP)
+
+    return sizes.agg(step("lat").alias("step_lat"), step("lon").alias("step_lon"))
 
 
 def _origin(v: str, step: str, out: str) -> tuple[list[Column], Column]:
@@ -51,8 +55,7 @@ def _origin(v: str, step: str, out: str) -> tuple[list[Column], Column]:
 
 def grid_spec(df: DataFrame) -> DataFrame:
     """One row: step and lattice origin of a coverage export in both directions."""
-    steps = with_scalars(_step(df, "lat", "step_lat"), _step(df, "lon", "step_lon"))
-    d = with_scalars(df.select("lat", "lon"), steps)
+    d = with_scalars(df.select("lat", "lon"), _steps(df))
     a_lat, o_lat = _origin("lat", "step_lat", "lat0")
     a_lon, o_lon = _origin("lon", "step_lon", "lon0")
     g = d.agg(*a_lat, *a_lon, F.max("step_lat").alias("step_lat"),

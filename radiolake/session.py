@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # building a plan of many columns is much faster without a stack trace per column
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
