@@ -590,17 +590,30 @@ def _(spark, d):
     return Z.sleep_counts(verdicts(spark, d), "verdict")
 
 
-@query("c18_verdict_text", with_ctes("""
+def _num(c, unit, dec=1):
+    return f"coalesce(format('{{:,.{dec}f}}', {c}) || '{unit}', 'N/A')"
+
+
+def _pair(name, unit, dec=1):
+    return (f"'a maximum of ' || {_num(name + '_max', unit, dec)} || ' and an average of ' || "
+            f"{_num(name + '_avg', unit)}")
+
+
+@query("c18_verdict_text", with_ctes(f"""
 SELECT ticket_id, CASE verdict WHEN 'Not Technical' THEN 'Not Technical: ' || comment ELSE
     'The serving sector is ' || coalesce(serving, 'N/A') || ', with a distance of ' || CASE WHEN dist_m IS NULL THEN 'N/A'
-      WHEN dist_m >= 1000 THEN printf('%.2f km', dist_m / 1000) ELSE printf('%.0f m', dist_m) END
-    || ' from the user location. The ' || CASE WHEN verdict = 'Not Checked' THEN 'weak coverage could not be verified from the loaded data.'
-      ELSE 'area ' || CASE verdict WHEN 'Solve' THEN 'is no longer' ELSE 'is still' END
-      || ' experiencing weak coverage, with an RSRP of ' || CASE WHEN rsrp IS NULL THEN 'N/A' ELSE printf('%.1f dBm', rsrp) END
-      || '.' END END AS description FROM zverdict WHERE "check" IN ('not_technical', 'coverage')"""))
+      WHEN dist_m >= 1000 THEN {_num('dist_m / 1000', ' km', 2)} ELSE {_num('dist_m', ' m', 0)} END
+    || ' from the user location. The ' || CASE WHEN verdict = 'Not Checked' THEN words ||
+      ' could not be verified from the loaded data.' WHEN "check" = 'coverage' THEN 'area ' || phrase ||
+      ' experiencing weak coverage, with an RSRP of ' || {_num('rsrp', ' dBm')} || '.'
+    ELSE 'sector ' || phrase || ' experiencing ' || words || ', with ' || CASE "check"
+      WHEN 'utilization' THEN {_pair('prb', '%')} WHEN 'flow_control' THEN {_pair('flow', '', 0)}
+      ELSE {_pair('rssi', ' dBm')} END || '. The RSRP is ' || {_num('rsrp', ' dBm')} || '.' END END AS description
+FROM (SELECT *, CASE verdict WHEN 'Solve' THEN 'is no longer' ELSE 'is still' END AS phrase, CASE "check"
+    WHEN 'utilization' THEN 'high PRB utilization' WHEN 'flow_control' THEN 'Flow Control issues' WHEN 'interference'
+    THEN 'interference' ELSE 'weak coverage' END AS words FROM zverdict)"""))
 def _(spark, d):
-    v = verdicts(spark, d).filter(F.col("check").isin("not_technical", "coverage"))
-    return Z.describe_verdict(v).select("ticket_id", "description")
+    return Z.describe_verdict(verdicts(spark, d)).select("ticket_id", "description")
 
 
 @query("j22_compare_sectors", with_ctes(f"""

@@ -525,18 +525,18 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------ name geocode
-@query("j16_geocode_area", """
-WITH g AS (SELECT DISTINCT p_name AS subdistrict,
-    list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '))) AS tok
-  FROM part WHERE p_partkey % 7 = 0),
-n AS (SELECT DISTINCT p_type AS name,
-    list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' '))) AS tok
+TOKENS_SQL = ("list_sort(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), "
+              "' ')))")
+
+
+@query("j16_geocode_area", f"""
+WITH g AS (SELECT DISTINCT p_name AS subdistrict, {TOKENS_SQL.format('p_name')} AS tok FROM part),
+n AS (SELECT DISTINCT p_name || ' / ' || p_type AS name, {TOKENS_SQL.format("p_name || ' / ' || p_type")} AS tok
   FROM part)
 SELECT name, first(subdistrict ORDER BY s DESC, subdistrict) AS subdistrict, round(max(s), 6) AS score
 FROM (SELECT name, subdistrict, len(list_intersect(n.tok, g.tok))::DOUBLE
-        / len(list_distinct(list_concat(n.tok, g.tok))) AS s FROM n, g) WHERE s >= 0.1 GROUP BY 1""")
+        / len(list_distinct(list_concat(n.tok, g.tok))) AS s FROM n, g) WHERE s >= 0.6 GROUP BY 1""")
 def _(spark, d):
-    part = A.table(spark, d, "part")
-    g = part.filter(F.col("p_partkey") % 7 == 0).select(F.col("p_name").alias("subdistrict"))
-    out = S.geocode_area(part, "p_type", g, floor=0.1)
-    return r6(out.withColumnRenamed("p_type", "name"), "score")
+    part = A.table(spark, d, "part").withColumn("name", F.concat_ws(" / ", "p_name", "p_type"))
+    out = S.geocode_area(part, "name", part.select(F.col("p_name").alias("subdistrict")))
+    return r6(out, "score")

@@ -172,9 +172,11 @@ def unpivot_hours(sheets: dict[str, DataFrame], day: str) -> DataFrame:
     parts = None
     for kpi, df in sheets.items():
         hours = [c for c in df.columns if ":" in c]
-        long = df.unpivot(["cell_id", "duplex"], hours, "_h", "_v").select(
-            "cell_id", "duplex", local_time(F.concat(F.lit(day + " "), F.col("_h")))
-            .alias("datetime"), F.lit(kpi).alias("kpi"), clean_number("_v").alias("_v"))
+        cells = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"`{h}`").cast("string").alias("v"))
+                          for h in hours])
+        long = df.select("cell_id", "duplex", F.explode(cells).alias("x")).select(
+            "cell_id", "duplex", local_time(F.concat(F.lit(day + " "), F.col("x.h")))
+            .alias("datetime"), F.lit(kpi).alias("kpi"), clean_number("x.v").alias("_v"))
         parts = long if parts is None else parts.unionByName(long)
     return parts.groupBy("cell_id", "duplex", "datetime").agg(
         *[F.max(F.when(F.col("kpi") == k, F.col("_v"))).alias(k) for k in sheets])
