@@ -33,12 +33,16 @@ def plus_hours(col, hours) -> Column:
 
 
 def local_time(col) -> Column:
-    """Export times carry a trailing Z although the digits are local: drop it."""
+    """Export times carry a trailing Z although the digits are local: drop it.
+
+    Year-first and day-first dates, with or without seconds, are put in one form and parsed
+    once as a time without a zone.
+    """
     text = F.regexp_replace(F.trim(_c(col).cast("string")), "[zZ]$", "")
-    return F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), *[
-        F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
-        for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss",
-                  "yyyy/MM/dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")])
+    text = F.regexp_replace(text, r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})", "$3-$2-$1")
+    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\S+[ T]\d{1,2}:\d{1,2})$", "$1:00")
+    return text.try_cast("timestamp_ntz")
 
 
 def in_period(col, first_day, last_day) -> Column:

@@ -34,11 +34,6 @@ def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return out if rank else out.drop(name)
 
 
-def joined_set(value, sep: str = ", ") -> Column:
-    """The distinct non-null values of a low-cardinality column, sorted and joined."""
-    return F.array_join(F.sort_array(F.collect_set(col(value))), sep)
-
-
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
                    out: str = "q") -> DataFrame:
     """Exact linear-interpolated quantile per key (or over all rows), safe for a hot key.

@@ -95,7 +95,7 @@ def overshooting(r: Row) -> Column:
     share = r.bad("pct_ta_gt_threshold")
     beam = yes(r.real & (r.v("edge_m") > 1.4 * isd))
     late = yes(r.v("inter_freq_ho_sr") < 92)
-    score = total([F.when(long_real, 0.35 + F.least(F.lit(0.25), (ta / isd - 1.25) * 0.2))
+    score = total([F.when(long_real, 0.35 + F.least(F.lit(0.25), (F.try_divide(ta, isd) - 1.25) * 0.2))
                    .otherwise(0.0), pts(long_abs, 0.3), pts(share, 0.25), pts(beam, 0.3),
                    pts(far, 0.15), pts(late, 0.1)])
     hard = long_real | long_abs | share | beam

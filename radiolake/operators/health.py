@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.times import day_floor, epoch_seconds
 from radiolake.kpis import severity
-from radiolake.operators.common import first_by, joined_set, with_scalars
+from radiolake.operators.common import first_by, with_scalars
 
 TDD = "CELL_TDD"
 STATES = {2: "Critical", 1: "Warning", 0: "Normal", -1: "No data"}
@@ -106,14 +106,14 @@ def site_status(objects: DataFrame, sites: DataFrame | None = None,
     order = [-F.col("sev"), ~F.col("is_main"), F.col("label"), F.col("object_id")]
     per_object = objects.groupBy(*keys, "object_id").agg(
         F.count_if(bad).alias("issues"), F.max(bad).alias("bad"),
+        F.sort_array(F.collect_set(F.when(bad, F.col("label")))).alias("labels"),
         first_by(["sev", "is_main", "label", "object_id"], *order).alias("w"))
-    labels = (objects.filter(bad).select(*keys, "label").distinct().groupBy(*keys)
-              .agg(joined_set("label").alias("bad_kpis")))
+    # a site has few distinct sets of breached KPIs: their union is a short list
+    names = F.sort_array(F.array_distinct(F.flatten(F.collect_set("labels"))))
     g = per_object.groupBy(*keys).agg(
         F.sum("issues").alias("issues"), F.count(F.lit(1)).alias("cells"),
-        F.count_if("bad").alias("cells_issue"),
+        F.count_if("bad").alias("cells_issue"), F.array_join(names, ", ").alias("bad_kpis"),
         first_by("w", -F.col("w.sev"), ~F.col("w.is_main"), "w.label", "w.object_id").alias("w"))
-    g = g.join(labels, keys, "left")
     if sites is not None:
         g = sites.select("site_id").distinct().join(g, "site_id", "left")
     sev = F.coalesce(F.col("w.sev"), F.lit(-1))
