@@ -42,20 +42,10 @@ def period_bucket(col: str, period: str) -> Column:
     return day_floor(col)
 
 
-def _fallback_weight(df: DataFrame, wanted: str | None) -> Column | None:
-    """The weight column of a KPI: its own if the frame has it, else the first traffic column.
-
-    Whether a column carries anything at all is a property of the whole frame; it is decided
-    by one window-free total per candidate, joined in as a single row by `aggregate`.
-    """
-    names = ([wanted] if wanted and wanted in df.columns else []) + [
-        c for c in WEIGHT_FALLBACK if c in df.columns]
-    if not names:
-        return None
-    out = F.lit(1.0)
-    for n in reversed(names):
-        out = F.when(F.col(f"_has_{n}"), F.col(n)).otherwise(out)
-    return out
+def _weights_of(columns: Sequence[str], wanted: str | None) -> list[str]:
+    """The weight columns of a KPI in order: its own if the frame has it, then the traffic ones."""
+    own = [wanted] if wanted and wanted in columns else []
+    return own + [c for c in WEIGHT_FALLBACK if c in columns and c not in own]
 
 
 def aggregate(df: DataFrame, level: str = "cell", period: str = "day",
@@ -67,24 +57,35 @@ def aggregate(df: DataFrame, level: str = "cell", period: str = "day",
         work = work.withColumn("datetime", period_bucket("datetime", period))
         keys = [*keys, "datetime"]
     rows = [r for r in catalogue_rows(technology) if r["kpi"] in df.columns]
-    weights = sorted({w for r in rows if r["aggregate"] == "weighted"
-                      for w in ([r["weight_kpi"]] if r["weight_kpi"] in df.columns else [])
-                      + [c for c in WEIGHT_FALLBACK if c in df.columns]})
-    if weights:
-        has = df.agg(*[(F.coalesce(F.sum(w), F.lit(0.0)) > 0).alias(f"_has_{w}")
-                       for w in weights])
-        work = with_scalars(work, has)
+    weighted = {r["kpi"]: _weights_of(df.columns, r["weight_kpi"]) for r in rows
+                if r["aggregate"] == "weighted"}
+    weights = sorted({w for ws in weighted.values() for w in ws})
+    clip = lambda w: F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.0))
     aggs = []
+    for w in weights:
+        aggs += [F.sum(w).alias(f"_total_{w}"), F.sum(clip(w)).alias(f"_den_{w}")]
     for r in rows:
         k, how = r["kpi"], r["aggregate"]
-        if how == "weighted":
-            w = _fallback_weight(df, r["weight_kpi"])
-            expr = F.avg(k) if w is None else weighted_mean(k, w)
-        else:
-            expr = {"sum": F.sum, "max": F.max, "min": F.min}.get(how, F.avg)(k)
-        aggs.append(expr.alias(k))
+        fn = {"sum": F.sum, "max": F.max, "min": F.min}.get(how, F.avg)
+        aggs += [F.sum(F.col(k) * clip(w)).alias(f"_num_{k}_{w}") for w in weighted.get(k, ())]
+        aggs.append(fn(k).alias(k))
     out = work.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("n_rows"))
-    return fill_call_setup(out)
+    if weights:
+        # whether a weight carries anything is a property of the whole frame: it is read off
+        # the rolled-up rows, whose shuffle both uses share
+        out = with_scalars(out, out.agg(*[
+            (F.coalesce(F.sum(f"_total_{w}"), F.lit(0.0)) > 0).alias(f"_has_{w}")
+            for w in weights]))
+
+    def value(k: str) -> Column:
+        expr = F.col(k)
+        for w in reversed(weighted.get(k, ())):
+            den = F.col(f"_den_{w}")
+            mean = F.coalesce(F.col(f"_num_{k}_{w}") / F.when(den != 0, den), F.col(k))
+            expr = F.when(F.col(f"_has_{w}"), mean).otherwise(expr)
+        return expr.alias(k)
+
+    return fill_call_setup(out.select(*keys, *[value(r["kpi"]) for r in rows], "n_rows"))
 
 
 def fill_call_setup(df: DataFrame) -> DataFrame:
