@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import decontaminate, langid, packing, simhash, tokenstore, toxicity
+from radiolake.llm import (decontaminate, html_wrappers, langid, licences, neighbours, packing,
+                           simhash, tokenstore, toxicity, warc)
 from radiolake.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_collision_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_licence_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_paragraphs",
+        F.size("licences").cast("long").alias("n_named"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))),
+                     ",").alias("families"))
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.spans_of(table(spark, sf_dir, "documents"),
@@ -52,6 +70,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "bits_per_byte")
 
 
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_text(table(spark, sf_dir, "pages")).withColumnRenamed(
+        "id", "page_id")
+
+
+@query("op6_warc_revisits")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op7_token_store")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents"),
