@@ -8,10 +8,11 @@ word once, together with others, and keeps the ids of words; every other text is
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 
-MEMO = 700_000    # words whose ids a task keeps; when full it starts anew
+MEMO = 1_500_000  # words whose ids a task keeps (some 350 MB); when full it starts anew
 TOGETHER = 2_000  # new words of one call to the library
 ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the tokenizer
 
@@ -29,6 +30,7 @@ class WordIds:
         self.caseless = code("A", add_special_tokens=False).ids == code(
             "a", add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -37,8 +39,26 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. A word stands for itself behind a space, or behind its line end.
 
-        Words are told apart in one call by a special token between them, which none holds.
+        Tokenizers part letters from the punctuation behind them, so of such a word only the
+        letters are encoded, once for all endings.
         """
+        endings, plain = [], []
+        for w in words:
+            base = w.rstrip(string.punctuation)
+            if len(base) < len(w) and base.isalpha():
+                endings.append((w, base))
+            else:
+                plain.append(w)
+        bases = {b for _, b in endings}.difference(self.memo, plain)
+        self._encode(plain + list(bases))
+        for w, base in endings:
+            end = w[len(base):]
+            if end not in self.ends:
+                self.ends[end] = self.whole(end)
+            self.memo[w] = self.memo[base] + self.ends[end]
+
+    def _encode(self, words: list[str]) -> None:
+        """Words are told apart in one call by a special token between them, which none holds."""
         groups = [words[at:at + TOGETHER] for at in range(0, len(words), TOGETHER)]
         mark = self.special[0]
         rows = [mark + mark.join([w if w[0] == "\n" else " " + w for w in g]) for g in groups]
@@ -55,8 +75,11 @@ class WordIds:
         """The words, with the line end before them; None if they stand otherwise apart."""
         if self.caseless and text.isascii():
             text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        if words != text.split() or not words or any(c in text for c in ODD):
+        line = text.replace("\n", " ")
+        words = line.split(" ")
+        # printable text has no white space but blanks
+        if "" in words or not line.isprintable() and (
+                words != line.split() or any(c in text for c in ODD)):
             return None
         if any(s in text for s in self.special):
             return None
@@ -66,6 +89,7 @@ class WordIds:
         parts = [self._words(t) for t in rows]
         if len(self.memo) > MEMO:
             self.memo.clear()
+            self.ends.clear()
         # the first word has no space before it, so it is encoded as it is
         first = self.tokenizer.encode_batch([w[0] for w in parts if w], add_special_tokens=False)
         first = iter(first)
