@@ -19,7 +19,7 @@ from radiolake.functions.times import epoch_seconds
 from radiolake.kpis import agg_how
 from radiolake.operators.common import first_by
 
-MAX_POINTS = 180
+MAX_POINTS = 180  # of a series that is shown, not of one that is judged
 STABLE_PCT = 3.0
 SPIKE_SCALES, SPIKE_MIN_HOURS, SPIKE_FLAT = 6.0, 6, 0.01
 MAD = 1.4826
@@ -48,6 +48,41 @@ def rolling_median(df: DataFrame, keys: Sequence[str], value: str, rows: int, le
     return df.withColumn(out, F.when(F.count(value).over(w) >= least, median_of(value, w)))
 
 
+def median_slope(t: np.ndarray, y: np.ndarray) -> float:
+    """Exact median of the slopes of all pairs with different t; 0 if there is none.
+
+    A sample of the slopes brackets the median, one pass counts the slopes below the bracket and
+    keeps those inside; a bracket that misses is widened. Slopes exist for one point at a time, so
+    memory follows the length of the series.
+    """
+    order = np.argsort(t, kind="stable")
+    t, y = t[order], y[order]
+    later = np.searchsorted(t, t, side="right")
+    pairs = int((len(t) - later).sum())
+    if not pairs:
+        return 0.0
+    rng = np.random.default_rng(len(t))
+    i, j = rng.integers(len(t), size=(2, 8 * len(t)))
+    i, j = i[t[i] != t[j]], j[t[i] != t[j]]
+    sample = np.sort((y[j] - y[i]) / (t[j] - t[i]))
+    wide = 4
+    low, high = (pairs - 1) // 2, pairs // 2
+    while True:
+        reach = int(wide * np.sqrt(len(sample))) + 1
+        a, b = len(sample) // 2 - reach, len(sample) // 2 + reach
+        lo = sample[a] if a >= 0 else -np.inf
+        hi = sample[b] if b < len(sample) else np.inf
+        below, inside = 0, []
+        for k in range(len(t)):
+            slope = (y[later[k]:] - y[k]) / (t[later[k]:] - t[k])
+            below += int((slope < lo).sum())
+            inside.append(slope[(slope >= lo) & (slope <= hi)])
+        inside = np.sort(np.concatenate(inside))
+        if below <= low and high < below + len(inside):
+            return float((inside[low - below] + inside[high - below]) / 2)
+        wide *= 4
+
+
 def _robust_line(t: pd.Series, y: pd.Series) -> pd.DataFrame:
     """Median of the pairwise slopes, and the line through the medians, per row of two arrays."""
     out = []
@@ -55,30 +90,25 @@ def _robust_line(t: pd.Series, y: pd.Series) -> pd.DataFrame:
         if len(ts) < 3:
             out.append((0.0, float(ys.mean()) if len(ys) else None))
             continue
-        dt = ts[None, :] - ts[:, None]
-        dy = ys[None, :] - ys[:, None]
-        later = dt > 0
-        slope = float(np.median(dy[later] / dt[later])) if later.any() else 0.0
+        slope = median_slope(ts, ys)
         out.append((slope, float(np.median(ys) - slope * np.median(ts))))
     return pd.DataFrame(out, columns=["slope", "intercept"])
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], t: str = "datetime",
               y: str = "value") -> DataFrame:
-    """Robust line per series: median of the pairwise slopes (per day) and its intercept at
-    the first point.
+    """Robust line per series: median of the slopes of all pairs of points (per day) and its
+    intercept at the first point.
 
-    A decimated series is one row of two arrays of at most 180 numbers; the 16,110 slopes it
-    can have exist only inside a vectorised step (nested array functions took 300 times as
-    long per series).
+    A series is one row of two arrays, as long as the hours of the period; its slopes exist
+    only inside a vectorised step, one point's at a time.
     """
     d = df.filter(F.col(y).isNotNull())
-    first = F.min(epoch_seconds(t)).over(W.partitionBy(*keys))
-    d = d.withColumn("_t", (epoch_seconds(t) - first) / 86400.0)
-    d = decimate(d.select(*keys, t, "_t", F.col(y).cast("double").alias("_y")), keys, t)
-    g = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_y"))).alias("p"))
+    g = d.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct(epoch_seconds(t).alias("_s"), F.col(y).cast("double").alias("_y")))).alias("p"))
+    days = F.transform("p._s", lambda s: (s - F.col("p")[0]["_s"]) / 86400.0)
     fit = F.pandas_udf(_robust_line, "slope double, intercept double")
-    g = g.withColumn("w", fit(F.col("p._t"), F.col("p._y")))
+    g = g.withColumn("w", fit(days, F.col("p._y")))
     return g.select(*keys, F.col("w.slope").alias("slope_per_day"),
                     F.col("w.intercept").alias("intercept"))
 

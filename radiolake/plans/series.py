@@ -32,8 +32,8 @@ SELECT * FROM snum WHERE (rn - 1) % CAST(ceil(n / 180.0) AS BIGINT) = 0"""
 A.CTES["sline"] = """
 SELECT site_id, kpi, slope, my - slope * mt AS intercept FROM (
   SELECT a.site_id, a.kpi, quantile_cont((b.y - a.y) / (b.t - a.t), 0.5) AS slope
-  FROM sdec a JOIN sdec b ON a.site_id = b.site_id AND a.kpi = b.kpi AND b.t > a.t GROUP BY 1, 2)
-JOIN (SELECT site_id, kpi, quantile_cont(y, 0.5) AS my, quantile_cont(t, 0.5) AS mt FROM sdec
+  FROM snum a JOIN snum b ON a.site_id = b.site_id AND a.kpi = b.kpi AND b.t > a.t GROUP BY 1, 2)
+JOIN (SELECT site_id, kpi, quantile_cont(y, 0.5) AS my, quantile_cont(t, 0.5) AS mt FROM snum
       GROUP BY 1, 2) USING (site_id, kpi)"""
 
 
@@ -157,15 +157,56 @@ NET = """SELECT 'all' AS site_id, kpi, datetime,
   FROM slong {0} GROUP BY kpi, datetime"""
 
 
-@query("n06_panels", with_ctes(TREND_SQL.format(key=""), sbase=NET.format(
-    "WHERE object IN ('L_BAS0001-1', 'L_BAS0002-2', 'L21_BAS0001-1')")))
-def _(spark, d):
-    _lines, overall = N.panels(long_of(spark, d),
-                               ["L_BAS0001-1", "L_BAS0002-2", "L21_BAS0001-1"])
-    return r6(overall.drop("slope_per_day"), "first", "last", "min", "max", "mean").withColumn(
+LINES = """SELECT {0} AS line, kpi, datetime,
+  round(CASE WHEN kpi = 'total_traffic_gb' THEN sum(value) ELSE avg(value) END, 6) AS value
+  FROM slong GROUP BY {0}, kpi, datetime"""
+# the overall trend of lines is that of the longest one, the first by name among equals
+LONGEST = """SELECT 'all' AS site_id, kpi, datetime, value AS y FROM (
+  SELECT *, CASE WHEN kpi = 'total_traffic_gb' THEN s ELSE m END AS value,
+    count(*) OVER (PARTITION BY kpi, line) AS k FROM (
+    SELECT {0} AS line, kpi, datetime, sum(value) AS s, avg(value) AS m FROM slong GROUP BY {0}, kpi, datetime))
+  QUALIFY rank() OVER (PARTITION BY kpi ORDER BY k DESC, line) = 1"""
+
+
+def rounded_trend(trend):
+    return r6(trend.drop("slope_per_day"), "first", "last", "min", "max", "mean").withColumn(
         "pct_change", F.round("pct_change", 5))
 
 
+def cells_of(long):
+    """Every cell of the hourly frame, as a user would name them."""
+    return [r[0] for r in long.select("object").distinct().orderBy("object").collect()]
+
+
+@query("n06_panels", with_ctes(TREND_SQL.format(key=""), sbase=NET.format("")))
+def _(spark, d):
+    long = long_of(spark, d)
+    _lines, overall = N.panels(long, cells_of(long))
+    return rounded_trend(overall)
+
+
+@query("n06_panel_lines", with_ctes(LINES.format("object")))
+def _(spark, d):
+    long = long_of(spark, d)
+    return r6(N.panels(long, cells_of(long))[0], "value")
+
+
+@query("n06_panels_by_technology", with_ctes(TREND_SQL.format(key=""),
+                                             sbase=LONGEST.format("tech")))
+def _(spark, d):
+    return rounded_trend(N.panels(long_of(spark, d), by_tech=True)[1])
+
+
+@query("n06_technology_lines", with_ctes(LINES.format("tech")))
+def _(spark, d):
+    return r6(N.panels(long_of(spark, d), by_tech=True)[0], "value")
+
+
+@query("n06_panels_single", with_ctes(TREND_SQL.format(key=""), sbase=NET.format("")))
+def _(spark, d):
+    return rounded_trend(N.panels(long_of(spark, d))[1])
+
+
 @query("n07_trend_summary", with_ctes("""
 SELECT kpi, verdict, round_even(pct_change, 1) AS pct_change, round_even(first, 3) AS first,
   round_even(last, 3) AS last, round_even(min, 3) AS min, round_even(max, 3) AS max,

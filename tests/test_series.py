@@ -14,21 +14,29 @@ def frame(spark, values, obj="c1"):
                                  "object string, kpi string, datetime timestamp_ntz, value double")
 
 
-@pytest.mark.parametrize("n", [3, 50, 400])
+@pytest.mark.parametrize("n", [3, 50, 400, 2000])
 def test_theil_sen_is_the_median_of_pairwise_slopes(spark, n):
     rng = np.random.default_rng(n)
     y = 5 + 0.3 * np.arange(n) + rng.normal(0, 3, n)
     got = N.theil_sen(frame(spark, y), ["object"]).collect()[0]
     t = np.arange(n) / 24.0
-    if n > 180:
-        step = int(np.ceil(n / 180))
-        t, y = t[::step], y[::step]
     i, j = np.triu_indices(len(t), 1)
     slope = np.median((y[j] - y[i]) / (t[j] - t[i]))
     assert got["slope_per_day"] == pytest.approx(slope)
     assert got["intercept"] == pytest.approx(np.median(y) - slope * np.median(t))
 
 
+def test_median_slope_with_ties_and_few_points():
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 7, 60, 500):
+        t = np.sort(rng.integers(0, max(2, n // 3), n)).astype(float)
+        y = rng.choice([0.0, 1.0, 1e6, -3.0], n)
+        i, j = np.nonzero(t[None, :] - t[:, None] > 0)
+        want = np.median((y[j] - y[i]) / (t[j] - t[i])) if len(i) else 0.0
+        assert N.median_slope(t, y) == pytest.approx(want)
+    assert N.median_slope(np.zeros(5), np.arange(5.0)) == 0.0
+
+
 def test_rolling_medians_match_pandas(spark):
     y = np.random.default_rng(1).normal(0, 1, 60)
     s = N.rolling_median(frame(spark, y), ["object"], "value", 24, 6, "m")
