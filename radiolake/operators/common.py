@@ -34,6 +34,14 @@ def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return out if rank else out.drop(name)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+           n: int | None = None) -> DataFrame:
+    """Rows with their `rank` within the key, all of them or the first `n`."""
+    if n is not None:
+        return top_n_by(df, keys, order, n, rank="rank")
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
                    out: str = "q") -> DataFrame:
     """Exact linear-interpolated quantile per key (or over all rows), safe for a hot key.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from radiolake.functions.geo import az_gap, bearing_deg, haversine_m
 from radiolake.operators.actions import recommend_for_location
 from radiolake.operators.common import exact_quantile, top_n_by
-from radiolake.operators.spatial import k_nearest
+from radiolake.operators.spatial import best_sector, k_nearest
 
 # Words of the engineer's own fields, of the notes, and the label map.
 NOT_RF_WORDS = ("device", "sim ", "no answer", "isp", "vpn", "handset", "charging",
@@ -36,8 +36,7 @@ NEAR_MISS = (("wrong_server", "far_coverage"), ("off_axis_azimuth", "far_coverag
              ("new_site_needed", "far_coverage"))
 
 
-def complaint_geometry(complaints: DataFrame, sectors: DataFrame, n_look: int = 8,
-                       n_best: int = 5) -> DataFrame:
+def complaint_geometry(complaints: DataFrame, sectors: DataFrame) -> DataFrame:
     """Serving sector (the site's first one as fallback), distance, bearing, off-axis angle,
     nearest other on-air site and best sector of every complaint.
 
@@ -66,27 +65,14 @@ def complaint_geometry(complaints: DataFrame, sectors: DataFrame, n_look: int =
     c = c.withColumn("az_offset_deg", az_gap("srv.azimuth_deg", "bearing_deg"))
     pts = c.filter(F.col("loc_source") == "ticket").filter(has).select(
         "ticket_id", F.col("site_id").alias("_srv"), "latitude", "longitude")
-    sites = sectors.groupBy("site_id").agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),
-        F.max(F.col("air") == "onair").alias("on_air"))
-    # one pass over the nearest sites' sectors answers both questions
-    near = k_nearest(pts, "ticket_id", sites, "site_id", n_look).join(
-        sites.select("site_id", "on_air"), "site_id").join(sec, "site_id").join(
-        pts.select("ticket_id", "_srv", "latitude", "longitude"), "ticket_id")
-    b = F.round(bearing_deg("s_lat", "s_lon", "latitude", "longitude"), 6)
-    near = near.withColumn("off", F.round(az_gap("azimuth_deg", b), 6)).withColumn(
-        "d", F.round(haversine_m("s_lat", "s_lon", "latitude", "longitude"), 6))
-    near = near.withColumn("score", F.round(
-        F.col("d") * (1 + F.col("off") / 65.0 * (F.col("off") / 65.0)), 6))
-    other = F.col("on_air") & (F.col("site_id") != F.col("_srv"))
-    found = near.groupBy("ticket_id").agg(
-        F.min_by(F.struct("site_id", "dist_m"), F.when(other, F.col("rank"))).alias("n"),
-        F.min_by(F.struct("sector_id", "off", "d"),
-                 F.when(F.col("rank") <= n_best, F.struct("score", "sector_id"))).alias("b"))
-    c = c.join(found.select(
-        "ticket_id", F.col("n.site_id").alias("nearest_site"), F.col("n.dist_m").alias("nearest_m"),
-        F.col("b.sector_id").alias("best_sector_id"), F.col("b.off").alias("best_offset_deg"),
-        F.col("b.d").alias("best_distance_m")), "ticket_id", "left")
+    on_air = sectors.filter(F.col("air") == "onair").groupBy("site_id").agg(
+        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+    near = k_nearest(pts, "ticket_id", on_air, "site_id", 1, exclude="_srv").select(
+        "ticket_id", F.col("site_id").alias("nearest_site"), F.col("dist_m").alias("nearest_m"))
+    best = best_sector(pts, "ticket_id", sectors, metric="haversine").select(
+        "ticket_id", F.col("sector_id").alias("best_sector_id"),
+        F.col("off_deg").alias("best_offset_deg"), F.col("dist_m").alias("best_distance_m"))
+    c = c.join(near, "ticket_id", "left").join(best, "ticket_id", "left")
     return c.withColumns({"serving_sector": F.col("srv.sector_id"),
                           "serving_height_m": F.col("srv.antenna_height_m")}).drop("srv")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.geo import (M_PER_DEG, az_gap, bearing_deg, cell_key, flat_m,
                                      haversine_m, keys_within)
-from radiolake.operators.common import first_by, top_n_by
+from radiolake.operators.common import first_by, ranked, top_n_by
 
 
 def _pos(df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
@@ -132,18 +132,18 @@ def inter_site_distance(sites: DataFrame, k: int = 3) -> DataFrame:
     return near.groupBy(F.col("point").alias("site_id")).agg(F.avg("dist_m").alias("isd_m"))
 
 
-def isolation(sites: DataFrame, isolated_m: float = 2500.0, planned_m: float = 2500.0,
-              look: int = 12) -> DataFrame:
+def isolation(sites: DataFrame, isolated_m: float = 2500.0,
+              planned_m: float = 2500.0) -> DataFrame:
     """Per site: its nearest other on-air site, whether it stands alone, and the planned
-    sites close by among its nearest `look`."""
+    sites closer than `planned_m`."""
     pts = sites.select(F.col("site_id").alias("point"), F.col("site_id").alias("_self"),
                        "latitude", "longitude")
     on = k_nearest(pts, "point", sites.filter(F.col("air") == "onair"), "site_id", 1,
                    exclude="_self")
-    near = k_nearest(pts, "point", sites, "site_id", look - 1, exclude="_self")
-    planned = near.join(sites.select("site_id", "air"), "site_id").groupBy("point").agg(
-        F.count_if((F.col("air") == "planned") & (F.col("dist_m") < planned_m))
-        .alias("planned_near"))
+    planned = radius_join(pts, sites.filter(F.col("air") == "planned"), planned_m, ["point"],
+                          ["site_id"])
+    planned = planned.filter((F.col("point") != F.col("site_id")) & (F.col("dist_m") < planned_m))
+    planned = planned.groupBy("point").agg(F.count(F.lit(1)).alias("planned_near"))
     return sites.select(F.col("site_id").alias("point")).join(
         on.select("point", F.col("site_id").alias("nearest_site"),
                   F.col("dist_m").alias("nearest_m")), "point", "left").join(
@@ -177,17 +177,60 @@ def _site_points(sectors: DataFrame) -> DataFrame:
         F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
 
 
-def best_server(points: DataFrame, point_id: str, sectors: DataFrame,
-                n_sites: int = 6) -> DataFrame:
-    """Among the nearest sites, the sector with the least distance x (1 + (off / 65)^2)."""
-    near = k_nearest(points, point_id, _site_points(sectors), "site_id", n_sites)
+FIRST_SITES = 3    # whose sectors give the score that the others have to beat
+REACH_LEVELS = 19  # lattices of 125 m, 250 m ... to more than the Earth's half circumference
+
+
+def within_own_reach(points: DataFrame, reach: str, others: DataFrame) -> DataFrame:
+    """Pairs of a point (p_lat, p_lon) and another position (s_lat, s_lon) that the point's own
+    `reach` in metres can hold; the caller measures.
+
+    A point takes the cells its circle touches in the lattice as wide as its reach, and the
+    others keep one key a lattice, so a point with a small reach meets few of them.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.02, F.lit(BASE_M)) / BASE_M)).cast("int")
+    p = points.withColumn("_lv", F.least(level, F.lit(REACH_LEVELS - 1)))
+    p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.02)))
+    p = p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c")
+    o = others.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(REACH_LEVELS - 1))))
+    o = o.withColumn("_key", _key(F.col("_lv"), cell_key("s_lat", "s_lon",
+                                                         _level_m(F.col("_lv"))))).drop("_lv")
+    return p.join(o, "_key").drop("_key")
+
+
+def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,
+                metric: str = "flat") -> DataFrame:
+    """Of all sectors, that with the least distance x (1 + (off / 65)^2), per point.
+
+    A score is at least the distance, so the best one among the nearest few sites bounds how far
+    a better sector can be; only what lies within is looked at.
+    """
+    fn = haversine_m if metric == "haversine" else flat_m
+    dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
+    names = ["sector_id", "site_id", "dist_m", "bearing_deg", "azimuth_deg", "off_deg", "score"]
+
+    def best(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+        scored = _score(pairs.withColumn("dist_m", dist))
+        return scored.groupBy(*keys).agg(first_by(names, "score", "sector_id").alias("w"))
+
     pos = _pos(points, "p", [point_id])
-    pairs = near.drop("dist_m", "rank").join(_sectors(sectors), "site_id").join(pos, point_id)
-    pairs = pairs.withColumn("dist_m", F.round(flat_m("p_lat", "p_lon", "s_lat", "s_lon"), 6))
-    best = _score(pairs).groupBy(point_id).agg(first_by(
-        ["sector_id", "site_id", "dist_m", "bearing_deg", "azimuth_deg", "off_deg", "score"],
-        "score", "sector_id").alias("w"))
-    return best.select(point_id, "w.*")
+    # points at one place have one answer
+    spots = pos.select("p_lat", "p_lon").distinct().withColumn(
+        "_spot", F.struct("p_lat", "p_lon"))
+    near = k_nearest(spots.select("_spot", F.col("p_lat").alias("latitude"),
+                                  F.col("p_lon").alias("longitude")), "_spot",
+                     _site_points(sectors), "site_id", FIRST_SITES)
+    near = near.select("site_id", F.col("_spot.p_lat").alias("p_lat"),
+                       F.col("_spot.p_lon").alias("p_lon"))
+    first = best(near.join(_sectors(sectors), "site_id"), ["p_lat", "p_lon"])
+    reach = first.select("p_lat", "p_lon", F.col("w.score").alias("_reach"))
+    found = best(within_own_reach(reach, "_reach", _sectors(sectors)), ["p_lat", "p_lon"])
+    return pos.join(found, ["p_lat", "p_lon"]).select(point_id, "w.*")
+
+
+def best_server(points: DataFrame, point_id: str, sectors: DataFrame) -> DataFrame:
+    """The sector with the least distance x (1 + (off / 65)^2), whatever its site's rank."""
+    return best_sector(points, point_id, sectors)
 
 
 def facing_sector(points: DataFrame, point_id: str, sectors: DataFrame) -> DataFrame:
@@ -252,12 +295,13 @@ def neighbour_sectors(points: DataFrame, point_id: str, sectors: DataFrame, serv
 
 
 def around_site(sites: DataFrame, sectors: DataFrame, metres: float = 1200.0,
-                n_sites: int = 6) -> DataFrame:
-    """Per site: the other sites within reach, the nearest few, and all their sectors."""
+                n_sites: int | None = None) -> DataFrame:
+    """Per site: the other sites within reach (the nearest `n_sites` if given), ranked, and all
+    their sectors."""
     pts = sites.select(F.col("site_id").alias("centre"), "latitude", "longitude")
     pairs = radius_join(pts, sites, metres, ["centre"], ["site_id"]).filter(
         F.col("centre") != F.col("site_id"))
-    near = top_n_by(pairs, ["centre"], [F.col("dist_m"), F.col("site_id")], n_sites, rank="rank")
+    near = ranked(pairs, ["centre"], [F.col("dist_m"), F.col("site_id")], n_sites)
     return near.select("centre", "site_id", "dist_m", "rank").join(
         sectors.select("site_id", "sector_id"), "site_id")
 

@@ -78,11 +78,11 @@ FROM (SELECT *, round(d * (1 + off_d / 65.0 * (off_d / 65.0)), 6) AS score FROM
     SELECT n.ticket_id, s.sector_id, s.azimuth_deg,
       round({q_hav('s.latitude', 's.longitude', 'p_lat', 'p_lon')}, 6) AS d,
       {q_brg('s.latitude', 's.longitude', 'p_lat', 'p_lon')} AS b
-    FROM cnear n JOIN sectors s ON s.site_id = n.site WHERE n.rn <= 5))) GROUP BY 1"""
+    FROM cnear n JOIN sectors s ON s.site_id = n.site ))) GROUP BY 1"""
 A.CTES["cgeo"] = """
 SELECT c.*, n.nearest_site, n.nearest_m, b.best_sector_id, b.best_offset_deg, b.best_distance_m
 FROM csrv c LEFT JOIN (SELECT ticket_id, first(site ORDER BY rn) AS nearest_site, first(d ORDER BY rn) AS nearest_m
-  FROM cnear WHERE rn <= 8 AND air = 'onair' AND site <> own GROUP BY 1) n USING (ticket_id)
+  FROM cnear WHERE air = 'onair' AND site <> own GROUP BY 1) n USING (ticket_id)
 LEFT JOIN cbest b USING (ticket_id)"""
 A.CTES["ccat0"] = """
 SELECT *, e LIKE '%device%' AS not_rf, e LIKE '%alarm%' AS outage,

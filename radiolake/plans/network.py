@@ -479,13 +479,11 @@ WITH pairs AS (SELECT *, {q_gap('azimuth_deg', 'b')} AS off_deg FROM (
       {q_brg('s.latitude', 's.longitude', 't.latitude', 't.longitude')} AS b
     FROM (SELECT *, CASE WHEN site_id <> '' THEN site_id ELSE site END AS own FROM sleepers WHERE latitude IS NOT NULL) t,
       hsectors s)),
-near AS (SELECT ticket_id, site_id FROM (SELECT ticket_id, site_id, row_number() OVER (PARTITION BY ticket_id
-    ORDER BY min(d_best), site_id) AS rn FROM pairs WHERE air = 'onair' AND own = '' GROUP BY 1, 2) WHERE rn <= 6),
 found AS (SELECT ticket_id, first(sector_id ORDER BY off_deg, sector_id) AS sector_id,
     first(d_face ORDER BY off_deg, sector_id) AS dist_m, 'ticket site' AS how
   FROM pairs WHERE site_id = own GROUP BY 1
   UNION ALL SELECT ticket_id, first(sector_id ORDER BY sc, sector_id), first(d_best ORDER BY sc, sector_id), 'best server'
-  FROM (SELECT p.*, round(d_best * (1 + pow(off_deg / 65.0, 2)), 6) AS sc FROM pairs p JOIN near USING (ticket_id, site_id)
+  FROM (SELECT p.*, round(d_best * (1 + pow(off_deg / 65.0, 2)), 6) AS sc FROM pairs p
     WHERE own = '' AND air = 'onair') GROUP BY 1)
 SELECT p.*, coalesce(f.sector_id, CASE WHEN site <> '' THEN site || '-S' || sector_num::VARCHAR END) AS serving,
   coalesce(left(f.sector_id, 7), CASE WHEN site <> '' THEN site END) AS serving_site, f.dist_m,
@@ -623,8 +621,7 @@ FROM (SELECT t.ticket_id, e.sector_id, e.top, CASE WHEN e.issue_hours > 0 THEN '
     CASE WHEN e.sector_id = t.serving THEN 0 WHEN e.site_id = t.serving_site THEN 1 ELSE 2 END AS kind,
     {q_flat('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS gap
   FROM sserve t JOIN hsites a ON a.site_id = t.serving_site JOIN zev e ON e.kpi = 'dl_prb_util'
-  JOIN hsites b ON b.site_id = e.site_id) WHERE gap <= 2000
-QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY kind, gap, sector_id) <= 10"""))
+  JOIN hsites b ON b.site_id = e.site_id) WHERE gap <= 2000"""))
 def _(spark, d):
     c = Z.compare_sectors(served(spark, d), Z.sector_evidence(sector_evidence(spark, d)),
                           A.hourly_sites(spark, d))

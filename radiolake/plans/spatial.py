@@ -55,7 +55,7 @@ SELECT ticket_id, first(sector_id ORDER BY score, sector_id) AS sector_id,
   first(dist_m ORDER BY score, sector_id) AS dist_m,
   first(bearing_deg ORDER BY score, sector_id) AS bearing_deg,
   first(off_deg ORDER BY score, sector_id) AS off_deg, min(score) AS score
-FROM scored WHERE rn <= 6 GROUP BY ticket_id"""
+FROM scored GROUP BY ticket_id"""
 
 
 @query("j08_k_nearest_sites", with_ctes("""
@@ -67,13 +67,10 @@ def _(spark, d):
 
 @query("j08_nearest_on_air", with_ctes("""
 SELECT ticket_id, first(site ORDER BY rn) AS site_id, first(d ORDER BY rn) AS dist_m
-FROM nearsites WHERE rn <= 8 AND air = 'onair' GROUP BY 1"""))
+FROM nearsites WHERE air = 'onair' GROUP BY 1"""))
 def _(spark, d):
-    sites = A.sites(spark, d)
-    n = S.k_nearest(A.tickets(spark, d), "ticket_id", sites, "site_id", 8)
-    on = n.join(sites.select("site_id", "air"), "site_id").filter(F.col("air") == "onair")
-    return on.groupBy("ticket_id").agg(
-        F.min_by(F.struct("site_id", "dist_m"), "rank").alias("w")).select("ticket_id", "w.*")
+    on_air = A.sites(spark, d).filter(F.col("air") == "onair")
+    return S.k_nearest(A.tickets(spark, d), "ticket_id", on_air, "site_id", 1).drop("rank")
 
 
 @query("j09_best_server", with_ctes("""
@@ -176,8 +173,7 @@ SELECT site_id, nearest_site, nearest_m, nearest_m > 800 AS isolated,
 LEFT JOIN (SELECT site_id, first(other ORDER BY d, other) AS nearest_site, min(d) AS nearest_m
    FROM pairs WHERE air = 'onair' GROUP BY 1) USING (site_id)
 LEFT JOIN (SELECT site_id, count(CASE WHEN air = 'planned' AND d < 600 THEN 1 END) AS planned_near
-   FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY d, other) AS rn FROM pairs)
-   WHERE rn <= 11 GROUP BY 1) USING (site_id)""", pairs=f"""
+   FROM pairs GROUP BY 1) USING (site_id)""", pairs=f"""
 SELECT a.site_id, b.site_id AS other, b.air,
   {q_flat('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS d
 FROM sites a JOIN sites b ON a.site_id <> b.site_id"""))
@@ -375,7 +371,7 @@ SELECT centre, site_id, dist_m, rank, sector_id FROM (
     SELECT a.site_id AS centre, b.site_id,
       {q_flat('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS dist_m
     FROM sites a JOIN sites b ON a.site_id <> b.site_id) WHERE dist_m <= 1200)
-JOIN (SELECT site_id, sector_id FROM sectors) USING (site_id) WHERE rank <= 6"""))
+JOIN (SELECT site_id, sector_id FROM sectors) USING (site_id)"""))
 def _(spark, d):
     a = S.around_site(A.sites(spark, d), A.sectors(spark, d))
     return a.withColumn("rank", F.col("rank").cast("bigint"))
