@@ -42,73 +42,89 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+BINS = 4096
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float,
                    out: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantile per key (or over all rows), safe for a hot key.
+    """Exact linear-interpolated quantile per key (or over all rows), safe for a hot key."""
+    return exact_quantiles(df, keys, value, {out: q})
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                    out: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key (or over all rows): key, a column for each.
 
-    Three partial aggregations and one narrow sort: a mergeable summary brackets the
-    wanted ranks, the rows under the bracket are counted, and only the distinct values
-    inside the bracket are ranked. The summary's rank error is at most n / accuracy and the
-    bracket opens four times that; a group of up to `accuracy` rows is ranked whole.
+    Equal values collapse first, with partial counts. The distinct values of a key then fall into
+    BINS equal bins between its least and largest value; the bin that holds a wanted rank is cut
+    again between the least and largest value in it, and only what is left of it is ordered. Every
+    step is exact, so nothing depends on the number of rows, and no step orders a whole key.
     """
-    accuracy = 10000
-    pad = 4.0 / accuracy
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    # equal values collapse before anything is ranked
     counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    lo, hi = max(q - pad, 0.0), min(q + pad, 1.0)
-    edges = base.groupBy(*keys).agg(
-        F.percentile_approx("_v", lo, accuracy).alias("_lo"),
-        F.percentile_approx("_v", hi, accuracy).alias("_hi"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.count(F.lit(1)).alias("_total"))
-    small = F.col("_total") <= accuracy
-    edges = (edges.withColumn("_lo", F.when(small | F.lit(q <= pad), F.col("_min"))
-                              .otherwise(F.col("_lo")))
-             .withColumn("_hi", F.when(small | F.lit(q >= 1.0 - pad), F.col("_max"))
-                         .otherwise(F.col("_hi"))))
-    edge_keys = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                             "_lo", "_hi", "_total")
-    if keys:
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        both = counted.join(edge_keys, cond)
-    else:
-        both = with_scalars(counted, edge_keys)
-    below = both.filter(F.col("_v") < F.col("_lo")).groupBy(*keys).agg(
-        F.sum("_n").alias("_below"))
-    inside = both.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    win = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_v")
-    inside = inside.withColumn("_cum", F.sum("_n").over(win))
-    below = below.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_below")
-    if keys:
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-        inside = inside.join(below, cond, "left")
-    else:
-        inside = with_scalars(inside, below.agg(F.max("_below").alias("_below")))
-    end = F.coalesce(F.col("_below"), F.lit(0)) + F.col("_cum")
-    pos = (F.col("_total") - 1) * F.lit(float(q))
-    k0 = F.floor(pos)
-    picked = inside.groupBy(*keys).agg(
-        F.min(F.when(end >= k0 + 1, F.col("_v"))).alias("_a"),
-        F.min(F.when(end >= F.least(k0 + 2, F.col("_total")), F.col("_v"))).alias("_b"),
-        F.max(pos - k0).alias("_f"))
-    return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-                         .alias(out))
-
-
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-                    carry: dict[str, Column] | None = None) -> DataFrame:
+    whole = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"),
+                                       F.max("_v").alias("_hi"))
+    # the two neighbouring ranks of each quantile (from 0), and the rows below the open range
+    ranks = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q"))
+                      for name, q in out.items()])
+    goals = whole.withColumn("_g", F.explode(ranks)).select("*", "_g.*").drop("_g")
+    position = (F.col("_total") - 1) * F.col("_q")
+    goals = goals.withColumn("_rank", F.explode(F.array_distinct(F.array(
+        F.floor(position), F.least(F.floor(position) + 1, F.col("_total") - 1))))).select(
+        *keys, "_name", (position - F.floor(position)).alias("_f"), "_rank", "_lo", "_hi",
+        F.lit(0).cast("bigint").alias("_below"))
+    for _ in range(2):
+        goals = _narrowed(goals, _inside(counted, goals, keys), keys)
+    left = _inside(counted, goals, keys)
+    w = W.partitionBy(*keys, "_name", "_rank").orderBy("_v")
+    left = left.withColumn("_cum", F.col("_below") + F.sum("_n").over(w))
+    hit = left.filter((F.col("_cum") > F.col("_rank"))
+                      & (F.col("_cum") - F.col("_n") <= F.col("_rank")))
+    # the lower rank's value and the upper one's; one row where both are the same rank
+    two = hit.groupBy(*keys, "_name").agg(
+        F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"),
+        F.first("_f").alias("_f"))
+    v = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    return two.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, v)).alias(name)
+                                    for name in out])
+
+
+def _inside(counted: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct values in the open range of each goal."""
+    c = counted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", "_n")
+    cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # without keys the goals are two rows a quantile
+    return c.join(goals if keys else F.broadcast(goals), cond).drop(*[f"_k_{k}" for k in keys])
+
+
+def _narrowed(goals: DataFrame, inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each goal with the range of the bin that holds its rank."""
+    width = (F.col("_hi") - F.col("_lo")) / BINS
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width),
+                                      F.lit(BINS - 1))).otherwise(0)
+    goal = [*keys, "_name", "_f", "_rank", "_below"]
+    bins = inside.groupBy(*goal, place.alias("_bin")).agg(
+        F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # at most BINS rows a goal
+    w = W.partitionBy(*keys, "_name", "_rank").orderBy("_bin")
+    bins = bins.withColumn("_cum", F.col("_below") + F.sum("_n").over(w))
+    bins = bins.filter((F.col("_cum") > F.col("_rank"))
+                       & (F.col("_cum") - F.col("_n") <= F.col("_rank")))
+    return bins.select(*keys, "_name", "_f", "_rank", "_lo", "_hi",
+                       (F.col("_cum") - F.col("_n")).alias("_below"))
+
+
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Lower weighted median per key with the total weight and the row count.
 
     Equal (key, value) pairs collapse in the first aggregation. A key's values are then
     narrowed to the one unit-wide band that holds the half weight (the bands of a key are
-    few: the value range is bounded), and only that band is ordered value by value.
+    few: the value range is bounded), and only that band is ordered value by value. A key
+    without any weight has its least value and weight 0.
     """
     keys = list(keys)
     cells = df.groupBy(*keys, F.col(value).alias("_v")).agg(
@@ -120,9 +136,11 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     whole = W.partitionBy(*keys)
     by_band = (by_band.withColumn("_cum", F.sum("_bw").over(run))
                .withColumn("weight", F.sum("_bw").over(whole))
-               .withColumn("n_rows", F.sum("_bn").over(whole)))
-    half = by_band.filter((F.col("_cum") >= F.col("weight") / 2)
-                          & (F.col("_cum") - F.col("_bw") < F.col("weight") / 2))
+               .withColumn("n_rows", F.sum("_bn").over(whole))
+               .withColumn("_nth", F.row_number().over(run)))
+    crossing = ((F.col("_cum") >= F.col("weight") / 2)
+                & (F.col("_cum") - F.col("_bw") < F.col("weight") / 2))
+    half = by_band.filter(crossing | ((F.col("weight") == 0) & (F.col("_nth") == 1)))
     half = half.select(*keys, "_band", (F.col("_cum") - F.col("_bw")).alias("_before"),
                        "weight", "n_rows")
     inside = cells.join(half, [*keys, "_band"])

@@ -13,7 +13,7 @@ from radiolake.operators import actions as ACT
 from radiolake.operators import diagnose as DIA
 from radiolake.operators import rollup as R
 from radiolake.operators import series as N
-from radiolake.operators.common import exact_quantile, top_n_by, with_scalars
+from radiolake.operators.common import exact_quantiles, ranked, top_n_by, with_scalars
 from radiolake.operators.spatial import inter_site_distance
 
 SKETCH = 64
@@ -86,9 +86,7 @@ def value_bands(df: DataFrame, value: str, direction: str, warning: float,
     ok = df.filter(healthy)
     ends = ok.agg((F.lit(float(warning)) if up else F.min(v)).alias("_a"),
                   (F.max(v) if up else F.lit(float(warning))).alias("_b"))
-    t1 = exact_quantile(ok, [], value, 1 / 3, "_q1")
-    t2 = exact_quantile(ok, [], value, 2 / 3, "_q2")
-    one = with_scalars(with_scalars(ends, t1), t2)
+    one = with_scalars(ends, exact_quantiles(ok, [], value, {"_q1": 1 / 3, "_q2": 2 / 3}))
     span = F.col("_b") - F.col("_a")
     step = F.when(span > 0, F.pow(F.lit(10.0), F.floor(F.log10(span / 10)))).otherwise(1.0)
     cut = lambda q: F.bround(F.col(q) / step, 0) * step

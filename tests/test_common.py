@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from radiolake.operators.common import exact_quantile, top_n_by, weighted_median
+from radiolake.operators.common import exact_quantile, exact_quantiles, top_n_by, weighted_median
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,29 @@ def test_exact_quantile_over_all_rows(spark):
     assert got == pytest.approx(np.quantile(v, 1 / 3))
 
 
+def test_quantiles_of_many_values_hot_keys_and_outliers(spark):
+    n = 2_000_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"),
+        (F.pmod(F.col("id") * 7919, F.lit(n)) / 3.0).alias("v"))
+    df = df.unionAll(spark.createDataFrame([("hot", 1e300), ("hot", -1e300), (None, 5.0)], df.schema))
+    got = exact_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).toPandas().set_index("k")
+    want = df.toPandas().groupby("k", dropna=False)["v"].quantile([0.5, 0.95]).unstack()
+    assert np.allclose(got.loc["hot", ["a", "b"]].astype(float), want.loc["hot"], rtol=1e-12)
+    assert np.allclose(got.loc["5", ["a", "b"]].astype(float), want.loc["5"], rtol=1e-12)
+    assert len(got) == 9
+    every = exact_quantiles(df, [], "v", {"m": 0.5})
+    assert every.first()["m"] == pytest.approx(df.toPandas()["v"].quantile(0.5), rel=1e-12)
+
+
+def test_weighted_median_without_weight(spark):
+    df = spark.createDataFrame([("a", 3.0, 0.0), ("a", 2.0, 0.0), ("b", 1.0, 1.0)],
+                               "k string, v double, w double")
+    got = {r["k"]: (r["median"], r["weight"], r["n_rows"])
+           for r in weighted_median(df, ["k"], "v", "w").collect()}
+    assert got == {"a": (2.0, 0.0, 2), "b": (1.0, 1.0, 1)}
+
+
 def test_weighted_median_is_the_lower_one(spark):
     df = spark.createDataFrame([("a", -80.0, 1.0), ("a", -90.0, 1.0), ("b", -70.0, 3.0),
                                 ("b", -100.0, 2.0), ("b", -70.5, 0.5)], "k string, v double, w double")
