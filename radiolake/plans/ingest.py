@@ -72,6 +72,28 @@ def _(spark, d):
     return p.select("path", "kind", F.array_join("kpis", "|").alias("kpis"), "first_time")
 
 
+@query("s01_p02_export_to_kpis", with_ctes("""
+SELECT datetime, object, sector_id, round(dl_prb_util, 6) AS dl_prb_util,
+  round(cell_avail_pct, 1) AS cell_avail_pct, NULL::DOUBLE AS ul_rssi_dbm FROM f3"""))
+def _(spark, d):
+    c = E.hourly_from_lines(export_lines(spark, d), ["dl_prb_util", "cell_avail_pct", "ul_rssi_dbm"])
+    return c.select("datetime", "object", "sector_id", F.round("dl_prb_util", 6).alias("dl_prb_util"),
+                    F.round("cell_avail_pct", 1).alias("cell_avail_pct"), "ul_rssi_dbm")
+
+
+@query("p02_plausible_levels", with_ctes("""
+SELECT datetime, object, CASE WHEN hour(datetime) % 6 <> 0 THEN round(ul_rssi_dbm, 2) END AS ul_rssi_dbm
+FROM f3"""))
+def _(spark, d):
+    level = F.when(F.hour("datetime") % 6 == 0, F.col("ul_rssi_dbm") - 120).otherwise(
+        F.col("ul_rssi_dbm"))
+    raw = A.hourly(spark, d).select(
+        stamp("datetime").alias("Time"), F.col("object").alias("Cell Name"),
+        F.format_number(level, 6).alias("L.UL.Interference.Avg(dBm)"))
+    c = E.canonical_hourly(raw, ["ul_rssi_dbm"], "4G")
+    return c.select("datetime", "object", F.round("ul_rssi_dbm", 2).alias("ul_rssi_dbm"))
+
+
 @query("s03_text_lines_to_rows", with_ctes("""
 SELECT site_id, count(*) AS rows, round(sum(round(dl_flowctrl_drops, 2)), 2) AS drops FROM f3 GROUP BY 1"""))
 def _(spark, d):

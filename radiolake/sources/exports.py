@@ -7,11 +7,11 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.functions.text import (clean_number, is_summary_row, sector_id, sector_no,
-                                      site_code, zero_is_missing)
+from radiolake.functions.text import (clean_number, is_summary_row, null_outside, sector_id,
+                                      sector_no, site_code, zero_is_missing)
 from radiolake.functions.times import epoch_seconds, local_time
 from radiolake.kpis import catalogue_rows
 
@@ -74,61 +74,152 @@ def profile_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return profile_lines(lines)
 
 
-def canonical_hourly(raw: DataFrame, kpis: Sequence[str], tech: str | None = None) -> DataFrame:
-    """Raw all-text export rows, named as the operator names them, to the hourly frame.
-
-    Banner and header rows fall out because their time does not parse. The first column wins
-    where two headers mean the same.
+# Operator headers (normalised) of the canonical KPIs.
+KPI_HEADERS = {
+    "4g lte drop call rate with mme percent asiacell": "erab_drop_rate",
+    "4g lte drop call rate with mme percent": "erab_drop_rate",
+    "4g cssr percent asiacell": "call_setup_sr",
+    "4g cssr percent": "call_setup_sr",
+    "e rab setup success rate voip percent": "volte_erab_setup_sr",
+    "volte completion rate percent npm": "volte_completion_pct",
+    "4g data volume gb": "total_traffic_gb",
+    "lte availability percent ab": "cell_avail_pct",
+    "lte availability percent": "cell_avail_pct",
+    "4g cell level availability chen": "cell_avail_pct",
+    "hw dl prb avg utilization percent": "dl_prb_util",
+    "hw ul prb avg utilization percent": "ul_prb_util",
+    "downlink prb utilization rate percent": "dl_prb_util",
+    "uplink prb utilization rate percent": "ul_prb_util",
+    "4g dl user throughput mbps asiacell": "dl_user_thr_mbps",
+    "4g dl user throughput mbps": "dl_user_thr_mbps",
+    "4g ul user throughput mbps asiacell": "ul_user_thr_mbps",
+    "4g ul user throughput mbps": "ul_user_thr_mbps",
+    "outgoing ho exec success rate percent percent asiacell": "ho_sr",
+    "outgoing ho exec success rate percent asiacell": "ho_sr",
+    "outgoing ho exec success rate percent": "ho_sr",
+    "inter frequency handover out success rate percent": "inter_freq_ho_sr",
+    "intra frequency handover out success rate percent": "intra_freq_ho_sr",
+    "srvcc ho success rate huawei npm": "srvcc_ho_sr",
+    "l traffic user avg": "rrc_conn_users_avg",
+    "l ul interference avg dbm": "ul_rssi_dbm",
+    "cs fallback success rate 4g side only asiacell": "csfb_sr",
+    "l rrc setupfail noreply": "rrc_setupfail_noreply",
+    "l rrc setupfail rej": "rrc_setupfail_rej",
+    "l rrc setupfail resfail": "rrc_setupfail_resfail",
+    "l e rab abnormrel radio": "erab_abnorm_rel_radio",
+    "l e rab abnormrel mme": "erab_abnorm_rel_mme",
+    "l e rab abnormrel hofailure": "erab_abnorm_rel_ho",
+    "3g availability ab": "cell_avail_pct",
+    "3g availability": "cell_avail_pct",
+    "vs ippm rtt means ms": "ipmm_rtt_ms",
+    "vs meanrtwp dbm": "ul_rtwp_dbm",
+    "vs rscgroup flowctrol dl dropnum": "dl_flowctrl_drops",
+}
+# The levels that a KPI can plausibly have.
+PLAUSIBLE = {"ul_rssi_dbm": (-150.0, -60.0)}
+
+
+def _hourly_fields(columns: dict[str, Column], kpis: Sequence[str], tech: str | None,
+                   kpi_headers: dict[str, str]) -> tuple[list[Column], Column]:
+    """The fields of the hourly frame from raw text columns by header, and whether a row counts.
+
+    A wanted KPI is a raw header or a canonical name; of several headers of one KPI the first
+    column wins, and a KPI without a column is null.
     """
-    names: dict[str, str] = {}
-    for c in raw.columns:
-        names.setdefault(norm_header(c), c)
-    q = lambda c: F.col(f"`{c}`")
+    names: dict[str, Column] = {}
+    for header, c in columns.items():
+        names.setdefault(norm_header(header), c)
     first = lambda options: next((names[n] for n in options if n in names), None)
+    none = F.lit(None).cast("string")
+    or_none = lambda c: none if c is None else c
     time, date = first(TIME_HEADERS), names.get("date")
-    stamp = q(time) if time else F.lit("")
-    if date:
-        stamp = F.concat_ws(" ", q(date), stamp)
+    stamp = F.lit("") if time is None else time
+    if date is not None:
+        stamp = F.concat_ws(" ", date, stamp)
     cell, parent, node = first(CELL_HEADERS), first(PARENT_HEADERS), first(NODE_HEADERS)
-    obj = F.trim(q(cell or node or parent))
+    obj = F.trim(next((c for c in (cell, node, parent) if c is not None), none))
     local = first(("localcell id", "local cell id"))
-    duplex = names.get("cell fdd tdd indication")
-    d = raw.withColumn("_t", local_time(stamp)).withColumn("_o", obj)
-    d = d.withColumn("_s", site_code("_o"))
+    at, site = local_time(stamp), site_code(obj)
     values = []
     for k in kpis:
-        v = clean_number(q(k))
-        if norm_header(k) in ZERO_MISSING:
+        raw = norm_header(k)
+        headers = [n for n in names if n == raw or kpi_headers.get(n) == k]
+        v = clean_number(names[headers[0]]) if headers else F.lit(None).cast("double")
+        name = kpi_headers.get(raw, k)
+        if headers and headers[0] in ZERO_MISSING:
             v = zero_is_missing(v)
+        if name in PLAUSIBLE:
+            v = null_outside(v, *PLAUSIBLE[name])
         values.append(v.alias(k))
-    return d.filter(F.col("_t").isNotNull() & (F.col("_o") != "")).select(
-        F.col("_t").alias("datetime"), F.col("_o").alias("object"), F.col("_s").alias("site_id"),
-        sector_id("_s", sector_no("_o", q(local) if local else None)).alias("sector_id"),
-        F.substring("_s", 1, 3).alias("prefix"),
-        F.lit("cell" if cell else "site").alias("level"),
-        (q(duplex) if duplex else F.lit(None).cast("string")).alias("duplex"),
-        (q(parent) if parent else F.lit(None).cast("string")).alias("parent"),
-        F.lit(tech).cast("string").alias("tech"), *values)
+    fields = [at.alias("datetime"), obj.alias("object"), site.alias("site_id"),
+              sector_id(site, sector_no(obj, local)).alias("sector_id"),
+              F.substring(site, 1, 3).alias("prefix"),
+              F.lit("site" if cell is None else "cell").alias("level"),
+              or_none(names.get("cell fdd tdd indication")).alias("duplex"),
+              or_none(parent).alias("parent"), F.lit(tech).cast("string").alias("tech"), *values]
+    return fields, at.isNotNull() & (F.coalesce(obj, F.lit("")) != "")
 
 
-def read_hourly(spark: SparkSession, paths: Sequence[str], kpis: Sequence[str]) -> DataFrame:
-    """CSV exports of any mix of headers as one hourly frame with the wanted KPIs.
+def canonical_hourly(raw: DataFrame, kpis: Sequence[str], tech: str | None = None,
+                     kpi_headers: dict[str, str] = KPI_HEADERS) -> DataFrame:
+    """Raw all-text export rows, named as the operator names them, to the hourly frame.
 
-    Only the header profile comes to the driver (one row per distinct header); the data of
-    each header group is one scan that reads the needed columns.
+    Banner and header rows fall out because their time does not parse. The first column wins
+    where two headers mean the same.
     """
-    prof = profile_exports(spark, paths).filter(F.col("kind") != "unknown")
-    groups = prof.groupBy("header", "kind").agg(F.collect_list("path").alias("paths")).collect()
-    out = None
-    for g in groups:
-        schema = ", ".join(f"`{h or f'_blank{i}'}` string" for i, h in enumerate(g["header"]))
-        raw = spark.read.csv(g["paths"], schema=schema, header=False, mode="PERMISSIVE")
-        have = [k for k in kpis if k in g["header"]]
-        part = canonical_hourly(raw, have, g["kind"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    fields, counts = _hourly_fields({c: F.col(f"`{c}`") for c in raw.columns}, kpis, tech,
+                                    kpi_headers)
+    return raw.filter(counts).select(*fields)
+
+
+def export_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Text lines (path, value) of CSV files and of the CSV files in zip archives."""
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    plain = [p for p in paths if not p.lower().endswith(".zip")]
+    parts = []
+    if plain:
+        parts.append(spark.read.text(plain).select(F.input_file_name().alias("path"), "value"))
+    if zips:
+        parts.append(read_zipped_csv(spark, zips))
+    if not parts:
+        raise ValueError("no files are named")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_hourly(spark: SparkSession, paths: Sequence[str], kpis: Sequence[str],
+                kpi_headers: dict[str, str] = KPI_HEADERS) -> DataFrame:
+    """CSV and zipped exports of any mix of headers as one hourly frame with the wanted KPIs,
+    named canonically or as the files name them."""
+    return hourly_from_lines(export_lines(spark, paths), kpis, kpi_headers)
+
+
+def hourly_from_lines(lines: DataFrame, kpis: Sequence[str],
+                      kpi_headers: dict[str, str] = KPI_HEADERS) -> DataFrame:
+    """The hourly frame of the (path, value) text lines of any number of exports.
+
+    Only the distinct headers come to the driver. A file's header reaches its lines by a join on
+    the path, and all files are parsed in one pass, each line by the columns of its own header.
+    """
+    prof = profile_lines(lines).filter(F.col("kind") != "unknown")
+    heads = prof.select("header", "kind").distinct().orderBy("kind", "header").collect()
+    if not heads:
         raise ValueError("none of the files is an hourly KPI export")
-    return out
+    number = F.lit(None).cast("int")
+    for i, h in enumerate(heads):
+        same = (F.col("kind") == h["kind"]) & (F.col("header") == F.array(
+            *[F.lit(x) for x in h["header"]]))
+        number = F.when(same, i).otherwise(number)
+    width = max(len(h["header"]) for h in heads)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    rows = lines.join(prof.select("path", number.alias("_head")), "path").select(
+        "_head", F.from_csv("value", schema).alias("_r"))
+    out = None
+    for i, h in enumerate(heads):
+        columns = {name or f"_blank{k}": F.col(f"_r._c{k}") for k, name in enumerate(h["header"])}
+        fields, counts = _hourly_fields(columns, kpis, h["kind"], kpi_headers)
+        row = F.when((F.col("_head") == i) & counts, F.struct(*fields))
+        out = row if out is None else F.coalesce(out, row)
+    return rows.select(out.alias("_x")).filter(F.col("_x").isNotNull()).select("_x.*")
 
 
 def unzip_lines(archives: DataFrame) -> DataFrame:

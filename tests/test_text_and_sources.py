@@ -69,6 +69,26 @@ def test_read_exports_of_different_headers(spark, tmp_path):
                    ("Town_BAS0038", 1): ("BAS0038-S0", "site", None, 2.5)}
 
 
+def test_from_export_to_judgement(spark, tmp_path):
+    """The example of the README, over a plain and a zipped export."""
+    from radiolake.kpis import hourly_rules
+    from radiolake.operators import health
+    csv = ("Time,eNodeB Name,Cell Name,HW_DL PRB Avg Utilization(%),LTE_Availability(%)@AB,"
+           "L.UL.Interference.Avg(dBm)\n2024-01-01 00:00,E1,L_BAS0001-1,99%,100,-155\n"
+           "2024-01-01 01:00,E1,L_BAS0001-1,5%,10,-101.5\n")
+    (tmp_path / "a.csv").write_text(csv)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("b.csv", csv.replace("BAS0001", "BAS0002"))
+    kpis = ["dl_prb_util", "cell_avail_pct", "ul_rssi_dbm", "ho_sr"]
+    hourly = E.read_hourly(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.zip")], kpis)
+    rows = {(r["site_id"], r["datetime"].hour): [r[k] for k in kpis] for r in hourly.collect()}
+    assert rows["BAS0001", 0] == rows["BAS0002", 0] == [99.0, 100.0, None, None]
+    assert rows["BAS0001", 1] == [5.0, 10.0, -101.5, None] and len(rows) == 4
+    hours = health.judge_hours(health.to_long(hourly, kpis), hourly_rules(spark))
+    sites = {r["site_id"] for r in health.site_status(health.judge_objects(hours)).collect()}
+    assert sites == {"BAS0001", "BAS0002"}
+
+
 def test_zipped_exports(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("one.csv", CSV_3G)
