@@ -193,7 +193,7 @@ def user_name(col) -> Column:
     t = F.regexp_replace(clean_text(col), r"(?i)^(hw|user)[.:]", "")
     words = F.filter(F.split(t, r"[._\s]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(
-        F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+        F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
 def ticket_state(ticket_status, status) -> Column:

@@ -13,8 +13,6 @@ from radiolake.operators.common import weighted_median, with_scalars
 from radiolake.operators.spatial import radius_join
 
 DEFAULT_STEP = 0.00045
-BLOCK = 512
-MAX_LEVELS = 8
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -78,28 +76,37 @@ def build_grid(df: DataFrame, spec: DataFrame | None = None) -> DataFrame:
         F.col("n_rows").alias("points"))
 
 
-def grid_pyramid(df: DataFrame, spec: DataFrame | None = None, levels: int | None = None,
-                 block: int = BLOCK) -> DataFrame:
-    """Every level of 2^k native cells, each with its own weighted median of the measurements.
+def grid_pyramid(df: DataFrame, levels: int, spec: DataFrame | None = None) -> DataFrame:
+    """Levels 0 to levels - 1 of 2^k native cells, each with its own weighted median of the
+    measurements.
 
-    Without `levels` the top one follows from the extent: the first at which the whole grid
-    fits in one block.
+    A level is built from the (cell, value, weight) table of the level below, which shrinks
+    four times or more on the way, so a measurement is not copied to every level.
     """
-    cells = with_cells(df, spec if spec is not None else grid_spec(df))
-    cells = cells.groupBy("iy", "ix", "rsrp").agg(F.sum("mr").alias("mr"))
-    if levels is None:
-        span = cells.agg(F.greatest(F.max("iy"), F.max("ix")).alias("m")).select(
-            F.when(F.col("m") + 1 > block, F.least(
-                F.ceil(F.log2((F.col("m") + 1) / block)), F.lit(MAX_LEVELS - 1)))
-            .otherwise(0).cast("int").alias("top"))
-        cells = with_scalars(cells, span)
-    else:
-        cells = cells.withColumn("top", F.lit(levels - 1))
-    cells = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
-    shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
-    cells = cells.select("level", shift("iy").alias("cy"), shift("ix").alias("cx"), "rsrp", "mr")
-    return weighted_median(cells, ["level", "cy", "cx"], "rsrp", "mr").select(
-        "level", "cy", "cx", F.col("median").alias("rsrp"), F.col("weight").alias("mr"))
+    cells = with_cells(df, spec if spec is not None else grid_spec(df)).select(
+        F.col("iy").alias("cy"), F.col("ix").alias("cx"), "rsrp", "mr")
+    out = None
+    for level in range(levels):
+        if level:
+            half = lambda c: F.floor(F.col(c) / 2).cast("bigint").alias(c)
+            cells = cells.select(half("cy"), half("cx"), "rsrp", "mr")
+        cells = cells.groupBy("cy", "cx", "rsrp").agg(F.sum("mr").alias("mr"))
+        own = weighted_median(cells, ["cy", "cx"], "rsrp", "mr").select(
+            F.lit(level).alias("level"), "cy", "cx", F.col("median").alias("rsrp"),
+            F.col("weight").alias("mr"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def pyramid_levels(grid: DataFrame) -> int:
+    """Levels until one cell holds the whole grid (one small aggregate is run)."""
+    m = grid.agg(F.greatest(F.max("iy"), F.max("ix")), F.least(F.min("iy"), F.min("ix"))).first()
+    if m[0] is None:
+        return 1
+    level, lo, hi = 1, m[1], m[0]
+    while lo != hi and (lo, hi) != (-1, 0):
+        lo, hi, level = lo // 2, hi // 2, level + 1
+    return level
 
 
 def coverage_stats(grid: DataFrame) -> DataFrame:

@@ -16,63 +16,53 @@ from radiolake.operators import series as N
 from radiolake.operators.common import exact_quantiles, ranked, top_n_by, with_scalars
 from radiolake.operators.spatial import inter_site_distance
 
-SKETCH = 64
 COVER_CELLS, COVER_HOURS = 0.9, 0.5
 
 
-def object_sketch(df: DataFrame, file: str = "file", obj: str = "object",
-                  k: int = SKETCH) -> DataFrame:
-    """Per file: the k smallest hashes of its object names."""
-    h = df.select(file, F.substring(F.sha2(F.col(obj), 256), 1, 12).alias("h")).distinct()
-    low = top_n_by(h, [file], [F.col("h")], k)
-    return low.groupBy(file).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
-
-
-def sketch_overlap(a, b, k: int = SKETCH) -> Column:
-    """Share of two files' objects that are the same, from their sketches."""
-    u = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
-    both = F.size(F.filter(u, lambda x: F.array_contains(a, x) & F.array_contains(b, x)))
-    return F.when(F.size(u) > 0, both / F.size(u)).otherwise(0.0)
-
-
 def file_summary(df: DataFrame, kpis: DataFrame, file: str = "file") -> DataFrame:
-    """Per file: technology, hours, objects, KPI set and object sketch."""
+    """Per file: technology, hours, number of objects and KPI set."""
     g = df.groupBy(file).agg(
         F.first("tech").alias("tech"), F.min("datetime").alias("start"),
         F.max("datetime").alias("end"))
     n = df.select(file, "object").distinct().groupBy(file).agg(F.count(F.lit(1)).alias("objects"))
     k = kpis.groupBy(file).agg(F.sort_array(F.collect_set("kpi")).alias("kpis"))
-    return g.join(n, file).join(k, file).join(object_sketch(df, file), file)
+    return g.join(n, file).join(k, file)
 
 
-def newer_copies(summary: DataFrame, file: str = "file") -> DataFrame:
+def newer_copies(df: DataFrame, kpis: DataFrame, file: str = "file") -> DataFrame:
     """Pairs (old, new) where new is a newer copy: same technology, every KPI of old, nearly
-    all its cells, at least half its hours, and nothing older.
+    all its cells, at least half its hours, and nothing older. All counts are exact.
 
     A newer copy reaches past the old file's last hour and holds the second half of it, so the
-    two meet on the old file's last day, their technology and a sketch hash they share;
-    unrelated files and other days never meet.
+    two meet on the old file's last day and their technology. There hours and KPIs are compared
+    first; only the files of pairs that pass are then joined on their objects and counted.
     """
-    cols = ("start", "end", "objects", "kpis", "sketch")
+    summary = file_summary(df, kpis, file)
+    cols = ("start", "end", "objects", "kpis")
     day = lambda c: F.col(c).cast("date")
     side = lambda p, days: summary.select(
         F.col(file).alias(p), "tech", *[F.col(c).alias(f"{p}_{c}") for c in cols],
-        days.alias("_d")).withColumn("_h", F.explode(f"{p}_sketch"))
+        days.alias("_d"))
     old = side("old", day("end"))
     new = side("new", F.explode(F.sequence(day("start"), day("end"))))
-    pairs = old.join(new, ["tech", "_d", "_h"]).filter(
-        F.col("old") != F.col("new")).drop("_h", "_d").dropDuplicates(["old", "new"])
     hours = lambda a, b: (epoch_seconds(b) - epoch_seconds(a)) / 3600.0 + 1
     span = hours("old_start", "old_end")
     shared = hours(F.greatest("old_start", "new_start"), F.least("old_end", "new_end"))
-    j = sketch_overlap("old_sketch", "new_sketch")
-    pairs = pairs.withColumn("overlap", j)
-    cover = F.least(F.lit(1.0), F.col("overlap") * (F.col("old_objects") + F.col("new_objects"))
-                    / (1 + F.col("overlap")) / F.col("old_objects"))
     superset = F.size(F.array_except("old_kpis", "new_kpis")) == 0
-    return pairs.withColumn("cover", cover).filter(
-        (F.col("new_end") >= F.col("old_end")) & (shared >= COVER_HOURS * span) & superset
-        & (F.col("cover") >= COVER_CELLS)).select("old", "new", "overlap", "cover")
+    # a copy that lacks more than a tenth of the cells cannot hold nine tenths of them
+    enough = F.col("new_objects") >= COVER_CELLS * F.col("old_objects")
+    pairs = old.join(new, ["tech", "_d"]).filter(
+        (F.col("old") != F.col("new")) & (F.col("new_end") >= F.col("old_end"))
+        & (shared >= COVER_HOURS * span) & superset & enough).select(
+        "old", "new", "old_objects", "new_objects").distinct()
+    names = df.select(F.col(file).alias("old"), "object").distinct()
+    both = pairs.join(names, "old").join(names.withColumnRenamed("old", "new"), ["new", "object"])
+    both = both.groupBy("old", "new", "old_objects", "new_objects").agg(
+        F.count(F.lit(1)).alias("_both"))
+    return both.withColumn("overlap", F.col("_both") / (
+        F.col("old_objects") + F.col("new_objects") - F.col("_both"))).withColumn(
+        "cover", F.col("_both") / F.col("old_objects")).filter(
+        F.col("cover") >= COVER_CELLS).select("old", "new", "overlap", "cover")
 
 
 # ------------------------------------------------------------------ value bands
@@ -129,9 +119,10 @@ def band_counts(bands: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- KPI report
 def kpi_report(long: DataFrame, kpi: str, low_is_bad: bool, threshold: float, warning: float,
                regions: DataFrame, *, governorate: str | None = None,
-               sup_districts: Sequence[str] = (), site: str | None = None) -> dict[str, DataFrame]:
+               sup_districts: Sequence[str] = (), site: str | None = None,
+               top_sites: int = 10) -> dict[str, DataFrame]:
     """A scoped report of one KPI: cells with breach and spike flags, affected cells by area,
-    top sites at their worst cell, the hourly network mean, and scope totals.
+    the `top_sites` sites at their worst cell with their rank, the hourly network mean, and scope totals.
 
     A cell is affected when an hour passes the report's own threshold or it has a spike from
     the milder of that and the warning on.
@@ -170,7 +161,8 @@ def kpi_report(long: DataFrame, kpi: str, low_is_bad: bool, threshold: float, wa
         "cells": cells, "totals": totals,
         "by_area": hit.filter(F.col("sup_district").isNotNull()).groupBy("sup_district").agg(
             F.count(F.lit(1)).alias("affected")),
-        "top_sites": top.orderBy(sign * F.col("worst"), sign * F.col("value"), "site_id").limit(10),
+        "top_sites": ranked(top.withColumn("_all", F.lit(0)), ["_all"], [
+            sign * F.col("worst"), sign * F.col("value"), F.col("site_id")], top_sites).drop("_all"),
         "trend": rows.groupBy("datetime").agg(F.avg(v).alias("value")),
         "site_hour": rows.groupBy("site_id", hour_floor("datetime").alias("datetime")).agg(
             agg(v).alias("value"))}

@@ -156,16 +156,21 @@ def headline(per_cell: DataFrame, kpis: Sequence[str], technology: str = "LTE")
                     "cells_below_target")
 
 
-def hourly_pivot(df: DataFrame, kpi: str, hours: Sequence, id_col: str = "object",
-                 side: str | None = None) -> DataFrame:
-    """One row per object and one column per listed hour, mean, two decimals half to even."""
+def hourly_pivot(df: DataFrame, kpi: str, hours: Sequence, id_col: str | Sequence[str] = "object",
+                 side: str | None = None, label: str = "MM/dd HH:mm") -> DataFrame:
+    """One row per id and one column per listed hour, mean, two decimals half to even.
+
+    With a date among the id columns and the label `HH:mm` a period of any length keeps 24 columns.
+    """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     rows = df.filter(F.col(kpi).isNotNull()).withColumn(
-        "_h", F.date_format(F.col("datetime").cast("timestamp"), "MM/dd HH:mm"))
-    names = [h if isinstance(h, str) else h.strftime("%m/%d %H:%M") for h in hours]
+        "_h", F.date_format(F.col("datetime").cast("timestamp"), label))
+    shape = label.replace("MM", "%m").replace("dd", "%d").replace("HH", "%H").replace("mm", "%M")
+    names = [h if isinstance(h, str) else h.strftime(shape) for h in hours]
     aggs = [F.bround(F.avg(F.when(F.col("_h") == n, F.col(kpi))), 2).alias(n) for n in names]
     if side:
         aggs = [F.min(side).alias(side), *aggs]
-    return rows.groupBy(id_col).agg(*aggs)
+    return rows.groupBy(*ids).agg(*aggs)
 
 
 def time_matrix(df: DataFrame, kpi: str) -> DataFrame:

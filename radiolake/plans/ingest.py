@@ -1,5 +1,8 @@
 """Registered queries: sources, cleaning, file overlap, value bands, reports and composed runs."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from radiolake.functions import text as X
@@ -110,17 +113,16 @@ HOURS = [f"{h:02d}:00" for h in range(24)]
 @query("s04_wide_hours", with_ctes("""
 SELECT object AS cell_id, duplex, datetime, round(max(total_traffic_gb), 2) AS traffic,
   round(max(dl_prb_util), 2) AS prb
-FROM f3 WHERE datetime >= TIMESTAMP '2024-01-02' AND datetime < TIMESTAMP '2024-01-03' GROUP BY 1, 2, 3"""))
+FROM f3 WHERE total_traffic_gb IS NOT NULL OR dl_prb_util IS NOT NULL GROUP BY 1, 2, 3"""))
 def _(spark, d):
-    h = A.hourly(spark, d).filter(F.col("datetime").cast("date") == F.lit("2024-01-02").cast("date"))
+    h = A.hourly(spark, d).withColumn("day", F.col("datetime").cast("date"))
 
     def sheet(kpi):
         g = h.withColumn("_h", F.hour("datetime")).groupBy(
-            F.col("object").alias("cell_id"), "duplex").agg(
+            F.col("object").alias("cell_id"), "duplex", "day").agg(
             *[F.max(F.when(F.col("_h") == i, F.col(kpi))).alias(t) for i, t in enumerate(HOURS)])
-        return g.select("cell_id", "duplex", *[F.col(f"`{t}`").cast("string").alias(t) for t in HOURS])
-    u = E.unpivot_hours({"traffic": sheet("total_traffic_gb"), "prb": sheet("dl_prb_util")},
-                        "2024-01-02")
+        return g.select("cell_id", "duplex", "day", *[F.col(f"`{t}`").cast("string").alias(t) for t in HOURS])
+    u = E.unpivot_hours({"traffic": sheet("total_traffic_gb"), "prb": sheet("dl_prb_util")})
     u = u.filter(F.col("traffic").isNotNull() | F.col("prb").isNotNull())
     return u.select("cell_id", "duplex", "datetime", F.round("traffic", 2).alias("traffic"),
                     F.round("prb", 2).alias("prb"))
@@ -347,14 +349,20 @@ def _(spark, d):
     return E.describe_input(A.hourly(spark, d))
 
 
+def shared_path(spark, name):
+    """A new path in the folder that the cluster names for such files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="radiolake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query("s15_parsed_sink", with_ctes("""
-SELECT object, datetime, round(dl_prb_util, 6) AS dl_prb_util FROM f3
-WHERE datetime >= TIMESTAMP '2024-01-10' AND datetime < TIMESTAMP '2024-01-12'"""))
+SELECT object, datetime, datetime::DATE::VARCHAR AS date, round(dl_prb_util, 6) AS dl_prb_util FROM f3"""))
 def _(spark, d):
-    kept = K.keep_parsed(A.hourly(spark, d), "hourly")
-    days = kept.filter((F.col("date") >= F.lit("2024-01-10").cast("date"))
-                       & (F.col("date") < F.lit("2024-01-12").cast("date")))
-    return r6(days.select("object", "datetime", "dl_prb_util"), "dl_prb_util")
+    kept = K.keep_parsed(A.hourly(spark, d), shared_path(spark, "hourly"))
+    return r6(kept.select("object", "datetime", F.col("date").cast("string"), "dl_prb_util"), "dl_prb_util")
 
 
 @query("s16_geojson_lines", with_ctes("""
@@ -382,13 +390,18 @@ def files(spark, d):
 
 
 @query("a34_newer_copies", with_ctes("""
-SELECT site_id || '_old' AS old, site_id || '_new' AS new FROM hsites
-UNION ALL SELECT site_id || '_tail', site_id || '_new' FROM hsites"""))
+SELECT o.site_id || o.part AS old, n.site_id || '_new' AS new, count(n.object) * 1.0::DOUBLE / any_value(o.n) AS cover
+FROM (SELECT *, count(*) OVER (PARTITION BY site_id, part) AS n FROM fileobjects WHERE part <> '_new') o
+LEFT JOIN fileobjects n ON n.site_id = o.site_id AND n.object = o.object AND n.part = '_new'
+GROUP BY o.site_id, o.part, n.site_id HAVING cover >= 0.9""", fileobjects="""
+SELECT DISTINCT site_id, object, part FROM f3, (VALUES ('_old', DATE '2024-01-01', DATE '2024-01-20'),
+  ('_new', DATE '2024-01-05', DATE '2024-02-28'), ('_tail', DATE '2024-01-19', DATE '2024-02-28')) p(part, a, b)
+WHERE datetime::DATE BETWEEN a AND b"""))
 def _(spark, d):
     f = files(spark, d)
     kpis = f.select("file", F.explode(F.when(F.col("part") == "new", F.array(F.lit("a"), F.lit("b")))
                                       .otherwise(F.array(F.lit("a")))).alias("kpi")).distinct()
-    return RP.newer_copies(RP.file_summary(f, kpis)).select("old", "new")
+    return RP.newer_copies(f, kpis).select("old", "new", "cover")
 
 
 # ------------------------------------------------------------------ value bands

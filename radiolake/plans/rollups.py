@@ -110,15 +110,19 @@ def _(spark, d):
     return r6(h, "network", "worst")
 
 
-PIVOT_HOURS = [f"01/02 {h:02d}:00" for h in range(24)]
+PIVOT_HOURS = [f"{h:02d}:00" for h in range(24)]
 
 
-@query("a08_hourly_pivot", with_ctes("SELECT object, any_value(duplex) AS duplex, " + ", ".join(
-    f"round_even(avg(CASE WHEN strftime(datetime, '%m/%d %H:%M') = '{h}' THEN total_traffic_gb END)"
-    f", 2) AS \"{h}\"" for h in PIVOT_HOURS)
-    + " FROM f3 WHERE total_traffic_gb IS NOT NULL GROUP BY object"))
+@query("a08_hourly_pivot", with_ctes(
+    "SELECT object, strftime(datetime, '%Y-%m-%d') AS day, any_value(duplex) AS duplex, " + ", ".join(
+        f"round_even(avg(CASE WHEN strftime(datetime, '%H:%M') = '{h}' THEN total_traffic_gb END)"
+        f", 2) AS \"{h}\"" for h in PIVOT_HOURS)
+    + " FROM f3 WHERE total_traffic_gb IS NOT NULL GROUP BY object, strftime(datetime, '%Y-%m-%d')"))
 def _(spark, d):
-    return R.hourly_pivot(A.hourly(spark, d), "total_traffic_gb", PIVOT_HOURS, side="duplex")
+    h = A.hourly(spark, d).withColumn("day", F.date_format(
+        F.col("datetime").cast("timestamp"), "yyyy-MM-dd"))
+    return R.hourly_pivot(h, "total_traffic_gb", PIVOT_HOURS, ["object", "day"], side="duplex",
+                          label="HH:mm")
 
 
 @query("a09_time_matrix", with_ctes("""

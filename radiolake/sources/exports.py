@@ -257,17 +257,18 @@ def lines_to_rows(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     return parsed.select(*[F.col(f"r.`{c}`").alias(c) for c in cols])
 
 
-def unpivot_hours(sheets: dict[str, DataFrame], day: str) -> DataFrame:
+def unpivot_hours(sheets: dict[str, DataFrame], day: str | None = None) -> DataFrame:
     """One wide sheet per KPI (cell_id, duplex, then a column per hour) as one long frame,
-    the sheets merged on cell, duplex and hour."""
+    the sheets merged on cell, duplex and hour; without `day` the sheets have a column of it."""
     parts = None
     for kpi, df in sheets.items():
         hours = [c for c in df.columns if ":" in c]
         cells = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"`{h}`").cast("string").alias("v"))
                           for h in hours])
-        long = df.select("cell_id", "duplex", F.explode(cells).alias("x")).select(
-            "cell_id", "duplex", local_time(F.concat(F.lit(day + " "), F.col("x.h")))
-            .alias("datetime"), F.lit(kpi).alias("kpi"), clean_number("x.v").alias("_v"))
+        date = F.lit(day) if day else F.col("day").cast("string")
+        long = df.select("cell_id", "duplex", date.alias("_d"), F.explode(cells).alias("x")).select(
+            "cell_id", "duplex", local_time(F.concat_ws(" ", "_d", "x.h")).alias("datetime"),
+            F.lit(kpi).alias("kpi"), clean_number("x.v").alias("_v"))
         parts = long if parts is None else parts.unionByName(long)
     return parts.groupBy("cell_id", "duplex", "datetime").agg(
         *[F.max(F.when(F.col("kpi") == k, F.col("_v"))).alias(k) for k in sheets])

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,14 +45,8 @@ def write_geojson(df: DataFrame, path: str, ring: str | None = "ring",
     lines.write.mode(mode).text(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches, as the cluster names it; a local one only in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="radiolake-")
-
-
-def keep_parsed(df: DataFrame, name: str) -> DataFrame:
-    """The parsed frame written once and read back: later steps start from Parquet."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def keep_parsed(df: DataFrame, path: str) -> DataFrame:
+    """The parsed frame written once to a path that every executor reaches, and read back: later
+    steps start from Parquet. The caller names the path and removes it when it is done with."""
     write_hourly(df, path)
     return df.sparkSession.read.parquet(path)
