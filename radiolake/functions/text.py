@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,26 +83,55 @@ def sector_letter_no(text) -> Column:
         letter != "", F.ascii(letter) - F.ascii(F.lit("A")) + 1)
 
 
-# LTE channel ranges and name prefixes of each band.
-LTE_BANDS = ((0, 599, "L2100"), (1200, 1949, "L1800"), (2750, 3449, "L2600"),
-             (3450, 3799, "L900"), (6150, 6449, "L800"))
-NAME_BANDS = (("L21", "L2100"), ("L18", "L1800"), ("L26", "L2600"), ("L09", "L900"),
-              ("L9", "L900"), ("L08", "L800"), ("L8", "L800"), ("U21", "U2100"), ("U09", "U900"),
-              ("U9", "U900"), ("G18", "G1800"), ("G09", "G900"), ("G9", "G900"))
+# Band words in a cell name and LTE channel ranges of KPI files.
+BAND_WORD = (r"(?i)\b(L(?:08|8|18|19|21|23|26)00?|L\d{3,4}|U(?:09|21)00|G(?:09|18)00|"
+             r"N(?:35|78|28)\d?|LTE\d{3,4}|B\d{1,2})\b")
+CHANNEL_BANDS = ((0, 599, "L2100"), (1200, 1949, "L1800"), (2750, 3449, "L2600"),
+                 (6150, 6449, "L800"), (2400, 2649, "L2300"), (3450, 3799, "L2500"))
+NO_BAND = "UNKNOWN"
 
 
-def band_of(name, channel=None) -> Column:
-    """Band label from the cell name's prefix, else from the channel number."""
-    n = F.upper(F.trim(_c(name)))
-    out = None
-    for prefix, label in NAME_BANDS:
-        cond = n.startswith(prefix)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
+def channel_band(name, channel=None) -> Column:
+    """Band of a KPI file's cell: the band word in its name, else by its channel, else UNKNOWN."""
+    word = F.regexp_extract(_c(name), BAND_WORD, 1)
+    out = F.when(word != "", F.upper(word))
     if channel is not None:
-        ch = _c(channel)
-        for lo, hi, label in LTE_BANDS:
+        ch = F.floor(_c(channel).cast("string").try_cast("double"))
+        for lo, hi, label in CHANNEL_BANDS:
             out = out.when(ch.between(lo, hi), label)
-    return out
+    return out.otherwise(NO_BAND)
+
+
+# How the site map names bands, by technology, name prefix and channel.
+MAP_LTE = ((("L21",), (300.0, 325.0), None, "L2100"),
+           (("L26", "L40", "L41"), (), (39000.0, None), "L2600(TDD)"),
+           (("L9", "L09", "L8"), (3689.0, 3750.0), None, "L900"),
+           (("L23",), (), (38650.0, 39000.0), "L2300(TDD)"))
+
+
+def map_band(name, tech="4G", channel=None, raw=None, downlink=None) -> Column:
+    """Band label of a mapped cell; every technology has a label for what no rule names."""
+    tech = F.lit(tech) if isinstance(tech, str) and tech in ("2G", "3G", "4G") else _c(tech)
+    prefix = F.upper(F.regexp_extract(F.coalesce(_c(name), F.lit("")), r"^([A-Za-z]+\d*)", 1))
+    number = lambda c: (F.lit(None) if c is None else _c(c)).cast("string").try_cast("double")
+    any_of = lambda prefixes: reduce(or_, [prefix.startswith(p) for p in prefixes])
+    text = F.upper(F.coalesce(F.lit(None).cast("string") if raw is None else _c(raw), F.lit("")))
+    gsm = (F.when(text.contains("900"), "G900")
+           .when(text.contains("1800") | text.contains("DCS"), "G1800")
+           .when(text != "", text).otherwise("GSM"))
+    umts = F.when(any_of(("U9", "U09")) | F.coalesce(number(downlink) == 3088, F.lit(False)),
+                  "U900").otherwise("U2100")
+    ch = number(channel)
+    lte = F.when(F.lit(False), "")
+    for prefixes, channels, span, label in MAP_LTE:
+        hit = any_of(prefixes)
+        if channels:
+            hit = hit | F.coalesce(ch.isin(*channels), F.lit(False))
+        if span:
+            lo, hi = span
+            hit = hit | F.coalesce((ch >= lo) & (ch < hi if hi else F.lit(True)), F.lit(False))
+        lte = lte.when(hit, label)
+    return F.when(tech == "2G", gsm).when(tech == "3G", umts).otherwise(lte.otherwise("L1800"))
 
 
 def fix_latlon(lat, lon, box=((28.0, 34.0), (43.0, 50.0))) -> Column:

@@ -22,16 +22,6 @@ WEIGHT_FALLBACK = ("total_traffic_gb", "dl_traffic_gb", "rrc_setup_att", "erab_s
 LEVEL_ID = {"cell": "cell_id", "sector": "sector_id", "site": "site_id"}
 
 
-def weighted_mean(value: str, weight: Column) -> Column:
-    """Sum of value x weight over the sum of all weights; the plain mean where no weight is.
-
-    A row without a value adds nothing above the line but keeps its weight below it.
-    """
-    w = F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0))
-    total = F.sum(w)
-    return F.coalesce(F.sum(F.col(value) * w) / F.when(total != 0, total), F.avg(value))
-
-
 def period_bucket(col: str, period: str) -> Column:
     if period == "hour":
         return hour_floor(col)
@@ -346,7 +336,3 @@ def sibling_load(cells: DataFrame, kpi: str = "dl_prb_util") -> DataFrame:
     return per_cell.groupBy("site_id", "sector_id").agg(
         F.count(F.lit(1)).alias("cells"), F.max("load").alias("top"), F.min("load").alias("low"),
         F.sort_array(F.collect_list(F.struct("cell_id", "load"))).alias("siblings"))
-
-
-def rank_in(keys: Sequence[str], *order: Column) -> Column:
-    return F.row_number().over(W.partitionBy(*keys).orderBy(*order))

@@ -366,7 +366,3 @@ def ticket_search(df: DataFrame, q: str, fields: Sequence[str]) -> DataFrame:
 
 def newest_first(df: DataFrame, time: str = "create_time") -> DataFrame:
     return df.orderBy(F.desc_nulls_last(time), "ticket_id")
-
-
-def minutes_open(create: str, close: str) -> Column:
-    return (epoch_seconds(close) - epoch_seconds(create)) / 60.0

@@ -154,9 +154,19 @@ def _(spark, d):
     return k.select("cell_id", "site_id", "sector_id", "region", "datetime", "total_traffic_gb")
 
 
-@query("p10_granularity", with_ctes("SELECT 'hour' AS granularity"))
+GRAIN_SQL = """
+SELECT '{0}' AS rows_of, CASE WHEN (min(hour({1})) <> max(hour({1})) OR min(minute({1})) <> max(minute({1})))
+  AND count(*) / greatest((epoch(max({1})) - epoch(min({1}))) / 86400.0, 1.0) > 1.5 THEN 'hour' ELSE 'day' END AS granularity
+FROM {2}"""
+
+
+@query("p10_granularity", with_ctes(GRAIN_SQL.format("hours", "datetime", "f3") + " UNION ALL "
+                                    + GRAIN_SQL.format("days", "d", "(SELECT DISTINCT date_trunc('day', datetime)::TIMESTAMP AS d FROM f3)")))
 def _(spark, d):
-    return E.granularity(A.hourly(spark, d))
+    h = A.hourly(spark, d)
+    days = h.select(F.date_trunc("day", "datetime").alias("datetime")).distinct()
+    return E.granularity(h).withColumn("rows_of", F.lit("hours")).unionByName(
+        E.granularity(days).withColumn("rows_of", F.lit("days")))
 
 
 @query("s06_p02_p07_site_database", with_ctes("""
@@ -183,17 +193,57 @@ def _(spark, d):
                        "mech_tilt_deg", "cell_id"), "latitude", "longitude")
 
 
-@query("p05_band_of", with_ctes("""
-SELECT cell_name, earfcn, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN earfcn = 1300 THEN 'L1800' WHEN earfcn = 6200 THEN 'L800'
-  ELSE 'L2600' END WHEN p_partkey % 3 = 1 THEN 'L1800' ELSE 'U2100' END AS band
-FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'X_' WHEN 1 THEN 'L18_' ELSE 'U21_' END || p_partkey::VARCHAR AS cell_name,
-  [1300, 6200, 2800][p_partkey % 3 + 1 + (p_partkey // 3) % 3 - (p_partkey % 3)] AS earfcn FROM part)"""))
+A.CTES["bandcells"] = """
+SELECT ['X_', 'L18_', 'U2100-', 'L26_', 'L1800 ', 'L40_', 'L23_', 'L8_', 'U09_', 'G_', 'LX_', 'L21_'][p_partkey % 12 + 1]
+    || p_partkey::VARCHAR AS cell_name, ['2G', '3G', '4G'][p_partkey // 12 % 3 + 1] AS tech,
+  [300, 1300, 2500, 2800, 3500, 3689, 3750, 6200, 38700, 39000, NULL, 700][p_partkey // 36 % 12 + 1]::INTEGER AS earfcn,
+  ['GSM900', 'DCS', '', NULL][p_partkey // 5 % 4 + 1] AS raw, CASE WHEN p_partkey % 7 = 0 THEN 3088 END AS freq FROM part"""
+
+
+def band_cells(spark, d):
+    k = F.col("p_partkey")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]),
+                                          (i % len(values) + 1).cast("int"))
+    name = pick(["X_", "L18_", "U2100-", "L26_", "L1800 ", "L40_", "L23_", "L8_", "U09_", "G_", "LX_",
+                 "L21_"], k)
+    ch = pick([300, 1300, 2500, 2800, 3500, 3689, 3750, 6200, 38700, 39000, None, 700], F.floor(k / 36))
+    return A.table(spark, d, "part").select(
+        F.concat(name, k.cast("string")).alias("cell_name"),
+        pick(["2G", "3G", "4G"], F.floor(k / 12)).alias("tech"), ch.cast("int").alias("earfcn"),
+        pick(["GSM900", "DCS", "", None], F.floor(k / 5)).alias("raw"),
+        F.when(k % 7 == 0, 3088).alias("freq"))
+
+
+@query("p05_channel_band", with_ctes("""
+SELECT cell_name, earfcn, coalesce(upper(nullif(regexp_extract(cell_name, '(?i)\\b(L(?:08|8|18|19|21|23|26)00?|L[0-9]{3,4}|U(?:09|21)00)\\b', 1), '')),
+  CASE WHEN earfcn BETWEEN 0 AND 599 THEN 'L2100' WHEN earfcn BETWEEN 1200 AND 1949 THEN 'L1800'
+    WHEN earfcn BETWEEN 2750 AND 3449 THEN 'L2600' WHEN earfcn BETWEEN 6150 AND 6449 THEN 'L800'
+    WHEN earfcn BETWEEN 2400 AND 2649 THEN 'L2300' WHEN earfcn BETWEEN 3450 AND 3799 THEN 'L2500' ELSE 'UNKNOWN' END) AS band
+FROM bandcells"""))
+def _(spark, d):
+    return band_cells(spark, d).select("cell_name", "earfcn",
+                                       X.channel_band("cell_name", "earfcn").alias("band"))
+
+
+@query("p05_map_band", with_ctes("""
+SELECT cell_name, tech, earfcn, raw, freq, CASE tech WHEN '2G' THEN CASE WHEN raw = 'GSM900' THEN 'G900' WHEN raw = 'DCS' THEN 'G1800'
+    ELSE 'GSM' END WHEN '3G' THEN CASE WHEN cell_name LIKE 'U09%' OR freq = 3088 THEN 'U900' ELSE 'U2100' END
+  ELSE CASE WHEN cell_name LIKE 'L21%' OR earfcn = 300 THEN 'L2100'
+    WHEN cell_name LIKE 'L26%' OR cell_name LIKE 'L40%' OR earfcn >= 39000 THEN 'L2600(TDD)'
+    WHEN cell_name LIKE 'L8%' OR earfcn IN (3689, 3750) THEN 'L900'
+    WHEN cell_name LIKE 'L23%' OR earfcn BETWEEN 38650 AND 38999 THEN 'L2300(TDD)' ELSE 'L1800' END END AS band
+FROM bandcells"""))
+def _(spark, d):
+    c = band_cells(spark, d)
+    return c.withColumn("band", X.map_band("cell_name", "tech", "earfcn", "raw", "freq"))
+
+
+@query("p04_sector_letters", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 12 WHEN 2 THEN 2 END::INTEGER AS sector FROM part""")
 def _(spark, d):
     k = F.col("p_partkey")
-    name = F.concat(F.when(k % 3 == 0, "X_").when(k % 3 == 1, "L18_").otherwise("U21_"), k.cast("string"))
-    ch = F.element_at(F.array(F.lit(1300), F.lit(6200), F.lit(2800)), (F.floor(k / 3) % 3 + 1).cast("int"))
-    p = A.table(spark, d, "part").select(name.alias("cell_name"), ch.alias("earfcn"))
-    return p.select("cell_name", "earfcn", X.band_of("cell_name", "earfcn").alias("band"))
+    text = F.when(k % 4 == 0, "s3").when(k % 4 == 1, " 12 ").when(k % 4 == 2, "Sector B").otherwise("Z9x")
+    return A.table(spark, d, "part").select("p_partkey", X.sector_letter_no(text).alias("sector"))
 
 
 @query("p03_p04_name_parts", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.functions.text import band_of, tilt_deg
+from radiolake.functions.text import map_band, tilt_deg
 
 STATUS = {"onair": "On Air", "planned": "Planned", "offair": "Off Air"}
 
@@ -75,8 +75,8 @@ def parse_placemarks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = c.select("site_id", "sector", "sector_id", tech.alias("technology"),
                      name.alias("cell_name"), "latitude", "longitude", "status",
                      F.coalesce(num("azimuth"), "azimuth_deg").alias("azimuth_deg"),
-                     F.coalesce(band_of(name, num("earfcn")), F.try_element_at(kv, F.lit("band")))
-                     .alias("band_label"), num("pci").alias("pci"), num("earfcn").alias("earfcn"),
+                     map_band(name, tech, num("earfcn"), F.try_element_at(kv, F.lit("band")),
+                              num("dl freq")).alias("band_label"), num("pci").alias("pci"), num("earfcn").alias("earfcn"),
                      tilt.alias("elec_tilt_deg"))
     rets = F.regexp_extract_all("text", F.lit(r"(?i)band\s+\S+\s*:\s*([\d.]+)"), 1)
     mean_ret = F.aggregate(F.transform(rets, lambda x: x.cast("double")), F.lit(0.0),
