@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from radiolake.functions.text import window_bounds
-from radiolake.functions.times import day_floor, epoch_seconds, hour_floor, plus_hours
+from radiolake.functions.times import day_floor, hour_floor, plus_hours
 from radiolake.kpis import MAIN_KPIS
 from radiolake.operators.common import first_by, with_scalars
 from radiolake.operators.health import badness
