@@ -201,8 +201,10 @@ def write_deduplicated(resolved: DataFrame, folder: str, date: str = DATE) -> Da
 
     cols = resolved.select("path", "at", "page_id", "url", "payload_bytes", "payload_digest",
                            "first")
-    return keep(cols.groupBy("path").applyInArrow(copy, "path string, n_records long"),
-                "deduplicated")
+    # an archive is a task's work, however short its list of headers is
+    n = max(1, resolved.select("path").distinct().count())
+    return keep(cols.repartition(n, "path").groupBy("path").applyInArrow(
+        copy, "path string, n_records long"), "deduplicated")
 
 
 PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()),
