@@ -214,7 +214,9 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
                          "vec_id": pa.array(ids, pa.int64()),
                          "score": pa.array(scores, pa.float64())})
 
-    found = meets.groupBy("path", "part").applyInArrow(
+    # a block and a part of the queries are a task's work, however few bytes they are
+    found = meets.repartition(n * max(1, index.count()), "path", "part").groupBy(
+        "path", "part").applyInArrow(
         look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # an id that repeats may come from several blocks
