@@ -50,7 +50,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ",").alias("families"))
 
 
-@query("op3_benchmark_decontamination")
+def _sql_words(table: str, key: str) -> str:
+    return f"""
+  SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"""
+
+
+OP3_SQL = f"""
+WITH d AS ({_sql_words('documents', 'doc_id')}),
+b AS (SELECT *, least(10, len(w)) AS n FROM ({_sql_words('benchmark', 'item_id')}) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM b, unnest(range(1, len(w) - n + 2)) AS r(i)),
+runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS r(i)),
+hits AS (SELECT doc_id, item_id, i, n FROM runs JOIN windows USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(k) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.spans_of(table(spark, sf_dir, "documents"),
                                   table(spark, sf_dir, "benchmark"), window=10)
@@ -76,9 +99,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "page_id")
 
 
-@query("op6_warc_revisits")
+# base32 by hand: the 160 bits of the digest in groups of five
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+bits AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, list_reduce(list_transform(
+    range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
+      '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', sha1(html)[i])]), lambda a, x: a || x) AS b FROM p),
+coded AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT
+      + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT]), '') AS payload_digest FROM bits),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM kept"""
+
+
+@query("op6_warc_revisits", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op7_token_store")
