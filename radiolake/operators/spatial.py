@@ -57,7 +57,8 @@ def nearest_within(points: DataFrame, point_id: str, grid: DataFrame, metres: fl
 
 # ------------------------------------------------------------------ k nearest
 BASE_M = 125.0
-N_LEVELS = 11
+LEVELS = 19  # lattices of 125 m, 250 m ... to more than half of the Earth's circumference
+FAR_M = BASE_M * 2 ** (LEVELS - 1)
 
 
 def _level_m(lv: Column) -> Column:
@@ -68,60 +69,77 @@ def _key(level: Column, cell: Column) -> Column:
     return F.struct(level.cast("int").alias("lv"), cell["iy"].alias("iy"), cell["ix"].alias("ix"))
 
 
+def _on_all_levels(df: DataFrame) -> DataFrame:
+    """Every position (s_lat, s_lon) with the key of its cell in each lattice."""
+    d = df.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    return d.withColumn("_key", _key(F.col("_lv"), cell_key(
+        "s_lat", "s_lon", _level_m(F.col("_lv"))))).drop("_lv")
+
+
+def within_own_reach(points: DataFrame, reach: str, others: DataFrame) -> DataFrame:
+    """Pairs of a point (p_lat, p_lon) and another position (s_lat, s_lon) that the point's own
+    `reach` in metres can hold; the caller measures.
+
+    A point takes the cells its circle touches in the lattice as wide as its reach, and the
+    others keep one key a lattice, so a point with a small reach meets few of them.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.1, F.lit(BASE_M)) / BASE_M)).cast("int")
+    p = points.withColumn("_lv", F.least(level, F.lit(LEVELS - 1)))
+    p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.3)))
+    p = p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c")
+    return p.join(_on_all_levels(others), "_key").drop("_key")
+
+
 def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str, k: int,
               exclude: str | None = None, metric: str = "flat") -> DataFrame:
     """The k nearest places of every point, exactly: (point, place, dist_m, rank).
 
-    A pyramid of lattices (125 m to 128 km, then everything) holds each place in every cell it
-    can be near to. A first join at the finest level whose cell knows k places gives a k-th
-    distance to beat; a second join at the level as wide as that distance misses nothing, and
-    keeps only what is at least as near. `exclude` names a point column holding a place id
-    that does not count.
+    Points at one position are one, and of the places at one position only as many count as can
+    be wanted. Every lattice cell keeps that few places, too: a point looks at those of the
+    smallest cell around it that has enough (or, if none has, at those of the widest lattice),
+    which gives a distance that its k nearest cannot exceed. A second join looks at all places
+    within that distance, in the lattice as wide as it. `exclude` names a point column holding a
+    place id that does not count.
     """
     need = k + (1 if exclude else 0)
-    top = N_LEVELS
-    p_cols = [point_id] + ([exclude] if exclude and exclude != point_id else [])
-    p = _pos(points, "p", p_cols)
+    spot = ["p_lat", "p_lon"] + ([exclude] if exclude else [])
+    every = _pos(points, "p", list(dict.fromkeys([point_id] + ([exclude] if exclude else []))))
+    p = every.select(*spot).distinct()
     s = _pos(places, "s", [place_id]).withColumnRenamed(place_id, "_place")
+    s = top_n_by(s, ["s_lat", "s_lon"], [F.col("_place")], need)
+    fn = haversine_m if metric == "haversine" else flat_m
+    dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
+    order = [F.col("dist_m"), F.col("_place")]
 
-    # every level's cells around a place, then the one cell of the top level
-    levels = s.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    zero = F.lit(0).cast("bigint")
-    cells = F.when(F.col("_lv") < top, keys_within("s_lat", "s_lon", _level_m(F.col("_lv")), 1.3)
-                   ).otherwise(F.array(F.struct(zero.alias("iy"), zero.alias("ix"))))
-    spread = levels.withColumn("_c", F.explode(cells)).select(
-        "_place", "s_lat", "s_lon", _key(F.col("_lv"), F.col("_c")).alias("_key"))
-    whole = F.struct(F.lit(top).alias("lv"), zero.alias("iy"), zero.alias("ix"))
-    counts = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(
+    few = top_n_by(_on_all_levels(s), ["_key"], [F.col("s_lat"), F.col("s_lon"), F.col("_place")],
+                   need)
+    enough = few.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") >= need).select("_key")
-    own = F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda lv: _key(
+    own = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda lv: _key(
         lv, cell_key("p_lat", "p_lon", _level_m(lv))))
     p = p.withColumn("_own", own)
-    # the first level is a property of the finest cell: decide it once per distinct cell
-    fine = p.select("_own").distinct().withColumn("_key", F.explode("_own"))
-    level = fine.join(counts, "_key").groupBy("_own").agg(F.min("_key.lv").alias("_lv"))
-    p = p.join(level, "_own", "left")
-    at = lambda lv: F.when(lv < top, F.try_element_at("_own", lv + 1)).otherwise(whole)
-    fn = haversine_m if metric == "haversine" else flat_m
-    dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
-
-    def pairs(rows: DataFrame, lv: Column) -> DataFrame:
-        j = rows.withColumn("_key", at(lv)).join(spread, "_key").drop("_key")
-        if exclude:
-            j = j.filter(F.col("_place") != F.col(exclude))
-        return j.withColumn("dist_m", dist)
-
-    order = [F.col("dist_m"), F.col("_place")]
-    first = top_n_by(pairs(p, F.coalesce("_lv", F.lit(top))), [point_id], order, k)
-    keep = [c for c in (*p_cols, "p_lat", "p_lon", "_own") if c != point_id]
-    reach = first.groupBy(point_id).agg(
-        *[F.first(c).alias(c) for c in keep], F.max("dist_m").alias("_reach"),
-        F.count(F.lit(1)).alias("_found"))
-    wide = F.ceil(F.log2(F.greatest(F.col("_reach") * 1.02, F.lit(BASE_M)) / BASE_M)).cast("int")
-    lv = F.when(F.col("_found") < k, F.lit(top)).otherwise(F.least(wide, F.lit(top)))
-    near = pairs(reach, lv).filter((F.col("dist_m") <= F.col("_reach")) | (F.col("_found") < k))
-    best = top_n_by(near, [point_id], order, k, rank="rank")
-    return best.select(point_id, F.col("_place").alias(place_id), "dist_m", "rank")
+    # the smallest cell with enough places depends on the finest cell only
+    first = p.select("_own").distinct().withColumn("_key", F.explode("_own")).join(
+        enough, "_key").groupBy("_own").agg(F.min("_key").alias("_key"))
+    p = p.join(first, "_own", "left").drop("_own")
+    near = p.filter(F.col("_key").isNotNull()).join(few, "_key").drop("_key")
+    widest = few.filter(F.col("_key.lv") == LEVELS - 1).select(
+        F.col("_key.lv").alias("_lv"), "_place", "s_lat", "s_lon")
+    far = p.filter(F.col("_key").isNull()).drop("_key").withColumn("_lv", F.lit(LEVELS - 1)).join(
+        widest, "_lv").drop("_lv")
+    seen = near.unionByName(far)
+    if exclude:
+        seen = seen.filter(F.col("_place") != F.col(exclude))
+    seen = top_n_by(seen.withColumn("dist_m", dist), spot, order, k)
+    reach = seen.groupBy(*spot).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist_m")).otherwise(
+        FAR_M).alias("_reach"))
+    pairs = within_own_reach(reach, "_reach", s).withColumn("dist_m", dist).filter(
+        F.col("dist_m") <= F.col("_reach"))
+    if exclude:
+        pairs = pairs.filter(F.col("_place") != F.col(exclude))
+    best = top_n_by(pairs, spot, order, k, rank="rank")
+    return every.join(best.select(*spot, F.col("_place").alias("_found"), "dist_m", "rank"), spot
+                      ).select(point_id, F.col("_found").alias(place_id), "dist_m", "rank")
 
 
 def inter_site_distance(sites: DataFrame, k: int = 3) -> DataFrame:
@@ -177,25 +195,7 @@ def _site_points(sectors: DataFrame) -> DataFrame:
         F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
 
 
-FIRST_SITES = 3    # whose sectors give the score that the others have to beat
-REACH_LEVELS = 19  # lattices of 125 m, 250 m ... to more than the Earth's half circumference
-
-
-def within_own_reach(points: DataFrame, reach: str, others: DataFrame) -> DataFrame:
-    """Pairs of a point (p_lat, p_lon) and another position (s_lat, s_lon) that the point's own
-    `reach` in metres can hold; the caller measures.
-
-    A point takes the cells its circle touches in the lattice as wide as its reach, and the
-    others keep one key a lattice, so a point with a small reach meets few of them.
-    """
-    level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.02, F.lit(BASE_M)) / BASE_M)).cast("int")
-    p = points.withColumn("_lv", F.least(level, F.lit(REACH_LEVELS - 1)))
-    p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.02)))
-    p = p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c")
-    o = others.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(REACH_LEVELS - 1))))
-    o = o.withColumn("_key", _key(F.col("_lv"), cell_key("s_lat", "s_lon",
-                                                         _level_m(F.col("_lv"))))).drop("_lv")
-    return p.join(o, "_key").drop("_key")
+FIRST_SITES = 3  # whose sectors give the score that the others have to beat
 
 
 def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,

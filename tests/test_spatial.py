@@ -34,6 +34,48 @@ def test_k_nearest_matches_brute_force_on_uneven_places(spark, k):
         assert np.allclose(mine["dist_m"], [w[0] for w in want], atol=1e-3)
 
 
+@pytest.mark.parametrize("metric", ["flat", "haversine"])
+def test_k_nearest_with_crowded_positions_and_far_points(spark, metric):
+    rng = np.random.default_rng(3)
+    crowd = pd.DataFrame({"place": [f"c{i:05d}" for i in range(10_000)], "latitude": 30.5, "longitude": 47.5})
+    thin = pd.DataFrame({"place": [f"t{i}" for i in range(40)], "latitude": rng.uniform(29, 32, 40),
+                         "longitude": rng.uniform(46, 49, 40)})
+    pl = pd.concat([crowd, thin], ignore_index=True)
+    pts = np.vstack([np.tile([30.5, 47.5], (3000, 1)), [[30.5003, 47.5], [39.5, 47.5], [31.0, 36.0]],
+                     rng.uniform([29, 46], [32, 49], (20, 2))])
+    po = pd.DataFrame({"pid": range(len(pts)), "latitude": pts[:, 0], "longitude": pts[:, 1]})
+    po["own"] = np.where(po.pid < 3000, "c00001", "")
+    got = S.k_nearest(spark.createDataFrame(po), "pid", spark.createDataFrame(pl), "place", 3,
+                      exclude="own", metric=metric).toPandas().sort_values(["pid", "rank"])
+    assert len(got) == 3 * len(pts)
+    assert set(got[got.pid < 3000].place) == {"c00000", "c00002", "c00003"}
+    for i in range(3000, len(pts)):
+        if metric == "flat":
+            d = flat(pts[i, 0], pts[i, 1], pl.latitude.to_numpy(), pl.longitude.to_numpy())
+        else:
+            a, b = np.radians(pts[i]), np.radians(pl[["latitude", "longitude"]].to_numpy())
+            h = np.sin((b[:, 0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[:, 0]) * np.sin((b[:, 1] - a[1]) / 2) ** 2
+            d = 2 * 6371008.8 * np.arcsin(np.sqrt(h))
+        want = sorted(zip(np.round(d, 3), pl.place))[:3]
+        mine = got[got.pid == i]
+        assert np.allclose(mine.dist_m, [w[0] for w in want], atol=2e-3)
+        assert list(mine.place) == [w[1] for w in want]
+
+
+def test_best_server_is_not_limited_to_the_nearest_sites(spark):
+    rows = [(f"s{i}", f"n{i}", 30.0, 47.0 + (i + 1) * 1e-4, 90.0) for i in range(9)]  # all face away
+    rows.append(("far", "f", 30.0, 47.0 + 12e-4, 270.0))
+    sectors = spark.createDataFrame(rows, "sector_id string, site_id string, latitude double, "
+                                          "longitude double, azimuth_deg double")
+    point = spark.createDataFrame([(1, 30.0, 47.0 + 11e-4)], "pid int, latitude double, longitude double")
+    best = S.best_server(point, "pid", sectors).first()
+    assert best["sector_id"] == "s8" or best["score"] <= best["dist_m"] * 8.7
+    west = spark.createDataFrame([(1, 30.0, 47.0)], "pid int, latitude double, longitude double")
+    got = S.best_server(west, "pid", sectors).first()
+    scores = {r[0]: flat(30.0, 47.0, r[2], r[3]) * (1 + ((180 if r[4] == 90 else 0) / 65) ** 2) for r in rows}
+    assert got["sector_id"] == min(scores, key=scores.get)
+
+
 def test_k_nearest_excludes_itself_and_returns_all_when_few(spark):
     pl = spark.createDataFrame([("a", 30.0, 47.0), ("b", 30.001, 47.0), ("c", 35.0, 47.0)],
                                "site_id string, latitude double, longitude double")
