@@ -12,7 +12,7 @@ import string
 
 import numpy as np
 
-MEMO = 1_500_000  # words whose ids a task keeps (some 350 MB); when full it starts anew
+MEMO = 800_000    # words whose ids a task keeps (some 190 MB); when full it starts anew
 TOGETHER = 2_000  # new words of one call to the library
 ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the tokenizer
 

@@ -24,7 +24,7 @@ from radiolake.llm.common import bounded, map_batches, texts, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)  # besides the word itself
-MEMO = 400_000           # words whose score a task keeps
+MEMO = 200_000           # words whose score a task keeps
 DRIFT = 0.25             # what every word costs
 PRIOR = 2.0              # texts at a feature's pooled rate that its prior is worth
 Z = 2.6                  # lower end of a feature's log-odds, in standard errors
