@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import map_batches, texts, with_id
+from radiolake.llm.common import map_batches, with_id
 
 # words: runs of digits, letters and everything beyond ASCII, with A-Z lowered
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else
@@ -157,9 +157,11 @@ def blocks(bench: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
 
 
 def spans_of(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_col: str = "item_id", bench_text: str = "text", window: int = 10) -> DataFrame:
+             item_col: str = "item_id", bench_text: str = "text", window: int = 10,
+             cut_text: bool = False) -> DataFrame:
     """Per row: id, text, n_words, starts and ends of hit word spans, items (sorted strings).
 
+    With `cut_text` the text comes without its hit spans.
     Null texts have no words. An item without words is no window; one without an id hits but is
     not listed. Repeated items count once by id. Blocks of the benchmark follow one another as
     passes over the same rows, each with a broadcast automaton of bounded size.
@@ -171,17 +173,20 @@ def spans_of(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                     F.array().cast("array<int>").alias("starts"),
                     F.array().cast("array<int>").alias("ends"),
                     F.array().cast("array<string>").alias("items"))
-    for block in blocks(bench, item_col, bench_text):
+    parts = blocks(bench, item_col, bench_text)
+    for block in parts:
         rows = [(r["item"], words_of(r["text"])) for r in block.toLocalIterator()]
         shared = df.sparkSession.sparkContext.broadcast(Automaton(rows, window))
 
-        def one(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def one(batch: pa.RecordBatch, shared=shared,
+                finish=cut_text and block is parts[-1]) -> pa.RecordBatch:
             automaton = shared.value
+            body = batch.column(1).to_pylist()
             counts, starts, ends, items = [], [], [], []
             old = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(),
                       batch.column(5).to_pylist(), strict=True)
-            for text, (s, e, names) in zip(texts(batch.column(1)), old, strict=True):
-                words = words_of(text)
+            for k, (s, e, names) in enumerate(old):
+                words = words_of(body[k] or "")
                 found, who = automaton.spans(words)
                 if s:
                     found = merged(found, list(zip(s, e, strict=True)))
@@ -189,8 +194,10 @@ def spans_of(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
                 starts.append([a for a, _ in found])
                 ends.append([b for _, b in found])
                 items.append(sorted({*names, *(x for x in who if x is not None)}))
+                if finish and found:
+                    body[k] = cut(body[k], starts[-1], ends[-1])
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+                [batch.column(0), pa.array(body, pa.string()), pa.array(counts, pa.int64()),
                  pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())),
                  pa.array(items, pa.list_(pa.string()))], batch.schema.names)
 
@@ -224,17 +231,8 @@ def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     names = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                        F.col(text_col).alias("text"))
-    hit = spans_of(packed, bench, "row", "text", window=window)
-    hit = hit.where(n_hit() <= F.lit(max_coverage) * F.col("n_words"))
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [cut(t, s, e) if s else t for t, s, e in
-               zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(),
-                   batch.column(4).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())],
-                                          ["id", "text"])
-
-    clean = map_batches(hit, one, with_id(packed, "row", "text string"))
+    clean = spans_of(packed, bench, "row", "text", window=window, cut_text=True).where(
+        n_hit() <= F.lit(max_coverage) * F.col("n_words"))
     return clean.select(*[F.col("text").alias(c) if c == text_col else
                           F.col(f"id.`{c}`").alias(c) for c in names])
 
