@@ -85,8 +85,8 @@ def _(spark, d):
 
 
 @query("p02_plausible_levels", with_ctes("""
-SELECT datetime, object, CASE WHEN hour(datetime) % 6 <> 0 THEN round(ul_rssi_dbm, 2) END AS ul_rssi_dbm
-FROM f3"""))
+SELECT datetime, object, CASE WHEN v BETWEEN -150 AND -60 THEN round(v, 4) END AS ul_rssi_dbm
+FROM (SELECT *, CASE WHEN hour(datetime) % 6 = 0 THEN ul_rssi_dbm - 120 ELSE ul_rssi_dbm END AS v FROM f3)"""))
 def _(spark, d):
     level = F.when(F.hour("datetime") % 6 == 0, F.col("ul_rssi_dbm") - 120).otherwise(
         F.col("ul_rssi_dbm"))
@@ -94,7 +94,7 @@ def _(spark, d):
         stamp("datetime").alias("Time"), F.col("object").alias("Cell Name"),
         F.format_number(level, 6).alias("L.UL.Interference.Avg(dBm)"))
     c = E.canonical_hourly(raw, ["ul_rssi_dbm"], "4G")
-    return c.select("datetime", "object", F.round("ul_rssi_dbm", 2).alias("ul_rssi_dbm"))
+    return c.select("datetime", "object", F.round("ul_rssi_dbm", 4).alias("ul_rssi_dbm"))
 
 
 @query("s03_text_lines_to_rows", with_ctes("""
@@ -111,8 +111,8 @@ HOURS = [f"{h:02d}:00" for h in range(24)]
 
 
 @query("s04_wide_hours", with_ctes("""
-SELECT object AS cell_id, duplex, datetime, round(max(total_traffic_gb), 2) AS traffic,
-  round(max(dl_prb_util), 2) AS prb
+SELECT object AS cell_id, duplex, datetime, round(max(total_traffic_gb), 6) AS traffic,
+  round(max(dl_prb_util), 6) AS prb
 FROM f3 WHERE total_traffic_gb IS NOT NULL OR dl_prb_util IS NOT NULL GROUP BY 1, 2, 3"""))
 def _(spark, d):
     h = A.hourly(spark, d).withColumn("day", F.col("datetime").cast("date"))
@@ -124,8 +124,7 @@ def _(spark, d):
         return g.select("cell_id", "duplex", "day", *[F.col(f"`{t}`").cast("string").alias(t) for t in HOURS])
     u = E.unpivot_hours({"traffic": sheet("total_traffic_gb"), "prb": sheet("dl_prb_util")})
     u = u.filter(F.col("traffic").isNotNull() | F.col("prb").isNotNull())
-    return u.select("cell_id", "duplex", "datetime", F.round("traffic", 2).alias("traffic"),
-                    F.round("prb", 2).alias("prb"))
+    return r6(u.select("cell_id", "duplex", "datetime", "traffic", "prb"), "traffic", "prb")
 
 
 @query("s05_p08_p09_generic_kpi_file", with_ctes("""
