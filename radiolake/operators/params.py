@@ -210,7 +210,8 @@ def groups_for_list(wanted: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ audit
-# The likely cause each flag points to.
+# The likely cause each flag points to. `dup_pci_sector` has a cause but never rises:
+# the PCIs of a sector are a set, so none can repeat in it.
 POINTS_TO = {"missing_ret": "far_coverage", "tilt_imbalance": "far_coverage",
              "over_tilt": "far_coverage", "ret_at_max": "far_coverage",
              "few_sectors": "off_axis_azimuth", "azimuth_gap": "off_axis_azimuth",

@@ -521,12 +521,28 @@ def _(spark, d):
     return r6(sector_evidence(spark, d).drop("direction"), "v")
 
 
+@query("a20_sector_totals", with_ctes("""
+SELECT site_id, sector_id, kpi, datetime, round(CASE WHEN kpi = 'total_traffic_gb' THEN sum(value) ELSE avg(value) END, 6) AS v,
+  max(CASE WHEN kpi = 'dl_prb_util' AND value > 80 THEN 1 ELSE 0 END) AS issue
+FROM (SELECT * FROM f3) UNPIVOT (value FOR kpi IN (dl_prb_util, total_traffic_gb)) WHERE sector_id NOT LIKE '%-S0'
+GROUP BY 1, 2, 3, 4"""))
+def _(spark, d):
+    long = H.to_long(A.hourly(spark, d), ["dl_prb_util", "total_traffic_gb"])
+    rules = hourly_rules(spark).filter(F.col("kpi") == "dl_prb_util")
+    h = Z.sector_hours(long, rules, {"dl_prb_util": "mean", "total_traffic_gb": "sum"})
+    return r6(h.drop("direction"), "v")
+
+
 @query("a21_sector_evidence", with_ctes("""
-SELECT site_id, sector_id, kpi, hours, round(top, 6) AS top, round(mean, 5) AS mean, round(low, 6) AS low,
-  round(worst, 6) AS worst, issue_hours FROM zev"""))
+SELECT site_id, sector_id, kpi, hours, round(top, 6) AS top, round(mean, 4) AS mean, round(low, 6) AS low,
+  round(worst, 6) AS worst, issue_hours, coalesce(marks, '') AS issue_set FROM zev LEFT JOIN (
+    SELECT site_id, sector_id, kpi, string_agg(strftime(datetime, '%Y-%m-%d %H:%M'), ',' ORDER BY datetime) AS marks
+    FROM zhours WHERE issue > 0 GROUP BY 1, 2, 3) USING (site_id, sector_id, kpi)"""))
 def _(spark, d):
     e = Z.sector_evidence(sector_evidence(spark, d))
-    return r6(e.drop("start", "end"), "top", "low", "worst").withColumn("mean", F.round("mean", 5))
+    marks = F.transform("issue_set", lambda t: F.date_format(t.cast("timestamp"), "yyyy-MM-dd HH:mm"))
+    return r6(e.drop("start", "end"), "top", "low", "worst").withColumn(
+        "mean", F.round("mean", 4)).withColumn("issue_set", F.array_join(marks, ","))
 
 
 def site_facts(spark, d):
