@@ -10,11 +10,6 @@ from radiolake.llm.common import keep
 from radiolake.llm.queries import query, table, tokenizer_file
 
 
-def _keep_rows(docs: DataFrame, verdict: DataFrame, good) -> DataFrame:
-    """The rows of docs whose verdict (id, ...) is good, with their own columns."""
-    return verdict.where(good).select("id.*")
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """One struct per row that carries all columns through an operator as its id."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -22,29 +17,32 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null texts, texts without a letter and such as no known language codes."""
+    """Rejects null texts and texts without a letter: those are in no language."""
     trees = langid.train(docs.where(langid.learning_rows()))
     found = langid.predict(_rows(docs), trees, "row", "text")
-    return _keep_rows(docs, found, (F.col("lang_pred") != langid.UNKNOWN)
-                      & (F.col("bits_per_byte") <= MAX_BITS))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("id.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score 0.5 or more."""
     model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    return _keep_rows(docs, toxicity.score(_rows(docs), model, "row", "text"),
-                      F.col("score") < 0.5)
+    found = toxicity.score(_rows(docs), model, "row", "text")
+    return found.where(F.col("score") < 0.5).select("id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
-    Rows that repeat that id all belong to it; one of them stays.
+    Of rows that repeat that id one stays; documents without an id cannot stand for a group and
+    stay unless their group has an id.
     """
     found = simhash.near_duplicates(docs)
-    first = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = found.where(F.col("id") == F.col("component")).select("id").distinct()
+    kept = docs.join(first, docs["doc_id"] == first["id"], "left_semi").dropDuplicates(["doc_id"])
+    # an id is missing in few rows, if in any: they are told apart by their fingerprints
+    alone = found.where("id is null and component is null").select("fp").distinct()
+    marked = simhash.fingerprints(_rows(docs.where("doc_id is null")), "row", "text")
+    return kept.unionByName(marked.join(alone, "fp", "left_semi").select("id.*"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +59,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "id", "doc_id")
 
 
-MAX_BITS = 7.0  # bits a byte beyond which a text is noise: no language of the trees needs so many
-
 STAGES = [("language_id", language), ("toxicity", toxic), ("simhash_near_dedup", near_duplicates),
           ("benchmark_decontamination", benchmark), ("best_fit_packing", packed)]
 
