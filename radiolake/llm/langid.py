@@ -34,6 +34,8 @@ class Trees:
         """counts: of each language, how often each gram of order + 1 bytes (packed) occurs."""
         self.order, self.languages = order, sorted(counts)
         n = len(self.languages)
+        if not n:
+            return  # nothing was learned, so nothing can be coded
         grams = [np.fromiter(counts[x].keys(), np.int64, len(counts[x])) for x in self.languages]
         times = [np.fromiter(counts[x].values(), np.int64, len(counts[x]))
                  for x in self.languages]
