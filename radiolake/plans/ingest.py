@@ -378,6 +378,15 @@ def _(spark, d):
     return G.check_target(G.load_target(text_tickets(spark, d)))
 
 
+@query("s12_target_rows", with_ctes("""
+SELECT (ticket_id % 1200)::VARCHAR AS ticket_id, ticket_id::VARCHAR AS hpsm_id, site_id, 'Maysan / Emarah' AS city,
+  'data' AS affected_service, "user", problem_time, problem_time AS create_time FROM tickets"""))
+def _(spark, d):
+    t = G.load_target(text_tickets(spark, d))
+    return t.select("ticket_id", "hpsm_id", "site_id", "city", "affected_service", "user", "problem_time",
+                    "create_time")
+
+
 @query("s13_dimensions", with_ctes("""
 SELECT kpi, direction, warning, critical, judged, measured FROM (VALUES
   ('dl_prb_util', 'down', 75.0::DOUBLE, 90.0::DOUBLE, true), ('cell_avail_pct', 'up', 99.0, 99.0, true),

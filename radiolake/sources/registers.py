@@ -15,56 +15,112 @@ from radiolake.operators.common import top_n_by
 from radiolake.operators.spatial import geocode_area
 from radiolake.sources.exports import norm_header
 
-# Header names of each register.
+# Header names of each register, in the order in which they are looked for.
 SITE_HEADERS = {
-    "site_id": ("site id", "siteid", "name", "enodeb name", "enodeb", "nodeb name", "site"),
-    "site_name": ("folder name", "site name", "sitename"), "sector": ("sector", "sector no", "sec"),
-    "latitude": ("latitude", "lat", "site lat"), "longitude": ("longitude", "long", "lon", "lng"),
-    "azimuth_deg": ("direction", "azimuth", "azimuth deg", "az", "bearing"),
-    "antenna_height_m": ("height", "antenna height", "antenna height m", "agl"),
-    "mech_tilt_deg": ("mechanical tilt", "mech tilt", "m tilt", "mech tilt deg"),
-    "elec_tilt_deg": ("electrical tilt", "elec tilt", "ret", "elec tilt deg"),
-    "vbw_deg": ("vbeamwidth", "vertical beamwidth", "vbw", "vbw deg"),
-    "hbw_deg": ("hbeamwidth", "horizontal beamwidth", "hbw", "hbw deg"),
-    "status": ("status", "cell status", "state"), "band": ("band", "frequency band", "carrier"),
-    "cell_id": ("cell name", "cell id", "cell"), "region": ("region", "cluster", "area")}
+    "site_id": ("site id", "site_id", "siteid", "name", "enodeb name", "enodeb", "nodeb name",
+                "bts name", "site", "site id(sd check_site_id)", "site id(sd check)", "ne name"),
+    "site_name": ("foldr name", "folder name", "site name", "sitename"),
+    "sector": ("sector", "sector id", "sector no", "sec", "sectorid"),
+    "latitude": ("latitude", "lat", "site lat", "y"),
+    "longitude": ("longitude", "long", "lon", "lng", "site lon", "x"),
+    "azimuth_deg": ("direction", "azimuth", "azimuth deg", "az", "antenna azimuth", "bearing",
+                    "orientation"),
+    "antenna_height_m": ("height", "antenna height", "antenna height m", "ant height", "hba", "agl",
+                         "tower height"),
+    "mech_tilt_deg": ("mechanical tilt", "mech tilt", "m tilt", "mtilt", "mechanical downtilt",
+                      "mech_tilt_deg"),
+    "elec_tilt_deg": ("electrical tilt", "elec tilt", "e tilt", "etilt", "ret",
+                      "electrical downtilt", "digital tilt", "elec_tilt_deg",
+                      "electrical antenna tilt", "etilt deg"),
+    "vbw_deg": ("vbeamwidth", "v beamwidth", "vertical beamwidth", "vbw", "vert bw"),
+    "hbw_deg": ("hbeamwidth", "h beamwidth", "horizontal beamwidth", "hbw", "horiz bw",
+                "beamwidth"),
+    "status": ("status", "cell status", "on air", "state"),
+    "band": ("band", "frequency band", "carrier", "tech", "technology"),
+    "cell_id": ("cell name", "cell id", "cell", "cellname", "eutrancell", "cgi", "lcr id"),
+    "region": ("region", "cluster", "area", "zone")}
 COMPLAINT_HEADERS = {
-    "ticket_id": ("ticket id", "incident id", "hpsm incident id", "complaint id", "id"),
-    "msisdn": ("msisdn", "user number", "phone", "mobile"),
-    "problem_time": ("problem time", "call time", "complaint time"),
-    "create_time": ("create time", "created at", "open time"),
-    "close_time": ("close time", "closure time", "resolved time"),
-    "serving_raw": ("sector serving", "serving sector", "serving cell"),
-    "site_id": ("site id", "siteid", "serving site"), "cell_id": ("cell id", "cell name", "cell"),
-    "latitude": ("latitude", "lat"), "longitude": ("longitude", "long", "lon"),
-    "city": ("city", "governorate"), "sub_district": ("sub district", "subdistrict", "district"),
-    "status": ("status", "ticket status"), "group": ("group", "team"),
-    "closure_code": ("closure code",), "rf_analysis": ("rf analysis",),
-    "root_cause": ("root cause",), "diag_comment": ("diagnostic comment", "remarks"),
-    "diag_action": ("diagnostic action", "action")}
+    "ticket_id": ("ticket id", "incident id", "hpsm incident id", "ticket", "complaint id",
+                  "case id", "id"),
+    "msisdn": ("msisdn", "number of user", "user number", "phone", "mobile", "subscriber",
+               "b number", "calling number"),
+    "problem_time": ("problem time", "call time", "complaint time", "occurrence time", "fault time",
+                     "event time"),
+    "create_time": ("create time", "created at", "createtime", "creation time", "submittime",
+                    "open time", "logged"),
+    "close_time": ("close time", "closure time", "resolved time", "end time"),
+    "serving_raw": ("sector serving", "serving sector", "serving cell", "serving site sector",
+                    "sector"),
+    "site_id": ("site id", "site_id", "siteid", "serving site", "site id(sd check_site_id)",
+                "site id(sd check)", "enodeb"),
+    "site_name": ("site name", "sitename"),
+    "cell_id": ("cell id", "cell name", "cell", "cgi", "lcr"),
+    "latitude": ("latitude", "lat", "complaint lat", "y lat", "user lat"),
+    "longitude": ("longitude", "long", "lon", "lng", "complaint lon", "user lon"),
+    "city": ("city", "governorate", "gouvernorate", "province"),
+    "sub_district": ("sub district", "subdistrict", "district", "neighborhood", "neighbourhood",
+                     "area name", "land mark", "incident location"),
+    "region": ("region", "cluster"),
+    "status": ("status", "ticket status", "current status"),
+    "group": ("group", "team", "queue"),
+    "closure_code": ("closure code", "closure code(incident diagnostic)"),
+    "rf_analysis": ("rf analysis", "rf classification"),
+    "root_cause": ("root cause",),
+    "diag_comment": ("diagnostic comment", "diagnostic comment(incident diagnostic)",
+                     "field comment", "brief description", "remarks",
+                     "updated breakdown remarks"),
+    "diag_action": ("diagnostic action", "diagnostic action(incident diagnostic)", "action")}
+# with the letter of the sheet's column; `problem_time` is not in the register's own list
 HISTORY_HEADERS = {
-    "group": (("group",), "A"), "ticket_status": (("ticket status",), "B"),
-    "city": (("city",), "H"), "site_id": (("site id sd check site id",), "I"),
-    "user": (("user",), "M"), "create_time": (("created at", "create time"), "N"),
+    "group": (("group",), "A"),
+    "ticket_status": (("ticket status",), "B"),
+    "city": (("city",), "H"),
+    "site_id": (("site id(sd check_site_id)",), "I"),
+    "user": (("user",), "M"),
+    "create_time": (("created at", "create time"), "N"),
     "sup_district": (("sub district", "sup district"), "Z"),
-    "hpsm_id": (("hpsm incident id",), "BF"), "planned_site": (("site id sd check",), "BP"),
-    "closure_code": (("closure code incident diagnostic",), "BQ"),
-    "comment": (("diagnostic comment incident diagnostic",), "BS"),
-    "closure_time": (("closure time",), "DG"), "status": (("status",), "ER"),
-    "sector": (("sector serving",), "FB"), "longitude": (("longitude",), "FC"),
-    "latitude": (("latitude",), "FD"), "rf_analysis": (("rf analysis",), "FE"),
-    "service_ticket_id": (("ticket id",), None), "sla_status": (("sla status",), None),
-    "reopen": (("reopen count",), None), "expected": (("expected resolution time",), None),
+    "hpsm_id": (("hpsm incident id",), "BF"),
+    "closure_time": (("closure time",), "DG"),
+    "status": (("status",), "ER"),
+    "planned_site": (("site id(sd check)",), "BP"),
+    "closure_code": (("closure code(incident diagnostic)",), "BQ"),
+    "comment": (("diagnostic comment(incident diagnostic)",), "BS"),
+    "diag_create": (("createtime(incident diagnostic)",), "BT"),
+    "sector": (("sector serving",), "FB"),
+    "longitude": (("longitude",), "FC"),
+    "latitude": (("latitude",), "FD"),
+    "rf_analysis": (("rf analysis",), "FE"),
+    "service_ticket_id": (("ticket id",), None),
+    "sla_target": (("sla target time",), None),
+    "sla_status": (("sla status",), None),
+    "is_cmc": (("is cmc",), None),
+    "reopen": (("reopen count",), None),
+    "affected": (("affected services", "affected"), None),
+    "diag_submit": (("submittime(incident diagnostic)",), None),
+    "expected": (("expected resolution time",), None),
     "problem_time": (("problem time",), None)}
 TARGET_HEADERS = {
-    "ticket_id": ("ticket id", "cc id", "cc number"), "hpsm_id": ("hpsm incident id", "incident id"),
-    "site_id": ("site id", "serving site", "site"), "city": ("city", "governorate"),
-    "affected_service": ("affected services", "affected service", "service"),
+    "ticket_id": ("ticket id", "cc id", "cc number"),
+    "hpsm_id": ("hpsm incident id", "incident id", "hpsm id"),
+    "site_id": ("site id(sd check_site_id)", "site id(sd check)", "site id", "serving site",
+                "site"),
+    "city": ("city", "governorate", "gouvernorate"),
+    "affected_service": ("affected services", "affected service", "service", "product type"),
     "problem_time": ("problem time", "call time", "fault time"),
-    "create_time": ("created at", "create time"), "sla_status": ("sla status", "sla"),
-    "user": ("user", "assignee", "owner"), "reopen": ("reopen count", "reopen"),
-    "engineer": ("eng", "engineer", "assigned engineer"),
-    "comment": ("diagnostic comment", "field comment", "remarks")}
+    "create_time": ("created at", "create time", "createtime"),
+    "sla_status": ("sla status", "sla"),
+    "sla_target": ("sla target time",),
+    "msisdn": ("msisdn", "number", "b number"),
+    "opened_by": ("opened by", "operator"),
+    "user": ("user", "assignee", "owner"),
+    "reopen": ("reopen count", "reopen", "reopened", "reopen number", "reopen times"),
+    "engineer": ("eng", "engineer", "assigned engineer", "assigned to"),
+    "comment": ("diagnostic comment(incident diagnostic)", "diagnostic comment", "field comment",
+                "remarks", "brief description"),
+    "sub_district": ("sub district", "subdistrict", "district", "area"),
+    "ticket_kind": ("ticket type",),
+    "is_cmc": ("is cmc",),
+    "district": ("district",)}
 CLOSED_WORDS = ("close", "closed", "completed", "resolved", "reject", "rejected")
 
 
@@ -76,7 +132,7 @@ def by_headers(raw: DataFrame, table: dict[str, Sequence[str]],
         names.setdefault(norm_header(c), c)
     cols = [F.col(c) for c in keep]
     for field, options in table.items():
-        hit = next((names[o] for o in options if o in names), None)
+        hit = next((names[n] for n in map(norm_header, options) if n in names), None)
         cols.append((F.col(f"`{hit}`") if hit else F.lit(None)).cast("string").alias(field))
     return raw.select(*cols)
 
@@ -187,7 +243,7 @@ def load_history(raw: DataFrame) -> DataFrame:
     names: dict[str, str] = {}
     for c in raw.columns:
         names.setdefault(norm_header(c), c)
-    cols = {f: next((names[o] for o in opts if o in names), None)
+    cols = {f: next((names[n] for n in map(norm_header, opts) if n in names), None)
             for f, (opts, _l) in HISTORY_HEADERS.items()}
     if sum(v is not None for v in cols.values()) >= 3:
         taken = {v for v in cols.values() if v}
@@ -203,7 +259,8 @@ def load_history(raw: DataFrame) -> DataFrame:
     d = raw.select(*[clean_text(F.col(f"`{c}`") if c else F.lit("")).alias(f)
                      for f, c in cols.items()])
     d = d.filter(F.col("hpsm_id") != "")
-    times = ("create_time", "closure_time", "expected", "problem_time")
+    times = ("create_time", "closure_time", "diag_create", "diag_submit", "sla_target", "expected",
+             "problem_time")
     return d.withColumns({
         "site_id": F.upper("site_id"), "city": city_name("city"), "user": user_name("user"),
         "state": ticket_state("ticket_status", "status"), **{t: local_time(t) for t in times},
@@ -215,7 +272,7 @@ def load_target(raw: DataFrame) -> DataFrame:
     """The day's tickets; the row number of the sheet is kept when the frame carries `_row`."""
     d = by_headers(raw, TARGET_HEADERS, keep=[c for c in ("_row",) if c in raw.columns])
     d = d.withColumn("site_id", F.coalesce(site_code("site_id"), F.lit("")))
-    d = d.withColumns({t: local_time(t) for t in ("problem_time", "create_time")})
+    d = d.withColumns({t: local_time(t) for t in ("problem_time", "create_time", "sla_target")})
     return d.filter(~F.lower(F.trim(F.coalesce("ticket_id", F.lit("")))).isin("", "nan", "none"))
 
 

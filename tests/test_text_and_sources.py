@@ -127,3 +127,17 @@ def test_polygons_and_coverage_sources(spark, tmp_path):
     assert [tuple(x) for x in G.load_coverage(raw).collect()] == [(30.0, 47.0, -90.0, 1.0)]
     with pytest.raises(ValueError):
         G.load_coverage(raw.select("Latitude"))
+
+
+def test_registers_know_all_their_headers(spark):
+    from radiolake.sources import registers as G
+    raw = spark.createDataFrame([("BAS0001", "30.5", "47.1", "120", "31", "4", "65")],
+                                ["NE Name", "Y", "X", "Antenna Azimuth", "HBA", "eTilt", "beamwidth"])
+    row = G.load_site_db(raw).first()
+    assert (row["site_id"], row["latitude"], row["longitude"], row["azimuth_deg"], row["antenna_height_m"],
+            row["elec_tilt_deg"], row["hbw_deg"]) == ("BAS0001", 30.5, 47.1, 120.0, 31.0, 4.0, 65.0)
+    target = spark.createDataFrame([("7", "BAS0002", "2024-01-02 03:00:00", "Yes")],
+                                   ["CC Number", "Site ID(SD Check)", "SLA Target Time", "Is CMC"])
+    got = G.load_target(target).first()
+    assert (got["ticket_id"], got["site_id"], got["is_cmc"]) == ("7", "BAS0002", "Yes")
+    assert got["sla_target"] == dt.datetime(2024, 1, 2, 3)
