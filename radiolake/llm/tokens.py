@@ -12,7 +12,7 @@ import string
 
 import numpy as np
 
-MEMO = 800_000    # words whose ids a task keeps (some 190 MB); when full it starts anew
+MEMO = 800_000    # words whose ids a worker keeps (some 190 MB); when full it starts anew
 TOGETHER = 2_000  # new words of one call to the library
 ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the tokenizer
 
@@ -20,7 +20,8 @@ ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the tokenizer
 class WordIds:
     """Token ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.most = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,7 +88,7 @@ class WordIds:
 
     def encode(self, rows: list[str]) -> list[bytes]:
         parts = [self._words(t) for t in rows]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
             self.ends.clear()
         # the first word has no space before it, so it is encoded as it is
@@ -106,11 +107,11 @@ class WordIds:
         return out
 
 
-_MADE: dict[str, WordIds] = {}
+_MADE: dict[tuple[str, int], WordIds] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, memo: int = MEMO) -> WordIds:
     """The encoder of this Python worker, made at its first use and kept for later tasks."""
-    if path not in _MADE:
-        _MADE[path] = WordIds(path)
-    return _MADE[path]
+    if (path, memo) not in _MADE:
+        _MADE[path, memo] = WordIds(path, memo)
+    return _MADE[path, memo]

@@ -27,6 +27,7 @@ from radiolake.llm.common import BATCH_ROWS, bounded, crc32, keep, new_dir, text
 from radiolake.llm.tokens import encoder
 
 GAMMA = 2.0        # bits of a level for each key that is left
+WORDS = 1_600_000  # words that a worker keeps the ids of (some 380 MB): it does nothing else
 LEVELS = 40        # keys left after so many levels stand in a table of their own
 MAX_SHARDS = 1_000_000  # of a manifest whose key ranges a lookup broadcasts (some 50 MB)
 MANIFEST = ("shard int, path string, n_docs long, n_tokens long, first_key string, "
@@ -166,7 +167,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
     def shard(batches):
         from pyspark import TaskContext
         number = TaskContext.get().partitionId()
-        codec = encoder(tokenizer)
+        codec = encoder(tokenizer, WORDS)
         width = 2 if codec.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         name = f"{path}/{number:06d}-{uuid.uuid4().hex}"
         system, own = _open(path)
