@@ -214,6 +214,16 @@ def test_licences(spark):
     assert licences.scan(table.limit(0)).count() == 0
 
 
+def test_notices_without_usual_words(spark):
+    """Every word of a feature counts: these hold none of license, licensed, copyright, ..."""
+    rows = [(1, "Available under CC BY-SA 4.0."), (2, "x\nDistributed under the GPLv3."),
+            (3, "Dedicated to the public domain under CC0 1.0."), (4, "der hund mit der katze")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: [(x["paragraph"], x["family"]) for x in r["licences"] if x["confirmed"]]
+            for r in got} == {1: [(0, "cc-by-sa-4.0")], 2: [(1, "gpl-3.0")], 3: [(0, "cc0-1.0")],
+                              4: []}
+
+
 def test_licence_plan_is_native(spark):
     table = spark.createDataFrame([(1, "Released under the MIT License.")],
                                   "doc_id long, text string")
