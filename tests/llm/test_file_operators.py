@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -224,6 +225,21 @@ def test_notices_without_usual_words(spark):
                               4: []}
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped at 72 columns or in comments are found, once, at their first line."""
+    rows, want = [], {}
+    for k, (family, text) in enumerate(licences.TEMPLATES):
+        lines = textwrap.wrap(text, 72)
+        rows.append((2 * k, "Some prose.\n\n" + "\n".join(lines) + "\n\nmore prose"))
+        rows.append((2 * k + 1, "/*\n *\n" + "\n".join(f" * {x}" for x in lines) + "\n *\n */"))
+        want[2 * k] = want[2 * k + 1] = {family}
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = {r["id"]: [x for x in r["licences"] if x["confirmed"]] for r in got}
+    assert {k: {x["family"] for x in v} for k, v in named.items()} == want
+    whole = next(k for k, (_, t) in enumerate(licences.TEMPLATES) if "sublicense" in t)
+    assert [x["paragraph"] for x in named[2 * whole]] == [2]
+
+
 def test_licence_plan_is_native(spark):
     table = spark.createDataFrame([(1, "Released under the MIT License.")],
                                   "doc_id long, text string")
