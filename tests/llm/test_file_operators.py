@@ -192,6 +192,17 @@ def test_wrapper_is_union_free_and_independent_of_order():
     assert '["+", ["p", "#", "/p"]], false' in one and '["h", true]' in one
 
 
+def test_long_wrappers_align_like_short_ones():
+    """No node is left out for being frequent, however long the lists are."""
+    page = [x for k in range(90) for x in (f"h{k}", "p", "#", "/p")]
+    wrapper = [x for k in range(9000) for x in ("p", "#", "/p", f"h{k % 90}")]
+    pairs = html_wrappers.align(wrapper, page)
+    both = [(i, j) for i, j in pairs if i is not None and j is not None]
+    assert [j for _, j in both] == list(range(len(page)))
+    assert both == sorted(both) and all(wrapper[i] == page[j] for i, j in both)
+    assert len(pairs) == len(wrapper)
+
+
 # --- licences ------------------------------------------------------------------------------
 
 def test_licences(spark):
