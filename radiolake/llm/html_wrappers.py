@@ -5,8 +5,10 @@ pages of one template have few shapes. The distinct shapes of a host are aligned
 other: what both sides have stays, what one side lacks becomes optional. The result is a
 union-free regular expression of tags, text slots, repeated and optional nodes: the wrapper. Its
 text slots are marked as content by where they stand: inside an article or main element if the
-host has one, and never inside menus, headers, footers, asides, forms or what is named as advert,
-notice, sidebar or comments. A page is read by aligning its shape with the wrapper of its host.
+page has one, and never inside menus, headers, footers, asides, forms or what is named as advert,
+notice, sidebar or comments. A page is read by aligning its shape with the wrapper of its host;
+nodes align only in like containers. On pages without an article or main element, texts that stand on
+every such page of the host are constants, no content.
 
 Only distinct shapes are shuffled by host, first in salted parts and then as partial wrappers, so
 a host with a third of all pages weighs no more than its number of layouts.
@@ -19,6 +21,7 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ APART_NAMES = set(
     "notices comment comments disqus share sharing social related newsletter subscribe popup modal "
     "widget toolbar search contentinfo complementary".split())
 MAIN = set("article main".split())
+WHOLE = set("html head body".split())  # their names say something of the whole page
 LONGEST = 24       # tokens of a group that can fold
 SALTS = 16
 MEMO = 20_000      # shapes whose reading a task keeps
@@ -56,7 +60,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
             name = name.lower()
             if name[0] != "/":
                 said = " ".join(NAMED.findall(m.group(3))).lower() if m.group(3) else ""
-                if name in APART or APART_NAMES & set(re.split(r"[^a-z0-9]+", said)):
+                if name in APART or name not in WHOLE and APART_NAMES & set(re.split(r"[^a-z0-9]+", said)):
                     name += "!"
             out.append((name, ""))
         elif m.group()[0] != "<" or m.group() == "<":
@@ -141,6 +145,36 @@ def _keys(nodes: list) -> list[str]:
     return [n if isinstance(n, str) else json.dumps(n) for n in nodes]
 
 
+def placed(nodes: list) -> list:
+    """Each node with where it stands: its container and the kinds of containers around it."""
+    stack: list[str] = []
+    out = []
+    for n in nodes:
+        if not (isinstance(n, str) and n[0] == "/"):
+            out.append(_context(n, stack))
+        for name in _flat([n]):
+            _walk(stack, name)
+        if isinstance(n, str) and n[0] == "/":
+            out.append(_context(n, stack))
+    return out
+
+
+def _context(node, stack: list[str]) -> list:
+    return [node, stack[-1] if stack else "", any(x[-1] == "!" for x in stack),
+            any(x in MAIN for x in stack)]
+
+
+def _walk(stack: list[str], name: str) -> None:
+    """The open tags after a tag or text."""
+    if name[0] == "/":
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].rstrip("!") == name[1:]:
+                del stack[k:]
+                return
+    elif name != TEXT and name.rstrip("!") not in VOID:
+        stack.append(name)
+
+
 def align(a: list, b: list) -> list[tuple[int | None, int | None]]:
     """Pairs of places of two node lists, in order; None where one side has nothing.
 
@@ -178,7 +212,7 @@ def merge(one: list, two: list) -> list:
     bodies = by_length(groups([n for n, _ in one + two]))
     one, two = ([list(x) for x in zip(*_stable(w, bodies), strict=True)] for w in (one, two))
     out = []
-    for i, j in align([n for n, _ in one], [n for n, _ in two]):
+    for i, j in align(placed([n for n, _ in one]), placed([n for n, _ in two])):
         if i is not None and j is not None:
             out.append([one[i][0], one[i][1] or two[j][1]])
         else:
@@ -211,24 +245,23 @@ def shape_of(names: list[str]) -> str:
     return json.dumps([[n, False] for n in fold(names)[0]])
 
 
-def slots(nodes: list) -> list[bool]:
-    """For every text slot in order, in a group once: is it content?"""
-    flat = list(_flat(nodes))
-    has_main = any(n.rstrip("!") in MAIN for n in flat)
+def has_main(names) -> bool:
+    return any(n.rstrip("!") in MAIN for n in names)
+
+
+def slots(nodes: list, main: bool) -> list[bool]:
+    """For every text slot in order, in a group once: is it content?
+
+    `main`: the page has an article or main element, so what stands outside is none.
+    """
     stack: list[str] = []
     out = []
-    for name in flat:
+    for name in _flat(nodes):
         if name == TEXT:
             apart = any(s[-1] == "!" for s in stack)
             inside = any(s in MAIN for s in stack)
-            out.append(not apart and (inside or not has_main))
-        elif name[0] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].rstrip("!") == name[1:]:
-                    del stack[k:]
-                    break
-        elif name.rstrip("!") not in VOID:
-            stack.append(name)
+            out.append(not apart and (inside or not main))
+        _walk(stack, name)
     return out
 
 
@@ -247,10 +280,11 @@ def reading(wrapper: str, names: list[str]) -> list[bool]:
     """
     whole = [n for n, _ in json.loads(wrapper)]
     nodes, sizes = fold(names, by_length(groups(whole)))
-    it = iter(slots(whole))
+    main = has_main(names)
+    it = iter(slots(whole, main))
     marks = [[next(it) for x in _flat([n]) if x == TEXT] for n in whole]
-    wrapped = {j: i for i, j in align(whole, nodes) if i is not None and j is not None}
-    own, verdict, place = slots(names), [], 0
+    wrapped = {j: i for i, j in align(placed(whole), placed(nodes)) if i is not None and j is not None}
+    own, verdict, place = slots(names, main), [], 0
     for j, size in enumerate(sizes):
         n = sum(x == TEXT for x in names[place:place + size])
         mark = marks[wrapped[j]] if j in wrapped else []
@@ -260,7 +294,44 @@ def reading(wrapper: str, names: list[str]) -> list[bool]:
     return verdict
 
 
-def extract(wrapper: str, page: str, memo: dict) -> str:
+def text_hash(text: str) -> int:
+    """Signed 64 bits of a text, white space aside."""
+    return xxhash.xxh64_intdigest(" ".join(html.unescape(text).split())) - (1 << 63)
+
+
+def loose_texts(stream: list[tuple[str, str]]) -> set[int]:
+    """Hashes of the texts of a page without a main element that no tag or name marks apart."""
+    names = [n for n, _ in stream]
+    if has_main(names):
+        return set()
+    own = (t for n, t in stream if n == TEXT)
+    return {text_hash(t) for t, content in zip(own, slots(names, False), strict=True) if content}
+
+
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, constants): texts that stand on every page of a host that has no main element.
+
+    Equal pages count once; a page without such texts, and a host with one such page, say nothing.
+    """
+    def own(batches):
+        for batch in batches:
+            found = [loose_texts(tokens(page)) for page in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))],
+                ["host", "found"])
+
+    found = bounded(pages).mapInArrow(own, "host string, found array<long>").where(
+        "size(found) > 0").distinct()
+    found = keep(found, "loose-texts")
+    sizes = found.groupBy("host").count().where("count > 1")
+    each = found.select("host", F.explode("found").alias("h")).groupBy("host", "h").agg(
+        F.count("*").alias("n"))
+    # no more than the texts of one page
+    return each.join(sizes, "host").where("n = count").groupBy("host").agg(
+        F.collect_list("h").alias("constants"))
+
+
+def extract(wrapper: str, page: str, memo: dict, constant: frozenset = frozenset()) -> str:
     """Blocks of content in page order, one line each."""
     stream = tokens(page)
     names = [n for n, _ in stream]
@@ -271,9 +342,11 @@ def extract(wrapper: str, page: str, memo: dict) -> str:
             memo.clear()
         marks = memo[key] = reading(wrapper, names)
     blocks, current, k = [], [], 0
+    if constant and has_main(names):
+        constant = frozenset()
     for name, text in stream:
         if name == TEXT:
-            if marks[k]:
+            if marks[k] and not (constant and text_hash(text) in constant):
                 current.append(html.unescape(text))
             k += 1
         elif name == "br":
@@ -337,14 +410,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                         F.col(html_col).cast("string").alias("html"),
                         host_of(url_col).alias("host"))
     known = wrappers(pages, url_col, html_col).select("host", "wrapper")
-    joined = rows.join(known, "host", "left").select("id", "url", "html", "wrapper")
+    same = constants(rows.select("host", "html"))
+    joined = rows.join(known.join(same, "host", "left"), "host", "left").select(
+        "id", "url", "html", "wrapper", "constants")
 
     def read(batches):
         memo: dict = {}
         for batch in batches:
             wrapper = [w or "[]" for w in batch.column(3).to_pylist()]
-            out = [extract(w, t, memo)
-                   for w, t in zip(wrapper, texts(batch.column(2)), strict=True)]
+            out = [extract(w, t, memo, frozenset(c or ()))
+                   for w, t, c in zip(wrapper, texts(batch.column(2)),
+                                      batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()),
                  pa.array([len(t) for t in out], pa.int64())], ["id", "url", "text", "n_chars"])

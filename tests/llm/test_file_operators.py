@@ -203,6 +203,18 @@ def test_long_wrappers_align_like_short_ones():
     assert len(pairs) == len(wrapper)
 
 
+def test_texts_that_agree_are_no_content(spark):
+    """Repeated boilerplate goes, names of the body mark nothing apart, layouts can mix."""
+    rows = [(k, "http://c.com/", f'<body class="has-sidebar"><div>Welcome to C</div><p>Story {k}</p>'
+                                 "<div>All of C</div></body>") for k in range(3)]
+    rows += [(10, "http://m.com/a", "<h2>A</h2><p>B</p><div>own text</div>"),
+             (11, "http://m.com/b", "<article><h2>X</h2><p>Y</p></article><footer>foot</footer>")]
+    got = html_wrappers.main_text(spark.createDataFrame(
+        rows, "page_id long, url string, html string")).collect()
+    assert {r["id"]: r["text"] for r in got} == {
+        0: "Story 0", 1: "Story 1", 2: "Story 2", 10: "A\nB\nown text", 11: "X\nY"}
+
+
 # --- licences ------------------------------------------------------------------------------
 
 def test_licences(spark):
