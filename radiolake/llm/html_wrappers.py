@@ -1,8 +1,8 @@
 """Main text of web pages by wrappers inferred from each host's pages.
 
-A page is a stream of tags and text slots. Adjacent equal groups fold into repeated groups, so
-pages of one template have few shapes. The distinct shapes of a host are aligned one after the
-other: what both sides have stays, what one side lacks becomes optional. The result is a
+A page is a stream of tags and text slots, without inline tags. Adjacent equal groups of any length
+fold into repeated groups, so pages of one template have few shapes. The distinct shapes of a host
+are aligned: what both sides have stays, what one side lacks becomes optional. The result is a
 union-free regular expression of tags, text slots, repeated and optional nodes: the wrapper. Its
 text slots are marked as content by where they stand: inside an article or main element if the
 page has one, and never inside menus, headers, footers, asides, forms or what is named as advert,
@@ -10,8 +10,8 @@ notice, sidebar or comments. A page is read by aligning its shape with the wrapp
 nodes align only in like containers. On pages without an article or main element, texts that stand on
 every such page of the host are constants, no content.
 
-Only distinct shapes are shuffled by host, first in salted parts and then as partial wrappers, so
-a host with a third of all pages weighs no more than its number of layouts.
+Only distinct shapes are shuffled by host. They are merged in a tree of rounds, some GROUP of them in
+a task, so a host with many layouts has many tasks; its wrapper is as long as its layouts differ.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import html
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -44,8 +45,7 @@ APART_NAMES = set(
     "widget toolbar search contentinfo complementary".split())
 MAIN = set("article main".split())
 WHOLE = set("html head body".split())  # their names say something of the whole page
-LONGEST = 24       # tokens of a group that can fold
-SALTS = 16
+GROUP = 64         # wrappers that a task merges in one round, about
 MEMO = 20_000      # shapes whose reading a task keeps
 
 TEXT = "#"
@@ -72,6 +72,40 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def skeleton(stream: list[tuple[str, str]]) -> tuple[list[str], list[str], list[int]]:
+    """Names without inline tags, texts of their slots, and the slot of each text of the stream.
+
+    Text that only inline tags part is one slot; an inline tag that stands apart stays.
+    """
+    names: list[str] = []
+    slot_texts: list[str] = []
+    places: list[int] = []
+    open_tags: list[str] = []
+    for name, text in stream:
+        if name == TEXT:
+            if names and names[-1] == TEXT:
+                slot_texts[-1] += text
+            else:
+                names.append(name)
+                slot_texts.append(text)
+            places.append(len(slot_texts) - 1)
+            continue
+        plain = name.strip("/!")
+        if plain in INLINE:
+            if name[0] != "/":
+                if plain not in VOID:
+                    open_tags.append(name)
+                if name[-1] != "!" or plain in VOID:
+                    continue
+            else:
+                at = next((k for k in range(len(open_tags) - 1, -1, -1)
+                           if open_tags[k].rstrip("!") == plain), None)
+                if at is None or open_tags.pop(at)[-1] != "!":
+                    continue
+        names.append(name)
+    return names, slot_texts, places
+
+
 def fold(names: list, bodies: list = ()) -> tuple[list, list[int]]:
     """(nodes, tokens of each): a node is a name, or ["+", nodes] for equal groups in a row.
 
@@ -79,8 +113,11 @@ def fold(names: list, bodies: list = ()) -> tuple[list, list[int]]:
     """
     nodes, sizes = list(names), [1] * len(names)
     while True:
-        before = len(nodes)
-        for size in range(1, LONGEST + 1):
+        before, size, ids = len(nodes), 0, _ids(nodes)
+        while size < len(nodes) // 2:
+            size += 1
+            if not _repeats(ids, size):
+                continue
             out, counts, k = [], [], 0
             while k < len(nodes):
                 group, end = nodes[k:k + size], k + size
@@ -94,12 +131,23 @@ def fold(names: list, bodies: list = ()) -> tuple[list, list[int]]:
                     out.append(nodes[k])
                     counts.append(sizes[k])
                     k += 1
-            nodes, sizes = out, counts
+            nodes, sizes, ids = out, counts, _ids(out)
         nodes, sizes = _alone(nodes, sizes, bodies, sum)
         if len(nodes) == before:
             return nodes, sizes
 
 
+def _ids(nodes: list) -> np.ndarray:
+    seen: dict[str, int] = {}
+    return np.array([seen.setdefault(k, len(seen)) for k in _keys(nodes)], np.int64)
+
+
+def _repeats(ids: np.ndarray, size: int) -> bool:
+    """Is there a group of that size that stands twice in a row?"""
+    same = np.concatenate([[0], np.cumsum(ids[size:] == ids[:-size])])
+    return bool((same[size:] - same[:-size] == size).any())
+
+
 def _alone(nodes: list, marks: list, bodies: list, join) -> tuple[list, list]:
     """Groups of `bodies` that stand alone become repeated groups; their marks are joined."""
     for body in bodies:
@@ -301,11 +349,11 @@ def text_hash(text: str) -> int:
 
 def loose_texts(stream: list[tuple[str, str]]) -> set[int]:
     """Hashes of the texts of a page without a main element that no tag or name marks apart."""
-    names = [n for n, _ in stream]
+    names, slot_texts, _ = skeleton(stream)
     if has_main(names):
         return set()
-    own = (t for n, t in stream if n == TEXT)
-    return {text_hash(t) for t, content in zip(own, slots(names, False), strict=True) if content}
+    return {text_hash(t) for t, content in zip(slot_texts, slots(names, False), strict=True)
+            if content}
 
 
 def constants(pages: DataFrame) -> DataFrame:
@@ -334,7 +382,7 @@ def constants(pages: DataFrame) -> DataFrame:
 def extract(wrapper: str, page: str, memo: dict, constant: frozenset = frozenset()) -> str:
     """Blocks of content in page order, one line each."""
     stream = tokens(page)
-    names = [n for n, _ in stream]
+    names, slot_texts, places = skeleton(stream)
     key = (wrapper, " ".join(names))
     marks = memo.get(key)
     if marks is None:
@@ -342,11 +390,12 @@ def extract(wrapper: str, page: str, memo: dict, constant: frozenset = frozenset
             memo.clear()
         marks = memo[key] = reading(wrapper, names)
     blocks, current, k = [], [], 0
-    if constant and has_main(names):
-        constant = frozenset()
+    if constant and not has_main(names):
+        marks = [m and text_hash(t) not in constant
+                 for m, t in zip(marks, slot_texts, strict=True)]
     for name, text in stream:
         if name == TEXT:
-            if marks[k] and not (constant and text_hash(text) in constant):
+            if marks[places[k]]:
                 current.append(html.unescape(text))
             k += 1
         elif name == "br":
@@ -372,7 +421,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         for batch in batches:
             out = []
             for page in texts(batch.column(1)):
-                names = " ".join(n for n, _ in tokens(page))
+                names = " ".join(skeleton(tokens(page))[0])
                 if names not in memo:
                     if len(memo) >= MEMO:
                         memo.clear()
@@ -381,10 +430,6 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())],
                                              ["host", "shape"])
 
-    def part(table: pa.Table) -> pa.Table:
-        return pa.table({"host": table["host"][:1], "wrapper": [infer(table[1].to_pylist())],
-                         "n_shapes": [table.num_rows]})
-
     def whole(table: pa.Table) -> pa.Table:
         return pa.table({"host": table["host"][:1], "wrapper": [infer(table[1].to_pylist())],
                          "n_shapes": [sum(table["n_shapes"].to_pylist())]})
@@ -392,10 +437,17 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string"))
     found = bounded(rows).mapInArrow(shapes, "host string, shape string").distinct()
     ddl = "host string, wrapper string, n_shapes long"
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
-    parts = salted.groupBy("host", "salt").applyInArrow(
-        lambda t: part(t.select(["host", "shape"])), ddl)
-    return keep(parts.groupBy("host").applyInArrow(whole, ddl), "wrappers")
+    level = keep(found.select("host", F.col("shape").alias("wrapper"),
+                              F.lit(1).cast("long").alias("n_shapes")), "wrappers")
+    # rounds: a task merges GROUP wrappers or so, however many a host has
+    while True:
+        sizes = level.groupBy("host").agg(F.count("*").alias("size"))
+        if (sizes.agg(F.max("size")).first()[0] or 0) <= 1:
+            return level
+        salt = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("size") / GROUP))
+        dealt = level.join(sizes, "host").withColumn("salt", salt)
+        level = keep(dealt.groupBy("host", "salt").applyInArrow(
+            lambda t: whole(t.select(["host", "wrapper", "n_shapes"])), ddl), "wrappers")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",

@@ -215,6 +215,22 @@ def test_texts_that_agree_are_no_content(spark):
         0: "Story 0", 1: "Story 1", 2: "Story 2", 10: "A\nB\nown text", 11: "X\nY"}
 
 
+def test_long_groups_fold_and_inline_tags_make_no_shape(spark, monkeypatch):
+    group = "<div>" + "".join(f"<h{k % 6 + 1}>x</h{k % 6 + 1}><p>y</p>" for k in range(9)) + "</div>"
+    pages = [group * n + "<p>a <b>b</b> c</p>" * (n % 2) + "<p>a b c</p>" for n in (2, 3, 4, 5)]
+    names = [html_wrappers.skeleton(html_wrappers.tokens(p))[0] for p in pages]
+    assert len({html_wrappers.shape_of(n) for n in names}) == 2
+    monkeypatch.setattr(html_wrappers, "GROUP", 4)
+    many = [(k, "http://h/", "".join(f"<h{k >> b & 1}>t{k}</h{k >> b & 1}><ul></ul>"
+                                     for b in range(6))) for k in range(64)]
+    table = spark.createDataFrame(many, "page_id long, url string, html string")
+    assert [r["n_shapes"] for r in html_wrappers.wrappers(table).collect()] == [
+        len({html_wrappers.shape_of(html_wrappers.skeleton(html_wrappers.tokens(h))[0])
+             for *_, h in many})]
+    got = {r["id"]: r["text"] for r in html_wrappers.main_text(table).collect()}
+    assert got == {k: "\n".join([f"t{k}"] * 6) for k in range(64)}
+
+
 # --- licences ------------------------------------------------------------------------------
 
 def test_licences(spark):
