@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.llm.common import map_batches, with_id
@@ -160,16 +160,23 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
           rows_per_language: int = 2000) -> Trees:
     """Trees of every non-null language of df.
 
-    A language learns from about `rows_per_language` whole rows at most (the bound of the sample,
-    taken by a hash of the text, so it is the same on every run); fewer rows are all taken.
+    A language learns from `rows_per_language` whole texts at most, each once however often it is
+    repeated: those with the smallest hashes, so they are the same on every run; fewer are all taken.
     """
     rows = df.select(F.col(lang_col).cast("string").alias("lang"),
                      F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null and text <> ''")
-    share = rows.groupBy("lang").count().select(
-        "lang", (F.lit(float(rows_per_language)) / F.col("count")).alias("share"))
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(F.broadcast(share), "lang").where(part < F.col("share"))
+    # hashes decide, so that texts do not move; a hash that two texts share brings in both
+    part = F.xxhash64("text", F.lit("sample"))
+    hashes = rows.select("lang", part.alias("h")).distinct()
+    # the smallest of each bucket first: no task orders a language whole
+    buckets = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    few = hashes.withColumn("k", F.row_number().over(buckets)).where(
+        F.col("k") <= rows_per_language)
+    taken = few.withColumn("k", F.row_number().over(
+        Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows_per_language)
+    sample = rows.withColumn("h", part).join(F.broadcast(taken.drop("k")), ["lang", "h"]).select(
+        "lang", "text").distinct()
     width = order + 1
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import bounded, map_batches, texts, with_id
+from radiolake.llm.common import bounded, keep, map_batches, texts, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)  # besides the word itself
@@ -150,19 +150,20 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic",
           max_rows: int = 24_000, max_features: int = 50_000) -> Model:
     """Learn from rows with a label of 0 or 1 (others are left out).
 
-    `max_rows` bounds the sample of labelled rows, taken by a hash of the text; two thirds of it
-    teach the features, the others (by another bit of the hash) the tail and the curve, so that
-    words which a feature has learned by heart do not count as clean text. `max_features` bounds
-    the model, by evidence; features that are not significant take no room.
+    Equal rows of text and label count once, so no text that is often repeated rules the model.
+    `max_rows` bounds the sample of these exactly: those with the smallest hashes. Two thirds of it
+    teach the features, the others (by another hash of the text) the tail and the curve, so that
+    words which a feature has learned by heart do not count as clean text. `max_features` bounds the
+    model, by evidence; features that are not significant take no
+    room.
     """
     rows = rows.select(F.col(text_col).cast("string").alias("text"),
                        F.col(label_col).cast("int").alias("toxic"))
-    rows = rows.where("text is not null and toxic in (0, 1)").withColumn(
-        "h", F.pmod(F.xxhash64("text"), F.lit(3_000_000)))
-    n = rows.count()
-    share = min(1.0, max_rows / n) if n else 1.0
-    sample = rows.where(F.floor(F.col("h") / 3) < share * 1_000_000)
-    learn, tune = sample.where("h % 3 <> 0"), sample.where("h % 3 = 0")
+    rows = rows.where("text is not null and toxic in (0, 1)").distinct()
+    sample = rows.orderBy(F.xxhash64("text", F.lit("sample")), "text", "toxic").limit(max_rows)
+    sample = keep(sample, "toxicity-sample")
+    turn = F.pmod(F.xxhash64("text"), F.lit(3))
+    learn, tune = sample.where(turn != 0), sample.where(turn == 0)
     sizes = dict(learn.groupBy("toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:

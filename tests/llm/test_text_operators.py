@@ -292,6 +292,20 @@ def test_toxicity_learns_held_out_rows(spark):
     assert top["first"] == 20 and top["end"] >= 24
 
 
+def test_copies_neither_fill_nor_leave_the_samples(spark):
+    """A text that holds most rows counts once, so the models are those of the distinct rows."""
+    rng = random.Random(4)
+    rows = [(prose(rng, 30) + (" badword vileword" if k % 4 == 0 else ""), int(k % 4 == 0), "xx")
+            for k in range(300)]
+    columns = "text string, toxic int, lang string"
+    once = spark.createDataFrame(rows, columns)
+    often = spark.createDataFrame(rows + [rows[0]] * 400 + [rows[1]] * 400, columns)
+    for bound in (1000, 200):
+        assert toxicity.train(often, max_rows=bound) == toxicity.train(once, max_rows=bound)
+        one, two = (langid.train(x, rows_per_language=bound) for x in (once, often))
+        assert all((a == b).all() for a, b in zip(one.cost, two.cost, strict=True))
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.train(none)
