@@ -246,13 +246,16 @@ def trend_of(series: DataFrame, keys: Sequence[str]) -> DataFrame:
                     .alias("verdict"))
 
 
-def panels(long: DataFrame, cells: Sequence[str] = (), by_tech: bool = False) -> tuple:
+def panels(long: DataFrame, cells: Sequence[str] | DataFrame = (),
+           by_tech: bool = False) -> tuple:
     """(lines, overall trend) per KPI: a line per chosen cell, per technology, or one.
 
-    With cells the trend is that of the cells together; otherwise of the longest line.
+    With cells (names, or a table with a column `object`) the trend is that of the cells together;
+    otherwise of the longest line.
     """
-    if cells:
-        d = long.filter(F.col("object").isin(*cells))
+    if isinstance(cells, DataFrame) or cells:
+        d = (long.join(cells.select("object"), "object", "left_semi")
+             if isinstance(cells, DataFrame) else long.filter(F.col("object").isin(*cells)))
         lines = series_for(d.withColumn("line", F.col("object")), "network", ["line"])
         return lines, trend_of(series_for(d), ["kpi"])
     d = long.withColumn("line", F.col("tech") if by_tech else F.lit("all"))

@@ -174,8 +174,8 @@ def rounded_trend(trend):
 
 
 def cells_of(long):
-    """Every cell of the hourly frame, as a user would name them."""
-    return [r[0] for r in long.select("object").distinct().orderBy("object").collect()]
+    """Every cell of the hourly frame; the names stay in a table."""
+    return long.select("object").distinct()
 
 
 @query("n06_panels", with_ctes(TREND_SQL.format(key=""), sbase=NET.format("")))

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from radiolake.operators import series as N
 
@@ -64,3 +65,14 @@ def test_spikes_need_a_normal_and_the_level(spark):
         frame(spark, [30.0, 25, 100000.0], "short"))
     r = N.sudden_spikes(df, ["object"], False, 100.0).collect()
     assert [(x["object"], x["spike_hours"], x["spike_value"]) for x in r] == [("jump", 1, 100000.0)]
+
+
+def test_panels_take_cells_as_a_table(spark):
+    long = frame(spark, [1, 2, 3]).unionAll(frame(spark, [4, 5, 6], "c2")).unionAll(
+        frame(spark, [7, 8, 9], "c3")).withColumn("tech", F.lit("4G"))
+    cells = spark.createDataFrame([("c1",), ("c2",)], "object string")
+    lines, overall = N.panels(long, cells)
+    want, trend = N.panels(long, ["c1", "c2"])
+    assert {r["line"] for r in lines.collect()} == {"c1", "c2"}
+    assert sorted(lines.collect()) == sorted(want.collect())
+    assert overall.collect() == trend.collect()
