@@ -25,8 +25,7 @@ from pyspark.sql import types as T
 
 from radiolake.llm.common import bounded, keep
 
-BLANK = " \t\n\x0b\x0c\r"
-UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+BLANK = b" \t\n\x0b\x0c\r"
 LOG_SEGMENT = 18   # bits of a part of a filter that merges on its own (32 kB)
 LOG_MOST = 29      # bits of a whole filter at most: 64 MB
 BITS_A_KEY = 16    # of the filters, as long as they fit
@@ -34,25 +33,31 @@ FAN_IN = 256       # partial filters that one merging task takes of a segment
 HOT = 1000         # keys with so small a part of all suspected places are joined by broadcast
 
 
-def key_of(line: str) -> str:
-    return line.strip(BLANK).translate(UPPER)
+def _chars(key: bytes, least: int) -> bool:
+    """Whether a key has so many code points, of one to four bytes each."""
+    n = len(key)
+    return n >= least and (n >= 4 * least or key.isascii() or len(key.decode("utf-8")) >= least)
 
 
-def long_keys(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
+def long_keys(text: bytes | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
     """(line number, key) of the lines whose key is long enough."""
-    for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= min_chars and len(key := key_of(line)) >= min_chars:
+    for k, line in enumerate((text or b"").lower().split(b"\n")):  # bytes: only A-Z are lowered
+        if len(line) >= min_chars and _chars(key := line.strip(BLANK), min_chars):
             yield k, key
 
 
-def _hashes(rows: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct long keys of each row."""
-    hashes, where = [], []
-    for k, text in enumerate(rows):
-        own = {xxhash.xxh3_64_intdigest(key) for _, key in long_keys(text, min_chars)}
-        hashes += own
-        where += [k] * len(own)
-    return np.array(hashes, np.uint64), np.array(where, np.int64)
+def _keys(rows: list[bytes | None], min_chars: int) -> list[dict[int, bytes]]:
+    """The distinct long keys of each row by their hashes."""
+    digest = xxhash.xxh3_64_intdigest
+    return [{digest(key): key for _, key in long_keys(text, min_chars)} for text in rows]
+
+
+def _flat(keys: list[dict[int, bytes]]) -> np.ndarray:
+    return np.fromiter((h for own in keys for h in own), np.uint64, sum(map(len, keys)))
+
+
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 class Bits:
@@ -123,8 +128,8 @@ def seen_twice(texts: DataFrame, min_chars: int, size: int) -> Bits:
     def build(batches):
         once, twice = Bits(size), Bits(size)
         for batch in batches:
-            hashes, _ = _hashes(batch.column(0).to_pylist(), min_chars)
-            own, times = np.unique(hashes, return_counts=True)
+            keys = _keys(_bytes(batch.column(0)), min_chars)
+            own, times = np.unique(_flat(keys), return_counts=True)
             twice.add(own[(times > 1) | once.has(own)])
             once.add(own)
         yield _parts(once.data, twice.data, TaskContext.get().partitionId())
@@ -146,8 +151,8 @@ def seen_twice(texts: DataFrame, min_chars: int, size: int) -> Bits:
     return whole
 
 
-def _digest(key: str) -> bytes:
-    return blake2b(key.encode("utf-8"), digest_size=16).digest()
+def _digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
 
 
 def suspects(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -166,16 +171,11 @@ def suspects(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     def probe(batches):
         seen = Bits(size, shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            hashes, where = _hashes(texts, min_chars)
-            hit = seen.has(hashes)
-            wanted = [set() for _ in texts]
-            for k, h in zip(where[hit].tolist(), hashes[hit].tolist(), strict=True):
-                wanted[k].add(h)
-            keys = [sorted({_digest(key) for _, key in long_keys(text, min_chars)
-                            if xxhash.xxh3_64_intdigest(key) in own}) if own else []
-                    for text, own in zip(texts, wanted, strict=True)]
-            count = [(t or "").count("\n") + 1 for t in texts]
+            texts = _bytes(batch.column(1))
+            keys = _keys(texts, min_chars)
+            hit = iter(seen.has(_flat(keys)).tolist())
+            keys = [sorted(_digest(key) for key in own.values() if next(hit)) for own in keys]
+            count = [(t or b"").count(b"\n") + 1 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(count, pa.int64()),
                  pa.array(keys, pa.list_(pa.binary()))], ["id", "text", "n_lines", "keys"])
@@ -219,15 +219,18 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches):
         for batch in batches:
-            texts, kept, n_dropped = batch.column(3).to_pylist(), [], []
-            for text, gone in zip(texts, batch.column(4).to_pylist(), strict=True):
-                gone, lines = set(gone or ()), text.split("\n")
-                drop = {k for k, key in long_keys(text, min_chars) if _digest(key) in gone}
-                kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+            kept, n_dropped = [], []
+            for text, gone in zip(_bytes(batch.column(3)), batch.column(4).to_pylist(),
+                                  strict=True):
+                gone, lines = set(gone or ()), text.split(b"\n")
+                drop = {k for k, key in long_keys(text, min_chars)
+                        if _digest(key) in gone} if gone else ()
+                kept.append(b"\n".join(x for k, x in enumerate(lines) if k not in drop))
                 n_dropped.append(len(drop))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n_dropped, pa.int64()),
-                 pa.array(kept, pa.string())], ["id", "n_lines", "n_dropped", "text"])
+                 pa.array(kept, pa.binary()).cast(pa.string())],
+                ["id", "n_lines", "n_dropped", "text"])
 
     out = T.StructType([T.StructField("id", df.schema[id_col].dataType),
                         *T.StructType.fromDDL("n_lines long, n_dropped long, text string").fields])
