@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -17,9 +18,15 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: spark.checkpoint.dir, set here only where unset."""
+    """The folder that every executor reaches: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine gets a temporary folder; on a cluster that would be
+    another folder on every executor, so it is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="radiolake-llm-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -36,6 +43,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(hashes: DataFrame, n: int, name: str) -> DataFrame:
+    """The n smallest of distinct hashes (column h, perhaps with others), kept; all, if fewer.
+
+    Hashes are spread evenly, so a share of their range holds few more than n: only those are
+    put in order, and no task takes n of every other one.
+    """
+    hashes = keep(hashes, name)
+    total = hashes.count()
+    share = 1.1 * (n + 1000) / max(total, 1)
+    while True:
+        low = hashes
+        if share < 1:
+            low = hashes.where(F.col("h") <= int(-(1 << 63) + share * (1 << 64)))
+        if share >= 1 or low.count() >= n:
+            rest = [F.col(c) for c in hashes.columns if c != "h"]
+            return keep(low.orderBy("h", *rest).limit(n), name)
+        share *= 2
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: T.StructType | str) -> DataFrame:
     """`fn` over Arrow batches of at most BATCH_ROWS rows."""

@@ -56,6 +56,8 @@ class Block:
                  projections: int):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
+        # how many vectors an id has at most
+        self.most = np.unique(ids, return_counts=True)[1].max(initial=1)
         self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
         group = group.ravel()
         # of equal vectors only the k + 1 smallest ids can be among the k nearest
@@ -77,7 +79,7 @@ class Block:
         np.savez(out, **{k: getattr(self, k) for k in self.PARTS})
         return out.getvalue()
 
-    PARTS = ("vectors", "owner", "ids", "first", "order", "sorted")
+    PARTS = ("vectors", "owner", "ids", "first", "order", "sorted", "most")
 
     @classmethod
     def load(cls, data: bytes) -> Block:
@@ -93,6 +95,8 @@ class Block:
         norm = float(np.sqrt((query * query).sum()))
         spot = np.append(query / norm, 0.0) @ directions_of(len(query) + 1, m)
         need = -(-m // 2)
+        # so many vectors hold k ids and the query's own, however they share them
+        wide = (k + 1) * int(self.most)
         counts = np.zeros(n, np.int64)
         scores = np.full(n, -np.inf)
         spot = spot + SHIFT * np.arange(m)
@@ -111,9 +115,9 @@ class Block:
                 scores[fresh] = (self.vectors[fresh] * query).sum(axis=1)
             everything = bool((hi - lo == n).all())
             found = np.flatnonzero(scores > -np.inf)
-            if len(found) > k or everything:
-                # one more than k, for the query may be in the block itself
-                kth = np.partition(scores[found], -min(len(found), k + 1))[-min(len(found), k + 1)]
+            if len(found) >= wide or everything:
+                last = min(len(found), wide)
+                kth = np.partition(scores[found], -last)[-last]
                 away = math.sqrt(max(0.0, 2 - 2 * float(kth) / (norm * scale)))
                 if everything or away == 0 or chance(half / away, m, need) >= certainty:
                     break
@@ -122,7 +126,8 @@ class Block:
         ids = np.concatenate([self.ids[self.first[b]:self.first[b + 1]] for b in best])
         own_scores = np.repeat(scores[best], self.first[best + 1] - self.first[best])
         ids, own_scores = ids[ids != own], own_scores[ids != own]
-        top = np.lexsort((ids, -own_scores))[:k]
+        top = np.lexsort((ids, -own_scores))
+        top = top[np.sort(np.unique(ids[top], return_index=True)[1])][:k]  # an id's best vector
         return ids[top].tolist(), own_scores[top].tolist()
 
 
@@ -182,17 +187,19 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     """Of each row that `queries` selects: query_id, rank, vec_id, score of its k nearest others.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-    null ids; vectors of another length are no candidates. Equal scores go to the smaller id. Rows
-    that repeat an id count as one candidate of each distinct vector. Every block of the index
-    meets the query set in blocks of its own.
+    null ids; vectors of another length are no candidates. Equal scores go to the smaller id. An
+    id on several rows is one candidate, by its best vector; as a query it asks with the smallest
+    of them in the order of arrays. Every block of the index meets the query set in blocks of its
+    own.
     """
     rows = df.where(usable(vec_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
-        F.col(vec_col).cast("array<double>").alias("vec"))
+        F.col(vec_col).cast("array<double>").alias("vec")).distinct()
     index = build(rows, k, projections)
     asked = df.where(queries & usable(vec_col)).select(
         F.col(id_col).cast("long").alias("id"),
-        F.col(vec_col).cast("array<double>").alias("vec")).dropDuplicates(["id"])
+        F.col(vec_col).cast("array<double>").alias("vec")).groupBy("id").agg(
+        F.min("vec").alias("vec"))
     n = max(1, -(-asked.count() // QUERIES))
     meets = (asked.withColumn("dim", F.size("vec"))
              .withColumn("part", F.expr(f"pmod(xxhash64(id), {n})")).join(index, "dim"))

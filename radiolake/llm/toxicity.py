@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import bounded, keep, map_batches, texts, with_id
+from radiolake.llm.common import bounded, keep, map_batches, smallest_hashes, texts, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)  # besides the word itself
@@ -159,9 +159,12 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic",
     """
     rows = rows.select(F.col(text_col).cast("string").alias("text"),
                        F.col(label_col).cast("int").alias("toxic"))
-    rows = rows.where("text is not null and toxic in (0, 1)").distinct()
-    sample = rows.orderBy(F.xxhash64("text", F.lit("sample")), "text", "toxic").limit(max_rows)
-    sample = keep(sample, "toxicity-sample")
+    rows = rows.where("text is not null and toxic in (0, 1)").withColumn(
+        "h", F.xxhash64("text", F.lit("sample")))
+    # hashes decide, so that texts do not move; a hash that two texts share brings in both
+    taken = smallest_hashes(rows.select("h", "toxic").distinct(), max_rows, "toxicity-hashes")
+    sample = keep(rows.join(F.broadcast(taken), ["h", "toxic"], "left_semi")
+                  .select("text", "toxic").distinct(), "toxicity-sample")
     turn = F.pmod(F.xxhash64("text"), F.lit(3))
     learn, tune = sample.where(turn != 0), sample.where(turn == 0)
     sizes = dict(learn.groupBy("toxic").count().collect())
@@ -191,7 +194,8 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic",
             ["toxic", "n", "found"])
 
     seen = map_batches(tune.select("text", "toxic"), scan, "toxic int, n long, found array<double>")
-    seen = [(r["toxic"], r["n"], r["found"]) for r in seen.collect()]  # bounded by max_rows
+    # bounded by max_rows; in order, so that sums do not depend on the tasks
+    seen = sorted((r["toxic"], r["n"], r["found"]) for r in seen.collect())
     model.lam, model.k = _tail([(max(f), n) for y, n, f in seen if y == 0 and f])
     model.slope, model.middle = _logistic(
         [(evidence(model, [(0, 0, s) for s in f], n), y) for y, n, f in seen])

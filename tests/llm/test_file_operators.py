@@ -323,3 +323,32 @@ def test_few_candidates_are_all_returned(spark):
     got = neighbours.search(table, F.col("vec_id") % 20 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [
         (0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
+
+
+def test_repeated_ids_crowd_nothing_out(spark, monkeypatch):
+    """Many rows of one id beside the query, equal vectors of other ids, an id with two vectors."""
+    near, far = [1.0, 0.0, 0.0], [0.5, 0.5, 0.1]
+    rng = np.random.default_rng(4)
+    rows = [(20, near)] * 3 + [(1, near)] * 30 + [(1, far)] + [(k, near) for k in range(2, 7)]
+    rows += [(9, far), (9, [0.9, 0.1, 0.0])] * 12
+    rows += [(100 + k, rng.uniform(-1, 1, 3).tolist()) for k in range(1, 39)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(neighbours, "BLOCK", 1000)
+    got = neighbours.search(table, F.col("vec_id") % 20 == 0).where("query_id = 20")
+    best = {}
+    for k, v in rows:
+        if k != 20:
+            best[k] = max(best.get(k, -9.0), float(np.dot(near, v)))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == want
+
+
+def test_words_of_the_older_generation_come_back():
+    rng = random.Random(6)
+    codec = tokens.WordIds(WORD, memo=50)
+    whole = tokens.WordIds(WORD)
+    for _ in range(40):
+        rows = [" ".join(rng.choice(["the", "cat", "sat."]) if rng.random() < .5
+                         else f"w{rng.randrange(400)}" for _ in range(30)) for _ in range(3)]
+        assert codec.encode(rows) == [whole.whole(t) for t in rows]
+    assert len(codec.memo) < 200 and len(codec.older) < 200

@@ -98,3 +98,15 @@ def test_empty_documents(spark, tables, tmp_path):
         spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(
             f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_judge_rows_not_ids(spark):
+    """A clean text stays though a copy bears its id; every group keeps one row, with or without id."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(d, t, "aa", "s", 0) for d, t in order], COLUMNS)
+        kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.repartition(3), "")
+        assert kept.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(
+            [(1, a), (5, b), (None, c), (7, None)])

@@ -312,3 +312,12 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert toxicity.score(docs, model).first()["score"] < 0.5
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_smallest_hashes_are_exact(spark):
+    from radiolake.llm.common import smallest_hashes
+    rows = spark.range(30_000).select(F.xxhash64("id").alias("h"), (F.col("id") % 2).alias("toxic"))
+    want = [r["h"] for r in rows.orderBy("h").limit(500).collect()]
+    assert sorted(r["h"] for r in smallest_hashes(rows, 500, "few").collect()) == want
+    assert smallest_hashes(rows, 40_000, "all").count() == 30_000
+    assert smallest_hashes(rows.limit(0), 5, "none").count() == 0
