@@ -31,18 +31,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicates the row with the smallest id stays.
 
-    Of rows that repeat that id one stays; documents without an id cannot stand for a group and
-    stay unless their group has an id.
+    Of rows that repeat this id the first stays; rows without an id come after those with one. Rows
+    of one id whose texts are not alike are in groups of their own.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("id") == F.col("component")).select("id").distinct()
-    kept = docs.join(first, docs["doc_id"] == first["id"], "left_semi").dropDuplicates(["doc_id"])
-    # an id is missing in few rows, if in any: they are told apart by their fingerprints
-    alone = found.where("id is null and component is null").select("fp").distinct()
-    marked = simhash.fingerprints(_rows(docs.where("doc_id is null")), "row", "text")
-    return kept.unionByName(marked.join(alone, "fp", "left_semi").select("id.*"))
+    rows = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                            F.monotonically_increasing_id().alias("at")), "numbered")
+    key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"),
+                   "at")
+    found = simhash.near_duplicates(rows.select(key.alias("key"), F.col("row.text").alias("text")),
+                                    "key")
+    first = found.where(F.col("id") == F.col("component")).select(F.col("id.at").alias("at"))
+    return rows.join(first, "at", "left_semi").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
