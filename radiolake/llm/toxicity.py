@@ -147,9 +147,11 @@ def _tail(gaps: list[tuple[float, int]]) -> tuple[float, float]:
 
 
 def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = 24_000, max_features: int = 50_000) -> Model:
+          max_rows: int = 24_000, max_features: int = 50_000,
+          labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
     """Learn from rows with a label of 0 or 1 (others are left out).
 
+    The labels stand in the rows or, by id, in a table of their own (one row an id).
     Equal rows of text and label count once, so no text that is often repeated rules the model.
     `max_rows` bounds the sample of these exactly: those with the smallest hashes. Two thirds of it
     teach the features, the others (by another hash of the text) the tail and the curve, so that
@@ -157,13 +159,17 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "toxic",
     model, by evidence; features that are not significant take no
     room.
     """
-    rows = rows.select(F.col(text_col).cast("string").alias("text"),
-                       F.col(label_col).cast("int").alias("toxic"))
-    rows = rows.where("text is not null and toxic in (0, 1)").withColumn(
-        "h", F.xxhash64("text", F.lit("sample")))
-    # hashes decide, so that texts do not move; a hash that two texts share brings in both
-    taken = smallest_hashes(rows.select("h", "toxic").distinct(), max_rows, "toxicity-hashes")
-    sample = keep(rows.join(F.broadcast(taken), ["h", "toxic"], "left_semi")
+    # hashes decide, so that only texts of the sample move; a hash that two share brings in both
+    text = F.col(text_col).cast("string")
+    hashed = rows.withColumn("h", F.xxhash64(text, F.lit("sample"))).where(text.isNotNull())
+    if labels is None:
+        marks = hashed.select("h", F.col(label_col).cast("int").alias("toxic"))
+    else:
+        marks = hashed.select("h", id_col).join(labels, id_col).select(
+            "h", F.col(label_col).cast("int").alias("toxic"))
+    taken = smallest_hashes(marks.where("toxic in (0, 1)").distinct(), max_rows,
+                            "toxicity-hashes")
+    sample = keep(hashed.select("h", text.alias("text")).join(F.broadcast(taken), "h")
                   .select("text", "toxic").distinct(), "toxicity-sample")
     turn = F.pmod(F.xxhash64("text"), F.lit(3))
     learn, tune = sample.where(turn != 0), sample.where(turn == 0)
@@ -257,12 +263,12 @@ def _scored(model: Model, memo: Scores, batch: pa.RecordBatch) -> pa.RecordBatch
          pa.array(found, kind)], ["id", "score", "n_words", "passages"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the documents that the labels cover and the model may learn from.
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the documents that the labels cover and that it may learn from.
 
     Those are the rows whose id's crc32 is not 0 modulo 5. A document with several labels learns
     from its largest, so that repeated rows do not multiply.
     """
     may = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     one = labels.where(may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(may).select("doc_id", "text").join(one, "doc_id").select("text", "toxic")
+    return train(docs.where(may).select("doc_id", "text"), labels=one)
