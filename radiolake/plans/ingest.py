@@ -1,5 +1,6 @@
 """Registered queries: sources, cleaning, file overlap, value bands, reports and composed runs."""
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ from radiolake.plans.adapters import with_ctes
 from radiolake.plans.health import r6
 from radiolake.plans.network import params
 from radiolake.plans.registry import query
+from radiolake.sources import archives as AR
 from radiolake.sources import exports as E
 from radiolake.sources import placemarks as PM
 from radiolake.sources import registers as G
@@ -66,6 +68,22 @@ def export_lines(spark, d):
     return head.unionByName(data)
 
 
+@query("s02_file_heads", with_ctes("""
+SELECT 'export_' || site_id || '.csv' AS path, '4G' AS kind,
+  'HW_DL PRB Avg Utilization(%)|Drops|LTE_Availability(%)|Other' AS kpis, min(datetime) AS first_time
+FROM f3 GROUP BY site_id"""))
+def _(spark, d):
+    """Each export is a file of its own; only its first bytes are read."""
+    folder = shared_path(spark, "exports")
+    lines = export_lines(spark, d).withColumn(
+        "at", F.when(F.col("value").startswith("Report"), 0).when(F.col("value").startswith("Time"), 1).otherwise(2))
+    lines.repartition("path").sortWithinPartitions("path", "at", "value").select(
+        F.col("path").alias("file"), "value").write.partitionBy("file").text(folder)
+    p = E.profile_exports(spark, [folder]).where(F.col("path").contains("/file="))
+    return p.select(F.regexp_extract("path", "file=([^/]*)", 1).alias("path"), "kind",
+                    F.array_join("kpis", "|").alias("kpis"), "first_time")
+
+
 @query("s02_export_profile", with_ctes("""
 SELECT 'export_' || site_id || '.csv' AS path, '4G' AS kind,
   'HW_DL PRB Avg Utilization(%)|Drops|LTE_Availability(%)|Other' AS kpis, min(datetime) AS first_time
@@ -278,32 +296,99 @@ def _(spark, d):
                     X.clean_site_name("site_name").alias("name"), X.unit_of("head").alias("unit"))
 
 
-@query("s08_placemark_cells", """
-SELECT 'TA' || lpad((s_suppkey // 3)::VARCHAR, 4, '0') || '-S' || (s_suppkey % 3 + 1)::VARCHAR AS sector_id, t AS technology,
-  CASE t WHEN '4G' THEN 'L18_' ELSE 'G09_' END || s_suppkey::VARCHAR AS cell_name,
-  CASE t WHEN '4G' THEN 'L1800' ELSE 'G900' END AS band_label,
-  CASE t WHEN '4G' THEN (s_suppkey % 9)::DOUBLE ELSE (s_suppkey % 5)::DOUBLE + 3 END AS elec_tilt_deg,
-  round(30.0::DOUBLE + s_suppkey * 0.001, 6) AS latitude
-FROM supplier, (VALUES ('2G'), ('4G')) v(t) WHERE s_suppkey % 4 <> 0""")
-def _(spark, d):
+def map_lines(spark, d):
+    """Every supplier's sector as a placemark of a map document: sections, values that go on in the
+    next line, RET readings."""
     k = F.col("s_suppkey")
+    num = lambda c: c.cast("string")
     text = F.concat(
-        F.lit("Town<br/>Site Code: ta"), F.lpad(F.floor(k / 3).cast("string"), 4, "0"),
-        F.lit(" Sector: "), (k % 3 + 1).cast("string"), F.lit(" Azimuth: "), (k * 47 % 360).cast("string"),
-        F.lit("&deg;<br/>Height: 30 m Status: activated<br/>2G cells<br/>G09_"), k.cast("string"),
-        F.lit(": Azimuth=10, Band=GSM900, Electrical Downtilt="), ((k % 5 + 3) * 10).cast("string"),
-        F.lit("<br/>4G cells<br/>L18_"), k.cast("string"), F.lit(": PCI=7, EARFCN=1300, Max RET="),
-        (k % 9 * 10).cast("string"))
-    pm = F.concat(
-        F.lit("<Placemark><styleUrl>#"), F.when(k % 4 == 0, "tower").otherwise("onair"),
-        F.lit("</styleUrl><description>"), text, F.lit("</description><Point><coordinates>"),
-        (F.lit(47.0) + k * F.lit(0.001)).cast("string"), F.lit(","), (F.lit(30.0) + k * F.lit(0.001)).cast("string"),
+        F.lit("Town"), num(k % 5), F.lit("<br/>Site Code: ta"), F.lpad(num(F.floor(k / 3)), 4, "0"),
+        F.lit(" Sector: "), num(k % 3 + 1), F.lit(" Azimuth: "), num(k * 47 % 360),
+        F.lit("&deg;<br/>Height: 30 m Status: "), F.when(k % 3 == 0, "under TEST").otherwise("activated"),
+        F.lit("<br/>2G cells<br/>G09_"), num(k),
+        F.lit(": Azimuth=10, Band=GSM900, Electrical Downtilt="), num((k % 5 + 3) * 10),
+        F.lit("<br/>4G cells<br/>L18_"), num(k), F.lit(": PCI=7, EARFCN=1300<br/>RS Power=182, Max RET="),
+        num(k % 9 * 10), F.when(k % 2 == 0, F.concat(
+            F.lit("<br/>RET actual tilt<br/>Band U900: "), num(k % 7 * 10), F.lit("<br/>Band U900: 30<br/>Band L18: 50")))
+        .otherwise(""))
+    body = F.concat(
+        F.lit("<Placemark id='p'><styleUrl>#"), F.when(k % 4 == 0, "tower").otherwise("onair"),
+        F.lit("</styleUrl><description><![CDATA["), text, F.lit("]]></description><Point><coordinates>"),
+        num(F.lit(47.0) + k * F.lit(0.001)), F.lit(","), num(F.lit(30.0) + k * F.lit(0.001)),
         F.lit(",0</coordinates></Point></Placemark>"))
-    docs = A.table(spark, d, "supplier").select(F.concat(F.lit("f"), (k % 7).cast("string")).alias("path"),
-                                                pm.alias("kml"))
-    cells, _sectors = PM.parse_placemarks(docs)
-    return r6(cells.select("sector_id", "technology", "cell_name", "band_label", "elec_tilt_deg",
-                           "latitude"), "latitude", "elec_tilt_deg")
+    return A.table(spark, d, "supplier").select(
+        F.concat(F.lit("region"), num(k % 3)).alias("archive"), k.alias("at"), body.alias("value"))
+
+
+def map_archives(spark, d):
+    """The placemarks of archives with two documents each, and a picture that nobody reads."""
+    docs = map_lines(spark, d).withColumn("entry", F.when(F.col("at") % 2 == 0, "doc.kml").otherwise("more/b.KML"))
+    other = docs.select("archive").distinct().select(
+        "archive", F.lit("legend.png").alias("entry"), F.lit(0).cast("long").alias("at"), F.lit("PNG").alias("value"))
+    folder = shared_path(spark, "maps")
+    AR.write_archives(docs.unionByName(other), folder, ".kmz").count()
+    return folder
+
+
+MAP_SQL = """
+WITH m AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 <> 0)
+"""
+
+
+@query("s08_map_sectors", MAP_SQL + """
+SELECT 'TA' || lpad((k // 3)::VARCHAR, 4, '0') || '-S' || (k % 3 + 1)::VARCHAR AS sector_id, 'Town' || (k % 5)::VARCHAR AS site_name,
+  round(30.0::DOUBLE + k * 0.001, 6) AS latitude, (k * 47 % 360)::DOUBLE AS azimuth_deg, 30.0::DOUBLE AS antenna_height_m,
+  CASE WHEN k % 3 = 0 THEN 'Under Test' ELSE 'Activated' END AS status, 'onair' AS air,
+  round((CASE WHEN (k % 5 + 3) * 10 > 20 THEN k % 5 + 3 ELSE (k % 5 + 3) * 10 END + k % 9)::DOUBLE / 2, 6) AS elec_tilt_deg,
+  1 AS n_2g, 0 AS n_3g, 1 AS n_4g, 2 AS n_cells, CASE WHEN k % 2 = 0 THEN round((k % 7 * 10 + 30) / 20::DOUBLE, 6) END AS ret_u900_deg,
+  CASE WHEN k % 2 = 0 THEN round(((k % 7 * 10 + 30) / 20::DOUBLE + 5) / 2, 6) END AS ret_actual_deg
+FROM m""")
+def _(spark, d):
+    rows = PM.sector_rows(PM.map_placemarks(spark, [map_archives(spark, d)]))
+    s = PM.sectors_of(rows)
+    return r6(s.select("sector_id", "site_name", "latitude", "azimuth_deg", "antenna_height_m", "status", "air",
+                       "elec_tilt_deg", "n_2g", "n_3g", "n_4g", "n_cells", "ret_u900_deg", "ret_actual_deg"),
+              "latitude", "elec_tilt_deg", "ret_u900_deg", "ret_actual_deg")
+
+
+@query("s08_placemark_cells", MAP_SQL + """
+SELECT 'TA' || lpad((k // 3)::VARCHAR, 4, '0') || '-S' || (k % 3 + 1)::VARCHAR AS sector_id, t AS technology,
+  CASE t WHEN '4G' THEN 'L18_' ELSE 'G09_' END || k::VARCHAR AS cell_name,
+  CASE t WHEN '4G' THEN 'L1800' ELSE 'G900' END AS band_label,
+  CASE t WHEN '4G' THEN (k % 9)::DOUBLE ELSE (k % 5)::DOUBLE + 3 END AS elec_tilt_deg,
+  CASE t WHEN '4G' THEN 18.2 END AS rs_power_dbm, CASE t WHEN '4G' THEN 7.0 END AS pci,
+  CASE t WHEN '4G' THEN (k * 47 % 360)::DOUBLE ELSE 10.0 END AS azimuth_deg,
+  round(30.0::DOUBLE + k * 0.001, 6) AS latitude
+FROM m, (VALUES ('2G'), ('4G')) v(t)""")
+def _(spark, d):
+    docs = map_lines(spark, d).groupBy(F.col("archive").alias("path")).agg(
+        F.array_join(F.collect_list("value"), "\n").alias("kml"))
+    cells, _sectors = PM.parse_placemarks(PM.placemark_bodies(docs))
+    return r6(cells.select("sector_id", "technology", "cell_name", "band_label", "elec_tilt_deg", "rs_power_dbm",
+                           "pci", "azimuth_deg", "latitude"), "latitude", "elec_tilt_deg")
+
+
+@query("s08_archive_entries", """
+SELECT 'region' || (s_suppkey % 3)::VARCHAR AS archive, CASE WHEN s_suppkey % 2 = 0 THEN 'doc.kml' ELSE 'more/b.KML' END AS entry,
+  'kml' AS kind, NULL AS reason FROM supplier GROUP BY ALL
+UNION ALL SELECT DISTINCT 'region' || (s_suppkey % 3)::VARCHAR, 'legend.png', NULL, 'no text, CSV or KML file' FROM supplier""")
+def _(spark, d):
+    e = AR.zip_entries(spark, [map_archives(spark, d)])
+    return e.select(F.regexp_extract("path", "(region[0-9])", 1).alias("archive"), "entry", "kind", "reason")
+
+
+@query("s03_zipped_exports", with_ctes("""
+SELECT datetime, object, sector_id, round(dl_prb_util, 6) AS dl_prb_util, round(cell_avail_pct, 1) AS cell_avail_pct FROM f3"""))
+def _(spark, d):
+    lines = export_lines(spark, d).withColumn("archive", F.substring("path", 8, 5))
+    # the banner, then the header, then the hours
+    at = F.when(F.col("value").startswith("Report"), 0).when(F.col("value").startswith("Time"), 1).otherwise(2)
+    folder = shared_path(spark, "zipped")
+    paths = AR.write_archives(lines.select("archive", F.col("path").alias("entry"), at.alias("at"), "value"), folder)
+    names = [r["path"] for r in paths.collect()]  # of archives, not of rows
+    c = E.read_hourly(spark, names, ["dl_prb_util", "cell_avail_pct"])
+    return c.select("datetime", "object", "sector_id", F.round("dl_prb_util", 6).alias("dl_prb_util"),
+                    F.round("cell_avail_pct", 1).alias("cell_avail_pct"))
 
 
 @query("s08_page_links", """
@@ -408,9 +493,14 @@ def _(spark, d):
 
 
 def shared_path(spark, name):
-    """A new path in the folder that the cluster names for such files."""
+    """A new path in the folder that the cluster names for such files.
+
+    Only a session of one machine may do without that setting.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="radiolake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from radiolake.functions.text import (clean_number, is_summary_row, null_outside
                                       sector_no, site_code, zero_is_missing)
 from radiolake.functions.times import epoch_seconds, local_time
 from radiolake.kpis import catalogue_rows
+from radiolake.sources import archives
 
 # Header names as exports write them (lower case, single spaces).
 TIME_HEADERS = ("time", "datetime", "start time", "period start time")
@@ -69,9 +67,33 @@ def profile_lines(lines: DataFrame) -> DataFrame:
                     "first_time")
 
 
+def _split(paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Plain files and archives."""
+    zips = [p for p in paths if p.lower().endswith(".zip")]
+    return [p for p in paths if not p.lower().endswith(".zip")], zips
+
+
 def profile_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("path"), "value")
-    return profile_lines(lines)
+    """The profile of every export, plain or packed, from the first 256 KiB of each.
+
+    Of a packed one as many packed bytes are read as that takes. Conditions on the path are met
+    before anything is read.
+    """
+    plain, zips = _split(paths)
+    parts = []
+    if plain:
+        text = F.decode("head", "UTF-8")
+        rows = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r?\n")
+        # the last line of a longer file's head is cut off
+        whole = F.when(F.col("size") > F.octet_length("head"),
+                       F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
+        parts.append(archives.file_heads(spark, plain).select(
+            "path", F.explode(whole).alias("value")))
+    if zips:
+        parts.append(archives.entry_heads(archives.zip_entries(spark, zips)))
+    if not parts:
+        raise ValueError("no files are named")
+    return profile_lines(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 
 # Operator headers (normalised) of the canonical KPIs.
@@ -173,14 +195,14 @@ def canonical_hourly(raw: DataFrame, kpis: Sequence[str], tech: str | None = Non
 
 
 def export_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Text lines (path, value) of CSV files and of the CSV files in zip archives."""
-    zips = [p for p in paths if p.lower().endswith(".zip")]
-    plain = [p for p in paths if not p.lower().endswith(".zip")]
+    """Text lines (path, value) of CSV files and of the text entries of zip archives."""
+    plain, zips = _split(paths)
     parts = []
     if plain:
-        parts.append(spark.read.text(plain).select(F.input_file_name().alias("path"), "value"))
+        parts.append(spark.read.text(plain).select(
+            archives.plain_path(F.col("_metadata.file_path")).alias("path"), "value"))
     if zips:
-        parts.append(read_zipped_csv(spark, zips))
+        parts.append(archives.entry_lines(archives.zip_entries(spark, zips)))
     if not parts:
         raise ValueError("no files are named")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -190,17 +212,21 @@ def read_hourly(spark: SparkSession, paths: Sequence[str], kpis: Sequence[str],
                 kpi_headers: dict[str, str] = KPI_HEADERS) -> DataFrame:
     """CSV and zipped exports of any mix of headers as one hourly frame with the wanted KPIs,
     named canonically or as the files name them."""
-    return hourly_from_lines(export_lines(spark, paths), kpis, kpi_headers)
+    return hourly_from_lines(export_lines(spark, paths), kpis, kpi_headers,
+                             profile_exports(spark, paths))
 
 
 def hourly_from_lines(lines: DataFrame, kpis: Sequence[str],
-                      kpi_headers: dict[str, str] = KPI_HEADERS) -> DataFrame:
+                      kpi_headers: dict[str, str] = KPI_HEADERS,
+                      profile: DataFrame | None = None) -> DataFrame:
     """The hourly frame of the (path, value) text lines of any number of exports.
 
     Only the distinct headers come to the driver. A file's header reaches its lines by a join on
     the path, and all files are parsed in one pass, each line by the columns of its own header.
+    `profile` has the headers; without it the lines are read once more for them.
     """
-    prof = profile_lines(lines).filter(F.col("kind") != "unknown")
+    prof = (profile_lines(lines) if profile is None else profile).filter(
+        F.col("kind") != "unknown")
     heads = prof.select("header", "kind").distinct().orderBy("kind", "header").collect()
     if not heads:
         raise ValueError("none of the files is an hourly KPI export")
@@ -222,33 +248,6 @@ def hourly_from_lines(lines: DataFrame, kpis: Sequence[str],
     return rows.select(out.alias("_x")).filter(F.col("_x").isNotNull()).select("_x.*")
 
 
-def unzip_lines(archives: DataFrame) -> DataFrame:
-    """Text lines of every CSV in binary-file rows (path, content): one archive per task row,
-    streamed out in batches."""
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.namelist():
-                        if not entry.lower().endswith((".csv", ".txt")):
-                            continue
-                        with z.open(entry) as fh:
-                            text = io.TextIOWrapper(fh, "utf-8-sig", errors="replace")
-                            rows: list[str] = []
-                            for line in text:
-                                rows.append(line.rstrip("\r\n"))
-                                if len(rows) == 50_000:
-                                    yield pd.DataFrame({"path": f"{path}!{entry}", "value": rows})
-                                    rows = []
-                            if rows:
-                                yield pd.DataFrame({"path": f"{path}!{entry}", "value": rows})
-    return archives.select("path", "content").mapInPandas(lines, "path string, value string")
-
-
-def read_zipped_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return unzip_lines(spark.read.format("binaryFile").load(list(paths)))
-
-
 def lines_to_rows(lines: DataFrame, header: Sequence[str]) -> DataFrame:
     """Text lines of one header as all-text columns."""
     cols = [h or f"_blank{i}" for i, h in enumerate(header)]

@@ -93,7 +93,7 @@ def test_zipped_exports(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("one.csv", CSV_3G)
         z.writestr("two.csv", CSV_3G)
-    lines = E.read_zipped_csv(spark, [str(tmp_path / "x.zip")])
+    lines = E.export_lines(spark, [str(tmp_path / "x.zip")])
     prof = E.profile_lines(lines).collect()
     assert len(prof) == 2 and {r["kind"] for r in prof} == {"3G"}
     rows = E.canonical_hourly(E.lines_to_rows(lines, prof[0]["header"]), ["VS.IPPM.Rtt.Means(ms)"], "3G")
