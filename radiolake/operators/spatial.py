@@ -1,4 +1,4 @@
-"""Joins by position: radius, nearest, k nearest, best server, neighbours, polygons.
+"""Joins by position: radius, nearest, k nearest, best server, neighbours.
 
 Positions meet on lattice cells (an equi join), never as a cross product. The k-nearest
 join picks for every place the smallest lattice that is certain to hold the answer, so it
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from radiolake.functions.geo import (M_PER_DEG, az_gap, bearing_deg, cell_key, flat_m,
-                                     haversine_m, keys_within)
+from radiolake.functions.geo import (az_gap, bearing_deg, cell_key, flat_m, haversine_m,
+                                     keys_within)
 from radiolake.operators.common import first_by, ranked, top_n_by
 
 
@@ -306,91 +306,6 @@ def around_site(sites: DataFrame, sectors: DataFrame, metres: float = 1200.0,
         sectors.select("site_id", "sector_id"), "site_id")
 
 
-# -------------------------------------------------------------------- polygons
-SNAP_M = 2000.0
-
-
-def place_in_area(points: DataFrame, point_id: str, polygons: DataFrame,
-                  snap_m: float = SNAP_M, cell_m: float = 5000.0) -> DataFrame:
-    """The polygon that holds each point, else the one with the nearest outer edge in reach.
-
-    Polygons meet points on coarse lattice cells of their bounding box, widened by the snap
-    distance. `polygons`: seq (list order), name, rings array<array<struct<lon, lat>>>, the
-    first ring outer, the rest holes.
-    """
-    step = cell_m / M_PER_DEG
-    poly = polygons.select("seq", "name", "rings")
-    outer = F.element_at("rings", 1)
-    lats = F.transform(outer, lambda p: p["lat"])
-    lons = F.transform(outer, lambda p: p["lon"])
-    pad = snap_m / 110_540.0
-    far_lat = F.greatest(F.abs(F.array_min(lats)), F.abs(F.array_max(lats))) + pad
-    pad_lon = F.lit(pad) / F.greatest(F.cos(F.radians(far_lat)), F.lit(0.01))
-    cells = F.flatten(F.transform(
-        F.sequence(F.floor((F.array_min(lats) - pad) / step).cast("bigint"),
-                   F.floor((F.array_max(lats) + pad) / step).cast("bigint")),
-        lambda y: F.transform(
-            F.sequence(F.floor((F.array_min(lons) - pad_lon) / step).cast("bigint"),
-                       F.floor((F.array_max(lons) + pad_lon) / step).cast("bigint")),
-            lambda x: F.struct(y.alias("iy"), x.alias("ix")))))
-    poly = poly.withColumn("_cell", F.explode(cells))
-    p = _pos(points, "p", [point_id]).withColumn("_cell", F.struct(
-        F.floor(F.col("p_lat") / step).cast("bigint").alias("iy"),
-        F.floor(F.col("p_lon") / step).cast("bigint").alias("ix")))
-    j = p.join(poly, "_cell")
-
-    def edges(ring):
-        nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        return F.arrays_zip(ring.alias("a"), nxt.alias("b"))
-
-    def crossings(ring):
-        return F.size(F.filter(edges(ring), lambda e: (
-            (e["a"]["lat"] != e["b"]["lat"])
-            & ((e["b"]["lat"] > F.col("p_lat")) != (e["a"]["lat"] > F.col("p_lat")))
-            & (F.col("p_lon") < (e["b"]["lon"] - e["a"]["lon"]) * (F.col("p_lat") - e["a"]["lat"])
-               / (e["b"]["lat"] - e["a"]["lat"]) + e["a"]["lon"]))))
-
-    kx, ky = F.lit(M_PER_DEG) * F.cos(F.radians("p_lat")), F.lit(110_540.0)
-
-    def to_edge(e):
-        x0, y0 = (e["a"]["lon"] - F.col("p_lon")) * kx, (e["a"]["lat"] - F.col("p_lat")) * ky
-        dx = (e["b"]["lon"] - e["a"]["lon"]) * kx
-        dy = (e["b"]["lat"] - e["a"]["lat"]) * ky
-        seg = dx * dx + dy * dy
-        t = F.when(seg > 0, F.greatest(F.lit(0.0), F.least(
-            F.lit(1.0), -(x0 * dx + y0 * dy) / seg))).otherwise(0.0)
-        ex, ey = x0 + t * dx, y0 + t * dy
-        return F.sqrt(ex * ex + ey * ey)
-
-    in_ring = lambda r: crossings(r) % 2 == 1
-    inside = in_ring(F.element_at("rings", 1)) & ~F.exists(
-        F.slice("rings", 2, F.size("rings")), in_ring)
-    edge = F.round(F.array_min(F.transform(edges(F.element_at("rings", 1)), to_edge)), 6)
-    j = j.withColumn("_in", inside).withColumn(
-        "_d", F.when(F.col("_in"), 0.0).otherwise(edge)).filter(
-        F.col("_in") | (F.col("_d") <= snap_m))
-    tie = F.when(F.col("_in"), F.col("seq")).otherwise(-F.col("seq"))
-    best = j.groupBy(point_id).agg(first_by(["name", "_d"], ~F.col("_in"), "_d", tie).alias("w"))
-    return best.select(point_id, F.col("w.name").alias("area"), F.col("w._d").alias("snapped_m"))
-
-
-def site_regions(sites: DataFrame, polygons: DataFrame, names: DataFrame,
-                 outside: str = "Outside the areas", unknown: str = "Unknown area") -> DataFrame:
-    """Each site's area: the polygon that holds it, else outside when it has a position."""
-    placed = place_in_area(sites, "site_id", polygons)
-    meta = polygons.select(F.col("name").alias("area"), "district", "governorate")
-    out = sites.join(placed, "site_id", "left").join(meta, "area", "left")
-    own = names.select("site_id", F.col("city").alias("_city"),
-                       F.col("governorate").alias("_gov"))
-    out = out.join(own, "site_id", "left")
-    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    return out.select(
-        "site_id", "latitude", "longitude",
-        F.coalesce("area", F.when(has, outside).otherwise(unknown)).alias("sup_district"),
-        F.coalesce(F.regexp_replace("district", "^Al-", ""), "_city", F.lit(unknown)).alias("city"),
-        F.coalesce("governorate", "_gov", F.lit(unknown)).alias("governorate"), "snapped_m")
-
-
 # -------------------------------------------------------------- name geocoding
 def name_tokens(col) -> Column:
     text = F.trim(F.regexp_replace(F.lower(F.col(col) if isinstance(col, str) else col),

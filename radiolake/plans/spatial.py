@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions import geo as G
 from radiolake.operators import coverage as C
+from radiolake.operators import polygons as PG
 from radiolake.operators import spatial as S
 from radiolake.plans import adapters as A
 from radiolake.plans.adapters import with_ctes
@@ -345,7 +346,7 @@ WHERE inside OR dm <= 700 GROUP BY 1"""
 
 @query("j15_point_in_polygon", with_ctes(area_sql("tickets", "ticket_id")))
 def _(spark, d):
-    return S.place_in_area(A.tickets(spark, d), "ticket_id", areas(spark), snap_m=700.0)
+    return PG.place_in_area(A.tickets(spark, d), "ticket_id", areas(spark), snap_m=700.0)
 
 
 A.CTES["placed"] = area_sql("hsites", "site_id").replace("dm <= 700", "dm <= 2000")
@@ -360,11 +361,64 @@ SELECT site_id, coalesce(area, 'Outside the areas') AS sup_district,
 FROM hsites LEFT JOIN placed USING (site_id)"""))
 def _(spark, d):
     s = A.hourly_sites(spark, d)
-    r = S.site_regions(s.select("site_id", "latitude", "longitude"), areas(spark), s)
+    r = PG.site_regions(s.select("site_id", "latitude", "longitude"), areas(spark), s)
     return r.select("site_id", "sup_district", "city", "governorate",
                     F.round("snapped_m", 4).alias("snapped_m"))
 
 
+# every supplier has an area: a star of 12 corners with a hole, and a triangle apart from it
+STAR_SQL = """
+SELECT s_suppkey::INT AS seq, 'Area ' || s_suppkey::VARCHAR AS name, part, ring,
+  47.0 + (s_suppkey % 9) * 0.004::DOUBLE + CASE part WHEN 0 THEN r * sin(radians(30.0 * j)) ELSE 0.0031 + r * sin(radians(120.0 * j)) END AS lon,
+  30.0 + (s_suppkey // 9 % 9) * 0.004::DOUBLE + CASE part WHEN 0 THEN r * cos(radians(30.0 * j)) ELSE 0.0031 + r * cos(radians(120.0 * j)) END AS lat,
+  j, CASE part WHEN 0 THEN 12 ELSE 3 END AS n
+FROM (SELECT s_suppkey, part, ring, j, CASE WHEN part = 1 THEN 0.0007::DOUBLE WHEN ring = 1 THEN 0.0004::DOUBLE
+    ELSE 0.0008::DOUBLE * (1 + (s_suppkey * 7 + j * 5) % 3) END AS r
+  FROM supplier, (VALUES (0, 0), (0, 1), (1, 0)) v(part, ring), range(12) t(j)) WHERE part = 0 OR j < 3"""
+
+
+def stars(spark, d):
+    k = F.col("s_suppkey")
+    west, south = 47.0 + k % 9 * 0.004, 30.0 + F.floor(k / 9) % 9 * 0.004
+
+    def ring(n, radius, shift=0.0):
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
+            (west + shift + radius(j) * F.sin(F.radians(j * (360.0 / n)))).alias("lon"),
+            (south + shift + radius(j) * F.cos(F.radians(j * (360.0 / n)))).alias("lat")))
+
+    outer = ring(12, lambda j: 0.0008 * (1 + (k * 7 + j * 5) % 3))
+    parts = F.array(F.array(outer, ring(12, lambda j: F.lit(0.0004))),
+                    F.array(ring(3, lambda j: F.lit(0.0007), 0.0031)))
+    return A.table(spark, d, "supplier").select(
+        k.cast("int").alias("seq"), F.concat(F.lit("Area "), k.cast("string")).alias("name"), parts.alias("parts"))
+
+
+A.CTES["stars"] = STAR_SQL
+A.CTES["star_edges"] = """
+SELECT a.seq, a.name, a.part, a.ring, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1
+FROM stars a JOIN stars b ON a.seq = b.seq AND a.part = b.part AND a.ring = b.ring AND b.j = (a.j + 1) % a.n"""
+
+
+@query("j15_areas_of_many_parts", with_ctes("""
+SELECT ticket_id, first(name ORDER BY inside DESC, d, CASE WHEN inside THEN seq ELSE -seq END) AS area,
+  round(first(d ORDER BY inside DESC, d, CASE WHEN inside THEN seq ELSE -seq END), 3) AS snapped_m
+FROM (SELECT ticket_id, seq, name, inside, CASE WHEN inside THEN 0.0 ELSE round(dm, 6) END AS d FROM (
+  SELECT ticket_id, seq, name, bool_or(held) AS inside, min(dm) AS dm FROM (
+    SELECT ticket_id, seq, name, part, sum(CASE WHEN ring = 0 AND hit THEN 1 ELSE 0 END) % 2 = 1
+        AND sum(CASE WHEN ring = 1 AND hit THEN 1 ELSE 0 END) % 2 = 0 AS held, min(dm) AS dm
+    FROM (SELECT *, CASE WHEN ring = 0 THEN sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)) END AS dm
+      FROM (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM (
+        SELECT p.ticket_id, e.*, y0 <> y1 AND ((y1 > p.latitude) <> (y0 > p.latitude)) AND p.longitude <
+            (x1 - x0) * (p.latitude - y0) / (CASE WHEN y1 = y0 THEN 1 ELSE y1 - y0 END) + x0 AS hit,
+          (x0 - p.longitude) * 111320.0::DOUBLE * cos(radians(p.latitude)) AS ax, (y0 - p.latitude) * 110540.0::DOUBLE AS ay,
+          (x1 - x0) * 111320.0::DOUBLE * cos(radians(p.latitude)) AS dx, (y1 - y0) * 110540.0::DOUBLE AS dy
+        FROM tickets p, star_edges e))) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3))
+WHERE inside OR d <= 150 GROUP BY 1"""))
+def _(spark, d):
+    p = PG.place_in_area(A.tickets(spark, d), "ticket_id", stars(spark, d), snap_m=150.0, cell_m=60.0)
+    return p.select("ticket_id", "area", F.round("snapped_m", 3).alias("snapped_m"))
+
+
 @query("j24_around_site", with_ctes(f"""
 SELECT centre, site_id, dist_m, rank, sector_id FROM (
   SELECT *, row_number() OVER (PARTITION BY centre ORDER BY dist_m, site_id) AS rank FROM (

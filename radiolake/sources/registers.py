@@ -284,18 +284,25 @@ def check_target(target: DataFrame) -> DataFrame:
 
 
 def load_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON features as seq, name, district, governorate, level and rings."""
+    """GeoJSON features as seq, name, district, governorate, level and parts.
+
+    A Polygon is one part, a MultiPolygon several; a part is its outer ring and its holes. Features
+    of other kinds have no parts and stay, so that their number in the list is kept.
+    """
     f = ("features array<struct<properties: struct<level: int, name: string, district: string, "
-         "governorate: string>, geometry: struct<type: string, "
-         "coordinates: array<array<array<double>>>>>>")
+         "governorate: string>, geometry: struct<type: string, coordinates: string>>>")
     d = spark.read.schema(f).json(path, multiLine=True)
     d = d.select(F.posexplode("features").alias("seq", "x"))
-    rings = F.transform("x.geometry.coordinates", lambda r: F.transform(
-        r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    rings = "array<array<array<double>>>"
+    text, kind = F.col("x.geometry.coordinates"), F.col("x.geometry.type")
+    raw = (F.when(kind == "Polygon", F.array(F.from_json(text, rings)))
+           .when(kind == "MultiPolygon", F.from_json(text, f"array<{rings}>")))
+    parts = F.transform(raw, lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
     return d.select("seq", F.col("x.properties.name").alias("name"),
                     F.col("x.properties.district").alias("district"),
                     F.col("x.properties.governorate").alias("governorate"),
-                    F.col("x.properties.level").alias("level"), rings.alias("rings"))
+                    F.col("x.properties.level").alias("level"), parts.alias("parts"))
 
 
 def load_geocode(spark: SparkSession, path: str) -> DataFrame:

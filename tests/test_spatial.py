@@ -4,6 +4,7 @@ import pytest
 
 from radiolake.operators import coverage as C
 from radiolake.operators import params as P
+from radiolake.operators import polygons as PG
 from radiolake.operators import spatial as S
 
 
@@ -108,7 +109,7 @@ def test_points_in_polygons_holes_and_snap(spark):
     pts = spark.createDataFrame([(1, 30.02, 47.02), (2, 30.05, 47.15), (3, 30.05, 47.21),
                                  (4, 30.05, 47.3), (5, None, 47.0)],
                                 "pid int, latitude double, longitude double")
-    got = {r["pid"]: (r["area"], r["snapped_m"]) for r in S.place_in_area(pts, "pid", poly).collect()}
+    got = {r["pid"]: (r["area"], r["snapped_m"]) for r in PG.place_in_area(pts, "pid", poly).collect()}
     assert got[1] == ("A", 0.0) and got[2] == ("B", 0.0)
     assert got[3][0] == "B" and got[3][1] == pytest.approx(0.01 * 111320 * np.cos(np.radians(30.05)), rel=1e-6)
     assert 4 not in got and 5 not in got
@@ -153,3 +154,82 @@ def test_area_names_by_equal_text_then_by_tokens(spark):
            for r in S.geocode_area(names, "area", geo).collect()}
     assert got == {"al-zubair CENTER": ("Al Zubair Center", 1.0),
                    "Abu Khaseeb North": ("Abu Khaseeb North Side", 0.75)}
+
+
+def brute_area(lat, lon, areas, snap):
+    """(seq, distance) by the definition, over all edges of all areas."""
+    def edges(ring):
+        return zip(ring, ring[1:] + ring[:1], strict=True)
+
+    def odd(ring):
+        return sum((b[1] > lat) != (a[1] > lat) and lon < (b[0] - a[0]) * (lat - a[1]) / (b[1] - a[1]) + a[0]
+                   for a, b in edges(ring)) % 2 == 1
+
+    def gap(a, b):
+        kx, ky = 111320.0 * np.cos(np.radians(lat)), 110540.0
+        x, y, dx, dy = (a[0] - lon) * kx, (a[1] - lat) * ky, (b[0] - a[0]) * kx, (b[1] - a[1]) * ky
+        t = min(1.0, max(0.0, -(x * dx + y * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return np.hypot(x + t * dx, y + t * dy)
+
+    held = [k for k, parts in areas.items() if any(odd(p[0]) and not any(map(odd, p[1:])) for p in parts)]
+    if held:
+        return min(held), 0.0
+    near = [(round(min(gap(a, b) for p in parts for a, b in edges(p[0])), 6), -k) for k, parts in areas.items()]
+    d, k = min(near)
+    return (-k, d) if d <= snap else None
+
+
+PARTS = "seq int, name string, parts array<array<array<struct<lon: double, lat: double>>>>"
+
+
+@pytest.mark.parametrize("cell_m", [90.0, 700.0, 5000.0])
+def test_areas_by_brute_force(spark, cell_m):
+    """Ragged rings with holes and several parts, overlapping areas, points on corners and edges."""
+    rng = np.random.default_rng(2)
+
+    def ring(x, y, r, n):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        far = r * rng.uniform(0.4, 1, n)
+        return [(float(x + f * np.cos(t)), float(y + f * np.sin(t))) for t, f in zip(turn, far, strict=True)]
+
+    areas = {k: [[ring(x, y, 0.006, 40), ring(x, y, 0.001, 7), ring(x + 0.0015, y, 0.0004, 5)],
+                 [ring(x + 0.02, y - 0.01, 0.003, 3)]]
+             for k, (x, y) in enumerate(rng.uniform(-0.02, 0.02, (9, 2)) + [[10.0, 60.0]])}
+    areas[9] = [[[(10.0, 60.0), (10.01, 60.0), (10.01, 60.01), (10.0, 60.01)]]]
+    areas[10] = [[[(9.99, 59.99)] * 3]]
+    poly = spark.createDataFrame([(k, f"n{k}", parts) for k, parts in areas.items()], PARTS)
+    spots = (rng.uniform(-0.03, 0.05, (400, 2)) + [10.0, 60.0]).tolist()
+    spots += [(10.0, 60.0), (10.005, 60.0), (10.01, 60.005), (10.005, 60.005), *areas[3][0][0][:9]]
+    pts = spark.createDataFrame([(k, y, x) for k, (x, y) in enumerate(spots)],
+                                "pid int, latitude double, longitude double")
+    got = {r["pid"]: (int(r["area"][1:]), r["snapped_m"]) for r in
+           PG.place_in_area(pts, "pid", poly, snap_m=300.0, cell_m=cell_m).collect()}
+    for k, (x, y) in enumerate(spots):
+        want = brute_area(y, x, areas, 300.0)
+        assert (k in got) == (want is not None), (k, x, y, want, got.get(k))
+        if want:
+            assert got[k][1] == pytest.approx(want[1], abs=1e-5)
+            assert got[k][0] == want[0] or want[1] > 0 and abs(got[k][1] - want[1]) < 1e-5
+
+
+def test_area_of_a_hundred_thousand_edges(spark):
+    """A point meets the edges of its strip, not the ring: the pairs of the join are counted."""
+    n = 100_000
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = 0.5 + 0.01 * np.sin(300 * turn)
+    ring = [(float(x), float(y)) for x, y in zip(47 + far * np.cos(turn), 30 + far * np.sin(turn), strict=True)]
+    poly = spark.createDataFrame([(0, "big", [[ring]])], PARTS)
+    rng = np.random.default_rng(3)
+    spots = rng.uniform(-0.6, 0.6, (3000, 2))
+    pts = spark.createDataFrame([(k, float(30 + y), float(47 + x)) for k, (x, y) in enumerate(spots)],
+                                "pid int, latitude double, longitude double")
+    got = {r["pid"] for r in PG.place_in_area(pts, "pid", poly, snap_m=1.0).collect()}
+    r, phi = np.hypot(*spots.T), np.arctan2(spots[:, 1], spots[:, 0])
+    clear = np.abs(r - (0.5 + 0.01 * np.sin(300 * phi))) > 1e-4
+    want = r < 0.5 + 0.01 * np.sin(300 * phi)
+    assert all((k in got) == want[k] for k in np.flatnonzero(clear).tolist())
+    edges = PG.edge_table(poly)
+    sizes = PG.strips(edges)
+    assert PG.edge_strips(edges, sizes).count() <= 3 * n
+    cells = PG.area_cells(edges, sizes, PG.edge_strips(edges, sizes))
+    assert cells.where("whole").count() > 200

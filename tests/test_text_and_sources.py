@@ -118,9 +118,15 @@ def test_polygons_and_coverage_sources(spark, tmp_path):
     geo = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {
         "level": 3, "name": "A", "district": "D", "governorate": "G"}, "geometry": {
             "type": "Polygon", "coordinates": [[[47.0, 30.0], [47.1, 30.0], [47.1, 30.1]]]}}]}
+    ring = [[47, 30.0], [47.1, 30.0], [47.1, 30.1], [47.0, 30.0]]
+    geo["features"] += [{"type": "Feature", "properties": {"name": "M"}, "geometry": {
+        "type": "MultiPolygon", "coordinates": [[ring, ring], [ring]]}},
+        {"type": "Feature", "properties": {"name": "P"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]
     (tmp_path / "p.json").write_text(json.dumps(geo))
-    r = G.load_polygons(spark, str(tmp_path / "p.json")).collect()[0]
-    assert r["name"] == "A" and r["rings"][0][2]["lat"] == 30.1
+    r, many, point = G.load_polygons(spark, str(tmp_path / "p.json")).collect()
+    assert r["name"] == "A" and r["parts"][0][0][2]["lat"] == 30.1
+    assert [len(part) for part in many["parts"]] == [2, 1] and many["parts"][0][1][0]["lon"] == 47.0
+    assert many["seq"] == 1 and point["parts"] is None
     raw = spark.createDataFrame([("30", "47", "-90", ""), ("95", "47", "-90", "3"), ("30", "x", "-90", "3")],
                                 "`Latitude` string, `Longitude` string, `RSRP(All MRs) (dBm)` string, "
                                 "`MR Count` string")
