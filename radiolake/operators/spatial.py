@@ -59,6 +59,7 @@ def nearest_within(points: DataFrame, point_id: str, grid: DataFrame, metres: fl
 BASE_M = 125.0
 LEVELS = 19  # lattices of 125 m, 250 m ... to more than half of the Earth's circumference
 FAR_M = BASE_M * 2 ** (LEVELS - 1)
+ROUNDING = 1e-5  # metres that a rounded distance may differ from the measured one
 
 
 def _level_m(lv: Column) -> Column:
@@ -81,8 +82,11 @@ def within_own_reach(points: DataFrame, reach: str, others: DataFrame) -> DataFr
     `reach` in metres can hold; the caller measures.
 
     A point takes the cells its circle touches in the lattice as wide as its reach, and the
-    others keep one key a lattice, so a point with a small reach meets few of them.
+    others keep one key a lattice, so a point with a small reach meets few of them. Points are
+    few bytes and much work, so they are dealt out anew: by their size alone they would be one task.
     """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = points.repartition(n)  # by the keys they have, it would be taken out again
     level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.1, F.lit(BASE_M)) / BASE_M)).cast("int")
     p = points.withColumn("_lv", F.least(level, F.lit(LEVELS - 1)))
     p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.3)))
@@ -133,8 +137,9 @@ def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str
     seen = top_n_by(seen.withColumn("dist_m", dist), spot, order, k)
     reach = seen.groupBy(*spot).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist_m")).otherwise(
         FAR_M).alias("_reach"))
-    pairs = within_own_reach(reach, "_reach", s).withColumn("dist_m", dist).filter(
-        F.col("dist_m") <= F.col("_reach"))
+    pairs = within_own_reach(reach, "_reach", s).filter(
+        fn("p_lat", "p_lon", "s_lat", "s_lon") <= F.col("_reach") + ROUNDING)
+    pairs = pairs.withColumn("dist_m", dist).filter(F.col("dist_m") <= F.col("_reach"))
     if exclude:
         pairs = pairs.filter(F.col("_place") != F.col(exclude))
     best = top_n_by(pairs, spot, order, k, rank="rank")
@@ -195,7 +200,7 @@ def _site_points(sectors: DataFrame) -> DataFrame:
         F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
 
 
-FIRST_SITES = 3  # whose sectors give the score that the others have to beat
+FIRST_SITES = 8  # whose sectors give the score that the others have to beat
 
 
 def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,
@@ -203,14 +208,15 @@ def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,
     """Of all sectors, that with the least distance x (1 + (off / 65)^2), per point.
 
     A score is at least the distance, so the best one among the nearest few sites bounds how far
-    a better sector can be; only what lies within is looked at.
+    a better sector can be; only what lies within is looked at. Among so many sites some sector
+    faces the point nearly, and then the bound is little more than the distance itself.
     """
     fn = haversine_m if metric == "haversine" else flat_m
-    dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
+    exact = fn("p_lat", "p_lon", "s_lat", "s_lon")
     names = ["sector_id", "site_id", "dist_m", "bearing_deg", "azimuth_deg", "off_deg", "score"]
 
     def best(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-        scored = _score(pairs.withColumn("dist_m", dist))
+        scored = _score(pairs.withColumn("dist_m", F.round(exact, 6)))
         return scored.groupBy(*keys).agg(first_by(names, "score", "sector_id").alias("w"))
 
     pos = _pos(points, "p", [point_id])
@@ -224,7 +230,10 @@ def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,
                        F.col("_spot.p_lon").alias("p_lon"))
     first = best(near.join(_sectors(sectors), "site_id"), ["p_lat", "p_lon"])
     reach = first.select("p_lat", "p_lon", F.col("w.score").alias("_reach"))
-    found = best(within_own_reach(reach, "_reach", _sectors(sectors)), ["p_lat", "p_lon"])
+    # bearings and rounding are dear: only for what is in reach
+    close = within_own_reach(reach, "_reach", _sectors(sectors)).filter(
+        exact <= F.col("_reach") + ROUNDING)
+    found = best(close, ["p_lat", "p_lon"])
     return pos.join(found, ["p_lat", "p_lon"]).select(point_id, "w.*")
 
 
