@@ -567,7 +567,7 @@ def _(spark, d):
 
 
 A.CTES["zverdict"] = """
-SELECT s.*, p.top AS prb_max, p.mean AS prb_avg, r.top AS rssi_max, r.mean AS rssi_avg, f.worst AS flow_max, f.mean AS flow_avg,
+SELECT s.*, p.top AS prb_max, p.mean AS prb_avg, r.top AS rssi_max, r.mean AS rssi_avg, f.worst AS flow_max, f.mean AS flow_avg, w.worst AS rtwp_max, w.mean AS rtwp_avg,
   g.rsrp, CASE "check" WHEN 'not_technical' THEN 'Not Technical' WHEN 'coverage' THEN CASE WHEN latitude IS NULL THEN
     'Not Checked' WHEN g.rsrp IS NULL OR g.rsrp <= -105 THEN 'Not Solve' ELSE 'Solve' END
   WHEN 'flow_control' THEN CASE WHEN f.issue_hours IS NULL THEN 'Not Checked' WHEN f.issue_hours > 0 THEN 'Not Solve'
@@ -605,27 +605,43 @@ def _(spark, d):
 
 
 def _num(c, unit, dec=1):
-    return f"coalesce(format('{{:,.{dec}f}}', {c}) || '{unit}', 'N/A')"
+    return f"coalesce(format('{{:,.{dec}f}}', round(round({c}, 6), {dec})) || '{unit}', 'N/A')"
 
 
 def _pair(name, unit, dec=1):
-    return (f"'a maximum of ' || {_num(name + '_max', unit, dec)} || ' and an average of ' || "
-            f"{_num(name + '_avg', unit)}")
+    return f"{_num(name + '_max', unit, dec)} || ' and an average value of ' || {_num(name + '_avg', unit)}"
+
+
+# the sentences, one branch each
+A.CTES["zsaid"] = f"""
+SELECT *, 'The serving sector is ' || coalesce(serving, 'N/A') || ', with a distance of ' || CASE WHEN dist_m >= 1000
+    THEN {_num('dist_m / 1000', ' km', 2)} ELSE {_num('dist_m', ' m', 0)} END || ' from the user location.' AS lead,
+  CASE WHEN rsrp IS NULL AND latitude IS NOT NULL AND longitude IS NOT NULL THEN 'N/A (no RSRP grid at the user location)'
+    ELSE {_num('rsrp', ' dBm')} END AS power,
+  CASE verdict WHEN 'Solve' THEN 'is no longer' ELSE 'is still' END AS phrase FROM zverdict"""
 
 
 @query("c18_verdict_text", with_ctes(f"""
-SELECT ticket_id, CASE verdict WHEN 'Not Technical' THEN 'Not Technical: ' || comment ELSE
-    'The serving sector is ' || coalesce(serving, 'N/A') || ', with a distance of ' || CASE WHEN dist_m IS NULL THEN 'N/A'
-      WHEN dist_m >= 1000 THEN {_num('dist_m / 1000', ' km', 2)} ELSE {_num('dist_m', ' m', 0)} END
-    || ' from the user location. The ' || CASE WHEN verdict = 'Not Checked' THEN words ||
-      ' could not be verified from the loaded data.' WHEN "check" = 'coverage' THEN 'area ' || phrase ||
-      ' experiencing weak coverage, with an RSRP of ' || {_num('rsrp', ' dBm')} || '.'
-    ELSE 'sector ' || phrase || ' experiencing ' || words || ', with ' || CASE "check"
-      WHEN 'utilization' THEN {_pair('prb', '%')} WHEN 'flow_control' THEN {_pair('flow', '', 0)}
-      ELSE {_pair('rssi', ' dBm')} END || '. The RSRP is ' || {_num('rsrp', ' dBm')} || '.' END END AS description
-FROM (SELECT *, CASE verdict WHEN 'Solve' THEN 'is no longer' ELSE 'is still' END AS phrase, CASE "check"
-    WHEN 'utilization' THEN 'high PRB utilization' WHEN 'flow_control' THEN 'Flow Control issues' WHEN 'interference'
-    THEN 'interference' ELSE 'weak coverage' END AS words FROM zverdict)"""))
+SELECT ticket_id, CASE
+  WHEN verdict = 'Not Technical' THEN 'Not Technical: the Diagnostic Comment explains the issue as non-technical' ||
+    CASE WHEN trim(coalesce(comment, '')) = '' THEN '' ELSE ' (“' || trim(regexp_replace(comment, '\s+', ' ', 'g')) || '”)' END
+    || '. No KPI check is run on it.'
+  WHEN verdict = 'Not Checked' AND "check" = 'utilization' THEN lead ||
+    ' The PRB utilization could not be verified from the loaded data. The RSRP measurement is ' || power || '.'
+  WHEN verdict = 'Not Checked' AND "check" = 'flow_control' THEN lead ||
+    ' Flow Control could not be verified from the loaded data. The RSRP measurement is ' || power || '.'
+  WHEN verdict = 'Not Checked' AND "check" = 'interference' THEN lead ||
+    ' The interference could not be verified from the loaded data. The RSRP measurement is ' || power || '.'
+  WHEN verdict = 'Not Checked' THEN lead || ' The coverage could not be verified from the loaded data.'
+  WHEN "check" = 'utilization' THEN lead || ' The sector ' || phrase || ' experiencing high PRB utilization, with a maximum value of '
+    || {_pair('prb', '%')} || '. The RSRP measurement is ' || power || '.'
+  WHEN "check" = 'flow_control' THEN lead || ' The sector ' || phrase || ' experiencing Flow Control issues, with a maximum value of '
+    || {_pair('flow', '', 0)} || '. The RSRP measurement is ' || power || '.'
+  WHEN "check" = 'interference' THEN lead || ' The sector ' || phrase || ' experiencing interference, with a maximum RTWP value of '
+    || CASE WHEN rssi_max IS NOT NULL THEN {_pair('rssi', ' dBm')} ELSE {_pair('rtwp', ' dBm')} END
+    || '. The RSRP measurement is ' || power || '.'
+  ELSE lead || ' The area ' || phrase || ' experiencing weak coverage, with an RSRP measurement of ' || power || '.' END AS description
+FROM zsaid"""))
 def _(spark, d):
     return Z.describe_verdict(verdicts(spark, d)).select("ticket_id", "description")
 
