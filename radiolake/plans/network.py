@@ -7,10 +7,13 @@ from radiolake.kpis import hourly_rules
 from radiolake.operators import coverage as C
 from radiolake.operators import health as H
 from radiolake.operators import params as P
+from radiolake.operators import relocate as RL
 from radiolake.operators import sleep as Z
 from radiolake.operators import tickets as T
 from radiolake.operators import worklist as K
+from radiolake.operators.spatial import best_server
 from radiolake.plans import adapters as A
+from radiolake.plans import tickets  # noqa: F401  (defines the windows that the oracles name)
 from radiolake.plans.adapters import with_ctes
 from radiolake.plans.complaints import pick, pick_sql
 from radiolake.plans.health import judged_hours, r6
@@ -692,6 +695,81 @@ def _(spark, d):
                     F.coalesce("kpi_issues", F.lit(0)).alias("kpi_issues"))
 
 
+# every ticket at its position, among the sectors that report hours; some sectors report no load
+A.CTES["rscored"] = f"""
+SELECT *, round(dist_m * (1.0 + pow(off_deg / 65.0, 2)), 6) AS score FROM (
+  SELECT *, {q_gap('azimuth_deg', 'bearing_deg')} AS off_deg FROM (
+    SELECT t.ticket_id, s.sector_id, s.site_id, s.azimuth_deg,
+      {q_flat('t.latitude', 't.longitude', 's.latitude', 's.longitude')} AS dist_m,
+      {q_brg('s.latitude', 's.longitude', 't.latitude', 't.longitude')} AS bearing_deg
+    FROM tickets t, hsectors s WHERE t.latitude IS NOT NULL))"""
+A.CTES["rserver"] = """
+SELECT ticket_id, first(sector_id ORDER BY score, sector_id) AS sector_id, first(site_id ORDER BY score, sector_id) AS site_id,
+  first(dist_m ORDER BY score, sector_id) AS dist_m, first(bearing_deg ORDER BY score, sector_id) AS bearing_deg
+FROM rscored GROUP BY ticket_id"""
+
+RELOCATE_SQL = """,
+asked AS (SELECT ticket_id, 0 AS rank, sector_id, site_id FROM rserver UNION ALL SELECT ticket_id, rank, sector_id, site_id FROM near),
+sech AS (SELECT c.sector_id, j.* FROM jhours j JOIN (SELECT DISTINCT object, sector_id FROM f3) c ON c.object = j.object_id
+  WHERE j.kpi <> 'dl_flowctrl_drops' AND NOT (c.sector_id LIKE '%-S2' AND j.kpi = 'dl_prb_util') AND c.sector_id NOT LIKE '%-S0'),
+tracks AS (SELECT sector_id AS obj, kpi, datetime, v, sev, direction, object_id, 'sector' AS track FROM sech
+  UNION ALL SELECT w.sector_id, j.kpi, j.datetime, j.v, j.sev, j.direction, j.object_id, 'site'
+  FROM (SELECT DISTINCT sector_id, site_id FROM asked) w JOIN jhours j USING (site_id)
+  WHERE NOT EXISTS (SELECT 1 FROM sech o WHERE o.sector_id = w.sector_id AND o.kpi = j.kpi)),
+judged AS (SELECT a.ticket_id, a.rank::BIGINT AS rank, a.sector_id, k.kpi, k.track, coalesce(max(sev), -1) AS sev, count(DISTINCT datetime) AS hours,
+    count(DISTINCT CASE WHEN sev > 0 THEN datetime END) AS breach_hours,
+    round(first(v ORDER BY sev DESC, CASE WHEN direction = 'up' THEN v ELSE -v END, datetime, object_id) FILTER (sev IS NOT NULL), 6) AS worst
+  FROM asked a JOIN wtickets w USING (ticket_id) JOIN (SELECT DISTINCT obj, kpi, track FROM tracks) k ON k.obj = a.sector_id
+  LEFT JOIN tracks t ON t.obj = k.obj AND t.kpi = k.kpi AND t.datetime BETWEEN lo AND hi GROUP BY ALL)
+"""
+
+
+def relocate_sql(select):
+    from radiolake.plans.spatial import NEIGHBOURS_SQL
+    text = with_ctes("SELECT * FROM rscored, rserver, jhours, wtickets, f3")
+    steps = NEIGHBOURS_SQL.replace("{ctes}", text[5:text.rindex("\nSELECT * FROM rscored")]).replace(
+        "FROM scored s", "FROM rscored s").replace("bserver", "rserver")
+    at = steps.rindex("SELECT ticket_id, row_number()")
+    return steps[:at].rstrip() + ",\nnear AS (" + steps[at:] + ")" + RELOCATE_SQL + select
+
+
+def kept_at(spark):
+    """Keeps the tables of a run in the shared folder."""
+    from radiolake.plans.ingest import shared_path
+    from radiolake.sources.sinks import kept
+    return lambda df, name: kept(df, shared_path(spark, name))
+
+
+def relocated(spark, d):
+    t = A.tickets(spark, d).filter(F.col("latitude").isNotNull())
+    sectors = hourly_sectors(spark, d)
+    serving = best_server(t, "ticket_id", sectors)
+    hourly = A.hourly(spark, d)
+    judged = H.judge_hours(H.to_long(hourly, A.HOURLY_KPIS), hourly_rules(spark))
+    cells = hourly.select(F.col("object").alias("object_id"), "sector_id").distinct()
+    mine = judged.join(cells, "object_id").filter(
+        ~(F.col("sector_id").endswith("-S2") & (F.col("kpi") == "dl_prb_util")))
+    return RL.reanalyse(t, sectors, serving, RL.sector_kpi_hours(mine), T.site_kpi_hours(judged), 2.0,
+                        keep=kept_at(spark))
+
+
+@query("c10_relocated_checks", relocate_sql("""
+SELECT ticket_id, rank, sector_id, kpi, track, sev, hours, breach_hours, worst FROM judged"""))
+def _(spark, d):
+    return relocated(spark, d).select(
+        "ticket_id", F.col("rank").cast("bigint").alias("rank"), "sector_id", "kpi", "track", "sev", "hours",
+        "breach_hours", F.round("worst", 6).alias("worst"))
+
+
+@query("c10_relocated_sectors", relocate_sql("""
+SELECT ticket_id, rank, sector_id, count(CASE WHEN sev >= 0 THEN 1 END) AS judged, count(CASE WHEN sev > 0 THEN 1 END) AS issues,
+  first(kpi ORDER BY sev DESC, kpi NOT IN ('cell_avail_pct', 'dl_prb_util'), breach_hours DESC, kpi) FILTER (sev > 0) AS lead_kpi
+FROM judged GROUP BY ALL"""))
+def _(spark, d):
+    v = RL.sector_verdicts(relocated(spark, d), ["cell_avail_pct", "dl_prb_util"])
+    return v.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("e02_dashboard_numbers", with_ctes("""
 SELECT 'sites with issues' AS number, count(CASE WHEN sev > 0 THEN 1 END) AS value FROM sstat
 UNION ALL SELECT 'critical sites', count(CASE WHEN sev = 2 THEN 1 END) FROM sstat

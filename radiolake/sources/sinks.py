@@ -50,3 +50,10 @@ def keep_parsed(df: DataFrame, path: str) -> DataFrame:
     steps start from Parquet. The caller names the path and removes it when it is done with."""
     write_hourly(df, path)
     return df.sparkSession.read.parquet(path)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table that a run reads more than once, and gives it back from there: the plan of
+    what comes after starts anew."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
