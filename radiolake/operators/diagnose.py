@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.kpis import rule_rows
+from radiolake.kpis import catalogue_rows, rule_rows
 from radiolake.operators.common import first_by
 
 # Spacing assumed without a site map, by surroundings.
@@ -262,21 +262,53 @@ def traffic_imbalance(cells: DataFrame) -> DataFrame:
         gap.alias("gap_pp"))
 
 
-def reinforce_by_trend(diagnoses: DataFrame, trends: DataFrame) -> DataFrame:
-    """The worst degrading trend of a KPI the diagnosis leans on adds a note and confidence.
+def label_tokens(label: str) -> list[str]:
+    """The words of a KPI's label that tell it from others."""
+    return [t for t in label.lower().replace("/", " ").split() if len(t) > 2]
 
-    `trends`: cell_id, kpi, verdict, pct_change.
+
+def related_kpis(cited: Column, technology: str) -> Column:
+    """The KPIs of the catalogue that a list of cited ones speaks of, in its order.
+
+    Named is a KPI whose name stands in the names and labels of the cited ones, or all of whose
+    label's words do but one. The catalogue is a constant, so this is one expression, no join.
+    """
+    rows = catalogue_rows(technology)
+    labels = F.create_map(*[F.lit(x) for r in rows for x in (r["kpi"], r["label"])])
+    text = F.lower(F.array_join(F.transform(cited, lambda k: F.concat_ws(
+        " ", k, F.try_element_at(labels, k))), " "))
+
+    def named(kpi: str, label: str) -> Column:
+        words = label_tokens(label)
+        seen = reduce(lambda a, b: a + b, [text.contains(t).cast("int") for t in words], F.lit(0))
+        return text.contains(kpi.lower()) | (F.lit(bool(words)) & (seen >= max(1, len(words) - 1)))
+
+    return F.filter(F.array(*[F.when(named(r["kpi"], r["label"]), F.lit(r["kpi"])) for r in rows]),
+                    lambda k: k.isNotNull())
+
+
+def reinforce_by_trend(diagnoses: DataFrame, trends: DataFrame,
+                       technology: str = "LTE") -> DataFrame:
+    """The worst falling trend of a KPI that the diagnosis speaks of adds a note and confidence.
+
+    `trends`: cell_id, kpi, verdict, pct_change, baseline, recent. The KPIs are the related ones, or
+    those cited where there is none. A step down on a warning is evidence, too: `step` holds the
+    level before and after it.
     """
     falling = trends.filter(F.col("verdict").isin("degrading", "step-down"))
-    cited = diagnoses.select("cell_id", "problem_class",
-                             F.explode("evidence.kpi").alias("kpi")).distinct()
-    found = cited.join(falling, ["cell_id", "kpi"]).groupBy("cell_id", "problem_class").agg(
-        first_by(["kpi", "verdict", "pct_change"], F.col("verdict") != "step-down",
-                 -F.abs("pct_change"), "kpi").alias("trend"))
-    j = diagnoses.join(found, ["cell_id", "problem_class"], "left")
+    d = diagnoses.withColumn("related_kpis", related_kpis(F.col("evidence.kpi"), technology))
+    keys = F.when(F.size("related_kpis") > 0, F.col("related_kpis")).otherwise(
+        F.col("evidence.kpi"))
+    asked = d.select("cell_id", "problem_class", F.explode(keys).alias("kpi")).distinct()
+    found = asked.join(falling, ["cell_id", "kpi"]).groupBy("cell_id", "problem_class").agg(
+        first_by(["kpi", "verdict", "pct_change", "baseline", "recent"],
+                 F.col("verdict") != "step-down", -F.abs("pct_change"), "kpi").alias("trend"))
+    j = d.join(found, ["cell_id", "problem_class"], "left")
+    step = (F.col("trend.verdict") == "step-down") & (F.col("sev") == 1)
     return j.withColumn("confidence", F.when(
         F.col("trend").isNotNull(), F.least(F.lit(0.97), F.col("confidence") + 0.08))
-        .otherwise(F.col("confidence")))
+        .otherwise(F.col("confidence"))).withColumn(
+        "step", F.when(step, F.struct("trend.baseline", "trend.recent")))
 
 
 def diagnosis_counts(diagnoses: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from radiolake.kpis import rule_rows
+from radiolake.kpis import catalogue_rows, rule_rows
 from radiolake.operators import actions as R
 from radiolake.operators import diagnose as D
 from radiolake.plans import adapters as A
@@ -246,41 +246,58 @@ def _(spark, d):
     return D.traffic_imbalance(part_cells(spark, d)).select("sector_id", "cell_id", "sev", "gap_pp")
 
 
+TREND_KPIS = ("erab_drop_rate", "avg_rsrp_dbm", "ho_sr", "ctxt_drop_rate", "ho_ping_pong_rate", "dl_prb_util")
+
+
 def part_trends(spark, d):
+    """Trends of KPIs that a lost connection cites, of related ones, and of one that is neither."""
     c = part_cells(spark, d).select("cell_id", "q")
-    kpis = F.array(*[F.struct(F.lit(k).alias("kpi"), F.lit(i).alias("i"))
-                     for i, k in enumerate(("erab_drop_rate", "avg_rsrp_dbm", "ho_sr"))])
+    kpis = F.array(*[F.struct(F.lit(k).alias("kpi"), F.lit(i).alias("i")) for i, k in enumerate(TREND_KPIS)])
     t = c.select("cell_id", "q", F.explode(kpis).alias("k"))
     n = F.col("q") + F.col("k.i") * 7
     return t.select("cell_id", F.col("k.kpi").alias("kpi"),
                     F.when(n % 5 == 0, "step-down").when(n % 3 == 0, "degrading")
                     .otherwise("stable").alias("verdict"),
-                    ((n % 41).cast("double") - 20.0).alias("pct_change"))
+                    ((n % 41).cast("double") - 20.0).alias("pct_change"),
+                    (n % 13).cast("double").alias("baseline"), (n % 17).cast("double").alias("recent"))
 
 
-A.CTES["ptrends"] = """
+A.CTES["ptrends"] = f"""
 SELECT cell_id, kpi, CASE WHEN n % 5 = 0 THEN 'step-down' WHEN n % 3 = 0 THEN 'degrading' ELSE 'stable'
-  END AS verdict, (n % 41)::DOUBLE - 20.0 AS pct_change
+  END AS verdict, (n % 41)::DOUBLE - 20.0 AS pct_change, (n % 13)::DOUBLE AS baseline, (n % 17)::DOUBLE AS recent
 FROM (SELECT cell_id, kpi, q + i * 7 AS n FROM pcells,
-  (VALUES ('erab_drop_rate', 0), ('avg_rsrp_dbm', 1), ('ho_sr', 2)) k(kpi, i))"""
+  (VALUES {", ".join(f"('{k}', {i})" for i, k in enumerate(TREND_KPIS))}) k(kpi, i))"""
+# the words of the catalogue's labels
+A.CTES["kpiwords"] = """
+SELECT kpi, lower(label) AS label, list_filter(string_split(replace(lower(label), '/', ' '), ' '), lambda x: length(x) > 2) AS words
+FROM (VALUES """ + ", ".join(f"('{r['kpi']}', '{r['label']}')" for r in catalogue_rows("LTE")) + """) v(kpi, label)"""
+CITED_DROPS = ("erab_drop_rate", "ctxt_drop_rate", "avg_sinr_db", "avg_rsrp_dbm", "ul_rssi_dbm", "ho_sr", "dl_prb_util")
+CITED_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {bad(k)} = 1 THEN '{k}' END" for k in CITED_DROPS) + f"""
+  , CASE WHEN ({REAL} AND ta_p95_m > 1.3 * {ISD}) OR (NOT {REAL} AND ta_p95_m > 4000) THEN 'ta_p95_m' END)"""
 
 
 @query("d13_trend_reinforcement", with_ctes(f"""
-SELECT cell_id, problem_class, t.kpi AS trend_kpi, t.verdict AS trend_verdict,
-  round(CASE WHEN t.kpi IS NULL THEN confidence ELSE least(0.97, raw + 0.08) END, 6)::DOUBLE AS confidence
-FROM (SELECT cell_id, 'retainability' AS problem_class, confidence, confidence AS raw FROM diags
-      WHERE problem_class = 'retainability')
-LEFT JOIN (SELECT cell_id, first(kpi ORDER BY verdict <> 'step-down', abs(pct_change) DESC, kpi) AS kpi,
-    first(verdict ORDER BY verdict <> 'step-down', abs(pct_change) DESC, kpi) AS verdict
-  FROM ptrends JOIN pcells USING (cell_id) WHERE verdict IN ('degrading', 'step-down') AND CASE kpi
-    WHEN 'erab_drop_rate' THEN {bad('erab_drop_rate')} WHEN 'avg_rsrp_dbm' THEN {bad('avg_rsrp_dbm')}
-    ELSE {bad('ho_sr')} END = 1 GROUP BY 1) t USING (cell_id)"""))
+SELECT * FROM (WITH lost AS (SELECT cell_id, sev, confidence, {CITED_SQL} AS kpis FROM diags JOIN pcells USING (cell_id)
+  WHERE problem_class = 'retainability'),
+text AS (SELECT cell_id, string_agg(w.kpi || ' ' || w.label, ' ') AS text FROM
+  (SELECT cell_id, unnest(string_split(kpis, ',')) AS kpi FROM lost) JOIN kpiwords w USING (kpi) GROUP BY 1),
+related AS (SELECT cell_id, kpi FROM text, kpiwords WHERE contains(text, kpi) OR (len(words) > 0 AND
+  len(list_filter(words, lambda x: contains(text, x))) >= greatest(1, len(words) - 1))),
+worst AS (SELECT cell_id, first(t ORDER BY t.verdict <> 'step-down', abs(t.pct_change) DESC, t.kpi) AS t
+  FROM related JOIN ptrends t USING (cell_id, kpi) WHERE t.verdict IN ('degrading', 'step-down') GROUP BY 1)
+SELECT cell_id, 'retainability' AS problem_class, t.kpi AS trend_kpi, t.verdict AS trend_verdict,
+  round(CASE WHEN t.kpi IS NULL THEN confidence ELSE least(0.97, confidence + 0.08) END, 6)::DOUBLE AS confidence,
+  CASE WHEN t.verdict = 'step-down' AND sev = 1 THEN t.baseline END AS step_from,
+  CASE WHEN t.verdict = 'step-down' AND sev = 1 THEN t.recent END AS step_to,
+  (SELECT string_agg(kpi, ',' ORDER BY kpi) FROM related r WHERE r.cell_id = lost.cell_id) AS related
+FROM lost LEFT JOIN worst USING (cell_id))"""))
 def _(spark, d):
     x = D.reinforce_by_trend(D.diagnose(part_cells(spark, d), classes=["retainability"]),
                              part_trends(spark, d))
     return x.select("cell_id", "problem_class", F.col("trend.kpi").alias("trend_kpi"),
-                    F.col("trend.verdict").alias("trend_verdict"),
-                    F.round("confidence", 6).alias("confidence"))
+                    F.col("trend.verdict").alias("trend_verdict"), F.round("confidence", 6).alias("confidence"),
+                    F.col("step.baseline").alias("step_from"), F.col("step.recent").alias("step_to"),
+                    F.array_join(F.array_sort("related_kpis"), ",").alias("related"))
 
 
 @query("a37_diagnosis_counts", with_ctes("""
