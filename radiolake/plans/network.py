@@ -649,19 +649,35 @@ def _(spark, d):
     return Z.describe_verdict(verdicts(spark, d)).select("ticket_id", "description")
 
 
+# evidence with the flow control of a sector's cells, which no other check reads by sector
+A.CTES["zevflow"] = """
+SELECT site_id, sector_id, kpi, top, mean, worst, issue_hours FROM zev
+UNION ALL SELECT site_id, sector_id, 'dl_flowctrl_drops', max(v), avg(v), max(v), sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT
+FROM (SELECT site_id, sector_id, datetime, sum(value) AS v, max(value) > 100000 AS bad FROM f3long
+  WHERE kpi = 'dl_flowctrl_drops' AND sector_id NOT LIKE '%-S0' GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
 @query("j22_compare_sectors", with_ctes(f"""
 SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY kind, gap, sector_id) AS rank,
-  ['Serving Sector', 'Same Site', 'Neighbor Site'][kind + 1] AS sector_type, sector_id, round(top, 6) AS top, status
-FROM (SELECT t.ticket_id, e.sector_id, e.top, CASE WHEN e.issue_hours > 0 THEN 'Issue' ELSE 'Normal' END AS status,
-    CASE WHEN e.sector_id = t.serving THEN 0 WHEN e.site_id = t.serving_site THEN 1 ELSE 2 END AS kind,
-    {q_flat('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS gap
-  FROM sserve t JOIN hsites a ON a.site_id = t.serving_site JOIN zev e ON e.kpi = 'dl_prb_util'
-  JOIN hsites b ON b.site_id = e.site_id) WHERE gap <= 2000"""))
-def _(spark, d):
-    c = Z.compare_sectors(served(spark, d), Z.sector_evidence(sector_evidence(spark, d)),
-                          A.hourly_sites(spark, d))
+  ['Serving Sector', 'Same Site', 'Neighbor Site'][kind + 1] AS sector_type, sector_id, kpi, round(top, 6) AS top,
+  round(worst, 6) AS value, CASE WHEN issue_hours > 0 THEN 'Issue' ELSE 'Normal' END AS status, other_issues
+FROM (SELECT t.ticket_id, n.sector_id, t.kpi, e.top, e.worst, e.issue_hours,
+    CASE WHEN n.sector_id = t.serving THEN 0 WHEN n.site_id = t.serving_site THEN 1 ELSE 2 END AS kind,
+    {q_flat('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS gap,
+    (SELECT coalesce(string_agg(o.kpi, ',' ORDER BY o.kpi), '') FROM zevflow o WHERE o.sector_id = n.sector_id
+      AND o.issue_hours > 0 AND o.kpi <> t.kpi) AS other_issues
+  FROM (SELECT *, CASE "check" WHEN 'flow_control' THEN 'dl_flowctrl_drops' WHEN 'interference' THEN 'ul_rssi_dbm'
+      ELSE 'dl_prb_util' END AS kpi FROM sserve) t
+  JOIN hsites a ON a.site_id = t.serving_site CROSS JOIN (SELECT DISTINCT site_id, sector_id FROM zevflow) n
+  JOIN hsites b ON b.site_id = n.site_id LEFT JOIN zevflow e ON e.sector_id = n.sector_id AND e.kpi = t.kpi)
+WHERE gap <= 2000"""))
+def _(spark, d):
+    long = H.to_long(A.hourly(spark, d), ["dl_prb_util", "ul_rssi_dbm", "cell_avail_pct", "dl_flowctrl_drops"])
+    hours = Z.sector_hours(long, hourly_rules(spark), Z.SECTOR_HOW | {"dl_flowctrl_drops": "sum"})
+    c = Z.compare_sectors(served(spark, d), Z.sector_evidence(hours), A.hourly_sites(spark, d))
     return r6(c.select("ticket_id", F.col("rank").cast("bigint").alias("rank"), "sector_type", "sector_id",
-                       "top", "status"), "top")
+                       "kpi", "top", "value", "status", F.array_join("other_issues", ",").alias("other_issues")),
+              "top", "value")
 
 
 # -------------------------------------------------- re-analysis at a location
