@@ -627,7 +627,7 @@ SELECT *, 'The serving sector is ' || coalesce(serving, 'N/A') || ', with a dist
 @query("c18_verdict_text", with_ctes(f"""
 SELECT ticket_id, CASE
   WHEN verdict = 'Not Technical' THEN 'Not Technical: the Diagnostic Comment explains the issue as non-technical' ||
-    CASE WHEN trim(coalesce(comment, '')) = '' THEN '' ELSE ' (“' || trim(regexp_replace(comment, '\s+', ' ', 'g')) || '”)' END
+    CASE WHEN trim(coalesce(comment, '')) = '' THEN '' ELSE ' (“' || trim(regexp_replace(comment, '\\s+', ' ', 'g')) || '”)' END
     || '. No KPI check is run on it.'
   WHEN verdict = 'Not Checked' AND "check" = 'utilization' THEN lead ||
     ' The PRB utilization could not be verified from the loaded data. The RSRP measurement is ' || power || '.'
