@@ -269,6 +269,11 @@ def clean_site_name(col) -> Column:
     return t
 
 
+def is_border_site(col) -> Column:
+    """A border-road site by its name: ARB and a capital at the start or after an underscore."""
+    return F.coalesce(_c(col).rlike("(?:^|_)ARB[A-Z]"), F.lit(False))
+
+
 def mast_height(col) -> Column:
     h = F.regexp_extract(_c(col), r"(?i)(\d+(?:\.\d+)?)\s*m\b", 1)
     return F.when(h != "", h.cast("double"))

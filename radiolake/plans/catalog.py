@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
 from radiolake.plans import (complaints, diagnosis, health, ingest, network,  # noqa: F401
-                             rollups, series, spatial, tickets)
+                             reconcile, rollups, series, spatial, tickets)
