@@ -288,6 +288,23 @@ def head_lines(head: bytes, whole: bool) -> list[str]:
     return [_text(x.removesuffix(b"\r")) for x in (rows if whole else rows[:-1])]
 
 
+def head_rows(spark: SparkSession, plain: Sequence[str], zips: Sequence[str]) -> DataFrame:
+    """Text lines (path, value) of the heads of plain files and of archive entries."""
+    parts = []
+    if plain:
+        text = F.decode("head", "UTF-8")
+        rows = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r?\n")
+        # the last line of a longer file's head is cut off
+        whole = F.when(F.col("size") > F.octet_length("head"),
+                       F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
+        parts.append(file_heads(spark, plain).select("path", F.explode(whole).alias("value")))
+    if zips:
+        parts.append(entry_heads(zip_entries(spark, zips)))
+    if not parts:
+        raise ValueError("no files are named")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def entry_placemarks(entries: DataFrame) -> DataFrame:
     """(path!entry, body) of every placemark of the map entries: no document is held whole."""
     def make(data: Iterator[bytes]) -> Iterator[list[str]]:

@@ -67,7 +67,7 @@ def profile_lines(lines: DataFrame) -> DataFrame:
                     "first_time")
 
 
-def _split(paths: Sequence[str]) -> tuple[list[str], list[str]]:
+def split_paths(paths: Sequence[str]) -> tuple[list[str], list[str]]:
     """Plain files and archives."""
     zips = [p for p in paths if p.lower().endswith(".zip")]
     return [p for p in paths if not p.lower().endswith(".zip")], zips
@@ -79,21 +79,7 @@ def profile_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Of a packed one as many packed bytes are read as that takes. Conditions on the path are met
     before anything is read.
     """
-    plain, zips = _split(paths)
-    parts = []
-    if plain:
-        text = F.decode("head", "UTF-8")
-        rows = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r?\n")
-        # the last line of a longer file's head is cut off
-        whole = F.when(F.col("size") > F.octet_length("head"),
-                       F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
-        parts.append(archives.file_heads(spark, plain).select(
-            "path", F.explode(whole).alias("value")))
-    if zips:
-        parts.append(archives.entry_heads(archives.zip_entries(spark, zips)))
-    if not parts:
-        raise ValueError("no files are named")
-    return profile_lines(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return profile_lines(archives.head_rows(spark, *split_paths(paths)))
 
 
 # Operator headers (normalised) of the canonical KPIs.
@@ -196,7 +182,7 @@ def canonical_hourly(raw: DataFrame, kpis: Sequence[str], tech: str | None = Non
 
 def export_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Text lines (path, value) of CSV files and of the text entries of zip archives."""
-    plain, zips = _split(paths)
+    plain, zips = split_paths(paths)
     parts = []
     if plain:
         parts.append(spark.read.text(plain).select(
