@@ -618,6 +618,30 @@ def _(spark, d):
     return report(spark, d)["by_area"]
 
 
+@query("a35_report_top_sites", with_ctes("""
+SELECT row_number() OVER (ORDER BY worst DESC, value DESC, site_id) AS rank, site_id, object, round(worst, 6) AS worst,
+  round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY worst DESC, value DESC, object)
+    AS rn FROM rcells WHERE beyond OR spike) WHERE rn = 1"""))
+def _(spark, d):
+    t = report(spark, d)["top_sites"]
+    return r6(t.select(F.col("rank").cast("bigint").alias("rank"), "site_id", "object", "worst", "value"),
+              "worst", "value")
+
+
+@query("a35_report_trend", with_ctes("""
+SELECT datetime, round(avg(total_traffic_gb), 6) AS value FROM f3 JOIN hsites h USING (site_id)
+WHERE governorate = 'South' GROUP BY 1"""))
+def _(spark, d):
+    return r6(report(spark, d)["trend"], "value")
+
+
+@query("a35_report_site_hours", with_ctes("""
+SELECT site_id, datetime, round(sum(total_traffic_gb), 6) AS value FROM f3 JOIN hsites h USING (site_id)
+WHERE governorate = 'South' GROUP BY 1, 2"""))
+def _(spark, d):
+    return r6(report(spark, d)["site_hour"], "value")
+
+
 def wide_cells(spark, d):
     h = A.hourly(spark, d)
     return h.withColumnRenamed("object", "cell_id").withColumn("technology", F.lit("LTE"))
