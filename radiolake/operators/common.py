@@ -56,16 +56,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Exact linear-interpolated quantiles per key (or over all rows): key, a column for each.
 
     Equal values collapse first, with partial counts. The distinct values of a key then fall into
-    BINS equal bins between its least and largest value; the bin that holds a wanted rank is cut
-    again between the least and largest value in it, and only what is left of it is ordered. Every
-    step is exact, so nothing depends on the number of rows, and no step orders a whole key.
+    BINS bins between its least and largest value that grow with the distance from 0, so that values
+    of many orders of magnitude spread, too; the bin that holds a wanted rank is cut again, into equal
+    ones between the least and largest value in it, and only what is left of it is ordered. Every step
+    is exact, so nothing depends on the number of rows, and no step orders a whole key.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.when(F.col("_v") != 0, F.ln(F.abs("_v")))
     whole = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"),
-                                       F.max("_v").alias("_hi"))
+                                       F.max("_v").alias("_hi"),
+                                       F.coalesce(F.exp(F.avg(size)), F.lit(1.0)).alias("_s"))
     # the two neighbouring ranks of each quantile (from 0), and the rows below the open range
     ranks = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q"))
                       for name, q in out.items()])
@@ -73,10 +76,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     position = (F.col("_total") - 1) * F.col("_q")
     goals = goals.withColumn("_rank", F.explode(F.array_distinct(F.array(
         F.floor(position), F.least(F.floor(position) + 1, F.col("_total") - 1))))).select(
-        *keys, "_name", (position - F.floor(position)).alias("_f"), "_rank", "_lo", "_hi",
+        *keys, "_name", (position - F.floor(position)).alias("_f"), "_rank", "_lo", "_hi", "_s",
         F.lit(0).cast("bigint").alias("_below"))
-    for _ in range(2):
-        goals = _narrowed(goals, _inside(counted, goals, keys), keys)
+    # the logarithm is never decreasing as computed either, so bins keep the order of the values
+    spread = lambda v: F.signum(v) * F.log1p(F.abs(v) / F.col("_s"))
+    for scale in (spread, lambda v: v):
+        goals = _narrowed(goals, _inside(counted, goals, keys), keys, scale)
     left = _inside(counted, goals, keys)
     w = W.partitionBy(*keys, "_name", "_rank").orderBy("_v")
     left = left.withColumn("_cum", F.col("_below") + F.sum("_n").over(w))
@@ -101,12 +106,12 @@ def _inside(counted: DataFrame, goals: DataFrame, keys: Sequence[str]) -> DataFr
     return c.join(goals if keys else F.broadcast(goals), cond).drop(*[f"_k_{k}" for k in keys])
 
 
-def _narrowed(goals: DataFrame, inside: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each goal with the range of the bin that holds its rank."""
-    width = (F.col("_hi") - F.col("_lo")) / BINS
-    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width),
-                                      F.lit(BINS - 1))).otherwise(0)
-    goal = [*keys, "_name", "_f", "_rank", "_below"]
+def _narrowed(goals: DataFrame, inside: DataFrame, keys: Sequence[str], scale) -> DataFrame:
+    """Each goal with the range of the bin, of equal ones on `scale`, that holds its rank."""
+    v, lo, hi = (scale(F.col(c)) for c in ("_v", "_lo", "_hi"))
+    width = (hi - lo) / BINS
+    place = F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(BINS - 1))).otherwise(0)
+    goal = [*keys, "_name", "_f", "_rank", "_below", "_s"]
     bins = inside.groupBy(*goal, place.alias("_bin")).agg(
         F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # at most BINS rows a goal
@@ -114,7 +119,7 @@ def _narrowed(goals: DataFrame, inside: DataFrame, keys: Sequence[str]) -> DataF
     bins = bins.withColumn("_cum", F.col("_below") + F.sum("_n").over(w))
     bins = bins.filter((F.col("_cum") > F.col("_rank"))
                        & (F.col("_cum") - F.col("_n") <= F.col("_rank")))
-    return bins.select(*keys, "_name", "_f", "_rank", "_lo", "_hi",
+    return bins.select(*keys, "_name", "_f", "_rank", "_lo", "_hi", "_s",
                        (F.col("_cum") - F.col("_n")).alias("_below"))
 
 

@@ -39,6 +39,35 @@ def test_quantiles_of_many_values_hot_keys_and_outliers(spark):
     assert every.first()["m"] == pytest.approx(df.toPandas()["v"].quantile(0.5), rel=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    lambda r: np.exp(r.uniform(-600, 600, 30_000)),
+    lambda r: np.exp(r.uniform(-40, 40, 30_000)) * r.choice([-1, 1], 30_000),
+    lambda r: np.concatenate([np.zeros(500), r.normal(0, 1e-9, 20_000), [1e12, -1e12]]),
+    lambda r: np.full(300, -7.5)])
+def test_quantiles_of_many_orders_of_magnitude(spark, values):
+    v = values(np.random.default_rng(11))
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": v})), [], "v",
+                          {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.999, "e": 1.0}).first()
+    assert np.allclose(list(got), np.quantile(v, [0.0, 0.37, 0.5, 0.999, 1.0]), rtol=1e-9, atol=0)
+
+
+def test_the_range_that_is_ordered_is_small(spark):
+    """Values of many orders of magnitude: two rounds leave few of a key, not nearly all."""
+    from radiolake.operators import common as C
+    v = np.exp(np.random.default_rng(2).uniform(-200, 200, 200_000))
+    sizes, whole = [], C._inside
+
+    def seen(counted, goals, keys):
+        sizes.append(whole(counted, goals, keys).groupBy("_rank").count().agg({"count": "max"}).first()[0])
+        return whole(counted, goals, keys)
+    C._inside = seen
+    try:
+        C.exact_quantile(spark.createDataFrame(pd.DataFrame({"v": v})), [], "v", 0.5)
+    finally:
+        C._inside = whole
+    assert sizes[0] == 200_000 and sizes[-1] <= 20
+
+
 def test_weighted_median_without_weight(spark):
     df = spark.createDataFrame([("a", 3.0, 0.0), ("a", 2.0, 0.0), ("b", 1.0, 1.0)],
                                "k string, v double, w double")
