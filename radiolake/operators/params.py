@@ -209,6 +209,62 @@ def groups_for_list(wanted: DataFrame, objects: DataFrame) -> DataFrame:
                     .otherwise("site not in the export").alias("missing"))
 
 
+# Why a row of a list has nothing to show.
+NO_SITE = "no cell of this site in the loaded export"
+NO_SECTOR = "no cell in this sector"
+NO_NUMBER = "no sector in the list for this row"
+NO_DATA = "no KPI data for it in this window"
+NOT_SPLIT = "a site-level KPI cannot be split by sector"
+
+
+def plan_for_list(wanted: DataFrame, objects: DataFrame, long: DataFrame, kpi: str,
+                  per_sector: bool) -> DataFrame:
+    """What is shown for every row of a list once the KPI's own level is known, or why nothing is.
+
+    `objects`: object, site_id, sector_num, site_level; `long`: object, kpi, value. A KPI measured on
+    cells shows the row's cells; one that only the site's own object has shows the site (`site_only`),
+    and is not repeated under every sector. A sector of a site whose objects have no sector at all is
+    answered for by the site's object. Rows that repeat count once, rows without a site not at all.
+    """
+    present = long.filter((F.col("kpi") == kpi) & F.col("value").isNotNull()).select(
+        "object", F.lit(True).alias("_live")).distinct()
+    number = F.coalesce(F.col("sector_num").cast("int"), F.lit(0))
+    o = objects.select("object", "site_id", number.alias("sector_num"),
+                       F.coalesce("site_level", F.lit(False)).alias("whole")).distinct()
+    o = o.join(present, "object", "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
+    names = lambda cond: F.sort_array(F.collect_set(F.when(F.col("_live") & cond, F.col("object"))))
+    per = o.groupBy("site_id", "sector_num").agg(
+        names(~F.col("whole")).alias("cells"), names(F.col("whole")).alias("own"),
+        F.bool_or("whole").alias("any_own"))
+    site = per.groupBy("site_id").agg(
+        F.sort_array(F.flatten(F.collect_list("cells"))).alias("all_cells"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("all_own"),
+        F.bool_or("any_own").alias("has_own"), F.max("sector_num").alias("last"))
+    w = wanted.filter(F.col("site_id").isNotNull()).select("site_id", (
+        F.col("sector_num").cast("int") if per_sector else F.lit(None).cast("int")).alias("sector_num")).distinct()
+    j = w.join(site, "site_id", "left")
+    none = F.array().cast("array<string>")
+    if per_sector:
+        j = j.join(per.drop("any_own").withColumn("_placed", F.lit(True)), ["site_id", "sector_num"], "left")
+        by_site = F.col("_placed").isNull() & (F.col("last") <= 0) & F.col("has_own")
+        cells = F.when(by_site, none).otherwise(F.coalesce("cells", none))
+        own = F.when(by_site, F.col("all_own")).otherwise(F.coalesce("own", none))
+        early = F.when(F.col("last").isNull(), NO_SITE).when(F.col("sector_num").isNull(), NO_NUMBER).when(
+            F.col("_placed").isNull() & ~by_site, NO_SECTOR)
+        late = F.when(F.size("_own") > 0, NOT_SPLIT).otherwise(NO_DATA)
+    else:
+        cells, own = F.coalesce("all_cells", none), F.coalesce("all_own", none)
+        early = F.when(F.col("last").isNull(), NO_SITE)
+        late = F.lit(NO_DATA)
+    j = j.withColumn("_cells", cells).withColumn("_own", own).withColumn("_early", early)
+    whole = (F.size("_cells") == 0) & (F.size("_own") > 0) & F.lit(not per_sector)
+    shown = F.when(F.col("_early").isNotNull(), none).when(whole, F.col("_own")).otherwise(F.col("_cells"))
+    j = j.withColumn("shown", shown)
+    return j.select("site_id", "sector_num", F.col("shown").alias("cells"),
+                    (F.col("_early").isNull() & whole).alias("site_only"),
+                    F.coalesce("_early", F.when(F.size("shown") == 0, late), F.lit("")).alias("missing"))
+
+
 # ------------------------------------------------------------------------ audit
 # The likely cause each flag points to. `dup_pci_sector` has a cause but never rises:
 # the PCIs of a sector are a set, so none can repeat in it.

@@ -42,6 +42,12 @@ UMTS_SPEC = [
     ("avg_ecno_db", -18.0, 29, 11, 1.0), ("ul_rtwp_dbm", -104.0, 31, 21, 1.0),
     ("dl_power_util", 50.0, 37, 49, 1.0), ("cell_avail_pct", 97.0, 41, 31, 0.1),
 ]
+GSM_SPEC = [
+    ("tch_assign_sr", 92.0, 7, 81, 0.1), ("sdcch_block_rate", 0.0, 11, 31, 0.1),
+    ("tch_block_rate", 0.0, 13, 41, 0.1), ("call_drop_rate", 0.0, 17, 41, 0.1), ("ho_sr", 88.0, 19, 121, 0.1),
+    ("ul_interference_band", 0.0, 23, 6, 1.0), ("avg_rxlev_dl_dbm", -105.0, 29, 41, 1.0),
+    ("cell_avail_pct", 97.0, 31, 31, 0.1),
+]
 
 
 def part_cells(spark, d, spec=LTE_SPEC):
@@ -79,6 +85,7 @@ FROM (SELECT l_partkey, sum(l_quantity)::BIGINT * 3 + l_partkey AS q, count(*) A
 
 A.CTES["pcells"] = _cells_sql(LTE_SPEC)
 A.CTES["ucells"] = _cells_sql(UMTS_SPEC)
+A.CTES["gsmcells"] = _cells_sql(GSM_SPEC)
 
 
 def sev_sql(kpi, tech="LTE"):
@@ -213,11 +220,11 @@ def _(spark, d):
     return shaped(D.diagnose(part_cells(spark, d)))
 
 
-def _table_sql():
-    rules = {r["kpi"]: r for r in rule_rows("UMTS")}
-    have = {s[0] for s in UMTS_SPEC}
+def _table_sql(tech, spec, cells):
+    rules = {r["kpi"]: r for r in rule_rows(tech)}
+    have = {s[0] for s in spec}
     parts = []
-    for cls, kpis in D.TABLE_RULES["UMTS"].items():
+    for cls, kpis in D.TABLE_RULES[tech].items():
         sevs = []
         for k in kpis:
             if k in have:
@@ -227,11 +234,16 @@ def _table_sql():
                             "THEN 1 ELSE 0 END")
         parts.append(f"SELECT cell_id, site_id, '{cls}' AS problem_class, s AS sev, "
                      f"0.55::DOUBLE AS confidence FROM (SELECT *, greatest(0, {', '.join(sevs)})"
-                     "::INTEGER AS s FROM ucells) WHERE s > 0")
+                     f"::INTEGER AS s FROM {cells}) WHERE s > 0")
     return "\nUNION ALL ".join(parts)
 
 
-@query("d11_table_rules", with_ctes(_table_sql()))
+@query("d11_table_rules_2g", with_ctes(_table_sql("GSM", GSM_SPEC, "gsmcells")))
+def _(spark, d):
+    return shaped(D.diagnose(part_cells(spark, d, GSM_SPEC), "GSM", keep=("cell_id", "site_id")))
+
+
+@query("d11_table_rules", with_ctes(_table_sql("UMTS", UMTS_SPEC, "ucells")))
 def _(spark, d):
     return shaped(D.diagnose(part_cells(spark, d, UMTS_SPEC), "UMTS", keep=("cell_id", "site_id")))
 

@@ -185,6 +185,50 @@ def _(spark, d):
     return g.withColumn("cells", F.array_join("cells", ", "))
 
 
+def list_plans(spark, d):
+    """A KPI of cells and one of sites, by site and by sector; BAS0007 has its site's object only."""
+    h = A.hourly(spark, d)
+    sector = F.regexp_extract("object", "([0-9])$", 1).cast("int")
+    cells = h.filter(F.col("site_id") != "BAS0007")
+    objects = cells.select("object", "site_id", sector.alias("sector_num"), F.lit(False).alias("site_level")).union(
+        h.select("site_id", "site_id", F.lit(0), F.lit(True))).distinct()
+    long = cells.select("object", F.lit("dl_prb_util").alias("kpi"), F.col("dl_prb_util").alias("value")).union(
+        h.select("site_id", F.lit("dl_flowctrl_drops"), "dl_flowctrl_drops"))
+    k = F.col("ticket_id")
+    wanted = A.tickets(spark, d).select(
+        F.concat(F.lit("BAS000"), (k % 9 + 1).cast("string")).alias("site_id"),
+        F.when(k % 5 > 0, k % 5).cast("int").alias("sector_num"))
+    return P.union_exports([
+        P.plan_for_list(wanted, objects, long, kpi, split).select(
+            F.lit(kpi).alias("kpi"), F.lit(split).alias("per_sector"), "*")
+        for kpi in ("dl_prb_util", "dl_flowctrl_drops") for split in (False, True)])
+
+
+@query("j19_list_plan", with_ctes(f"""
+SELECT kpi, per_sector, site_id, sector_num, CASE WHEN missing <> '' THEN '' ELSE coalesce(cells, '')
+  END AS cells, missing = '' AND site_only AS site_only, missing FROM (
+  SELECT w.*, CASE WHEN kpi = 'dl_flowctrl_drops' OR w.site_id = 'BAS0007' THEN s.own ELSE
+      CASE WHEN per_sector THEN c.cells ELSE s.cells END END AS cells,
+    kpi = 'dl_flowctrl_drops' AND NOT per_sector AS site_only,
+    CASE WHEN s.site_id IS NULL THEN '{P.NO_SITE}' WHEN per_sector AND sector_num IS NULL THEN '{P.NO_NUMBER}'
+      WHEN per_sector AND w.site_id <> 'BAS0007' AND c.n IS NULL THEN '{P.NO_SECTOR}'
+      WHEN per_sector AND w.site_id = 'BAS0007' AND kpi = 'dl_flowctrl_drops' AND s.own IS NOT NULL THEN '{P.NOT_SPLIT}'
+      WHEN kpi = 'dl_flowctrl_drops' AND (per_sector OR s.own IS NULL) THEN '{P.NO_DATA}'
+      WHEN kpi = 'dl_prb_util' AND (w.site_id = 'BAS0007' OR coalesce(CASE WHEN per_sector THEN c.cells ELSE s.cells END,
+        '') = '') THEN '{P.NO_DATA}' ELSE '' END AS missing
+  FROM (SELECT DISTINCT kpi, per_sector, 'BAS000' || (ticket_id % 9 + 1)::VARCHAR AS site_id,
+      CASE WHEN per_sector AND ticket_id % 5 > 0 THEN (ticket_id % 5)::INTEGER END AS sector_num
+    FROM tickets, (VALUES ('dl_prb_util'), ('dl_flowctrl_drops')) k(kpi), (VALUES (false), (true)) p(per_sector)) w
+  LEFT JOIN (SELECT site_id, any_value(CASE WHEN dl_flowctrl_drops IS NOT NULL THEN site_id END) AS own,
+      string_agg(DISTINCT CASE WHEN dl_prb_util IS NOT NULL THEN object END, ',' ORDER BY CASE WHEN dl_prb_util IS NOT
+        NULL THEN object END) AS cells FROM f3 GROUP BY 1) s USING (site_id)
+  LEFT JOIN (SELECT site_id, right(object, 1)::INTEGER AS sector_num, count(*) AS n, string_agg(DISTINCT CASE WHEN
+      dl_prb_util IS NOT NULL THEN object END, ',' ORDER BY CASE WHEN dl_prb_util IS NOT NULL THEN object END) AS cells
+    FROM f3 WHERE site_id <> 'BAS0007' GROUP BY 1, 2) c USING (site_id, sector_num))"""))
+def _(spark, d):
+    return list_plans(spark, d).withColumn("cells", F.array_join("cells", ","))
+
+
 @query("w01_number_sectors", with_ctes("""
 SELECT site_id, cell_id, row_number() OVER (PARTITION BY site_id ORDER BY azimuth_deg, cell_id) AS sector
 FROM params"""))
