@@ -3,23 +3,25 @@
 A paragraph is a line of a text, and also a block of lines up to the next line without a letter or
 digit, so that a notice wrapped over lines is seen whole. Its features are word n-grams of one to
 three words that are not all function words; a multinomial logistic regression over them, trained
-on the templates, their variants and unknown paragraphs of the corpus, names the family or
+on the templates, their variants and all unknown paragraphs of the corpus, names the family or
 `unknown`. A family is taken from a probability that unknown paragraphs do not reach, and is
 confirmed if at least 0.8 of the five-word shingles of one of its templates stand in the paragraph.
 
 Every feature and shingle consists of words of the templates, and every feature holds one that is
 no function word. So a paragraph is reduced to its runs of template words: that loses nothing that
 the model or the templates can see. Equal runs are taken apart once, whatever the number of
-paragraphs that have them; weights and shingles are broadcast, their size is that of the templates.
+paragraphs that have them; vocabulary and shingles travel whole, their size is that of the templates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolake.llm.common import keep
@@ -157,6 +159,7 @@ WORDS = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 UNKNOWN = "unknown"
 SHINGLE, SIMILAR = 5, 0.8
 VARIED = 24        # words of the longest template that is learned without each word in turn, too
+BINS = 1000        # of one step to a quantile
 # between runs of template words; texts lose it first
 STRANGE = "\u0001"
 
@@ -230,12 +233,8 @@ def core(text: Column) -> Column:
     return F.when(text.rlike(CORE), F.array_join(kept, "|")).otherwise("")
 
 
-def examples(spark: SparkSession, paragraphs: DataFrame, most: int) -> DataFrame:
-    """(family, features): templates, each without one word in turn, decoys, unknown paragraphs.
-
-    `most` bounds the sample of paragraphs (h, core), taken by the hash h of their text; paragraphs
-    that hold a shingle of a template are no example of the unknown.
-    """
+def known_examples(spark: SparkSession) -> DataFrame:
+    """(family, features): templates, each without one word in turn, and decoys."""
     base = templates(spark).withColumn("tokens", words(F.col("text")))
     lacking = base.where(F.size("tokens") <= VARIED).select("family", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("tokens")),
@@ -244,93 +243,111 @@ def examples(spark: SparkSession, paragraphs: DataFrame, most: int) -> DataFrame
     # a variant that lost its only telling word teaches nothing about a family
     known = base.select("family", "tokens").unionAll(lacking).where(
         F.size(features(F.col("tokens"))) >= 3)
-    own = base.select(F.explode(shingles(F.col("tokens"))).alias("s")).distinct()
     decoys = spark.createDataFrame([(t,) for t in DECOYS], "text string").select(
-        words(F.col("text")).alias("tokens"))
-    sample = paragraphs.select("h", "core").distinct().orderBy("h", "core").limit(most)
-    sample = keep(sample.withColumn("n", F.monotonically_increasing_id()), "licence-sample")
-    parts = runs_of(sample, ["n"])
-    told = parts.select("n", F.explode(shingles(F.col("tokens"))).alias("s")).join(
-        F.broadcast(own), "s").select("n").distinct()
-    grams_of = parts.select("n", F.explode(features(F.col("tokens"))).alias("f")).groupBy("n").agg(
-        F.collect_set("f").alias("features"))
-    rows = known.unionAll(decoys.select(F.lit(UNKNOWN).alias("family"), "tokens")).select(
-        "family", features(F.col("tokens")).alias("features"))
-    return rows.unionAll(grams_of.join(told, "n", "left_anti").select(
-        F.lit(UNKNOWN).alias("family"), "features"))
-
-
-def runs_of(rows: DataFrame, key: list[str]) -> DataFrame:
-    """key, tokens: a row for each run of a core."""
-    runs = rows.select(*key, F.explode(F.split("core", r"\|")).alias("run"))
-    return runs.select(*key, F.split("run", " ").alias("tokens"))
+        F.lit(UNKNOWN).alias("family"), words(F.col("text")).alias("tokens"))
+    return known.unionAll(decoys).select("family",
+                                         F.array_sort(features(F.col("tokens"))).alias("features"))
+
+
+def read(cores: DataFrame, known: DataFrame) -> DataFrame:
+    """`cores` with `features`, those of the families' examples, and `told`, shingles of templates.
+
+    Both lists are distinct and no longer than the vocabulary of the templates. Every core holds a
+    word of the templates that is no function word, and so a feature of the model.
+    """
+    vocabulary = _listed(known.where(F.col("family") != UNKNOWN).select(F.explode("features")))
+    own = _listed(_shingled(cores.sparkSession).select("shingle"))
+    rows = cores.withColumn("runs", F.transform(F.split("core", r"\|"), lambda r: F.split(r, " ")))
+
+    def held(sizes: tuple[int, ...], wanted: list[str]) -> Column:
+        every = F.flatten(F.transform("runs", lambda t: F.concat(*[grams(t, n) for n in sizes])))
+        return F.array_sort(F.array_distinct(F.filter(every, lambda g: g.isin(wanted))))
+
+    # templates of three and four words are shorter than a shingle: they are looked for as they are
+    return rows.select(*cores.columns, held((1, 2, 3), vocabulary).alias("features"),
+                       held((3, 4, SHINGLE), own).alias("told"))
+
+
+def _listed(rows: DataFrame) -> list[str]:
+    return sorted(r[0] for r in rows.distinct().collect())
+
+
+def _shingled(spark: SparkSession) -> DataFrame:
+    """family, template, n, shingle: the n shingles of each template."""
+    own = templates(spark).select("family", "template", shingles(words(F.col("text"))).alias("s"))
+    return own.select("family", "template", F.size("s").alias("n"), F.explode("s").alias("shingle"))
 
 
 class Model:
-    """Weights of each feature for each family, intercepts, and the least probability."""
+    """Counts of features, the regression over them, families by label, the least probability."""
 
-    def __init__(self, families: list[str], weights: DataFrame, intercepts: list[float],
-                 least: float):
-        self.families, self.weights = families, weights
-        self.intercepts, self.least = intercepts, least
+    def __init__(self, counter: CountVectorizerModel, regression: LogisticRegressionModel,
+                 families: list[str], least: float):
+        self.counter, self.regression = counter, regression
+        self.families, self.least = families, least
 
-    def probabilities(self, margins: Column) -> Column:
-        """Softmax over the families."""
-        own = F.transform(margins, lambda x, k: F.exp(
-            x + F.element_at(F.array(*[F.lit(i) for i in self.intercepts]), k + 1)))
-        return F.transform(own, lambda x: x / F.aggregate(own, F.lit(0.0), lambda a, y: a + y))
+    def score(self, rows: DataFrame) -> DataFrame:
+        """`rows`, which have `features`, with the likeliest family but unknown and its p."""
+        found = self.regression.transform(self.counter.transform(rows))
+        pairs = F.transform(vector_to_array("probability"), lambda x, k: F.struct(
+            x.alias("p"), F.element_at(F.array(*[F.lit(f) for f in self.families]), k + 1)
+            .alias("family")))
+        best = F.array_max(F.filter(pairs, lambda x: x["family"] != UNKNOWN))
+        found = found.select(*rows.columns, best.alias("best"))
+        return found.select(*rows.columns, "best.family", "best.p")
 
 
-def train(spark: SparkSession, paragraphs: DataFrame, most: int = 2000) -> Model:
+def train(known: DataFrame, cores: DataFrame) -> Model:
     """Multinomial logistic regression with ridge penalty; the least probability is calibrated on
-    the unknown examples, and is a half at least."""
-    rows = keep(examples(spark, paragraphs, most), "licence-examples")
-    families = sorted(r["family"] for r in rows.select("family").distinct().collect())
-    number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    labelled = rows.withColumn("label", number.cast("double"))
+    the unknown examples, and is a half at least.
+
+    `cores` are those of all paragraphs, with `features`, `told` and n, the number of distinct
+    paragraphs. A paragraph that holds a shingle of a template is no example of the unknown, every
+    other one is; equal ones are one row of their joint weight, which the regression takes as it
+    takes that many rows.
+    """
+    unknown = cores.where(F.size("told") == 0).groupBy("features").agg(F.sum("n").alias("n"))
+    rows = keep(known.withColumn("n", F.lit(1).cast("long")).unionByName(
+        unknown.withColumn("family", F.lit(UNKNOWN))), "licence-examples")
+    total = {r["family"]: r["n"] for r in rows.groupBy("family").agg(F.sum("n").alias("n"))
+             .collect()}
+    families = sorted(total)
+    label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
+    share = F.element_at(F.array(*[F.lit(float(total[f])) for f in families]), label.cast("int"))
+    labelled = rows.withColumns({"label": (label - 1).cast("double"), "weight": F.col("n") / share})
     # the vocabulary is that of the templates, so it is bounded by them
     counter = CountVectorizer(inputCol="features", outputCol="vector", binary=True,
-                              vocabSize=1 << 18)
-    vectors = counter.fit(labelled.where(F.col("family") != UNKNOWN))
-    share = F.count("*").over(_all("family")).cast("double")
-    data = vectors.transform(labelled).withColumn("weight", 1.0 / share)
+                              vocabSize=1 << 18).fit(known.where(F.col("family") != UNKNOWN))
     fitted = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight",
-                                family="multinomial", regParam=0.001, maxIter=60).fit(data)
-    matrix = fitted.coefficientMatrix.toArray().T.tolist()
-    weights = spark.createDataFrame(list(zip(vectors.vocabulary, matrix, strict=True)),
-                                    "feature string, w array<double>")
-    model = Model(families, weights, [float(x) for x in fitted.interceptVector], 0.5)
-    unknown = rows.where(F.col("family") == UNKNOWN).withColumn(
-        "key", F.monotonically_increasing_id())
-    scored = score(keep(unknown, "licence-unknown").select(
-        "key", F.explode("features").alias("feature")), model, ["key"])
-    top = scored.agg(F.percentile_approx("p", 0.99)).first()[0]
-    model.least = max(0.5, min(0.95, top or 0.0))
+                                family="multinomial", regParam=0.001, maxIter=60,
+                                predictionCol="", rawPredictionCol="").fit(
+                                    counter.transform(labelled))
+    model = Model(counter, fitted, families, 0.5)
+    scored = model.score(rows.where((F.col("family") == UNKNOWN) & (F.size("features") > 0))
+                         .select("features", "n"))
+    model.least = _quantile(keep(scored.select("p", "n"), "licence-unknown"), 0.99, 0.5, 0.95)
     return model
 
 
-def _all(col: str):
-    return Window.partitionBy(col)
-
-
-def score(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
-    """key, family, p: the likeliest family but unknown and its probability.
-
-    `rows` has the key and one feature, each once for a key. Keys without a feature of the model are
-    left out: they are unknown.
-    """
-    n = len(model.families)
-    hits = rows.join(F.broadcast(model.weights), "feature")
-    sums = hits.groupBy(*key).agg(F.array(*[F.sum(F.col("w")[k]) for k in range(n)]).alias("m"))
-    p = sums.select(*key, model.probabilities(F.col("m")).alias("p"))
-    pairs = F.transform("p", lambda x, k: F.struct(x.alias("p"), F.element_at(
-        F.array(*[F.lit(f) for f in model.families]), k + 1).alias("family")))
-    best = F.array_max(F.filter(pairs, lambda x: x["family"] != UNKNOWN))
-    return p.select(*key, best["family"].alias("family"), best["p"].alias("p"))
-
-
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         most: int = 2000) -> DataFrame:
+def _quantile(rows: DataFrame, share: float, low: float, high: float) -> float:
+    """The least p between `low` and `high` that is reached by a share of the rows (p, n), n times
+    each: the bin of that rank is cut again and again, until it holds one value. No row: `low`."""
+    rows = rows.select(F.greatest(F.lit(low), F.least(F.lit(high), "p")).alias("p"), "n")
+    wanted = math.ceil(share * (rows.agg(F.sum("n")).first()[0] or 0))
+    below = 0
+    while wanted and low < high:
+        bins = rows.where(F.col("p").between(low, high)).groupBy(F.least(F.floor(
+            (F.col("p") - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+            F.sum("n").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r["bin"]):  # at most BINS
+            low, high = r["low"], r["high"]
+            if below + r["n"] >= wanted:
+                break
+            below += r["n"]
+    return low
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_paragraphs, licences (paragraph, family, p, similarity, confirmed).
 
     Paragraphs are lines with a character that is no white space, numbered from 0 among all lines.
@@ -352,10 +369,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without = rows.where("not some").select("id", count.alias("n_paragraphs"),
                                             none.alias("licences"))
     found = held.select("key", F.inline("found"))
-    model = train(spark, found, most)
-    known = keep(_known(found.select("core").distinct(), model), "licence-known")
+    cores = found.select("h", "core").distinct().groupBy("core").agg(F.count("*").alias("n"))
+    known = keep(known_examples(spark), "licence-templates")
+    cores = keep(read(cores, known), "licence-cores")
+    named = keep(_named(cores, train(known, cores)), "licence-named")
     sure = F.col("similarity") >= SIMILAR
-    listed = found.join(known, "core").groupBy("key", "block", "family").agg(
+    listed = found.join(named, "core").groupBy("key", "block", "family").agg(
         F.collect_list(F.struct("paragraph", "whole", "p", "similarity",
                                 sure.alias("confirmed"))).alias("all"))
     line = F.exists("all", lambda x: ~x["whole"])
@@ -403,24 +422,13 @@ def _found(block: Column, paragraph: Column, whole: bool, text: Column) -> Colum
                     F.xxhash64(text).alias("h"), core(text).alias("core"))
 
 
-def _known(cores: DataFrame, model: Model) -> DataFrame:
+def _named(cores: DataFrame, model: Model) -> DataFrame:
     """core, family, p, similarity of the cores that are not unknown."""
-    runs = keep(runs_of(cores, ["core"]), "licence-runs")
-    tokens = F.col("tokens")
-    each = runs.select("core", F.explode(F.concat(*[grams(tokens, n) for n in (1, 2, 3)]))
-                       .alias("feature"))
-    # only features of the model are told apart: the others are dropped before they move
-    each = each.join(F.broadcast(model.weights.select("feature")), "feature").distinct()
-    named = score(each, model, ["core"]).where(F.col("p") >= model.least)
-    own = templates(runs.sparkSession).select("family", "template",
-                                              shingles(words(F.col("text"))).alias("s"))
-    own = own.select("family", "template", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    # templates of three and four words are shorter than a shingle: they are looked for as they are
-    told = runs.select("core", F.explode(F.concat(*[grams(tokens, n) for n in (3, 4, SHINGLE)]))
-                       .alias("shingle"))
-    told = told.join(F.broadcast(own.select("shingle").distinct()), "shingle").distinct()
-    alike = (told.join(F.broadcast(own), "shingle").groupBy("core", "family", "template")
-             .agg((F.count("*") / F.first("n")).alias("s"))
+    named = model.score(cores.where(F.size("features") > 0).select("core", "features")).where(
+        F.col("p") >= model.least)
+    alike = (cores.select("core", F.explode("told").alias("shingle"))
+             .join(F.broadcast(_shingled(cores.sparkSession)), "shingle")
+             .groupBy("core", "family", "template").agg((F.count("*") / F.first("n")).alias("s"))
              .groupBy("core", "family").agg(F.max("s").alias("similarity")))
     return named.join(alike, ["core", "family"], "left").select(
         "core", "family", "p", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

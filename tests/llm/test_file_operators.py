@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import textwrap
 import zlib
@@ -279,6 +280,33 @@ def test_wrapped_notices(spark):
     assert [x["paragraph"] for x in named[2 * whole]] == [2]
 
 
+def test_every_unknown_paragraph_teaches(spark, monkeypatch):
+    kept, keep = {}, licences.keep
+    monkeypatch.setattr(licences, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    # 2,300 distinct paragraphs of one core, each twice, and one that is a notice
+    rows = [(k, f"software of house w{k // 2}") for k in range(4600)]
+    rows += [(-1, "All rights reserved."), (-2, None)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["id"], [x["family"] for x in r["licences"]]) for r in got if r["licences"]] == [
+        (-1, ["proprietary"])]
+    unknown = kept["licence-examples"].where("family = 'unknown'")
+    weight = F.sum("n") if "n" in unknown.columns else F.count("*")
+    assert unknown.agg(weight).first()[0] == 2300 + len(licences.DECOYS)
+
+
+def test_least_probability_is_exact(spark):
+    rng = random.Random(3)
+    for share, many in ((0.99, 400), (0.5, 7), (0.99, 1)):
+        rows = [(rng.choice([rng.random(), 0.7, 0.7 + rng.random() / 1e12]), rng.randrange(1, 40))
+                for _ in range(many)]
+        every = sorted(p for p, n in rows for _ in range(n))
+        want = every[math.ceil(share * len(every)) - 1]
+        got = licences._quantile(spark.createDataFrame(rows, "p double, n long"), share, 0.1, 0.95)
+        assert got == min(max(want, 0.1), 0.95)
+    none = spark.createDataFrame([], "p double, n long")
+    assert licences._quantile(none, 0.99, 0.5, 0.95) == 0.5
+
+
 def test_licence_plan_is_native(spark):
     table = spark.createDataFrame([(1, "Released under the MIT License.")],
                                   "doc_id long, text string")
