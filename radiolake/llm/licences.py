@@ -155,13 +155,14 @@ FUNCTION_WORDS = ("a all and any are at be by can either except for free has he
                   "later may met new not of on or possible provided subject terms that the they "
                   "this to under use was with without work you extent following person an but from if "
                   "no nor one other out see should so such whom way").split()
-WORDS = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+# possessive: a long word takes no stack
+WORDS = r"[a-z0-9]++(?:[.+-][a-z0-9]++)*+"
 UNKNOWN = "unknown"
 SHINGLE, SIMILAR = 5, 0.8
 VARIED = 24        # words of the longest template that is learned without each word in turn, too
 BINS = 1000        # of one step to a quantile
-# between runs of template words; texts lose it first
-STRANGE = "\u0001"
+STRANGE = "\u0001"   # stands for words between runs of template words; texts lose it first
+SIGN = "*"           # of a template word that is no function word
 
 
 def words(text: Column) -> Column:
@@ -197,40 +198,33 @@ def templates(spark: SparkSession) -> DataFrame:
                                  "family string, text string, template int")
 
 
-def _any_of(found: list[str]) -> str:
-    """Pattern of any of these words as a whole word, in the sense of WORDS."""
-    tree: dict = {}
-    for w in found:
-        at = tree
-        for c in w:
-            at = at.setdefault(c, {})
-        at[""] = {}
-
-    def pattern(at: dict) -> str:
-        ways = [re.escape(c) + pattern(below) for c, below in sorted(at.items()) if c]
-        if not ways:
-            return ""
-        return f"(?:{'|'.join(ways)}){'?' if '' in at else ''}"
+TEMPLATE_WORDS = sorted({w for _, t in TEMPLATES for w in re.findall(WORDS, t.lower())})
+CORE_WORDS = sorted(set(TEMPLATE_WORDS) - set(FUNCTION_WORDS))
+OTHER_WORDS = sorted(set(TEMPLATE_WORDS) & set(FUNCTION_WORDS))
+RUN = f"[^ {STRANGE}][^{STRANGE}]*"
+LONG = rf"(?:[^ ]+ ){{{SHINGLE - 1}}}[^ ]"  # a run that has a shingle
 
-    return rf"{pattern(tree)}(?![.+-]?[a-z0-9])"
 
+def marks(text: Column) -> Column:
+    """Words of a text in lower case and its line ends, parted by blanks.
 
-FIRST = r"(?<![a-z0-9])(?<![a-z0-9][.+-])"  # where a word starts
-TEMPLATE_WORDS = sorted({w for _, t in TEMPLATES for w in re.findall(WORDS, t.lower())})
-CORE = FIRST + _any_of(sorted(set(TEMPLATE_WORDS) - set(FUNCTION_WORDS)))
-OTHER = rf"{FIRST}(?!{_any_of(TEMPLATE_WORDS)}){WORDS}"
-LONG = rf"(?:[^ ]+ ){{{SHINGLE - 1}}}[^ ]"  # a run that has a shingle
+    A template word that is no function word has SIGN ahead, a word of no template is STRANGE.
+    """
+    found = F.regexp_extract_all(text, F.lit(rf"\n|{WORDS}"), F.lit(0))
+    return F.array_join(F.transform(found, lambda w: F.when(
+        w.isin(CORE_WORDS), F.concat(F.lit(SIGN), w)).when(w.isin(["\n", *OTHER_WORDS]), w)
+        .otherwise(STRANGE)), " ")
 
 
-def core(text: Column) -> Column:
-    """Runs of template words of a text in lower case, parted by `|`, words by blanks.
+def core(marked: Column) -> Column:
+    """Runs of template words of marks without line ends, parted by `|`, words by blanks.
 
     Runs that can hold no feature and no shingle are left out; empty if there is no feature.
     """
-    runs = F.split(F.regexp_replace(text, OTHER, STRANGE), STRANGE)
-    kept = F.filter(F.transform(runs, lambda r: F.array_join(F.regexp_extract_all(
-        r, F.lit(WORDS), F.lit(0)), " ")), lambda r: r.rlike(CORE) | r.rlike(LONG))
-    return F.when(text.rlike(CORE), F.array_join(kept, "|")).otherwise("")
+    runs = F.transform(F.regexp_extract_all(marked, F.lit(RUN), F.lit(0)), lambda r: F.trim(r))
+    kept = F.filter(runs, lambda r: r.contains(SIGN) | r.rlike(LONG))
+    return F.when(marked.contains(SIGN), F.translate(F.array_join(kept, "|"), SIGN, "")
+                  ).otherwise("")
 
 
 def known_examples(spark: SparkSession) -> DataFrame:
@@ -359,15 +353,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     text = F.translate(F.lower(F.coalesce("text", F.lit(""))), STRANGE, " ")
-    rows = rows.select("id", F.split(text, "\n").alias("lines"), text.rlike(CORE).alias("some"))
+    rows = rows.select("id", F.split(text, "\n").alias("lines"), F.transform(
+        F.split(marks(text), "\n"), lambda x: F.trim(x)).alias("marked"))
     count = F.size(F.filter("lines", lambda x: F.length(F.trim(x)) > 0)).cast("long")
     none = F.array().cast(LICENCES)
     # the key is fixed once it is written; of the texts only the runs of template words are
-    held = keep(rows.where("some").transform(_blocks).select(
-        "id", count.alias("n_paragraphs"), "found", F.monotonically_increasing_id().alias("key")),
-        "licence-rows")
-    without = rows.where("not some").select("id", count.alias("n_paragraphs"),
-                                            none.alias("licences"))
+    held = keep(_blocks(rows).select("id", count.alias("n_paragraphs"), "found",
+                                     F.monotonically_increasing_id().alias("key")), "licence-rows")
+    without = held.where(F.size("found") == 0).select("id", "n_paragraphs", none.alias("licences"))
+    held = held.where(F.size("found") > 0)
     found = held.select("key", F.inline("found"))
     cores = found.select("h", "core").distinct().groupBy("core").agg(F.count("*").alias("n"))
     known = keep(known_examples(spark), "licence-templates")
@@ -405,21 +399,24 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "firsts": F.filter(at, lambda k: here[k] & ((k == 0) | ~here[F.greatest(k - 1, F.lit(0))])),
         "lasts": F.filter(at, lambda k: here[k] & ((k == last) | ~here[F.least(k + 1, last)]))})
-    line = F.col("lines")
+    line, marked = F.col("lines"), F.col("marked")
 
     def one(first: Column, end: Column) -> Column:
-        own = F.slice(line, first + 1, end - first + 1)
-        lines = F.transform(own, lambda x, k: _found(first, first + k, False, x))
-        whole = F.array(_found(first, first, True, F.array_join(own, " ")))
+        n = end - first + 1
+        lines = F.transform(F.sequence(first, end), lambda k: _found(
+            first, k, False, line[k], marked[k]))
+        whole = F.array(_found(
+            first, first, True, F.array_join(F.slice(line, first + 1, n), " "),
+            F.array_join(F.filter(F.slice(marked, first + 1, n), lambda x: x != ""), " ")))
         return F.when(end > first, F.concat(lines, whole)).otherwise(lines)
 
     every = F.flatten(F.zip_with("firsts", "lasts", one))
     return rows.withColumn("found", F.filter(every, lambda x: x["core"] != ""))
 
 
-def _found(block: Column, paragraph: Column, whole: bool, text: Column) -> Column:
+def _found(block: Column, paragraph: Column, whole: bool, text: Column, marked: Column) -> Column:
     return F.struct(block.alias("block"), paragraph.alias("paragraph"), F.lit(whole).alias("whole"),
-                    F.xxhash64(text).alias("h"), core(text).alias("core"))
+                    F.xxhash64(text).alias("h"), core(marked).alias("core"))
 
 
 def _named(cores: DataFrame, model: Model) -> DataFrame:

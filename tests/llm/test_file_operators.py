@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter
@@ -307,6 +308,38 @@ def test_least_probability_is_exact(spark):
     assert licences._quantile(none, 0.99, 0.5, 0.95) == 0.5
 
 
+def runs_by_hand(text):
+    """Runs of template words with a word that is no function word, or of five words."""
+    runs = [[]]
+    for w in re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", text):
+        if w in licences.TEMPLATE_WORDS:
+            runs[-1].append(w)
+        else:
+            runs.append([])
+    told = set(licences.TEMPLATE_WORDS) - set(licences.FUNCTION_WORDS)
+    if not any(told & set(r) for r in runs):
+        return ""
+    return "|".join(" ".join(r) for r in runs if told & set(r) or len(r) >= 5)
+
+
+def test_cores_by_hand(spark):
+    rng = random.Random(7)
+    some = [*licences.TEMPLATE_WORDS, *licences.FUNCTION_WORDS * 3, *"foo x1 é 漢字 ß * | - 2.0. a-b".split()]
+    signs = [" ", " ", " ", ".", "-", "..", ", ", "", "é", "\t", "\r", " * ", "|"]
+    rows = [(k, "".join(rng.choice(some) + rng.choice(signs) for _ in range(rng.randrange(40))))
+            for k in range(2000)]
+    table = spark.createDataFrame(rows, "k int, text string")
+    got = table.select("k", licences.core(licences.marks(F.col("text"))).alias("core")).collect()
+    assert {r["k"]: r["core"] for r in got} == {k: runs_by_hand(t) for k, t in rows}
+
+
+def test_very_long_words(spark):
+    rows = [(1, "a." * 60000 + "b\nReleased under the MIT License."), (2, "a-" * 60000)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: [(x["paragraph"], x["family"]) for x in r["licences"]] for r in got} == {
+        1: [(1, "mit")], 2: []}
+
+
 def test_licence_plan_is_native(spark):
     table = spark.createDataFrame([(1, "Released under the MIT License.")],
                                   "doc_id long, text string")
