@@ -50,6 +50,38 @@ def flat_m(lat1, lon1, lat2, lon2, mean_latitude: bool = False) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def box_m(lat, lon, box: str, metric: str = "flat", far: bool = False) -> Column:
+    """A distance that no position in the box is nearer than (or, if `far`, farther than).
+
+    `box` names a struct of lo_lat, hi_lat, lo_lon and hi_lon; the metric is flat_m or haversine_m
+    from the position to the box.
+    """
+    lat, lon = _c(lat), _c(lon)
+    south, north = F.col(f"{box}.lo_lat"), F.col(f"{box}.hi_lat")
+    west, east = F.col(f"{box}.lo_lon") - lon, F.col(f"{box}.hi_lon") - lon
+    if far:
+        dy = F.greatest(F.abs(south - lat), F.abs(north - lat))
+        dx = F.greatest(F.abs(west), F.abs(east))
+    else:
+        dy = F.greatest(south - lat, lat - north, F.lit(0.0))
+        dx = F.greatest(west, -east, F.lit(0.0))
+    if metric == "flat":
+        dy, dx = dy * M_PER_DEG, dx * M_PER_DEG * F.cos(F.radians(lat))
+        return F.sqrt(dx * dx + dy * dy)
+    holds = lambda x: (west <= x) & (east >= x)
+    a, b = F.abs(F.sin(F.radians(west) / 2)), F.abs(F.sin(F.radians(east) / 2))
+    cosines = F.cos(F.radians(south)), F.cos(F.radians(north))
+    if far:
+        t = F.when(holds(-180.0) | holds(180.0), 1.0).otherwise(F.greatest(a, b))
+        c = F.when((south <= 0) & (north >= 0), 1.0).otherwise(F.greatest(*cosines))
+    else:
+        t = F.when(holds(-360.0) | holds(0.0) | holds(360.0), 0.0).otherwise(F.least(a, b))
+        c = F.greatest(F.least(*cosines), F.lit(0.0))
+    s = F.sin(F.radians(dy) / 2)
+    h = s * s + F.cos(F.radians(lat)) * c * t * t
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(at_most(F.sqrt(h), 1.0))
+
+
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     """Initial bearing from the first point to the second, 0..360."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from radiolake.functions.geo import (az_gap, bearing_deg, cell_key, flat_m, haversine_m,
-                                     keys_within)
-from radiolake.operators.common import first_by, ranked, top_n_by
+from radiolake.functions.geo import (M_PER_DEG, az_gap, bearing_deg, box_m, cell_key, flat_m,
+                                     haversine_m, keys_within)
+from radiolake.operators.common import first_by, measured, ranked, top_n_by
 
 
 def _pos(df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
@@ -77,21 +77,84 @@ def _on_all_levels(df: DataFrame) -> DataFrame:
         "s_lat", "s_lon", _level_m(F.col("_lv"))))).drop("_lv")
 
 
-def within_own_reach(points: DataFrame, reach: str, others: DataFrame) -> DataFrame:
-    """Pairs of a point (p_lat, p_lon) and another position (s_lat, s_lon) that the point's own
-    `reach` in metres can hold; the caller measures.
+NODES = (["_key"], ["_key", "_node1"], ["_key", "_node1", "_node2"])  # of each depth
+FAN = 8  # a node is so much narrower than the one above
+
+
+def _tree(df: DataFrame) -> DataFrame:
+    """Every position on all levels, with the nodes below its cell that it lies in."""
+    step = _level_m(F.col("_key.lv")) / M_PER_DEG
+    node = lambda n: F.struct(F.floor(F.col("s_lat") / step * n).alias("y"),
+                              F.floor(F.col("s_lon") / step * n).alias("x"))
+    return measured(_on_all_levels(df)).withColumns({"_node1": node(FAN), "_node2": node(FAN * FAN)})
+
+
+def _nodes(tree: DataFrame, depth: int, counts: Column | None = None) -> DataFrame:
+    """The nodes of a depth with the box around their positions and how many of them count."""
+    box = F.struct(F.min("s_lat").alias("lo_lat"), F.max("s_lat").alias("hi_lat"),
+                   F.min("s_lon").alias("lo_lon"), F.max("s_lon").alias("hi_lon"))
+    return tree.groupBy(*NODES[depth]).agg(
+        box.alias("_box"), (F.count("*") if counts is None else F.count_if(counts)).alias("_n"))
+
+
+def _met(points: DataFrame, reach: str, tree: DataFrame, depth: int, metric: str,
+         counts: Column | None = None) -> DataFrame:
+    """Each point with the nodes of `depth` that its own `reach` in metres can hold.
 
     A point takes the cells its circle touches in the lattice as wide as its reach, and the
-    others keep one key a lattice, so a point with a small reach meets few of them. Points are
-    few bytes and much work, so they are dealt out anew: by their size alone they would be one task.
+    others keep one key a lattice, so a point with a small reach meets few of them; then it goes
+    down from node to node. Points are few bytes and much work, so they are dealt out anew: by
+    their size alone they would be one task.
     """
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = points.repartition(n)  # by the keys they have, it would be taken out again
     level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.1, F.lit(BASE_M)) / BASE_M)).cast("int")
     p = points.withColumn("_lv", F.least(level, F.lit(LEVELS - 1)))
     p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.3)))
-    p = p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c")
-    return p.join(_on_all_levels(others), "_key").drop("_key")
+    p = measured(p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c"))
+    far = F.col(reach) + F.greatest(F.lit(1e-3), F.col(reach) * 1e-7)
+    for d in range(1, depth + 1):
+        p = p.drop("_box", "_n").join(_nodes(tree, d, counts), NODES[d - 1])
+        p = p.filter(box_m("p_lat", "p_lon", "_box", metric) <= far)
+    return p
+
+
+def within_own_reach(points: DataFrame, reach: str, others: DataFrame,
+                     metric: str = "flat") -> DataFrame:
+    """Pairs of a point (p_lat, p_lon) and another position (s_lat, s_lon) that the point's own
+    `reach` in metres can hold; the caller measures."""
+    tree = _tree(others)
+    p = _met(points, reach, tree, 2, metric).drop("_box", "_n")
+    return p.join(tree, NODES[2]).drop(*NODES[2])
+
+
+def _reach(points: DataFrame, places: DataFrame, need: int, metric: str) -> DataFrame:
+    """Points with a distance, `_reach`, that surely holds `need` places.
+
+    The places of the smallest cell around a point that has enough of them lie within its farthest
+    corner (FAR_M without such a cell). Nodes in that reach make it smaller: one with enough places,
+    or so many nodes, lie within their farthest corner, too. So a point far from all places does not
+    look at all of them. A place that comes more than once counts once, as it may be excluded.
+    """
+    spot = points.columns
+    w = W.partitionBy("_place").orderBy("s_lat", "s_lon")
+    counts = F.col("_counts")
+    tree = _tree(places.withColumn("_counts", F.col("_place").isNotNull()
+                                   & (F.row_number().over(w) == 1)))
+    within = box_m("p_lat", "p_lon", "_box", metric, far=True)
+    within = within + F.greatest(F.lit(1e-3), within * 1e-7)
+    own = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda lv: _key(
+        lv, cell_key("p_lat", "p_lon", _level_m(lv))))
+    cells = _nodes(tree, 0, counts).withColumn("_enough", F.col("_n") >= need)
+    points = measured(points.withColumn("_key", F.explode(own))).join(cells, "_key", "left").groupBy(
+        *spot).agg(F.coalesce(F.min(F.when(F.col("_enough"), within)), F.lit(FAR_M)).alias("_reach"))
+    met = _met(points, "_reach", tree, 2, metric, counts).select(
+        *spot, "_reach", "_n", F.when(F.col("_n") > 0, within).alias("_far"))
+    met = top_n_by(met, spot, [F.col("_far").asc_nulls_last()], need)
+    one = F.min(F.when(F.col("_n") >= need, F.col("_far")))
+    many = F.when(F.count("_far") >= need, F.max("_far"))
+    return met.groupBy(*spot, "_reach").agg(one.alias("_one"), many.alias("_many")).select(
+        *spot, F.least("_reach", "_one", "_many").alias("_reach"))
 
 
 def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str, k: int,
@@ -99,14 +162,12 @@ def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str
     """The k nearest places of every point, exactly: (point, place, dist_m, rank).
 
     Points at one position are one, and of the places at one position only as many count as can
-    be wanted. Every lattice cell keeps that few places, too: a point looks at those of the
-    smallest cell around it that has enough (or, if none has, at those of the widest lattice),
-    which gives a distance that its k nearest cannot exceed. A second join looks at all places
-    within that distance, in the lattice as wide as it. `exclude` names a point column holding a
+    be wanted. Counts of places in cells and nodes give every point a distance that its k nearest
+    cannot exceed; a join looks at all places within it. `exclude` names a point column holding a
     place id that does not count.
     """
     need = k + (1 if exclude else 0)
-    spot = ["p_lat", "p_lon"] + ([exclude] if exclude else [])
+    spot = ["p_lat", "p_lon"]
     every = _pos(points, "p", list(dict.fromkeys([point_id] + ([exclude] if exclude else []))))
     p = every.select(*spot).distinct()
     s = _pos(places, "s", [place_id]).withColumnRenamed(place_id, "_place")
@@ -115,33 +176,20 @@ def k_nearest(points: DataFrame, point_id: str, places: DataFrame, place_id: str
     dist = F.round(fn("p_lat", "p_lon", "s_lat", "s_lon"), 6)
     order = [F.col("dist_m"), F.col("_place")]
 
-    few = top_n_by(_on_all_levels(s), ["_key"], [F.col("s_lat"), F.col("s_lon"), F.col("_place")],
-                   need)
-    enough = few.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") >= need).select("_key")
-    own = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda lv: _key(
-        lv, cell_key("p_lat", "p_lon", _level_m(lv))))
-    p = p.withColumn("_own", own)
-    # the smallest cell with enough places depends on the finest cell only
-    first = p.select("_own").distinct().withColumn("_key", F.explode("_own")).join(
-        enough, "_key").groupBy("_own").agg(F.min("_key").alias("_key"))
-    p = p.join(first, "_own", "left").drop("_own")
-    near = p.filter(F.col("_key").isNotNull()).join(few, "_key").drop("_key")
-    widest = few.filter(F.col("_key.lv") == LEVELS - 1).select(
-        F.col("_key.lv").alias("_lv"), "_place", "s_lat", "s_lon")
-    far = p.filter(F.col("_key").isNull()).drop("_key").withColumn("_lv", F.lit(LEVELS - 1)).join(
-        widest, "_lv").drop("_lv")
-    seen = near.unionByName(far)
-    if exclude:
-        seen = seen.filter(F.col("_place") != F.col(exclude))
-    seen = top_n_by(seen.withColumn("dist_m", dist), spot, order, k)
-    reach = seen.groupBy(*spot).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist_m")).otherwise(
-        FAR_M).alias("_reach"))
-    pairs = within_own_reach(reach, "_reach", s).filter(
+    reach = _reach(p, s, need, metric)
+    pairs = within_own_reach(reach, "_reach", s, metric).filter(
         fn("p_lat", "p_lon", "s_lat", "s_lon") <= F.col("_reach") + ROUNDING)
     pairs = pairs.withColumn("dist_m", dist).filter(F.col("dist_m") <= F.col("_reach"))
     if exclude:
-        pairs = pairs.filter(F.col("_place") != F.col(exclude))
+        # the nearest `need` different places of a position hold k that are not the excluded one
+        once = F.row_number().over(W.partitionBy(*spot, "_place").orderBy("dist_m")) == 1
+        pairs = pairs.filter(F.col("_place").isNotNull()).withColumn("_first", once.cast("int"))
+        seen = F.sum("_first").over(W.partitionBy(*spot).orderBy(*order).rowsBetween(
+            W.unboundedPreceding, 0))
+        pairs = pairs.withColumn("_seen", seen).filter(F.col("_seen") <= need)
+        pairs = every.select(*spot, exclude).distinct().join(pairs, spot).filter(
+            F.col("_place") != F.col(exclude))
+        spot = [*spot, exclude]
     best = top_n_by(pairs, spot, order, k, rank="rank")
     return every.join(best.select(*spot, F.col("_place").alias("_found"), "dist_m", "rank"), spot
                       ).select(point_id, F.col("_found").alias(place_id), "dist_m", "rank")
@@ -231,7 +279,7 @@ def best_sector(points: DataFrame, point_id: str, sectors: DataFrame,
     first = best(near.join(_sectors(sectors), "site_id"), ["p_lat", "p_lon"])
     reach = first.select("p_lat", "p_lon", F.col("w.score").alias("_reach"))
     # bearings and rounding are dear: only for what is in reach
-    close = within_own_reach(reach, "_reach", _sectors(sectors)).filter(
+    close = within_own_reach(reach, "_reach", _sectors(sectors), metric).filter(
         exact <= F.col("_reach") + ROUNDING)
     found = best(close, ["p_lat", "p_lon"])
     return pos.join(found, ["p_lat", "p_lon"]).select(point_id, "w.*")
