@@ -18,14 +18,13 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """`df`, for a join that may broadcast it by its measured size only.
+def unsent(df: DataFrame) -> DataFrame:
+    """`df`, for a join that broadcasts neither side.
 
     The planner takes exploded rows for as few as they came from, and would send millions of them
-    through the driver. Here it takes them for many; at run time the real size counts.
+    through the driver; once it has chosen so, the measured size does not change it.
     """
-    one = df.sparkSession.range(0, 100_000, 1, 1).filter("id = 0").select()
-    return df.join(F.broadcast(one))
+    return df.hint("merge")
 
 
 def first_by(value, *order) -> Column:

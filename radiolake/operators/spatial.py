@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.geo import (M_PER_DEG, az_gap, bearing_deg, box_m, cell_key, flat_m,
                                      haversine_m, keys_within)
-from radiolake.operators.common import first_by, measured, ranked, top_n_by
+from radiolake.operators.common import first_by, ranked, top_n_by, unsent
 
 
 def _pos(df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
@@ -31,8 +31,8 @@ def radius_join(points: DataFrame, others: DataFrame, metres: float, point_cols:
     The points take every lattice cell their circle touches; the other side, usually the
     larger, keeps one key per row.
     """
-    p = _pos(points, "p", point_cols).withColumn(
-        "_cell", F.explode(keys_within("p_lat", "p_lon", metres, 1.02)))
+    p = unsent(_pos(points, "p", point_cols).withColumn(
+        "_cell", F.explode(keys_within("p_lat", "p_lon", metres, 1.02))))
     o = _pos(others, "o", other_cols).withColumn("_cell", cell_key("o_lat", "o_lon", metres))
     dist = F.round(flat_m("p_lat", "p_lon", "o_lat", "o_lon", mean_latitude), 6)
     return (p.join(o, "_cell").drop("_cell").withColumn("dist_m", dist)
@@ -79,6 +79,7 @@ def _on_all_levels(df: DataFrame) -> DataFrame:
 
 NODES = (["_key"], ["_key", "_node1"], ["_key", "_node1", "_node2"])  # of each depth
 FAN = 8  # a node is so much narrower than the one above
+COPIES = 8
 
 
 def _tree(df: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def _tree(df: DataFrame) -> DataFrame:
     step = _level_m(F.col("_key.lv")) / M_PER_DEG
     node = lambda n: F.struct(F.floor(F.col("s_lat") / step * n).alias("y"),
                               F.floor(F.col("s_lon") / step * n).alias("x"))
-    return measured(_on_all_levels(df)).withColumns({"_node1": node(FAN), "_node2": node(FAN * FAN)})
+    return _on_all_levels(df).withColumns({"_node1": node(FAN), "_node2": node(FAN * FAN)})
 
 
 def _nodes(tree: DataFrame, depth: int, counts: Column | None = None) -> DataFrame:
@@ -111,12 +112,16 @@ def _met(points: DataFrame, reach: str, tree: DataFrame, depth: int, metric: str
     level = F.ceil(F.log2(F.greatest(F.col(reach) * 1.1, F.lit(BASE_M)) / BASE_M)).cast("int")
     p = points.withColumn("_lv", F.least(level, F.lit(LEVELS - 1)))
     p = p.withColumn("_c", F.explode(keys_within("p_lat", "p_lon", _level_m(F.col("_lv")), 1.3)))
-    p = measured(p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c"))
+    p = p.withColumn("_key", _key(F.col("_lv"), F.col("_c"))).drop("_lv", "_c")
+    # far points share a cell: its nodes come in copies, for as many tasks
+    p = p.withColumn("_copy", F.pmod(F.xxhash64("p_lat", "p_lon"), F.lit(COPIES)).cast("int"))
     far = F.col(reach) + F.greatest(F.lit(1e-3), F.col(reach) * 1e-7)
     for d in range(1, depth + 1):
-        p = p.drop("_box", "_n").join(_nodes(tree, d, counts), NODES[d - 1])
+        nodes = _nodes(tree, d, counts).withColumn("_copy", F.explode(F.sequence(
+            F.lit(0), F.lit(COPIES - 1))))
+        p = unsent(p.drop("_box", "_n")).join(nodes, [*NODES[d - 1], "_copy"])
         p = p.filter(box_m("p_lat", "p_lon", "_box", metric) <= far)
-    return p
+    return p.drop("_copy")
 
 
 def within_own_reach(points: DataFrame, reach: str, others: DataFrame,
@@ -125,7 +130,7 @@ def within_own_reach(points: DataFrame, reach: str, others: DataFrame,
     `reach` in metres can hold; the caller measures."""
     tree = _tree(others)
     p = _met(points, reach, tree, 2, metric).drop("_box", "_n")
-    return p.join(tree, NODES[2]).drop(*NODES[2])
+    return unsent(p).join(tree, NODES[2]).drop(*NODES[2])
 
 
 def _reach(points: DataFrame, places: DataFrame, need: int, metric: str) -> DataFrame:
@@ -146,7 +151,7 @@ def _reach(points: DataFrame, places: DataFrame, need: int, metric: str) -> Data
     own = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda lv: _key(
         lv, cell_key("p_lat", "p_lon", _level_m(lv))))
     cells = _nodes(tree, 0, counts).withColumn("_enough", F.col("_n") >= need)
-    points = measured(points.withColumn("_key", F.explode(own))).join(cells, "_key", "left").groupBy(
+    points = unsent(points.withColumn("_key", F.explode(own))).join(cells, "_key", "left").groupBy(
         *spot).agg(F.coalesce(F.min(F.when(F.col("_enough"), within)), F.lit(FAR_M)).alias("_reach"))
     met = _met(points, "_reach", tree, 2, metric, counts).select(
         *spot, "_reach", "_n", F.when(F.col("_n") > 0, within).alias("_far"))

@@ -69,3 +69,15 @@ def test_nearest_without_the_own_place(spark, town, k):
     want = {(i, rank, round(d, 3), name) for i, own, *p in points for rank, (d, name) in enumerate(
         sorted((round(flat(p, t[1:]), 6), t[0]) for t in twice if t[0] != own)[:k], 1)}
     assert {(x.id, x["rank"], round(x.dist_m, 3), x.name) for x in got} == want and len(got) == k * len(points)
+
+
+def test_exploded_points_are_not_sent_to_the_driver(spark, town):
+    points = spark.createDataFrame(around(town), "id int, own string, latitude double, longitude double")
+    grid = spark.createDataFrame(town, "rsrp string, latitude double, longitude double")
+    near = S.nearest_within(points, "id", grid, 30.0, ["rsrp"])
+    pairs = S.within_own_reach(points.selectExpr("latitude p_lat", "longitude p_lon", "30d reach"), "reach",
+                               grid.withColumnsRenamed({"latitude": "s_lat", "longitude": "s_lon"}))
+    for df in (near, pairs):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    want = {(i, n) for i, own, *p in around(town) for d, n in [min((round(flat(p, t[1:]), 6), t[0]) for t in town)] if d <= 30}
+    assert {(x.id, x.rsrp) for x in near.collect()} == want and len(want) > 20
