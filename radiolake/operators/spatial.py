@@ -307,38 +307,134 @@ def facing_sector(points: DataFrame, point_id: str, sectors: DataFrame) -> DataF
     return best.select(point_id, "w.*")
 
 
+RINGS = (1 / 27, 1 / 9, 1.0)  # of the distance in which neighbours are looked for
+ROUND_DEG = 1.0  # that a direction on the flat may differ from a bearing, short of the poles
+
+
 def neighbour_sectors(points: DataFrame, point_id: str, sectors: DataFrame, serving: DataFrame,
                       facing_deg: float = 60.0, within_m: float = 3000.0,
                       same_direction_deg: float = 30.0) -> DataFrame:
     """Sectors of other sites that face the point, one per direction, nearest first.
 
     `serving` holds (point, site_id, bearing_deg, dist_m) of the serving sector: its site is
-    left out and its direction is taken. A point within reach of many sites folds one short
-    array: at most one candidate per site survives the facing step.
+    left out and its direction is taken. Each site offers the sector that faces the point best.
+    Points with the same position and serving sector are one. They look from ring to ring, and
+    beyond the first only into the directions that no nearer neighbour has taken, so in a dense
+    network they meet a few dozen sites.
     """
-    sites = _site_points(sectors)
-    near = radius_join(points, sites, within_m, [point_id], ["site_id"])
-    srv = serving.select(point_id, F.col("site_id").alias("_srv_site"),
-                         F.col("bearing_deg").alias("_srv_brg"), F.col("dist_m").alias("_srv_d"))
-    near = near.drop("dist_m", "o_lat", "o_lon").join(srv, point_id, "left").filter(
-        F.col("_srv_site").isNull() | (F.col("site_id") != F.col("_srv_site")))
-    pairs = near.join(_sectors(sectors), "site_id")
-    pairs = pairs.withColumn("dist_m", F.round(flat_m("p_lat", "p_lon", "s_lat", "s_lon"), 6))
-    pairs = _score(pairs).filter((F.col("off_deg") <= facing_deg)
-                                 & (F.col("dist_m") <= within_m))
-    per_site = pairs.groupBy(point_id, "site_id").agg(
-        first_by(["dist_m", "off_deg", "sector_id", "bearing_deg"], "off_deg", "sector_id")
-        .alias("w"), F.first("_srv_brg").alias("_srv_brg"), F.first("_srv_d").alias("_srv_d"))
-    cand = F.struct(F.col("w.dist_m").alias("dist_m"), F.col("w.off_deg").alias("off_deg"),
-                    F.col("w.sector_id").alias("sector_id"), "site_id",
-                    F.pmod(F.col("w.bearing_deg") + 180.0, F.lit(360.0)).alias("toward"))
-    g = per_site.groupBy(point_id).agg(
-        F.sort_array(F.collect_list(cand)).alias("c"),
-        F.first("_srv_brg").alias("_srv_brg"), F.first("_srv_d").alias("_srv_d"))
-    start = F.when(F.col("_srv_d") >= 1.0,
-                   F.array(F.pmod(F.col("_srv_brg") + 180.0, F.lit(360.0)))).otherwise(
-        F.array().cast("array<double>"))
-    empty = F.filter("c", lambda x: F.lit(False))
+    srv = serving.select(point_id, F.col("site_id").alias("srv_site"),
+                         F.col("bearing_deg").alias("srv_brg"), F.col("dist_m").alias("srv_d"))
+    at = F.struct("p_lat", "p_lon", "srv_site", "srv_brg", "srv_d")
+    ids = _pos(points, "p", [point_id]).join(srv, point_id, "left").groupBy(point_id).agg(
+        F.sort_array(F.collect_set(at)).alias("_at"))
+    sec = _sectors(sectors).filter(F.col("site_id").isNotNull())
+    sites = sec.groupBy("site_id").agg(
+        F.struct(F.min("s_lat").alias("lat"), F.min("s_lon").alias("lon")).alias("_site"),
+        F.collect_list(F.struct("sector_id", "azimuth_deg", "s_lat", "s_lon")).alias("_sectors"))
+    spots = sec.filter("s_lat is not null and s_lon is not null").select(
+        "site_id", "s_lat", "s_lon").distinct().join(sites, "site_id")
+    kind = {f.name: f.dataType.simpleString() for f in sec.schema.fields}
+    kind = (f"array<struct<dist_m:double,off_deg:double,sector_id:{kind['sector_id']},"
+            f"site_id:{kind['site_id']},toward:double>>")
+    first = F.element_at("_at", 1)
+    start = F.when(first["srv_d"] >= 1.0, F.array(F.pmod(first["srv_brg"] + 180.0, F.lit(360.0))))
+    found = ids.select("_at").distinct().select(
+        "_at", F.coalesce(start, F.array().cast("array<double>")).alias("taken"),
+        F.array().cast(kind).alias("out"))
+    low = -1.0
+    for part in RINGS:
+        found = _ring(found, spots, low, within_m * part, facing_deg, within_m, same_direction_deg)
+        low = within_m * part
+    g = ids.join(found.filter(F.size("out") > 0).select("_at", "out"), "_at")
+    return g.select(point_id, F.posexplode("out").alias("pos", "n")).select(
+        point_id, (F.col("pos") + 1).alias("rank"), F.col("n.sector_id").alias("sector_id"),
+        F.col("n.site_id").alias("site_id"), F.col("n.dist_m").alias("dist_m"),
+        F.col("n.off_deg").alias("off_deg"))
+
+
+def _free_arcs(taken, same_direction_deg: float) -> Column:
+    """The directions that none of `taken` covers: middles and half widths."""
+    s = F.sort_array(taken)
+    nxt = F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.try_element_at(s, F.lit(1)) + 360.0))
+    arc = lambda mid, half: F.struct(mid.alias("mid"), half.alias("half"))
+    arcs = F.zip_with(s, nxt, lambda a, b: arc((a + b) / 2, (b - a) / 2 - same_direction_deg))
+    return F.when(F.size(s) == 0, F.array(arc(F.lit(0.0), F.lit(180.0)))).otherwise(
+        F.filter(arcs, lambda x: x["half"] > -1e-6))
+
+
+def _ring(state: DataFrame, spots: DataFrame, low: float, high: float, facing_deg: float,
+          within_m: float, same_direction_deg: float) -> DataFrame:
+    """`state` (_at, taken, out) after the neighbours farther than `low` and within `high`."""
+    step = high / M_PER_DEG / FAN
+    s = spots.withColumn("_cell", cell_key("s_lat", "s_lon", high)).withColumn("_node", F.struct(
+        F.floor(F.col("s_lat") / step).alias("y"), F.floor(F.col("s_lon") / step).alias("x")))
+    nodes = s.groupBy("_cell", "_node").agg(F.struct(
+        F.min("s_lat").alias("lo_lat"), F.max("s_lat").alias("hi_lat"),
+        F.min("s_lon").alias("lo_lon"), F.max("s_lon").alias("hi_lon")).alias("_box"))
+    nodes = nodes.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = state.repartition(n).withColumn("_arcs", _free_arcs("taken", same_direction_deg))
+    # one row without a cell keeps those that find nothing
+    looks = F.flatten(F.transform("_at", lambda m: F.transform(
+        keys_within(m["p_lat"], m["p_lon"], high, 1.02), lambda c: F.struct(
+            c.alias("_cell"), m["p_lat"].alias("p_lat"), m["p_lon"].alias("p_lon")))))
+    looks = F.when(F.size("_arcs") > 0, looks).otherwise(F.slice(looks, 1, 0))
+    p = p.withColumn("_look", F.explode(F.concat(looks, F.array(F.lit(None))))).select(
+        "*", "_look.*").drop("_look")
+    p = p.withColumn("_copy", F.pmod(F.xxhash64("p_lat", "p_lon"), F.lit(COPIES)).cast("int"))
+    p = unsent(p).join(nodes, ["_cell", "_copy"], "left").drop("_copy")
+
+    def free(toward: Column, wide) -> Column:
+        return F.exists("_arcs", lambda x: az_gap(x["mid"], toward) <= x["half"] + wide)
+
+    def direction(lat: Column, lon: Column) -> Column:
+        return F.degrees(F.atan2((lon - F.col("p_lon")) * F.cos(F.radians("p_lat")),
+                                 lat - F.col("p_lat")))
+
+    b = {c: F.col(f"_box.{c}") for c in ("lo_lat", "hi_lat", "lo_lon", "hi_lon")}
+    middle = direction((b["lo_lat"] + b["hi_lat"]) / 2, (b["lo_lon"] + b["hi_lon"]) / 2)
+    wide = F.greatest(*[az_gap(middle, direction(b[y], b[x])) for y in ("lo_lat", "hi_lat")
+                        for x in ("lo_lon", "hi_lon")]) + ROUND_DEG
+    near = box_m("p_lat", "p_lon", "_box")
+    wide = F.when((near <= 1.0) | (F.abs("p_lat") > 85.0), 180.0).otherwise(wide)
+    p = p.filter(F.col("_cell").isNull() | (
+        (near <= high + 1e-3) & (box_m("p_lat", "p_lon", "_box", far=True) >= low - 1e-3)
+        & free(middle, wide)))
+    p = unsent(p.drop("_box")).join(s, ["_cell", "_node"], "left").drop("_node")
+
+    def seen(lat, lon, s_lat, s_lon) -> tuple[Column, Column]:
+        return (F.round(flat_m(lat, lon, s_lat, s_lon), 6),
+                F.round(bearing_deg(s_lat, s_lon, lat, lon), 6))
+
+    opposite = lambda brg: F.pmod(brg + 180.0, F.lit(360.0))
+    dist, brg = seen(*map(F.col, ("p_lat", "p_lon", "s_lat", "s_lon")))
+    p = p.withColumn("_d", dist).filter(F.col("_cell").isNull() | (
+        (F.col("_d") > low) & (F.col("_d") <= high)))
+    p = p.filter(F.col("_cell").isNull() | (F.col("_d") < 1.0) | free(opposite(brg), 1e-6))
+
+    # of all that the site offers to the point, the sector that faces it best
+    def offers(m: Column) -> Column:
+        def offer(x: Column) -> Column:
+            d, to = seen(m["p_lat"], m["p_lon"], x["s_lat"], x["s_lon"])
+            return F.struct(F.round(az_gap(x["azimuth_deg"], to), 6).alias("off"),
+                            x["sector_id"].alias("id"), d.alias("d"), opposite(to).alias("toward"),
+                            x["s_lat"].alias("s_lat"), x["s_lon"].alias("s_lon"),
+                            m["p_lat"].alias("p_lat"), m["p_lon"].alias("p_lon"))
+        other = (m["srv_site"].isNull() | (m["srv_site"] != F.col("site_id"))) & (F.round(flat_m(
+            m["p_lat"], m["p_lon"], F.col("_site.lat"), F.col("_site.lon")), 6) <= within_m)
+        return F.transform(F.filter("_sectors", lambda x: other), offer)
+
+    best = F.array_min(F.filter(F.flatten(F.transform("_at", offers)), lambda x: (
+        x["off"] <= facing_deg) & (x["d"] <= within_m)))
+    here = F.lit(True)
+    for c in ("s_lat", "s_lon", "p_lat", "p_lon"):
+        here = here & (F.col(f"_best.{c}") == F.col(c))
+    cand = F.struct(F.col("_best.d").alias("dist_m"), F.col("_best.off").alias("off_deg"),
+                    F.col("_best.id").alias("sector_id"), F.col("site_id").alias("site_id"),
+                    F.col("_best.toward").alias("toward"))
+    p = p.withColumn("_best", F.when(F.col("_cell").isNotNull(), best))
+    g = p.groupBy("_at").agg(F.first("taken").alias("taken"), F.first("out").alias("out"),
+                             F.sort_array(F.collect_set(F.when(here, cand))).alias("_c"))
 
     def step(acc, x):
         behind = F.exists(acc["taken"], lambda t: az_gap(t, x["toward"]) < same_direction_deg)
@@ -348,12 +444,8 @@ def neighbour_sectors(points: DataFrame, point_id: str, sectors: DataFrame, serv
             F.when(skip | (x["dist_m"] < 1.0), acc["taken"]).otherwise(
                 F.concat(acc["taken"], F.array(x["toward"]))).alias("taken"))
 
-    kept = F.aggregate("c", F.struct(empty.alias("out"), start.alias("taken")), step,
-                       lambda acc: acc["out"])
-    return g.select(point_id, F.posexplode(kept).alias("pos", "n")).select(
-        point_id, (F.col("pos") + 1).alias("rank"), F.col("n.sector_id").alias("sector_id"),
-        F.col("n.site_id").alias("site_id"), F.col("n.dist_m").alias("dist_m"),
-        F.col("n.off_deg").alias("off_deg"))
+    after = F.aggregate("_c", F.struct(F.col("out"), F.col("taken")), step)
+    return g.select("_at", after.alias("_after")).select("_at", "_after.taken", "_after.out")
 
 
 def around_site(sites: DataFrame, sectors: DataFrame, metres: float = 1200.0,

@@ -81,3 +81,61 @@ def test_exploded_points_are_not_sent_to_the_driver(spark, town):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
     want = {(i, n) for i, own, *p in around(town) for d, n in [min((round(flat(p, t[1:]), 6), t[0]) for t in town)] if d <= 30}
     assert {(x.id, x.rsrp) for x in near.collect()} == want and len(want) > 20
+
+
+def joined_rows(df):
+    """Rows that the joins of a collected frame made."""
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        kids = node.children()
+        made = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return made + sum(walk(kids.apply(i)) for i in range(kids.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def facing(p, srv, sites, within=3000.0):
+    """The neighbours as the old code found them: all sites, then a fold nearest first."""
+    def bearing(s):
+        a, b, dl = math.radians(s[0]), math.radians(p[0]), math.radians(p[1] - s[1])
+        return round((math.degrees(math.atan2(math.sin(dl) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a)
+                                              * math.cos(b) * math.cos(dl))) + 360) % 360, 6)
+    def gap(a, b):
+        d = abs(a - b) % 360
+        return 360 - d if d > 180 else d
+    found = []
+    for name, lat, lon, azimuths in sites:
+        if name == srv[0] or round(flat(p, (lat, lon)), 6) > within:
+            continue
+        b = bearing((lat, lon))
+        off, i = min((round(gap(a, b), 6), i) for i, a in enumerate(azimuths))
+        if off <= 60:
+            found.append((round(flat(p, (lat, lon)), 6), off, f"{name}-{i}", (b + 180) % 360))
+    taken, out = [(srv[1] + 180) % 360], []
+    for d, off, sector, toward in sorted(found):
+        if d < 1 or all(gap(t, toward) >= 30 for t in taken):
+            out.append(sector)
+            taken += [toward] * (d >= 1)
+    return out
+
+
+def test_neighbours_of_a_dense_network_meet_few_sites(spark):
+    r = random.Random(9)
+    sites = [(f"S{i:04d}", 30.0 + r.random() * 0.027, 47.0 + r.random() * 0.03, [r.randrange(360) for _ in range(3)])
+             for i in range(1500)]
+    points = [(i, 30.0 + r.random() * 0.03, 46.999 + r.random() * 0.034) for i in range(60)]
+    points.append((60, *sites[0][1:3]))  # at a site
+    sectors = spark.createDataFrame([(n, f"{n}-{i}", float(a), la, lo) for n, la, lo, az in sites for i, a in enumerate(az)],
+                                    "site_id string, sector_id string, azimuth_deg double, latitude double, longitude double")
+    serving = [(i, sites[i][0], float(r.randrange(360)), 50.0) for i in range(61)]
+    df = S.neighbour_sectors(
+        spark.createDataFrame(points + points[:5], "id int, latitude double, longitude double"), "id", sectors,
+        spark.createDataFrame(serving + serving[:5], "id int, site_id string, bearing_deg double, dist_m double"))
+    got = {}
+    for x in sorted(df.collect(), key=lambda x: (x.id, x["rank"])):
+        got.setdefault(x.id, []).append(x.sector_id)
+    assert got == {i: w for (i, *p), s in zip(points, serving) if (w := facing(p, s[1:], sites))}
+    assert joined_rows(df) < 0.5 * len(points) * len(sites)
