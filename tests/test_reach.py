@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from radiolake.functions.geo import box_m, flat_m, haversine_m
+from radiolake.functions.geo import az_gap, bearing_deg, box_m, flat_m, haversine_m, predict_rsrp
 from radiolake.operators import spatial as S
 
 
@@ -139,3 +139,22 @@ def test_neighbours_of_a_dense_network_meet_few_sites(spark):
         got.setdefault(x.id, []).append(x.sector_id)
     assert got == {i: w for (i, *p), s in zip(points, serving) if (w := facing(p, s[1:], sites))}
     assert joined_rows(df) < 0.5 * len(points) * len(sites)
+
+
+def test_predicted_best_server_is_that_of_all_within_reach(spark):
+    r = random.Random(3)
+    rows = [(None if i == 7 else f"C{i:04d}", 30.0 + r.random() * 0.027, 47.0 + r.random() * 0.03, float(r.randrange(360)),
+             float(r.choice([12, 30, 45, 50])), None if i == 5 else float(r.randrange(1, 12))) for i in range(6000)]
+    sectors = spark.createDataFrame(rows, "sector_id string, latitude double, longitude double, azimuth_deg double, "
+                                          "antenna_height_m double, total_tilt_deg double")
+    points = [(i // 2, 29.99 + r.random() * 0.05, 46.99 + r.random() * 0.05) for i in range(80)]
+    points = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    df = S.predicted_best_server(points, "id", sectors)
+    got = {tuple(x) for x in df.collect()}
+    pairs = S.radius_join(points, sectors, 1500.0, ["id"], S.POWER_COLS)
+    off = az_gap("azimuth_deg", F.round(bearing_deg("o_lat", "o_lon", "p_lat", "p_lon"), 6))
+    pairs = pairs.withColumn("rsrp", predict_rsrp("dist_m", "antenna_height_m", "total_tilt_deg", off))
+    want = pairs.groupBy("id").agg(F.min_by(F.struct("sector_id", "rsrp"), F.struct(-F.col("rsrp"), "sector_id"))
+                                   .alias("w")).select("id", "w.*")
+    assert got == {tuple(x) for x in want.collect()} and len({x[2] for x in got}) > 5
+    assert joined_rows(df) < 0.7 * pairs.count()
