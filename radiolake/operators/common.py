@@ -145,22 +145,31 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str)
         F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
     cells = cells.withColumn("_band", F.floor("_v"))
     by_band = cells.groupBy(*keys, "_band").agg(F.sum("_w").alias("_bw"),
-                                                F.sum("_n").alias("_bn"))
+                                                F.sum("_n").alias("n_rows"))
+    half = half_bands(by_band, keys, ["n_rows"])
+    return median_in_band(cells.join(half, [*keys, "_band"]), keys, ["n_rows"])
+
+
+def half_bands(by_band: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """Of the weights _bw by key and _band, the band that holds half of the key's weight: the weight
+    before it, the key's weight and the key's sums of the columns `totals`."""
     run = W.partitionBy(*keys).orderBy("_band")
     whole = W.partitionBy(*keys)
-    by_band = (by_band.withColumn("_cum", F.sum("_bw").over(run))
-               .withColumn("weight", F.sum("_bw").over(whole))
-               .withColumn("n_rows", F.sum("_bn").over(whole))
-               .withColumn("_nth", F.row_number().over(run)))
+    by_band = by_band.withColumns({
+        "_cum": F.sum("_bw").over(run), "weight": F.sum("_bw").over(whole),
+        "_nth": F.row_number().over(run), **{c: F.sum(c).over(whole) for c in totals}})
     crossing = ((F.col("_cum") >= F.col("weight") / 2)
                 & (F.col("_cum") - F.col("_bw") < F.col("weight") / 2))
     half = by_band.filter(crossing | ((F.col("weight") == 0) & (F.col("_nth") == 1)))
-    half = half.select(*keys, "_band", (F.col("_cum") - F.col("_bw")).alias("_before"),
-                       "weight", "n_rows")
-    inside = cells.join(half, [*keys, "_band"])
+    return half.select(*keys, "_band", (F.col("_cum") - F.col("_bw")).alias("_before"),
+                       "weight", *totals)
+
+
+def median_in_band(inside: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """The lower weighted median per key from the values _v and weights _w of its half band."""
     inside = inside.withColumn("_cum", F.col("_before") + F.sum("_w").over(
         W.partitionBy(*keys).orderBy("_v")))
     return inside.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(F.col("_cum") >= F.col("weight") / 2, F.col("_v"))),
                    F.max("_v")).alias("median"),
-        F.max("weight").alias("weight"), F.max("n_rows").alias("n_rows"))
+        F.max("weight").alias("weight"), *[F.max(c).alias(c) for c in totals])

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from radiolake.functions.geo import COVERED_DBM, RSRP_NAMES, rsrp_class
-from radiolake.operators.common import weighted_median, with_scalars
+from radiolake.operators.common import (half_bands, median_in_band, unsent, weighted_median,
+                                         with_scalars)
 from radiolake.operators.spatial import radius_join
 
 DEFAULT_STEP = 0.00045
@@ -132,14 +133,33 @@ def at_cell(points: DataFrame, df: DataFrame, lat: str = "latitude", lon: str =
 
 def area_rsrp(sites: DataFrame, df: DataFrame, metres: float = 500.0,
               weak: float = COVERED_DBM) -> DataFrame:
-    """Around each site: MR-weighted median RSRP and the share of MRs below the weak line."""
-    spots = df.groupBy(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-                       "rsrp").agg(F.sum("mr").alias("mr"), F.count(F.lit(1)).alias("n"))
-    pairs = radius_join(sites, spots, metres, ["site_id"], ["rsrp", "mr", "n"])
-    med = weighted_median(pairs, ["site_id"], "rsrp", "mr")
-    share = pairs.groupBy("site_id").agg(
-        F.sum(F.when(F.col("rsrp") < weak, F.col("mr")).otherwise(0.0)).alias("weak_mr"),
-        F.sum("n").alias("grids"))
-    return med.join(share, "site_id").select(
+    """Around each site: MR-weighted median RSRP and the share of MRs below the weak line.
+
+    Rows of the grid at one position are one spot with its weights by unit band, sites at one position
+    are one place. Pairs of a place and a spot meet the bands first, and then the values of the one
+    band that holds half of the place's weight, so no place meets all rows around it.
+    """
+    cells = df.groupBy(F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"),
+                       F.col("rsrp").alias("_v")).agg(
+        F.sum("mr").alias("_w"), F.count(F.lit(1)).alias("_n")).withColumn("_band", F.floor("_v"))
+    spot = ["o_lat", "o_lon"]
+    by_spot = cells.groupBy(*spot, "_band").agg(
+        F.sum("_w").alias("_w"), F.sum("_n").alias("_n"),
+        F.sum(F.when(F.col("_v") < weak, F.col("_w")).otherwise(0.0)).alias("_weak"))
+    # a site that comes more than once has all its positions
+    ids = sites.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).groupBy(
+        "site_id").agg(F.sort_array(F.collect_list(F.struct("latitude", "longitude"))).alias("_at"))
+    places = ids.select("_at").distinct().withColumn("_p", F.explode("_at")).select("_at", "_p.*")
+    spots = cells.select(F.col("o_lat").alias("latitude"),
+                         F.col("o_lon").alias("longitude")).distinct()
+    pairs = radius_join(places, spots, metres, ["_at"], []).select("_at", *spot)
+    bands = unsent(pairs).join(by_spot, spot).groupBy("_at", "_band").agg(
+        F.sum("_w").alias("_bw"), F.sum("_n").alias("grids"), F.sum("_weak").alias("weak_mr"))
+    totals = ["grids", "weak_mr"]
+    inside = unsent(pairs.join(half_bands(bands, ["_at"], totals), "_at")).join(
+        cells.drop("_n"), [*spot, "_band"])
+    same = ["_at", "_v", "_before", "weight", *totals]
+    med = median_in_band(inside.groupBy(*same).agg(F.sum("_w").alias("_w")), ["_at"], totals)
+    return ids.filter(F.col("site_id").isNotNull()).join(med, "_at").select(
         "site_id", F.col("median").alias("median_rsrp"), F.col("weight").alias("mrs"), "grids",
         (100.0 * F.col("weak_mr") / F.col("weight")).alias("weak_pct"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolake.functions.geo import az_gap, bearing_deg, box_m, flat_m, haversine_m, predict_rsrp
+from radiolake.operators import coverage as C
 from radiolake.operators import spatial as S
 
 
@@ -158,3 +159,28 @@ def test_predicted_best_server_is_that_of_all_within_reach(spark):
                                    .alias("w")).select("id", "w.*")
     assert got == {tuple(x) for x in want.collect()} and len({x[2] for x in got}) > 5
     assert joined_rows(df) < 0.7 * pairs.count()
+
+
+def test_area_around_a_site_meets_bands_of_spots(spark):
+    r = random.Random(8)
+    spots = [(30.0 + i % 6 * 0.002, 47.0 + i // 6 * 0.002) for i in range(36)]
+    rows = [(*r.choice(spots), -70.0 - r.random() * 20, float(r.randrange(5))) for _ in range(20000)]
+    rows += [(*spots[0], None, 3.0), (None, 47.0, -80.0, 1.0)]
+    sites = [(f"S{i}", *r.choice(spots)) for i in range(30)] + [("S0", 30.001, 47.001), ("far", 31.0, 47.0)]
+    df = C.area_rsrp(spark.createDataFrame(sites, "site_id string, latitude double, longitude double"), spark.createDataFrame(
+        rows, "lat double, lon double, rsrp double, mr double"), metres=300.0, weak=-85.0)
+    got = {x.site_id: (x.median_rsrp, x.mrs, x.grids, round(x.weak_pct, 6)) for x in df.collect()}
+    want, held = {}, 0
+    for name in {s[0] for s in sites}:
+        near = [(v, w) for s in sites if s[0] == name for la, lo, v, w in rows
+                if la is not None and round(flat(s[1:], (la, lo)), 6) <= 300.0]
+        if near:
+            total, run, held = sum(w for _, w in near), 0.0, held + len(near)
+            weak = 100 * sum(w for v, w in near if v is not None and v < -85) / total
+            for v, w in sorted(near, key=lambda x: (x[0] is not None, x[0])):
+                run += w
+                if run >= total / 2 and w:
+                    break
+            want[name] = (v, total, len(near), round(weak, 6))
+    assert got == want and len(want) == 30
+    assert joined_rows(df) < 0.5 * held
