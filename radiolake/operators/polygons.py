@@ -10,10 +10,11 @@ cell that an edge touches, it meets the edges of its strip, and an odd number to
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from radiolake.functions.geo import M_PER_DEG, keys_within, row_width_deg
-from radiolake.operators.common import first_by
+from radiolake.functions.geo import M_PER_DEG, cell_key, keys_within, row_width_deg
+from radiolake.operators.common import first_by, unsent
 
 SNAP_M = 2000.0
 CELL_M = 5000.0
@@ -87,7 +88,7 @@ def _strip(lat) -> Column:
 def edge_strips(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """The edges that a line of latitude can cross, once for each strip they pass."""
     low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
-    e = edges.where("a_lat <> b_lat").join(sizes, "seq")
+    e = unsent(edges.where("a_lat <> b_lat")).join(sizes, "seq")
     return e.withColumn("strip", F.explode(F.sequence(_strip(low), _strip(high)))).drop(
         "south", "height")
 
@@ -95,8 +96,8 @@ def edge_strips(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 def inside(candidates: DataFrame, sizes: DataFrame, striped: DataFrame) -> DataFrame:
     """The pairs (p_lat, p_lon, seq) of candidates whose point lies in the area: in the outer ring
     of a part and in none of its holes."""
-    c = candidates.join(sizes, "seq").withColumn("strip", _strip(F.col("p_lat")))
-    e = c.drop("south", "height").join(striped, ["seq", "strip"])
+    c = unsent(candidates).join(sizes, "seq").withColumn("strip", _strip(F.col("p_lat")))
+    e = unsent(c.drop("south", "height")).join(striped, ["seq", "strip"])
     crossed = ((F.col("b_lat") > F.col("p_lat")) != (F.col("a_lat") > F.col("p_lat"))) & (
         F.col("p_lon") < (F.col("b_lon") - F.col("a_lon")) * (F.col("p_lat") - F.col("a_lat"))
         / (F.col("b_lat") - F.col("a_lat")) + F.col("a_lon"))
@@ -122,7 +123,7 @@ def area_cells(edges: DataFrame, sizes: DataFrame, striped: DataFrame,
         "seq", "iy", "ix").distinct()
     every = box.withColumn("iy", F.explode(_between(F.col("lo_lat"), F.col("hi_lat"), F.lit(step))))
     every = every.withColumn("ix", F.explode(_between(F.col("lo_lon"), F.col("hi_lon"), F.lit(step))))
-    free = every.select("seq", "iy", "ix").join(touched, ["seq", "iy", "ix"], "left_anti")
+    free = unsent(every.select("seq", "iy", "ix")).join(touched, ["seq", "iy", "ix"], "left_anti")
     middle = free.select("seq", ((F.col("iy") + 0.5) * step).alias("p_lat"),
                          ((F.col("ix") + 0.5) * step).alias("p_lon"))
     whole = inside(middle, sizes, striped).select("seq", *_cell("p_lat", "p_lon", cell_m),
@@ -130,24 +131,66 @@ def area_cells(edges: DataFrame, sizes: DataFrame, striped: DataFrame,
     return touched.withColumn("whole", F.lit(False)).unionByName(whole)
 
 
+def first_areas(cells: DataFrame) -> DataFrame:
+    """The cells of areas that can be the first to hold a point: none comes after the first one that
+    the cell lies in altogether."""
+    whole = F.min(F.when(F.col("whole"), F.col("seq"))).over(W.partitionBy("iy", "ix"))
+    return cells.withColumn("_first", whole).where("_first is null or seq <= _first").drop("_first")
+
+
+EARLY = 16  # areas of a cell that are looked at before the others
+FINE = 16  # cells that hold edges are so much narrower than the reach
+
+
 def nearest_edges(points: DataFrame, edges: DataFrame, snap_m: float) -> DataFrame:
-    """(p_lat, p_lon, seq, d): the outer edges within snap_m of each point, the nearest per area."""
+    """(p_lat, p_lon, seq, d): the area with the nearest outer edge within snap_m of each point, the
+    last in order on a tie.
+
+    A point meets the fine cells that edges run through first. Some edge is no farther than the
+    farthest corner of the nearest ones, and only edges of cells within that distance are measured.
+    """
     wide = snap_m * 1.05  # a degree is shorter for the snap than for the lattice
-    step = F.lit(wide / M_PER_DEG)
-    e = _edge_cells(edges.where("ring = 0"), wide, lambda row: row_width_deg(row, step))
-    e = e.withColumn("cell", F.struct("iy", "ix")).drop("part", "ring", "iy", "ix")
-    p = points.withColumn("cell", F.explode(keys_within("p_lat", "p_lon", wide)))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = F.lit(wide / FINE / M_PER_DEG)
+    e = _edge_cells(edges.where("ring = 0"), wide / FINE, lambda row: row_width_deg(row, fine))
+    e = e.withColumn("fine", F.struct("iy", "ix")).drop("part", "ring", "iy", "ix")
+    width = row_width_deg(F.col("fine.iy"), fine)
+    south, west = F.col("fine.iy") * fine, F.col("fine.ix") * width
+    cells = e.select("fine").distinct().select("fine", south.alias("south"), west.alias("west"), (
+        south + fine).alias("north"), (west + width).alias("east"))
+    # by its middle a cell lies in one wide cell; the margin of the points covers the rest of it
+    cells = cells.withColumn("cell", cell_key((F.col("south") + F.col("north")) / 2,
+                                              (F.col("west") + F.col("east")) / 2, wide * 1.25))
+    p = points.repartition(n).withColumn("cell", F.explode(keys_within(
+        "p_lat", "p_lon", wide * 1.25)))
+    p = unsent(p).join(cells, "cell").drop("cell")
     kx, ky = F.lit(M_PER_DEG) * F.cos(F.radians("p_lat")), F.lit(NORTH_M)
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.sqrt(x * x * kx * kx + y * y * ky * ky)
+
+    def gap(of: str, lo: str, hi: str, far: bool) -> Column:
+        lo, hi = (F.col(c) - F.col(of) for c in (lo, hi))
+        return F.greatest(F.abs(lo), F.abs(hi)) if far else F.greatest(lo, -hi, F.lit(0.0))
+
+    near, far = (apart(gap("p_lon", "west", "east", f), gap("p_lat", "south", "north", f))
+                 for f in (False, True))
+    p = p.select("p_lat", "p_lon", "fine", near.alias("near"), far.alias("far")).where(
+        F.col("near") <= snap_m + 1e-3)
+    least = F.min("far").over(W.partitionBy("p_lat", "p_lon"))
+    p = p.withColumn("least", least).where(F.col("near") <= F.col("least") + 1e-3).select(
+        "p_lat", "p_lon", "fine")
     x0, y0 = (F.col("a_lon") - F.col("p_lon")) * kx, (F.col("a_lat") - F.col("p_lat")) * ky
     dx = (F.col("b_lon") - F.col("a_lon")) * kx
     dy = (F.col("b_lat") - F.col("a_lat")) * ky
     seg = dx * dx + dy * dy
     t = F.when(seg > 0, F.greatest(F.lit(0.0), F.least(
         F.lit(1.0), -(x0 * dx + y0 * dy) / seg))).otherwise(0.0)
-    ex, ey = x0 + t * dx, y0 + t * dy
+    ex, ey = x0 + F.col("t") * dx, y0 + F.col("t") * dy
     d = F.round(F.sqrt(ex * ex + ey * ey), 6)
-    pairs = p.join(e, "cell").withColumn("d", d).where(F.col("d") <= snap_m)
-    return pairs.groupBy("p_lat", "p_lon", "seq").agg(F.min("d").alias("d"))
+    pairs = unsent(p).join(e, "fine").withColumn("t", t).withColumn("d", d)
+    best = pairs.groupBy("p_lat", "p_lon").agg(first_by(["seq", "d"], "d", -F.col("seq")).alias("w"))
+    return best.select("p_lat", "p_lon", "w.*").where(F.col("d") <= snap_m)
 
 
 def place_in_area(points: DataFrame, point_id: str, polygons: DataFrame,
@@ -157,23 +200,32 @@ def place_in_area(points: DataFrame, point_id: str, polygons: DataFrame,
 
     polygons: seq (list order), name and `parts` or `rings`, see `edge_table`.
     """
-    edges = edge_table(polygons)
+    # areas and points are few bytes and much work: they are dealt out anew
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edge_table(polygons.repartition(n))
     sizes = strips(edges)
     striped = edge_strips(edges, sizes)
     every = points.where("latitude is not null and longitude is not null").select(
         point_id, F.col("latitude").cast("double").alias("p_lat"),
         F.col("longitude").cast("double").alias("p_lon"))
     spots = every.select("p_lat", "p_lon").distinct()  # points at one place have one answer
-    met = spots.select("p_lat", "p_lon", *_cell("p_lat", "p_lon", cell_m)).join(
-        area_cells(edges, sizes, striped, cell_m), ["iy", "ix"])
-    held = met.where("whole").select("p_lat", "p_lon", "seq").unionByName(
-        inside(met.where("not whole").select("p_lat", "p_lon", "seq"), sizes, striped))
-    held = held.groupBy("p_lat", "p_lon").agg(F.min("seq").alias("seq"))
+    cells = first_areas(area_cells(edges, sizes, striped, cell_m))
+    order = F.row_number().over(W.partitionBy("iy", "ix").orderBy("seq"))
+    cells = cells.withColumn("early", order <= EARLY)
+
+    def hold(points: DataFrame, cells: DataFrame) -> DataFrame:
+        met = unsent(points.repartition(n).select(
+            "p_lat", "p_lon", *_cell("p_lat", "p_lon", cell_m))).join(cells, ["iy", "ix"])
+        held = met.where("whole").select("p_lat", "p_lon", "seq").unionByName(
+            inside(met.where("not whole").select("p_lat", "p_lon", "seq"), sizes, striped))
+        return held.groupBy("p_lat", "p_lon").agg(F.min("seq").alias("seq"))
+
+    # where areas overlap, one of the first in order mostly holds the point
+    held = hold(spots, cells.where("early"))
+    rest = spots.join(held, ["p_lat", "p_lon"], "left_anti")
+    held = held.unionByName(hold(rest, cells.where("not early")))
     outside = spots.join(held, ["p_lat", "p_lon"], "left_anti")
-    near = nearest_edges(outside, edges, snap_m).groupBy("p_lat", "p_lon").agg(
-        first_by(["seq", "d"], "d", -F.col("seq")).alias("w"))
-    found = held.withColumn("d", F.lit(0.0)).unionByName(
-        near.select("p_lat", "p_lon", F.col("w.seq").alias("seq"), F.col("w.d").alias("d")))
+    found = held.withColumn("d", F.lit(0.0)).unionByName(nearest_edges(outside, edges, snap_m))
     names = polygons.select("seq", F.col("name").alias("area"))
     return every.join(found.join(names, "seq"), ["p_lat", "p_lon"]).select(
         point_id, "area", F.col("d").alias("snapped_m"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from radiolake.functions.geo import az_gap, bearing_deg, box_m, flat_m, haversine_m, predict_rsrp
 from radiolake.operators import coverage as C
+from radiolake.operators import polygons as PG
 from radiolake.operators import spatial as S
 
 
@@ -184,3 +185,29 @@ def test_area_around_a_site_meets_bands_of_spots(spark):
             want[name] = (v, total, len(near), round(weak, 6))
     assert got == want and len(want) == 30
     assert joined_rows(df) < 0.5 * held
+
+
+def test_points_among_overlapping_areas_meet_few_of_their_edges(spark):
+    r = random.Random(2)
+    def square(x, y, half):
+        return [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)]
+    boxes = [(47.0 + r.random() * 0.004, 30.0 + r.random() * 0.004, 0.0003 + r.random() * 0.0012) for _ in range(250)]
+    areas = spark.createDataFrame([(i, f"A{i}", [square(*b)]) for i, b in enumerate(boxes)],
+                                  "seq int, name string, rings array<array<struct<lon: double, lat: double>>>")
+    points = [(i, 29.997 + r.random() * 0.01, 46.997 + r.random() * 0.01) for i in range(300)]
+    df = PG.place_in_area(spark.createDataFrame(points, "id int, latitude double, longitude double"), "id", areas,
+                          snap_m=200.0, cell_m=60.0)
+    want = {}
+    for i, la, lo in points:
+        kx, found = 111_320.0 * math.cos(math.radians(la)), []
+        for seq, (x, y, h) in enumerate(boxes):
+            if abs(lo - x) < h and abs(la - y) < h:
+                found.append((0.0, seq, seq))
+            else:
+                dx, dy = max(abs(lo - x) - h, 0) * kx, max(abs(la - y) - h, 0) * 110_540.0
+                found.append((round(math.hypot(dx, dy), 6), 1000 - seq, seq))
+        d, _, seq = min(found)
+        if d <= 200:
+            want[i] = (f"A{seq}", round(d, 3))
+    assert {x.id: (x.area, round(x.snapped_m, 3)) for x in df.collect()} == want
+    assert {d == 0 for _, d in want.values()} == {True, False} and len(want) < len(points)
