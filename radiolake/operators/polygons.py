@@ -140,6 +140,7 @@ def first_areas(cells: DataFrame) -> DataFrame:
 
 EARLY = 16  # areas of a cell that are looked at before the others
 FINE = 16  # cells that hold edges are so much narrower than the reach
+FINE_M = 10.0  # and no narrower than this, or long edges would fill too many
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, snap_m: float) -> DataFrame:
@@ -151,8 +152,9 @@ def nearest_edges(points: DataFrame, edges: DataFrame, snap_m: float) -> DataFra
     """
     wide = snap_m * 1.05  # a degree is shorter for the snap than for the lattice
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = F.lit(wide / FINE / M_PER_DEG)
-    e = _edge_cells(edges.where("ring = 0"), wide / FINE, lambda row: row_width_deg(row, fine))
+    fine_m = max(wide / FINE, FINE_M)
+    fine = F.lit(fine_m / M_PER_DEG)
+    e = _edge_cells(edges.where("ring = 0"), fine_m, lambda row: row_width_deg(row, fine))
     e = e.withColumn("fine", F.struct("iy", "ix")).drop("part", "ring", "iy", "ix")
     width = row_width_deg(F.col("fine.iy"), fine)
     south, west = F.col("fine.iy") * fine, F.col("fine.ix") * width
@@ -160,9 +162,9 @@ def nearest_edges(points: DataFrame, edges: DataFrame, snap_m: float) -> DataFra
         south + fine).alias("north"), (west + width).alias("east"))
     # by its middle a cell lies in one wide cell; the margin of the points covers the rest of it
     cells = cells.withColumn("cell", cell_key((F.col("south") + F.col("north")) / 2,
-                                              (F.col("west") + F.col("east")) / 2, wide * 1.25))
+                                              (F.col("west") + F.col("east")) / 2, wide + fine_m))
     p = points.repartition(n).withColumn("cell", F.explode(keys_within(
-        "p_lat", "p_lon", wide * 1.25)))
+        "p_lat", "p_lon", wide + fine_m)))
     p = unsent(p).join(cells, "cell").drop("cell")
     kx, ky = F.lit(M_PER_DEG) * F.cos(F.radians("p_lat")), F.lit(NORTH_M)
 
